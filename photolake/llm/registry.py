@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from photolake.llm import langid, quality
+from photolake.llm import langid, mixing, quality, simhash
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (langid.op5_language_id, quality.op3_quality)}
-    return found
+    return {f.__name__: f for f in (mixing.op2_mixing, quality.op3_quality, langid.op5_language_id, simhash.op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL}
