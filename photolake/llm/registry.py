@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from photolake.llm import langid, mixing, quality, simhash
+from photolake.llm import decontaminate, html, langid, mixing, quality, simhash, sstable
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op2_mixing, quality.op3_quality, langid.op5_language_id, simhash.op10_simhash)}
+    found = (
+        mixing.op2_mixing,
+        quality.op3_quality,
+        langid.op5_language_id,
+        sstable.op7_token_ids,
+        html.op8_html,
+        decontaminate.op9_decontaminate,
+        simhash.op10_simhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
