@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from photolake.llm import decontaminate, html, langid, mixing, quality, simhash, sstable
+from photolake.llm import decontaminate, html, langid, licenses, lm, mixing, mjpeg, quality, simhash, sstable
 
 
 def queries() -> dict:
     found = (
+        lm.op1_lm_score,
         mixing.op2_mixing,
         quality.op3_quality,
+        mjpeg.op4_media,
         langid.op5_language_id,
+        licenses.op6_licenses,
         sstable.op7_token_ids,
         html.op8_html,
         decontaminate.op9_decontaminate,
