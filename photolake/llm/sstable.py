@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,7 @@ class ShardReader:
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _RUN = re.compile(f"[{_SPACE}] ")
+_LED = re.compile(f" [^{_SPACE}]")
 
 
 class PieceEncoder:
@@ -196,12 +198,15 @@ class PieceEncoder:
     ids in any text. Pieces met before come from a table of at most ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.most = most
         self._clear()
 
@@ -210,18 +215,26 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 16, dtype=f"<u{self.width}")
         self.ends = np.zeros(1 << 14, dtype=np.int64)
 
-    def _learn(self, pieces: list[str], keys: list[str]) -> None:
+    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of all keys, and how many each has."""
+        if keys[0][:2] == "  ":
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([k[2:] for k in keys], add_special_tokens=False)]
+            return np.fromiter((i for x in lists for i in x), np.int64), np.fromiter(map(len, lists), np.int64)
+        # many pieces are encoded as one text: each begins with its one space, so with the only ids that do
+        rows = [" " + " ".join(keys[i : i + 256]) for i in range(0, len(keys), 256)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+        return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+
+    def _learn(self, keys: list[str]) -> None:
         n, used = len(self.known), int(self.ends[len(self.known) - 1]) if self.known else 0
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while used + total > len(self.flat):
+        ids, sizes = self._encode(keys)
+        while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.ends):
+        while n + len(keys) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[used : used + total] = np.fromiter((i for x in ids for i in x), np.int64, total)
-        self.ends[n : n + len(ids)] = used + np.cumsum(sizes)
-        self.known.update(zip(keys, range(n, n + len(ids))))
+        self.flat[used : used + len(ids)] = ids
+        self.ends[n : n + len(keys)] = used + np.cumsum(sizes)
+        self.known.update(zip(keys, range(n, n + len(keys))))
 
     def __call__(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and where each begins (one more at the end)."""
@@ -231,7 +244,7 @@ class PieceEncoder:
             if not text:
                 continue
             if text[0] == " " or _RUN.search(text):
-                mine = [p[1:] if p[0] == " " and p[1:2] != " " else "  " + p for p in _PIECE.findall(text)]
+                mine = [p[1:] if _LED.match(p) else "  " + p for p in _PIECE.findall(text)]
             else:
                 mine = text.split(" ")
                 mine[0] = "  " + mine[0]
@@ -239,9 +252,13 @@ class PieceEncoder:
             keys += mine
         if len(self.known) > self.most:
             self._clear()
-        if new := list(set(keys).difference(self.known)):
-            self._learn([k[2:] if k[:2] == "  " else " " + k for k in new], new)
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(missing := np.flatnonzero(at < 0)):
+            lost = [keys[i] for i in missing.tolist()]
+            for plain in (True, False):
+                if new := [k for k in dict.fromkeys(lost) if (k[:2] != "  ") == plain]:
+                    self._learn(new)
+            at[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
         ends = self.ends[at]
         begins = np.where(at > 0, self.ends[at - 1], 0)
         sizes = ends - begins
@@ -251,6 +268,16 @@ class PieceEncoder:
         return ids, upto[np.concatenate([[0], np.cumsum(n)])]
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """The encoder of this worker process, which keeps its table from one task to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a path that all executors share."""
     if uri.startswith("file:"):
@@ -272,7 +299,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, first, shard, before, repeat = PieceEncoder(tokenizer_path), None, None, 0, b"", 0
+        encoder, writer, first, shard, before, repeat = encoder_for(tokenizer_path), None, None, 0, b"", 0
         fs, root = _filesystem(folder)
 
         def close() -> pa.RecordBatch:
