@@ -202,12 +202,13 @@ def _verify(cand: tuple[int, int, int, int, int], chars: np.ndarray, place: np.n
         lead = first - low + x - width
         left = max(begin, lead)
         budget = max(int((y - x) * EDITS), int(index.budget[item])) if y - x > need else int(index.budget[item])
-        slack = 2 * width + max(0, left - lead)
-        cost, stop = edits(whole[x:y], chars[left : min(end, first - low + y + 2 * width)], slack, budget)
+        # before the text's start stand characters that match nothing, so the passage is in the band's middle
+        region = np.concatenate([np.full(left - lead, -1), chars[left : min(end, first - low + y + 2 * width)].astype(np.int64)])
+        cost, stop = edits(whole[x:y], region, width, budget)
         if cost <= budget:
             key = (text, item)
             origin = int(place[starts[text]])
-            new = (int(place[left] - origin), int(place[min(left + stop, end) - 1] - origin + 1), y - x, cost)
+            new = (int(place[left] - origin), int(place[max(left, min(lead + stop, end) - 1)] - origin + 1), y - x, cost)
             if key not in found or (new[2], -new[3]) > (found[key][2], -found[key][3]):
                 found[key] = new
             return
