@@ -82,6 +82,12 @@ def in_bbox(west: float, south: float, east: float, north: float) -> Column:
     return lat & inside
 
 
+def in_cube(latitude: float, longitude: float, half_m: float) -> Column:
+    """Within the cube of a half side around a place on the sphere."""
+    here, there = scalar.earth(F.col("latitude"), F.col("longitude")), scalar.earth(F.lit(latitude), F.lit(longitude))
+    return reduce(lambda a, b: a & b, (F.abs(here[k] - there[k]) <= half_m for k in "xyz"))
+
+
 def in_folder(df: DataFrame, folder: str) -> DataFrame:
     """Direct children of folders whose path ends with ``folder``, by base name."""
     f = folder.strip("/")

@@ -165,3 +165,20 @@ def inventory_stable(first: DataFrame, second: DataFrame) -> DataFrame:
     return one.withColumn("stable", F.expr("first_repeats = 0 AND second_repeats = 0 AND different = 0"))
 
 
+
+
+def stack_plan(pairs: DataFrame, assets: DataFrame) -> DataFrame:
+    """The outcome of each candidate pair: PLANNED, or the first reason against a stack.
+
+    ``assets`` has id, scope, stack_id, is_trashed, is_offline and second.
+    """
+    side = {n: assets.select(*(F.col(c).alias(f"{n}_{c}") for c in assets.columns)) for n in ("jpg", "raw")}
+    rows = pairs.join(side["jpg"], F.col("jpg") == F.col("jpg_id")).join(side["raw"], F.col("raw") == F.col("raw_id"))
+    outcome = (
+        F.when(~F.col("jpg_scope").eqNullSafe(F.col("raw_scope")), "SCOPE_MISMATCH")
+        .when(F.col("jpg_stack_id").isNotNull() | F.col("raw_stack_id").isNotNull(), "CURRENT_STACK_BLOCKER")
+        .when(F.col("jpg_is_trashed") | F.col("raw_is_trashed") | F.col("jpg_is_offline") | F.col("raw_is_offline"), "ASSET_NOT_HEALTHY")
+        .when(~F.col("jpg_second").eqNullSafe(F.col("raw_second")), "TIME_EVIDENCE_MISMATCH")
+        .otherwise("PLANNED")
+    )
+    return rows.select(*pairs.columns, outcome.alias("outcome"))

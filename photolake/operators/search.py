@@ -83,8 +83,8 @@ def keyset(df: DataFrame, cursor: int | None, size: int) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """A random sample of ``n`` rows by a seeded hash of the id, so that reruns agree."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    """A random sample of ``n`` rows by a seeded digest of the id, so that reruns agree."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id").limit(n)
 
 
 def suggestions(df: DataFrame, field: str) -> DataFrame:

@@ -188,5 +188,6 @@ def oracle(body: str) -> str:
     for name in re.findall(r"\b[a-z_]+\b", body):
         add(name)
     body = body.strip()
-    rest = ", " + body[4:].lstrip() if body[:5].upper() == "WITH " else "\n" + body
-    return ("WITH " + ",\n".join(f"{n} AS ({s}\n)" for n, s in found.items()) + rest) if found else body
+    loops = body.upper().startswith("WITH RECURSIVE ")
+    rest = ", " + body[len("WITH RECURSIVE") if loops else 4 :].lstrip() if body[:5].upper() == "WITH " else "\n" + body
+    return ("WITH " + "RECURSIVE " * loops + ",\n".join(f"{n} AS ({s}\n)" for n, s in found.items()) + rest) if found else body

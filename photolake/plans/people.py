@@ -67,7 +67,13 @@ def grp_resolve(c: Catalog) -> DataFrame:
     return found.select("duplicate_id", "status", "keeper", "is_favorite", "visibility", "rating", "description", "latitude", text.alias("albums"))
 
 
-@query("grp_duplicates")
+@query(
+    "grp_duplicates",
+    """WITH RECURSIVE live AS (SELECT id, owner_id, checksum, duplicate_id FROM asset WHERE deleted_at IS NULL), f AS (SELECT id, min(id) OVER (PARTITION BY owner_id, checksum) AS hub FROM live WHERE checksum IS NOT NULL), g AS (SELECT id, min(id) OVER (PARTITION BY duplicate_id) AS hub FROM live WHERE duplicate_id IS NOT NULL),
+e AS (SELECT id AS a, hub AS b FROM f WHERE id <> hub UNION SELECT hub, id FROM f WHERE id <> hub UNION SELECT id, hub FROM g UNION SELECT hub, id FROM g), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+c AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)
+SELECT id, coalesce((SELECT min(l.duplicate_id) FROM c x JOIN live l ON l.id = x.id WHERE x.component = c.component), component) AS duplicate_id FROM c""",
+)
 def grp_duplicates(c: Catalog) -> DataFrame:
     # candidate pairs: assets of one owner with the same checksum, each linked to the first
     rows = c.asset.where("checksum IS NOT NULL AND deleted_at IS NULL")
@@ -86,12 +92,14 @@ def grp_stacks(c: Catalog) -> DataFrame:
     return groups.merge_stacks(groups.with_stack_size(c.asset, c.stack), requests).select("request", "id", "primary_id")
 
 
-PAIRS = """o AS (SELECT id, owner_id, lower(regexp_replace(original_file_name, '\\.[^.]*$', '')) AS stem, CASE WHEN ends_with(original_file_name, '.jpg') THEN 'JPG' ELSE 'RAW' END AS role, CASE WHEN id % 7 <> 3 THEN CAST(local_date_time AS DATE) END AS second FROM asset WHERE ends_with(original_file_name, '.jpg') OR ends_with(original_file_name, '.raw')),
+PAIRS = """o AS (SELECT id, CAST(floor(id / 40) AS BIGINT) AS owner_id, lower(regexp_replace(original_file_name, '\\.[^.]*$', '')) AS stem, CASE WHEN ends_with(original_file_name, '.jpg') THEN 'JPG' ELSE 'RAW' END AS role, CASE WHEN id % 7 <> 3 THEN CAST(floor((id + 1) / 2) AS BIGINT) END AS second FROM asset WHERE ends_with(original_file_name, '.jpg') OR ends_with(original_file_name, '.raw')),
 g AS (SELECT owner_id, stem, second, count_if(role = 'JPG') AS j, count_if(role = 'RAW') AS r, min(CASE WHEN role = 'JPG' THEN id END) AS jpg, min(CASE WHEN role = 'RAW' THEN id END) AS raw FROM o GROUP BY ALL)"""
 
 
 def pair_input(c: Catalog) -> DataFrame:
-    return c.asset.select("id", "owner_id", F.col("original_file_name").alias("name"), F.when(F.col("id") % 7 != 3, F.col("local_date_time").cast("date")).alias("second"))
+    # two neighbours are taken in the same second, forty by the same owner; some have no verified time
+    k = F.col("id")
+    return c.asset.select("id", F.floor(k / 40).alias("owner_id"), F.col("original_file_name").alias("name"), F.when(k % 7 != 3, F.floor((k + 1) / 2)).alias("second"))
 
 
 @query(
@@ -208,7 +216,12 @@ def fn_cosine(c: Catalog) -> DataFrame:
     return vectors.nearest(c.vector.where("id = 0"), c.vector, 1 << 30).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query("grp_faces")
+@query(
+    "grp_faces",
+    """WITH RECURSIVE n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM vector a JOIN vector b ON a.owner_id = b.owner_id), near AS (SELECT * FROM n WHERE d <= 0.62), core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 3),
+e AS (SELECT id AS a, other AS b FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), named AS (SELECT a AS id, min(b) AS person FROM reach GROUP BY a)
+SELECT v.owner_id, v.id, (SELECT p.person FROM near x JOIN named p ON p.id = x.other WHERE x.id = v.id ORDER BY x.d, x.other LIMIT 1) AS person FROM vector v""",
+)
 def grp_faces(c: Catalog) -> DataFrame:
     return vectors.cluster_faces(c.vector, 0.62, 3, keys=("owner_id",))
 
@@ -241,7 +254,7 @@ def jn_memory_assets(c: Catalog) -> DataFrame:
     return found.select("memory_id", "n", F.array_join(F.transform("items.asset_id", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("agg_people_by_face")
+@query("agg_people_by_face", "SELECT p.id AS person_id, p.name, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM person p JOIN vector v ON v.id = p.id JOIN vector q ON q.id = 0")
 def agg_people_by_face(c: Catalog) -> DataFrame:
     near = vectors.nearest(c.vector.where("id = 0"), c.vector, 1 << 30).select(F.col("id").alias("person_id"), "distance")
     return timeline.first_of(near.join(c.person.withColumnRenamed("id", "person_id"), "person_id"), ["person_id"], F.col("distance")).select("person_id", "name", F.round("distance", 6).alias("distance"))

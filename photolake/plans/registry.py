@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("timeline", "search", "stats", "people", "reconcile", "sync"):
+    for name in ("timeline", "search", "stats", "people", "reconcile", "sync", "more"):
         import_module(f"photolake.plans.{name}")
 
 

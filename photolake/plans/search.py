@@ -198,17 +198,31 @@ def top_large(c: Catalog) -> DataFrame:
     return search.ordered(rows, "size").select("id", "file_size").limit(250)
 
 
-@query("top_random")
+@query("top_random", "SELECT id, owner_id FROM asset WHERE deleted_at IS NULL AND visibility IN ('archive', 'timeline') ORDER BY md5('7:' || id), id LIMIT 250")
 def top_random(c: Catalog) -> DataFrame:
     return search.sample(timeline.timeline_assets(c.asset), 250).select("id", "owner_id")
 
 
-@query("top_places")
+def trigrams_sql(text: str) -> str:
+    """Distinct trigrams of a text's words in DuckDB."""
+    words = f"list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def words_sql(table: str, needle: str, columns: list[str], limit: int) -> str:
+    """The SQL of ``search.by_words``."""
+    near = [f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(len(list_intersect(n.g, {trigrams_sql(f'strip_accents({c})')})) AS DOUBLE) / len(n.g) END AS s{i}" for i, c in enumerate(columns)]
+    hit = " OR ".join(f"coalesce(s{i} >= 0.5, false)" for i in range(len(columns)))
+    distance = " + ".join(f"coalesce(1 - s{i}, 0.1)" for i in range(len(columns)))
+    return f"WITH n AS (SELECT {trigrams_sql(repr(needle))} AS g), d AS (SELECT id, name, {', '.join(near)} FROM {table}, n) SELECT id, name, round({distance}, 6) AS distance FROM d WHERE {hit} ORDER BY distance, id LIMIT {limit}"
+
+
+@query("top_places", words_sql("place", "old town 42", ["name", "admin1_name", "alternate_names"], 20))
 def top_places(c: Catalog) -> DataFrame:
     return search.by_words(c.place, "old town 42", ["name", "admin1_name", "alternate_names"]).select("id", "name", "distance")
 
 
-@query("top_person_name")
+@query("top_person_name", words_sql("person", "jorg 2", ["name"], 100))
 def top_person_name(c: Catalog) -> DataFrame:
     return search.by_words(c.person, "jorg 2", ["name"], limit=100).select("id", "name", "distance")
 

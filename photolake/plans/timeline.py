@@ -105,7 +105,13 @@ def win_template(c: Catalog) -> DataFrame:
     return timeline.storage_paths(c.asset, "{{y}}/{{y}}-{{MM}}-{{dd}}/{{filename}}")
 
 
-@query("win_archives")
+@query(
+    "win_archives",
+    """WITH RECURSIVE o AS (SELECT owner_id, id, file_size, row_number() OVER (PARTITION BY owner_id ORDER BY id) AS n FROM asset JOIN exif ON asset_id = id),
+r AS (SELECT owner_id, id, n, file_size AS used, CAST(0 AS BIGINT) AS archive FROM o WHERE n = 1
+UNION ALL SELECT o.owner_id, o.id, o.n, CASE WHEN r.used > 100000000 THEN o.file_size ELSE r.used + o.file_size END, CASE WHEN r.used > 100000000 THEN r.archive + 1 ELSE r.archive END FROM r JOIN o ON o.owner_id = r.owner_id AND o.n = r.n + 1)
+SELECT owner_id, id, archive FROM r""",
+)
 def win_archives(c: Catalog) -> DataFrame:
     return timeline.split_archives(c.asset.join(c.exif.select(F.col("asset_id").alias("id"), "file_size"), "id"), 100_000_000)
 
