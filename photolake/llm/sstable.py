@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import bisect
 import io
-import re
+import math
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photolake.llm.common import slices, texts
+from photolake.llm.common import WordHash, raw, slices, texts
 from photolake.session import shared_dir, stored, table
 
 MAGIC = b"PLSST001"
@@ -184,21 +183,22 @@ class ShardReader:
 
 # --- tokens -----------------------------------------------------------------------------
 
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_RUN = re.compile(f"[{_SPACE}] ")
-_LED = re.compile(f" [^{_SPACE}]")
+#: UTF-8 of the white space that has more than one byte, as the tokenizer's pattern knows it.
+_WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_START = sorted({w if len(w) == 2 else w[:2] for w in _WIDE_SPACE})
+_HEAD = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 class PieceEncoder:
     """Byte-level BPE of whole texts by the ids of their pieces.
 
-    The tokenizer's own pattern always splits where white space follows other
-    characters, so a piece (white space and what follows up to the next) has the same
-    ids in any text. Pieces met before come from a table of at most ``most`` of them.
+    The tokenizer's own pattern always splits where a space follows what is no white
+    space, so a piece (from such a space to the next) has the same ids in any text.
+    Pieces met before come from a table of at most about ``most`` of them, by a 64-bit
+    hash and their first eight bytes; both are worked out for all pieces at once.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -207,65 +207,109 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.most, self.bits = most, max(4, math.ceil(math.log2(2 * most)) + 1)
+        self.hash = WordHash()
+        self.n = 0
         self.flat = np.zeros(1 << 16, dtype=f"<u{self.width}")
         self.ends = np.zeros(1 << 14, dtype=np.int64)
-
-    def _encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces of all keys, and how many each has."""
-        if keys[0][:2] == "  ":
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([k[2:] for k in keys], add_special_tokens=False)]
-            return np.fromiter((i for x in lists for i in x), np.int64), np.fromiter(map(len, lists), np.int64)
-        # many pieces are encoded as one text: each begins with its one space, so with the only ids that do
-        rows = [" " + " ".join(keys[i : i + 256]) for i in range(0, len(keys), 256)]
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
-        return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
-
-    def _learn(self, keys: list[str]) -> None:
-        n, used = len(self.known), int(self.ends[len(self.known) - 1]) if self.known else 0
-        ids, sizes = self._encode(keys)
+        self.hashes, self.heads = (np.zeros(1 << 14, dtype=np.uint64) for _ in range(2))
+        self._rebuild(0)
+
+    def _rebuild(self, keep: int) -> None:
+        """Forgets all but the first pieces, which are the most common."""
+        self.n = keep
+        self.slots, self.entries = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+        self._insert(self.hashes[:keep], np.arange(keep))
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Puts entries under distinct hashes; one that is there already is replaced."""
+        slot, wait, mask = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h)), (1 << self.bits) - 1
+        while len(wait):
+            at = slot[wait]
+            found = self.slots[at]
+            free = (found == 0) | (found == h[wait])
+            self.slots[at[free]] = h[wait[free]]
+            done = free & (self.slots[at] == h[wait])
+            self.entries[at[done]] = entry[wait[done]]
+            wait = wait[~done]
+            slot[wait] = (slot[wait] + 1) & mask
+
+    def _find(self, h: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Entries by hash and first bytes, -1 where there is none."""
+        slot, wait, mask = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h)), (1 << self.bits) - 1
+        out = np.full(len(h), -1, dtype=np.int64)
+        while len(wait):
+            at = slot[wait]
+            found = self.slots[at]
+            hit = found == h[wait]
+            out[wait[hit]] = self.entries[at[hit]]
+            on = ~hit & (found != 0)
+            wait = wait[on]
+            slot[wait] = (at[on] + 1) & mask
+        hit = np.flatnonzero(out >= 0)
+        out[hit[self.heads[out[hit]] != head[hit]]] = -1
+        return out
+
+    def _encode(self, pieces: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has; ``simple`` ones have one space, in front."""
+        # simple pieces are encoded as one text: each begins with the only id that has a space
+        rows = [b"".join(pieces[i : i + 256]).decode() for i in range(0, len(pieces), 256)] if simple else [p.decode() for p in pieces]
+        lists = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.concatenate(lists)
+        return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))) if simple else np.fromiter(map(len, lists), np.int64)
+
+    def _learn(self, pieces: list[bytes], simple: bool, h: np.ndarray, head: np.ndarray) -> None:
+        ids, sizes = self._encode(pieces, simple)
+        n, used = self.n, int(self.ends[self.n - 1]) if self.n else 0
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(keys) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while n + len(pieces) > len(self.ends):
+            self.ends, self.hashes, self.heads = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.hashes, self.heads))
+        new = slice(n, n + len(pieces))
         self.flat[used : used + len(ids)] = ids
-        self.ends[n : n + len(keys)] = used + np.cumsum(sizes)
-        self.known.update(zip(keys, range(n, n + len(keys))))
-
-    def __call__(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, and where each begins (one more at the end)."""
-        # a key is a piece without its one leading space; other pieces have a space put in front twice
-        keys, n = [], np.zeros(len(documents), dtype=np.int64)
-        for i, text in enumerate(documents):
-            if not text:
-                continue
-            if text[0] == " " or _RUN.search(text):
-                mine = [p[1:] if _LED.match(p) else "  " + p for p in _PIECE.findall(text)]
-            else:
-                mine = text.split(" ")
-                mine[0] = "  " + mine[0]
-            n[i] = len(mine)
-            keys += mine
-        if len(self.known) > self.most:
-            self._clear()
-        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        if len(missing := np.flatnonzero(at < 0)):
-            lost = [keys[i] for i in missing.tolist()]
-            for plain in (True, False):
-                if new := [k for k in dict.fromkeys(lost) if (k[:2] != "  ") == plain]:
-                    self._learn(new)
-            at[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
-        ends = self.ends[at]
+        self.ends[new], self.hashes[new], self.heads[new] = used + np.cumsum(sizes), h, head
+        self.n += len(pieces)
+        self._insert(h, np.arange(n, self.n))
+
+    def __call__(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all UTF-8 texts, and where each begins (one more at the end)."""
+        text = b"".join(documents)
+        lengths = np.fromiter(map(len, documents), np.int64, len(documents))
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        if not text:
+            return np.zeros(0, self.flat.dtype), starts
+        if self.n > self.most:
+            self._rebuild(self.most // 3)
+        octets = np.frombuffer(text, np.uint8)
+        space = octets == 32
+        white = space | ((octets >= 9) & (octets <= 13))
+        for wide in _WIDE_SPACE if any(w in text for w in _WIDE_START) else ():
+            at = text.find(wide)
+            while at >= 0:
+                white[at + len(wide) - 1] = True
+                at = text.find(wide, at + len(wide))
+        space[1:] &= ~white[:-1]
+        space[starts[:-1][lengths > 0]] = True
+        first = np.flatnonzero(space)
+        last = np.append(first[1:], len(octets))
+        h = np.maximum(self.hash(octets, first, last), np.uint64(1))
+        eight = np.ndarray(len(text), dtype="<u8", buffer=text + bytes(8), strides=(1,))
+        head = eight[first] & _HEAD[np.minimum(last - first, 8)]
+        at = self._find(h, head)
+        while len(missing := np.flatnonzero(at < 0)):
+            where = missing[np.sort(np.unique(h[missing], return_index=True)[1])]
+            spaces = np.concatenate([[0], np.cumsum(octets == 32)])
+            simple = (octets[first[where]] == 32) & (spaces[last[where]] - spaces[first[where]] == 1)
+            for kind in (True, False):
+                if len(mine := where[simple == kind]):
+                    self._learn([text[a:b] for a, b in zip(first[mine].tolist(), last[mine].tolist())], kind, h[mine], head[mine])
+            at[missing] = self._find(h[missing], head[missing])
         begins = np.where(at > 0, self.ends[at - 1], 0)
-        sizes = ends - begins
+        sizes = self.ends[at] - begins
         place = np.cumsum(sizes) - sizes
         ids = self.flat[np.arange(int(sizes.sum())) + np.repeat(begins - place, sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, upto[np.concatenate([[0], np.cumsum(n)])]
+        return ids, upto[np.searchsorted(first, starts)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -309,8 +353,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 f.write(data)
             return pa.RecordBatch.from_pylist([{"path": name, "first_key": first[0], "first_tie": first[1], "shard": shard, "docs": len(writer.keys), "ids": writer.ids, "bytes": len(data)}], schema=manifest)
 
-        for batch in slices(batches, "text", 1 << 20):
-            ids, starts = encoder(batch.column("text").to_pylist())
+        for batch in slices(batches, "text", 1 << 19):
+            ids, starts = encoder(raw(batch.column("text")))
             end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
             for i, (doc_id, tie) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist())):
                 key = sort_key(doc_id)

@@ -85,7 +85,7 @@ def test_pieces_give_the_tokenizers_ids():
     tokenizer, encoder = Tokenizer.from_file(path), sstable.PieceEncoder(path, most=10)
     tokenizer.encode_special_tokens = True
     for _ in range(2):
-        ids, starts = encoder(ODD)
+        ids, starts = encoder([t.encode() for t in ODD])
         assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
