@@ -18,7 +18,11 @@ SAMPLE = 3000
 
 
 def features(strings: list[str], word_hash: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and character n-grams (3 and 4, within words and their edges), and where each text's begin."""
+    """Buckets of all words and character n-grams (3 and 4, within words and their edges), and where each text's begin.
+
+    Each word has a second bucket by how far back the text has the same word (in powers
+    of two, or not at all), so that repetition can be learned whatever is repeated.
+    """
     points, starts = code_points(strings)
     white = (points == 32) | ((points >= 9) & (points <= 13))
     solid = ~white
@@ -26,7 +30,8 @@ def features(strings: list[str], word_hash: WordHash) -> tuple[np.ndarray, np.nd
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     shift = np.uint32(32 - BITS)
     mix = np.uint32(0x9E3779B1)
-    words = (word_hash(points, first, last) >> np.uint64(64 - BITS)).astype(np.uint32)
+    hashes = word_hash(points, first, last)
+    words = (hashes >> np.uint64(64 - BITS)).astype(np.uint32)
     flat = np.concatenate([[32], np.where(white, np.uint32(32), points), [32, 32]]).astype(np.uint32)
     full = np.concatenate([solid, [False, False]])
     a, b, c, d = (flat[k : k + len(points)] * np.uint32(m) for k, m in enumerate((0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)))
@@ -38,6 +43,13 @@ def features(strings: list[str], word_hash: WordHash) -> tuple[np.ndarray, np.nd
     per_char = keep.sum(axis=1)
     owner = np.searchsorted(starts, first, side="right") - 1
     n_words = np.bincount(owner, minlength=len(strings))[: len(strings)] if len(strings) else np.zeros(0, int)
+    key = hashes + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1
+    back = np.zeros(len(words), dtype=np.uint32)
+    back[order[again]] = 1 + np.log2(order[again] - order[again - 1]).astype(np.uint32)
+    words = np.stack([words, (back + np.uint32(7)) * mix >> shift], axis=1).ravel()
+    n_words = 2 * n_words
     gram_starts = np.concatenate([[0], np.cumsum(span_sums(per_char, starts))])
     word_starts = np.concatenate([[0], np.cumsum(n_words)])
     # the words of a text stand before its n-grams
