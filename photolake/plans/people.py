@@ -156,14 +156,14 @@ def grp_people_merge(c: Catalog) -> DataFrame:
     return rows.groupBy(F.col("primary_id").alias("id")).agg(*first, F.count("*").alias("merged")).select("id", F.coalesce("name", F.lit("")).alias("name"), "birth_date", "merged")
 
 
-GEO = 400_000
+GEO = 25_000
 
 
 @query(
     "jn_geocode",
     """WITH p AS (SELECT asset_id AS id, 6378168.0 * cos(radians(latitude)) * cos(radians(longitude)) AS x, 6378168.0 * cos(radians(latitude)) * sin(radians(longitude)) AS y, 6378168.0 * sin(radians(latitude)) AS z FROM exif WHERE latitude IS NOT NULL),
 q AS (SELECT id AS place_id, name, admin1_name, country_code, 6378168.0 * cos(radians(latitude)) * cos(radians(longitude)) AS x, 6378168.0 * cos(radians(latitude)) * sin(radians(longitude)) AS y, 6378168.0 * sin(radians(latitude)) AS z FROM place),
-h AS (SELECT 2 * 6378168.0 * sin(400000 / (2 * 6378168.0)) AS h)
+h AS (SELECT 2 * 6378168.0 * sin(25000 / (2 * 6378168.0)) AS h)
 SELECT id, place_id, name AS city, admin1_name AS state, country_code AS country FROM p, q, h WHERE abs(p.x - q.x) <= h AND abs(p.y - q.y) <= h AND abs(p.z - q.z) <= h
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)), place_id) = 1""",
 )
