@@ -133,7 +133,7 @@ def grp_stack_state(c: Catalog) -> DataFrame:
     return groups.classify_stacks(pairs, groups.with_stack_size(c.asset, c.stack))
 
 
-@query("grp_two_pass", "SELECT (SELECT count(*) FROM asset) AS first, 0 AS first_repeats, (SELECT count(*) FROM asset WHERE id % 500 <> 7) AS second, 0 AS second_repeats, (SELECT count(*) FROM asset WHERE id % 500 = 7) AS different, false AS stable")
+@query("grp_two_pass", "SELECT (SELECT count(*) FROM asset) AS first, CAST(0 AS BIGINT) AS first_repeats, (SELECT count(*) FROM asset WHERE id % 500 <> 7) AS second, CAST(0 AS BIGINT) AS second_repeats, (SELECT count(*) FROM asset WHERE id % 500 = 7) AS different, false AS stable")
 def grp_two_pass(c: Catalog) -> DataFrame:
     return groups.inventory_stable(c.asset.select("id"), c.asset.where("id % 500 <> 7").select("id"))
 
