@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import io
 import math
+import os
 import struct
 import uuid
 import zlib
@@ -198,7 +199,9 @@ class PieceEncoder:
     hash and their first eight bytes; both are worked out for all pieces at once.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
+        # threads of their own would each keep memory beside the task's
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -353,7 +356,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 f.write(data)
             return pa.RecordBatch.from_pylist([{"path": name, "first_key": first[0], "first_tie": first[1], "shard": shard, "docs": len(writer.keys), "ids": writer.ids, "bytes": len(data)}], schema=manifest)
 
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 18):
             ids, starts = encoder(raw(batch.column("text")))
             end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
             for i, (doc_id, tie) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist())):
