@@ -73,12 +73,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Null texts have size 0; a null source is a source of its own, ranked last.
 
     A source's running sums come from sums of hash buckets, so a hot source is worked
-    on in about ``source_rows / 500`` groups. Only sizes and hashes are shuffled.
+    on in groups of about 100 rows. Only sizes and hashes are shuffled.
     """
     sized = stored(docs.select("doc_id", "source", size().alias("size"), order_key().alias("key")), "mix-sizes")
     sources = cut(targets(sized, weights, share, passes))
     rows, words = sources.agg(F.max("source_rows"), F.sum("source_size")).first()
-    buckets = min(1 << 20, 1 << max(0, math.ceil(math.log2(max(1, (rows or 0) / 500)))))
+    buckets = min(1 << 20, 1 << max(0, math.ceil(math.log2(max(1, (rows or 0) / 100)))))
     bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     placed = sized.withColumn("bucket", bucket).join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
