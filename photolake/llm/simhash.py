@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: exact Hamming pairs through a vantage-point tree."""
+"""SimHash near-duplicates through a vantage-point tree; for the pipeline, near copies by exact shingle overlap."""
 
 from __future__ import annotations
 
@@ -82,19 +82,27 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def simhash(documents: list[bytes], size: int = 3) -> np.ndarray:
-    """Fingerprints of UTF-8 texts from their ``size``-word shingles, repeats included."""
+def shingles(documents: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``size``-word shingles of UTF-8 texts, repeats included, and where each text's begin.
+
+    A text of fewer words has one shingle of them all, a blank one none.
+    """
     split = [d.lower().split() for d in documents]
     words = [w for ws in split for w in ws]
     n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    shingles = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
-    first = np.concatenate([[0], np.cumsum(shingles)])
-    word = np.arange(first[-1]) - np.repeat(first[:-1], shingles) + np.repeat(np.cumsum(n) - n, shingles)
-    last = word + np.repeat(np.minimum(n, size), shingles) - 1
-    return majority(xxh64(b" ".join(words), starts[word], ends[last]), first)
+    counts = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    word = np.arange(first[-1]) - np.repeat(first[:-1], counts) + np.repeat(np.cumsum(n) - n, counts)
+    last = word + np.repeat(np.minimum(n, size), counts) - 1
+    return xxh64(b" ".join(words), starts[word], ends[last]), first
+
+
+def simhash(documents: list[bytes], size: int = 3) -> np.ndarray:
+    """Fingerprints of UTF-8 texts from their ``size``-word shingles, repeats included."""
+    return majority(*shingles(documents, size))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -249,15 +257,117 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- near copies by shingle overlap, for the pipeline ------------------------------------
+
+#: Texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 4/5 or more.
+WORDS, ALIKE, OF = 5, 4, 5
+#: MinHash bands and hashes in each. At 4/5 the chance that no band agrees is (1 - 0.8 ** 4) ** 25, under 2e-6.
+BANDS, DEPTH = 25, 4
+_RNG = np.random.default_rng(SEED)
+MULTIPLY, ADD = _RNG.integers(1, 1 << 63, BANDS * DEPTH, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
+
+
+def shingle_sets(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct ``WORDS``-word shingles in order, and where each text's begin."""
+    hashes, first = shingles(documents, WORDS)
+    owner = np.repeat(np.arange(len(documents)), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(documents) + 1))
+
+
+def band_keys(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of ``BANDS`` keys for each set that is not empty."""
+    at = starts[:-1][np.diff(starts) > 0]
+    keys = np.zeros((len(at), BANDS), dtype=np.uint64)
+    if len(at):
+        with np.errstate(over="ignore"):
+            for band in range(BANDS):
+                key = np.full(len(at), np.uint64(band + 1))
+                for k in range(band * DEPTH, (band + 1) * DEPTH):
+                    key = (key ^ np.minimum.reduceat(sets * MULTIPLY[k] + ADD[k], at)) * P1
+                    key ^= key >> np.uint64(29)
+                keys[:, band] = key
+    return keys
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tie, sig, keys)`` for each row: hashes of the text and of its shingle set, and its bands."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets, starts = shingle_sets(raw(batch.column("text")))
+            sig = np.fromiter((xxhash.xxh64_intdigest(sets[a:b].tobytes(), SEED) for a, b in zip(starts[:-1], starts[1:])), np.uint64, batch.num_rows)
+            ends = np.concatenate([[0], np.cumsum((np.diff(starts) > 0) * BANDS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets, starts).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "sig", "keys"])
+
+    rows = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, sig long, keys array<long>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(sig, set)`` for the texts whose hash is a ``tie`` of ``wanted`` ``(sig, tie)``."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets, starts = shingle_sets(raw(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["sig", "set"])
+
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    once = rows.join(wanted.select("tie"), "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
+    return once.join(wanted, "tie").select("sig", "text").mapInArrow(apply, "sig long, set array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those ``(src, dst)`` whose sets have the similarity, counted exactly."""
+    both = pairs.join(sets.select(F.col("sig").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("set").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared * OF >= ALIKE * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(group, last, doc_id, tie)``: for each group of near copies its row of the smallest ``doc_id`` (nulls last), then text hash.
+
+    Groups are the components of all pairs of texts that share a band and have the exact
+    similarity. Equal shingle sets are one. First each text of a band is compared with the
+    band's smallest; then only pairs of one band that are not joined yet are, so a large
+    group of copies costs no pairs of its members and no pair of a band is left out.
+    """
+    kinds = stored(sketches(docs).groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys")), "near")
+    banded = kinds.select("sig", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low")
+    members = stored(banded.join(shared, "key"), "near-bands")
+    wanted = kinds.join(members.select("sig").distinct(), "sig", "left_semi").select("sig", F.col("least.tie").alias("tie"))
+    sets = stored(sets_of(docs, wanted), "near-sets")
+    pairs = members.where("sig <> low").select(F.col("low").alias("src"), F.col("sig").alias("dst")).distinct()
+    edges = stored(alike(pairs, sets), "near-pairs")
+    groups = connected_components(edges)
+    size = sets.select(F.col("sig"), F.size("set").alias("n"))
+    labelled = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "low", F.coalesce("component", "sig").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rest = stored(labelled.join(apart, "key", "left_semi").join(size, "sig"), "near-rest")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "label", "n"))) for side in "ab")
+    open_pairs = a.join(b, "key").where(f"sig_a < sig_b AND label_a <> label_b AND n_a * {OF} >= n_b * {ALIKE} AND n_b * {OF} >= n_a * {ALIKE}")
+    # those with the band's smallest have been compared
+    open_pairs = open_pairs.select(F.col("sig_a").alias("src"), F.col("sig_b").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
+    more = stored(alike(open_pairs, sets), "near-pairs")
+    if not more.isEmpty():
+        groups = connected_components(edges.unionByName(more))
+    found = kinds.select("sig", "least").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
+    return found.groupBy(F.coalesce("component", "sig").alias("group")).agg(F.min("least").alias("least")).select("group", "least.*")
+
+
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that of the smallest ``doc_id`` (nulls last), then text hash."""
+    """One row of each group of near copies: that of the smallest ``doc_id`` (nulls last), then text hash."""
     columns = docs.columns
     key = fresh("near_key", columns)
 
     def named(doc_id: str, tie) -> Column:
         return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), tie.cast("string"))
 
-    first = near_duplicates(docs).groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"))
-    keep = first.select(named("least.doc_id", F.col("least.tie")).alias(key))
+    keep = near_copies(docs).select(named("doc_id", F.col("tie")).alias(key))
     rows = docs.withColumn(key, named("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
     return rows.join(keep, key, "left_semi").dropDuplicates([key]).select(*columns)
