@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from photolake.llm.common import code_points, letters, slices, texts
 from photolake.session import table
 
-Q = 10
+#: q-grams of most items, and the smaller ones of short items, so that the whole budget of edits leaves some.
+Q, SHORT = 10, (8, 6)
 #: A region is a match if an item, or this many characters of it, agree but for this share of edits.
 REGION, EDITS = 80, 0.08
 #: Characters of benchmark items that are indexed and broadcast at once; more are done in several passes.
@@ -37,18 +38,20 @@ def normal(strings: list[str], alnum: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(good, points, np.uint32(32))[place], place, np.searchsorted(place, starts)
 
 
-def qgrams(chars: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all runs of Q = 10 characters."""
-    if len(chars) < Q:
+def qgrams(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """64-bit hashes of all runs of q = 6, 8 or 10 characters."""
+    if len(chars) < q:
         return np.zeros(0, np.uint64)
     b = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         one = chars.astype(np.uint64) + np.uint64(1)
         two = one[:-1] * b + one[1:]
-        four = two[:-2] * (b * b) + two[2:]
-        eight = four[:-4] * (b * b * b * b) + four[4:]
-        ten = eight[:-2] * (b * b) + two[8:]
-        return (ten ^ (ten >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        grams = two[:-2] * (b * b) + two[2:]
+        if q >= 8:
+            grams = grams[:-4] * (b * b * b * b) + grams[4:]
+        if q != 8:
+            grams = grams[:-2] * (b * b) + two[q - 2 :]
+        return (grams ^ (grams >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -64,15 +67,31 @@ class Index:
     budget: np.ndarray
     least: np.ndarray
     seen: np.ndarray
+    q: int = Q
 
 
-def build_index(ids: list, items: list[str]) -> Index:
+def size_of(n: int) -> int:
+    """The q for an item of n normalised characters: the largest that leaves three q-grams after all edits, else the smallest."""
+    region, budget = min(n, REGION), int(min(n, REGION) * EDITS)
+    return next((q for q in (Q, *SHORT) if not budget or region + 1 - q * (budget + 1) >= 3), SHORT[-1])
+
+
+def build_indexes(ids: list, items: list[str]) -> list[Index]:
+    """One index for each q that the items need."""
+    starts = normal(items, _alnum())[2]
+    by_q: dict[int, list[int]] = {}
+    for i, n in enumerate(np.maximum(np.diff(starts) - 1, 0).tolist()):
+        by_q.setdefault(size_of(n), []).append(i)
+    return [build_index([ids[i] for i in mine], [items[i] for i in mine], q) for q, mine in sorted(by_q.items())]
+
+
+def build_index(ids: list, items: list[str], q: int = Q) -> Index:
     """Postings of all q-grams of the items and each item's region length, edit budget and least shared q-grams."""
     chars, _, starts = normal(items, _alnum())
     # without the space that ends each item
     ends = starts[1:] - (np.diff(starts) > 0)
-    all_grams = qgrams(chars)
-    n = np.maximum(ends - starts[:-1] - Q + 1, 0)
+    all_grams = qgrams(chars, q)
+    n = np.maximum(ends - starts[:-1] - q + 1, 0)
     item = np.repeat(np.arange(len(items)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     grams = all_grams[np.repeat(starts[:-1], n) + offset] if n.sum() else np.zeros(0, np.uint64)
@@ -81,13 +100,10 @@ def build_index(ids: list, items: list[str]) -> Index:
     region = np.minimum(ends - starts[:-1], REGION)
     budget = np.floor(region * EDITS).astype(np.int64)
     # q-gram lemma: n characters with k edits keep n + 1 - q (k + 1) q-grams
-    least = region + 1 - Q * (budget + 1)
-    while (low := (least < 3) & (budget > 0)).any():
-        budget[low] -= 1
-        least = region + 1 - Q * (budget + 1)
+    least = region + 1 - q * (budget + 1)
     seen = np.zeros(1 << 22, dtype=bool)
     seen[(unique >> np.uint64(42)).astype(np.int64)] = True
-    return Index(ids, np.append(chars, np.uint32(32)), np.append(starts[:-1], ends[-1:] if len(items) else [0]), unique, np.append(first, len(grams)), item[order], offset[order], region, budget, np.maximum(least, 1), seen)
+    return Index(ids, np.append(chars, np.uint32(32)), np.append(starts[:-1], ends[-1:] if len(items) else [0]), unique, np.append(first, len(grams)), item[order], offset[order], region, budget, np.maximum(least, 1), seen, q)
 
 
 def edits(item: np.ndarray, text: np.ndarray, width: int, budget: int) -> tuple[int, int]:
@@ -114,8 +130,12 @@ def edits(item: np.ndarray, text: np.ndarray, width: int, budget: int) -> tuple[
 
 def matches(strings: list[str], index: Index, alnum: np.ndarray, most_hits: int = 1 << 21) -> list[tuple[int, int, int, int, int, int]]:
     """``(text, item, start, end, characters, edits)`` of every region of the texts that holds an item's region."""
-    chars, place, starts = normal(strings, alnum)
-    grams = qgrams(chars)
+    return search(*normal(strings, alnum), index, most_hits)
+
+
+def search(chars: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Index, most_hits: int = 1 << 21) -> list[tuple[int, int, int, int, int, int]]:
+    """As ``matches``, of normalised texts."""
+    grams = qgrams(chars, index.q)
     if not len(grams) or not len(index.grams):
         return []
     maybe = np.flatnonzero(index.seen[(grams >> np.uint64(42)).astype(np.int64)])
@@ -123,10 +143,10 @@ def matches(strings: list[str], index: Index, alnum: np.ndarray, most_hits: int
     real = index.grams[slot] == grams[maybe]
     maybe, slot = maybe[real], slot[real]
     owner = np.searchsorted(starts, maybe, side="right") - 1
-    whole = maybe + Q <= starts[np.minimum(owner + 1, len(starts) - 1)]
+    whole = maybe + index.q <= starts[np.minimum(owner + 1, len(starts) - 1)]
     maybe, slot = maybe[whole], slot[whole]
     # a region with enough hits of one item on one band has as many places with any hit
-    need, span = int(index.least[index.region >= Q].min()) - 1, REGION + int(index.budget.max()) + 1
+    need, span = int(index.least[index.region >= index.q].min()) - 1, REGION + int(index.budget.max()) + 1
     if len(maybe) > need:
         dense = np.flatnonzero(maybe[need:] - maybe[: len(maybe) - need] <= span)
         edge = np.zeros(len(maybe) + 1, dtype=np.int64)
@@ -155,8 +175,8 @@ def matches(strings: list[str], index: Index, alnum: np.ndarray, most_hits: int
     return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
-def _candidates(pos: np.ndarray, slot: np.ndarray, per: np.ndarray, index: Index, width: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Stretches of a diagonal band with enough hits: ``(item, first, last, first offset, last offset)``."""
+def _candidates(pos: np.ndarray, slot: np.ndarray, per: np.ndarray, index: Index, width: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Stretches of a diagonal band with enough hits: ``(item, first, lowest diagonal, first offset, offsets)``; a diagonal is place less offset."""
     n = int(per.sum())
     at = np.arange(n) - np.repeat(np.cumsum(per) - per, per) + np.repeat(index.first[slot], per)
     hit, item, offset = np.repeat(pos, per), index.items[at], index.offsets[at]
@@ -169,7 +189,7 @@ def _candidates(pos: np.ndarray, slot: np.ndarray, per: np.ndarray, index: Index
         other = np.arange(n) + step
         ok = other < n
         ends = np.where(ok, other, 0)
-        ok &= (i[ends] == i) & (d[ends] == d) & (h[ends] - h <= index.region[i] + width - Q)
+        ok &= (i[ends] == i) & (d[ends] == d) & (h[ends] - h <= index.region[i] + width - index.q)
         starts_at = np.flatnonzero(ok)
         if not len(starts_at):
             continue
@@ -179,43 +199,77 @@ def _candidates(pos: np.ndarray, slot: np.ndarray, per: np.ndarray, index: Index
         groups = np.flatnonzero(new)
         for x, y in zip(groups, [*(groups[1:] - 1), len(starts_at) - 1]):
             p, q = starts_at[x], stops[y]
-            yield int(i[p]), int(h[p]), int(h[q]), int(o[p : q + 1].min()), int(o[p : q + 1].max())
+            yield int(i[p]), int(h[p]), int(d[p]) * 2 * width - shift - len(index.chars), int(o[p : q + 1].min()), np.unique(o[p : q + 1])
 
 
-def _verify(cand: tuple[int, int, int, int, int], chars: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Index, width: int, found: dict) -> None:
-    item, first, last, low, high = cand
+def _windows(item: np.ndarray, at: np.ndarray, need: int, chars: np.ndarray, begin: int, end: int, lowest: int, width: int) -> np.ndarray:
+    """Fewest edits of each ``item[x : x + need]``, x in ``at``, to a part of the text on the band above diagonal ``lowest``; all at once."""
+    steps = np.arange(2 * width + 1)
+    place = at[:, None] + lowest + steps
+    rows = np.zeros(place.shape, dtype=np.int64)
+    for i in range(need):
+        here = place + i
+        text = np.where((here >= begin) & (here < end), chars[np.clip(here, begin, end - 1)].astype(np.int64), -1)
+        new = rows + (text != item[at + i, None])
+        new[:, :-1] = np.minimum(new[:, :-1], rows[:, 1:] + 1)
+        rows = np.minimum.accumulate(new - steps, axis=1) + steps
+    return rows.min(axis=1)
+
+
+def _verify(cand: tuple[int, int, int, int, np.ndarray], chars: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Index, width: int, found: dict) -> None:
+    item, first, lowest, low, offsets = cand
+    high, q = int(offsets[-1]), index.q
     text = int(np.searchsorted(starts, first, side="right") - 1)
-    if (text, item) in found and found[text, item][2] >= high + Q - low and not found[text, item][3]:
+    if (text, item) in found and found[text, item][2] >= high + q - low and not found[text, item][3]:
         return
     begin, end = int(starts[text]), int(starts[text + 1])
     whole = index.chars[index.starts[item] : index.starts[item + 1]]
     whole = whole[:-1] if len(whole) and whole[-1] == 32 else whole
     need = int(index.region[item])
-    a, b = low, min(high + Q, len(whole))
+
+    def holds(x: int, y: int, lead: int, wide: int) -> bool:
+        """Whether the text has the item's x to y on the diagonals from ``lead``; notes the place."""
+        left = max(begin, lead)
+        budget = max(int((y - x) * EDITS), int(index.budget[item])) if y - x > need else int(index.budget[item])
+        # before the text's start stand characters that match nothing, so the passage is in the band's middle
+        region = np.concatenate([np.full(left - lead, -1), chars[left : min(end, lead + y - x + 3 * wide)].astype(np.int64)])
+        cost, stop = edits(whole[x:y], region, wide, budget)
+        if cost > budget:
+            return False
+        key, origin = (text, item), int(place[starts[text]])
+        new = (int(place[left] - origin), int(place[max(left, min(lead + stop, end) - 1)] - origin + 1), y - x, cost)
+        if key not in found or (new[2], -new[3]) > (found[key][2], -found[key][3]):
+            found[key] = new
+        return True
+
+    a, b = low, min(high + q, len(whole))
     if b - a < need:
         spare = need - (b - a)
         a = max(0, min(a - spare // 2, len(whole) - need))
         b = a + need
     # the hits' extent, and the region around its middle: one wide stretch may hold more than the passage
-    middle = max(0, min((low + high + Q - need) // 2, len(whole) - need))
+    middle = max(0, min((low + high + q - need) // 2, len(whole) - need))
     for x, y in dict.fromkeys(((a, b), (middle, middle + need))):
-        lead = first - low + x - width
-        left = max(begin, lead)
-        budget = max(int((y - x) * EDITS), int(index.budget[item])) if y - x > need else int(index.budget[item])
-        # before the text's start stand characters that match nothing, so the passage is in the band's middle
-        region = np.concatenate([np.full(left - lead, -1), chars[left : min(end, first - low + y + 2 * width)].astype(np.int64)])
-        cost, stop = edits(whole[x:y], region, width, budget)
-        if cost <= budget:
-            key = (text, item)
-            origin = int(place[starts[text]])
-            new = (int(place[left] - origin), int(place[max(left, min(lead + stop, end) - 1)] - origin + 1), y - x, cost)
-            if key not in found or (new[2], -new[3]) > (found[key][2], -found[key][3]):
-                found[key] = new
+        if holds(x, y, first - low + x - width, width):
             return
-
-
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark's indexes, one for each ``INDEX_CHARS`` characters (rounded up) of its items.
+    # every region that keeps enough of its q-grams
+    kept = np.zeros(len(whole) + 1, dtype=np.int64)
+    kept[offsets + 1] = 1
+    kept = np.cumsum(kept)
+    at = np.arange(max(0, low + q - need), min(high, len(whole) - need) + 1)
+    at = at[kept[at + need - q + 1] - kept[at] >= index.least[item]]
+    for part in np.split(at, range(4096, len(at), 4096)):
+        good = part[_windows(whole, part, need, chars, begin, end, lowest, width) <= index.budget[item]] if len(part) else part
+        # regions next to each other are one passage, if that holds as a whole
+        for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
+            if len(run) and not holds(int(run[0]), int(run[-1]) + need, int(run[0]) + lowest, width):
+                for x in run.tolist():
+                    if holds(x, x + need, x + lowest, width):
+                        break
+
+
+def indexes(benchmark: DataFrame) -> list[list[Index]]:
+    """The benchmark's indexes by q, for each ``INDEX_CHARS`` characters (rounded up) of its items.
 
     Each has a proven size: items are dealt out by a hash into as many groups as their
     characters need, and a group is brought to the driver and broadcast by itself. Items
@@ -228,7 +282,7 @@ def indexes(benchmark: DataFrame) -> list[Index]:
     out = []
     for g in range(groups):
         rows = dealt.where(F.col("group") == g).orderBy("item_id").collect()
-        out.append(build_index([r.item_id for r in rows], [r.text for r in rows]))
+        out.append(build_indexes([r.item_id for r in rows], [r.text for r in rows]))
     return out
 
 
@@ -250,11 +304,14 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             alnum = _alnum()
             for batch in slices(batches, "text", 1 << 20):
-                got = matches(batch.column("text").to_pylist(), shared.value, alnum)
-                if got:
+                text = normal(batch.column("text").to_pylist(), alnum)
+                for index in shared.value:
+                    got = search(*text, index)
+                    if not got:
+                        continue
                     at = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(at), pa.array([shared.value.ids[g[1]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4, 5))],
+                        [batch.column("doc_id").take(at), pa.array([index.ids[g[1]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4, 5))],
                         names=["doc_id", "item_id", "start", "end", "n_chars", "edits"],
                     )
 
@@ -273,7 +330,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             alnum = _alnum()
             for batch in slices(batches, "text", 1 << 20):
-                hit = {g[0] for g in matches([x or "" for x in batch.column("text").to_pylist()], shared.value, alnum)}
+                text = normal([x or "" for x in batch.column("text").to_pylist()], alnum)
+                hit = {g[0] for index in shared.value for g in search(*text, index)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)])) if hit else batch
 
         docs = docs.mapInArrow(apply, docs.schema)
