@@ -82,30 +82,62 @@ def neighbours(vectors: DataFrame, max_distance: float, k: int | None = None, ke
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``(query, id, rank)``: the ``k`` vectors closest to each query by cosine distance, then id.
+def _top(ids: np.ndarray, q: np.ndarray, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("id")
+    d = 1 - q @ _unit(pdf["embedding"]).T
+    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "id": pdf["id"].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, axis=1).ravel()})
 
-    At most 1,000 queries, which travel with the tasks; every batch keeps its own best k
-    before anything is shuffled.
-    """
-    asked = queries.select("id", "embedding").orderBy("id").limit(1001).toPandas()
-    if len(asked) > 1000:
-        raise ValueError("at most 1,000 queries at once")
-    shared = queries.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), _unit(asked["embedding"]) if len(asked) else None))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for pdf in batches:
-            if len(pdf) and len(ids):
-                d = 1 - q @ _unit(pdf["embedding"]).T
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "id": pdf["id"].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, axis=1).ravel()})
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = 1000, block: int = 16384) -> DataFrame:
+    """``(query, id, distance, rank)``: the ``k`` vectors closest to each query by cosine distance, then id.
 
-    found = vectors.select("id", "embedding").mapInPandas(best, "query long, id long, distance double")
+    Up to ``most`` queries travel with the tasks, and every batch keeps its own best k
+    before anything is shuffled. More are dealt by a hash into blocks of about that
+    size; each meets every block of about ``block`` vectors in a group of its own.
+    """
+    asked, rows = queries.select("id", "embedding"), vectors.select("id", "embedding")
+    few = asked.orderBy("id").limit(most + 1).toPandas()
+    schema = "query long, id long, distance double"
+    if len(few) <= most:
+        shared = queries.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), _unit(few["embedding"]) if len(few) else None))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    yield _top(ids, q, pdf, k)
+
+        found = rows.mapInPandas(best, schema)
+    else:
+        asks, parts = -(-asked.count() // most), max(1, -(-rows.count() // block))
+        left = asked.withColumn("ask", F.pmod(F.xxhash64("id"), F.lit(asks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+        right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1)).cast("array<bigint>")))
+
+        def meet(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            if not len(one) or not len(other):
+                return pd.DataFrame({"query": [], "id": [], "distance": []})
+            return _top(one["id"].to_numpy(), _unit(one["embedding"]), other, k)
+
+        found = left.groupBy("ask", "part").cogroup(right.groupBy("ask", "part")).applyInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def distances(query: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(id, distance)``: every vector's cosine distance to the one ``query``; nothing is shuffled."""
+    q = query.select("embedding").toPandas()
+    shared = query.sparkSession.sparkContext.broadcast(_unit(q["embedding"]) if len(q) else None)
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and shared.value is not None:
+                d = 1 - shared.value @ _unit(pdf["embedding"]).T
+                yield pd.DataFrame({"id": np.tile(pdf["id"].to_numpy(), len(d)), "distance": d.ravel()})
+
+    return vectors.select("id", "embedding").mapInPandas(apply, "id long, distance double")
+
+
 def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(*keys, id, person)``: faces joined to people by density.
 

@@ -213,7 +213,7 @@ def jn_knn_face(c: Catalog) -> DataFrame:
 
 @query("fn_cosine", "SELECT a.id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM vector a JOIN vector b ON b.id = 0")
 def fn_cosine(c: Catalog) -> DataFrame:
-    return vectors.nearest(c.vector.where("id = 0"), c.vector, 1 << 30).select("id", F.round("distance", 6).alias("distance"))
+    return vectors.distances(c.vector.where("id = 0"), c.vector).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -256,5 +256,5 @@ def jn_memory_assets(c: Catalog) -> DataFrame:
 
 @query("agg_people_by_face", "SELECT p.id AS person_id, p.name, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM person p JOIN vector v ON v.id = p.id JOIN vector q ON q.id = 0")
 def agg_people_by_face(c: Catalog) -> DataFrame:
-    near = vectors.nearest(c.vector.where("id = 0"), c.vector, 1 << 30).select(F.col("id").alias("person_id"), "distance")
+    near = vectors.distances(c.vector.where("id = 0"), c.vector).select(F.col("id").alias("person_id"), "distance")
     return timeline.first_of(near.join(c.person.withColumnRenamed("id", "person_id"), "person_id"), ["person_id"], F.col("distance")).select("person_id", "name", F.round("distance", 6).alias("distance"))
