@@ -29,35 +29,61 @@ BESIDE = frozenset(
     "gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion "
     "recommended related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
+#: Words that make a name tell of an element's state or of what else the page has.
+STATES = frozenset("has have no not with without is hide hides hidden show shows enable enabled disable disabled open opened closed on off left right active inactive supported ready loaded".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 WHOLE = frozenset(("html", "body", "article", "main"))
 
 
-def _beside(tag: str, attributes: str) -> bool:
-    """Whether an element and all in it stand beside the article."""
+def _beside(tag: str, attributes: str) -> int:
+    """Whether an element and all in it stand beside the article: 3 surely, 2 by a name of its class or id, 1 by a part of a name, 0 not.
+
+    A name counts if its first or last word is in ``BESIDE`` and no word is in ``STATES``
+    (``has-sidebar``, ``no-comments``).
+    """
     if tag in APART:
-        return True
+        return 3
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if tag in WHOLE:
-        return False
+        return 0
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return 3
     if found.get("role", "").lower() in ROLES:
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return any(p.lower() in BESIDE for p in _PART.findall(names))
+        return 3
+    marked = 0
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if parts and (parts[0] in BESIDE or parts[-1] in BESIDE) and STATES.isdisjoint(parts):
+            marked = max(marked, 2 if len(parts) == 1 else 1)
+    return marked
+
+
+def _without_marked(parents: list[int], found: list[tuple[int, str, int]], marked: dict[int, int]) -> list[tuple[int, str, int]]:
+    """The blocks outside ``marked`` elements, but for those that hold most of the page's text that is not linked; where the whole name marks one, all of it."""
+    plain = [0] * len(parents)
+    for element, text, linked in found:
+        while element >= 0:
+            plain[element] += len(text) - linked
+            element = parents[element]
+    dropped = [False] * len(parents)
+    for e in range(1, len(parents)):
+        dropped[e] = dropped[parents[e]] or e in marked and (2 * plain[e] <= plain[0] if marked[e] == 1 else plain[e] < plain[0])
+    return [x for x in found if not dropped[x[0]]]
 
 
 def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]:
     """The page's block elements as parents and tags, and its blocks of text.
 
     A block is ``(element, text, characters inside links)``. Elements beside the article
-    are left out with all they hold. Missing end tags are filled in where HTML does so.
+    are left out with all they hold; one that only a part of its name marks is kept if
+    it holds most of the page's text that is not linked, and one that a whole name marks
+    if it holds all of it. Missing end tags are filled in where HTML does so.
     """
     parents, tags, found = [-1], ["#"], []
+    marked: dict[int, int] = {}
     stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, block element, beside
     text: list[str] = []
     linked = links = beside = 0
@@ -133,7 +159,11 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
             flush()
             parents.append(stack[-1][1])
             tags.append(tag)
-        apart = _beside(tag, m[3])
+        kind = _beside(tag, m[3])
+        # a line's parts are no element of their own, so there a name decides
+        apart = kind == 3 or (kind > 0 and tag in INLINE)
+        if kind and not apart and not beside:
+            marked[len(tags) - 1] = kind
         stack.append((tag, len(tags) - 1 if tag not in INLINE else stack[-1][1], apart))
         links += tag == "a"
         beside += apart
@@ -141,7 +171,7 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
     while len(stack) > 1:
         pop()
     flush()
-    return parents, tags, found
+    return parents, tags, _without_marked(parents, found, marked) if marked else found
 
 
 def main_text(page: str | None) -> str:
