@@ -16,16 +16,21 @@ from pyspark.sql import functions as F
 from photolake.llm.common import byte_words, fold, raw, slices, texts
 from photolake.session import stored, table
 
-#: Size of the network: state, classes, words of a class. Word 0 stands for all others, word 1 ends a text.
-HIDDEN, CLASSES, WORDS = 24, 32, 32
+#: Size of the network: state, word vectors, words and classes. Word 0 stands for all others, word 1 ends a text.
+HIDDEN, EMBED, NETWORK_WORDS, CLASSES = 16, 16, 20_480, 64
 UNKNOWN, END = 0, 1
-#: The network trains on this share of the training tokens and as many more, however large the corpus.
-TRAIN_SHARE, TRAIN_MORE, TOKENS_PER_WORKER, ROUNDS = 0.02, 300_000, 400_000, 3
+#: Every training text is used once: in one of so many rounds, after each of which the workers' weights are averaged.
+ROUNDS = 3
+#: Training goes through windows of so many words; a worker has so many lanes at most and aims at so many updates.
+WINDOW, LANES, UPDATES = 16, 1024, 64
+#: Words that a worker lays on its lanes at once.
+CHUNK = 1 << 20
+#: Weights travel in so many pieces, so that sums of them are spread.
+PIECES = 64
+#: Scores of so many words and classes are worked out at once, to stay in the processor's cache.
+BLOCK = 1 << 17
 #: Counts of at most so many of the commonest words travel with each task; the others are joined.
 COMMON = 200_000
-LANES, WINDOW = 64, 16
-KEYS = ("x", "u", "cw", "cb", "ww", "wb")
-SHAPES = ((CLASSES * WORDS, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WORDS), (CLASSES, WORDS))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -65,6 +70,14 @@ class Vocabulary:
         own = self.number != UNKNOWN
         return self.n - int(self.c[own].sum()), self.v - int(own.sum())
 
+    def frequencies(self) -> np.ndarray:
+        """Smoothed shares of the network's words."""
+        p = np.full(int(self.number.max(initial=END)) + 1, 0.1)
+        own = self.number != UNKNOWN
+        p[self.number[own]] += self.c[own]
+        p[UNKNOWN] += self.rest()[0]
+        return p / p.sum()
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The words above the count that at most ``COMMON`` reach, found by a histogram of counts."""
@@ -82,7 +95,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     ends = next((r.c for r in found if not r.w), None)
     rows = ([(ends, b"")] if ends is not None else []) + rows
     number = np.zeros(len(rows), dtype=np.int32)
-    top = CLASSES * WORDS - 2 + (ends is not None)
+    top = NETWORK_WORDS - 2 + (ends is not None)
     first = END if ends is not None else END + 1
     number[:top] = np.arange(first, first + len(number[:top]))
     return Vocabulary({w: i for i, (_, w) in enumerate(rows)}, np.array([c for c, _ in rows], dtype=np.int64), number, n, v)
@@ -91,139 +104,246 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 # --- the network ------------------------------------------------------------------------
 
 
-def start(vocabulary: Vocabulary, seed: int = 11) -> np.ndarray:
-    """Weights whose output is the words' frequencies, with a small random recurrent part."""
-    rng = np.random.default_rng(seed)
-    weights = [rng.normal(0, 0.1, s).astype(np.float32) for s in SHAPES]
-    p = np.full(CLASSES * WORDS, 0.1)
-    own = vocabulary.number != UNKNOWN
-    p[vocabulary.number[own]] += vocabulary.c[own]
-    p[UNKNOWN] += vocabulary.rest()[0]
-    p = (p / p.sum()).reshape(CLASSES, WORDS)
-    weights[2] *= 0.1
-    weights[4] *= 0.1
-    weights[3] = np.log(p.sum(axis=1)).astype(np.float32)
-    weights[5] = np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32)
-    return np.concatenate([w.ravel() for w in weights])
+@dataclass
+class Network:
+    """Weights of the network as views of ``flat``; class c has the words from edges[c] to edges[c + 1]."""
+
+    edges: np.ndarray
+    flat: np.ndarray
+
+    def __post_init__(self) -> None:
+        v, at = int(self.edges[-1]), 0
+        self.class_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        for key, shape in _shapes(self.edges).items():
+            n = int(np.prod(shape))
+            setattr(self, key, self.flat[at : at + n].reshape(shape))
+            at += n
+        assert at == len(self.flat) and v == len(self.class_of)
 
 
-def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for key, shape in zip(KEYS, SHAPES):
-        n = int(np.prod(shape))
-        out[key] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+def _shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
+    """Word vectors; their and the state's part in gates and candidate, with a bias; scores of classes and of words within their class, the bias last."""
+    v, c = int(edges[-1]), len(edges) - 1
+    return {"emb": (v, EMBED), "p": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "cw": (c, HIDDEN + 1), "ww": (v, HIDDEN + 1)}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def classes(p: np.ndarray) -> np.ndarray:
+    """Where classes of words begin (one more at the end): about equal sums of the square roots of the words' shares.
+
+    Common words are in small classes and rare ones in large ones, so a word costs about
+    as many scores as there are classes and some more, not as many as there are words.
+    """
+    roots = np.cumsum(np.sqrt(p))
+    inner = np.searchsorted(roots, roots[-1] * np.arange(1, CLASSES) / CLASSES)
+    return np.unique(np.concatenate([[0, len(p)], inner[(inner > 0) & (inner < len(p))]]))
 
 
-def log_likelihood(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def start(vocabulary: Vocabulary, seed: int = 11) -> Network:
+    """Weights whose output is the words' frequencies, with a small random recurrent part."""
+    p = vocabulary.frequencies()
+    edges = classes(p)
+    rng = np.random.default_rng(seed)
+    net = Network(edges, np.zeros(sum(int(np.prod(x)) for x in _shapes(edges).values()), np.float32))
+    for key, size in (("emb", 0.3), ("p", 0.3), ("u", 0.2), ("cw", 0.02), ("ww", 0.02)):
+        getattr(net, key)[:] = rng.normal(0, size, getattr(net, key).shape)
+    of_class = np.add.reduceat(p, edges[:-1])
+    net.cw[:, -1] = np.log(of_class)
+    net.ww[:, -1] = np.log(p / of_class[net.class_of])
+    return net
+
+
+def _choice(h: np.ndarray, w: np.ndarray, pick: np.ndarray, into: np.ndarray | None, out: np.ndarray, back: np.ndarray | None) -> None:
+    """Adds the log softmax of ``h @ w.T`` at ``pick`` to ``out``; with ``into`` adds the gradients of the weights and, to ``back``, of ``h``."""
+    step, ones, columns = max(64, BLOCK // len(w)), np.ones(len(w), h.dtype), np.ascontiguousarray(w.T)
+    for a in range(0, len(pick), step):
+        part, mine = h[a : a + step], pick[a : a + step]
+        at = np.arange(len(mine))
+        z = part @ columns
+        own = z[at, mine]
+        e = np.exp(z, out=z)
+        s = e @ ones
+        if not np.isfinite(s).all() or not s.all():
+            z = part @ columns
+            z -= z.max(axis=1, keepdims=True)
+            own = z[at, mine]
+            e = np.exp(z, out=z)
+            s = e @ ones
+        out[a : a + step] += own - np.log(s)
+        if into is not None:
+            # the softmax's division is done on the smaller factors
+            e[at, mine] -= s
+            s = s[:, None]
+            into += e.T @ (part / s)
+            more = e @ w
+            more /= s
+            back[a : a + step] += more
+
+
+def log_likelihood(net: Network, h: np.ndarray, target: np.ndarray, grad: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target after state ``h``: its class's, and its own within the class.
 
-    With ``grad``, also adds the gradients of the negative sum and returns that of ``h``.
+    With ``grad``, also adds the gradients of the negative sum to it and returns that of ``h``.
     """
-    cls, inner = target // WORDS, target % WORDS
-    at = np.arange(len(target))
-    z = h @ w["cw"] + w["cb"]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    s = e.sum(axis=1)
-    out = z[at, cls] - np.log(s)
-    back = None
-    if grad is not None:
-        e /= s[:, None]
-        e[at, cls] -= 1
-        grad["cw"] += h.T @ e
-        grad["cb"] += e.sum(axis=0)
-        back = e @ w["cw"].T
+    cls = net.class_of[target]
     order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        mine = order[edges[c] : edges[c + 1]]
-        if not len(mine):
-            continue
-        hc = h[mine]
-        z = hc @ w["ww"][c] + w["wb"][c]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(axis=1)
-        k = np.arange(len(mine))
-        out[mine] += z[k, inner[mine]] - np.log(s)
-        if grad is not None:
-            e /= s[:, None]
-            e[k, inner[mine]] -= 1
-            grad["ww"][c] += hc.T @ e
-            grad["wb"][c] += e.sum(axis=0)
-            back[mine] += e @ w["ww"][c].T
-    return out, back
-
-
-def train(flat: np.ndarray, tokens: list[np.ndarray], rate: float) -> np.ndarray:
-    """Weights after one pass over texts (word numbers with an end), by truncated backpropagation and Adam.
-
-    The texts are laid end to end on ``LANES`` lanes; the state passes from window to
-    window and is cleared where a text begins, gradients stop at the window's start.
-    """
-    flat = flat.copy()
-    w = parts(flat)
-    y = np.concatenate(tokens)
-    steps = -(-len(y) // LANES)
-    steps += -steps % WINDOW
-    begins = np.zeros(len(y), dtype=bool)
-    begins[np.cumsum([0, *map(len, tokens[:-1])])] = True
-    x = np.concatenate([[END], y[:-1]])
-    x[begins] = END
-    real = np.concatenate([np.ones(len(y), bool), np.zeros(steps * LANES - len(y), bool)]).reshape(LANES, steps)
-    x, y, begins = (np.concatenate([v, np.zeros(steps * LANES - len(v), v.dtype)]).reshape(LANES, steps) for v in (x, y, begins))
-    h = np.zeros((LANES, HIDDEN), dtype=np.float32)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    n, H = steps // WINDOW, HIDDEN
-    for k in range(n):
-        span = slice(k * WINDOW, (k + 1) * WINDOW)
-        g_flat = np.zeros_like(flat)
-        g = parts(g_flat)
-        saved, states = [], []
-        for t in range(k * WINDOW, (k + 1) * WINDOW):
-            h = h * ~begins[:, t, None]
-            a, u = w["x"][x[:, t]], h @ w["u"]
-            zr = sigmoid(a[:, : 2 * H] + u[:, : 2 * H])
-            new = np.tanh(a[:, 2 * H :] + zr[:, H:] * u[:, 2 * H :])
-            saved.append((h, zr, new, u[:, 2 * H :]))
-            h = new + zr[:, :H] * (h - new)
-            states.append(h)
-        ok = real[:, span].T.ravel()
-        target = y[:, span].T.ravel()
-        seen = np.concatenate(states)
-        back = np.zeros_like(seen)
-        back[ok] = log_likelihood(w, seen[ok], target[ok], g)[1]
-        back = back.reshape(WINDOW, LANES, H)
-        later = np.zeros_like(h)
-        for i in range(WINDOW - 1, -1, -1):
-            t = k * WINDOW + i
-            before, zr, new, un = saved[i]
-            d = back[i] + later
-            z, r = zr[:, :H], zr[:, H:]
-            dn = d * (1 - z) * (1 - new * new)
-            da = np.concatenate([d * (before - new) * z * (1 - z), dn * un * r * (1 - r), dn], axis=1)
-            np.add.at(g["x"], x[:, t], da)
-            du = da.copy()
-            du[:, 2 * H :] *= r
-            g["u"] += before.T @ du
-            later = (d * z + du @ w["u"].T) * ~begins[:, t, None]
-        g_flat /= max(1, ok.sum())
-        norm = float(np.sqrt((g_flat * g_flat).sum()))
-        if norm > 1:
-            g_flat /= norm
-        m += 0.1 * (g_flat - m)
-        v += 0.01 * (g_flat * g_flat - v)
-        flat -= rate * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-6)
-    return flat
-
-
-def log_probabilities(w: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 16) -> np.ndarray:
+    wide = np.ones((len(h), HIDDEN + 1), h.dtype)
+    wide[:, :HIDDEN] = h[order]
+    cls, target = cls[order], target[order]
+    bounds = np.searchsorted(cls, np.arange(len(net.edges)))
+    with np.errstate(over="ignore"):
+        got, back = np.zeros(len(h), h.dtype), None if grad is None else np.zeros_like(wide)
+        _choice(wide, net.cw, cls, None if grad is None else grad.cw, got, back)
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = net.edges[c], net.edges[c + 1]
+            if b - a == 1:
+                continue
+            mine = slice(bounds[c], bounds[c + 1])
+            into = (None, None) if grad is None else (grad.ww[a:b], back[mine])
+            _choice(wide[mine], net.ww[a:b], target[mine] - a, into[0], got[mine], into[1])
+    out = np.empty(len(got))
+    out[order] = got
+    if back is None:
+        return out, None
+    unsorted = np.empty((len(h), HIDDEN), h.dtype)
+    unsorted[order] = back[:, :HIDDEN]
+    return out, unsorted
+
+
+#: Gates and candidate are 1 / (1 + exp(s)) and 2 / (1 + exp(s)) - 1 of sums s that are scaled by these.
+_SCALE = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+
+
+def _step(inputs: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gates (keep, reset), candidate and the state's part in it, from scaled sums; ``u`` is overwritten."""
+    H = HIDDEN
+    zr, un = u[:, : 2 * H], u[:, 2 * H :]
+    zr += inputs[:, : 2 * H]
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    new = zr[:, H:] * un
+    new += inputs[:, 2 * H :]
+    np.exp(new, out=new)
+    new += 1
+    np.divide(2, new, out=new)
+    new -= 1
+    return zr, new, un
+
+
+class Trainer:
+    """Truncated backpropagation with per-weight step sizes (Adagrad), over any number of chunks of texts."""
+
+    def __init__(self, net: Network, rate: float) -> None:
+        self.net, self.rate = Network(net.edges, net.flat.copy()), rate
+        self.grad = Network(net.edges, np.zeros_like(net.flat))
+        self.sums = np.full_like(net.flat, 1e-8)
+        self.tokens = 0
+        self.first = self.net.emb.size
+
+    def __call__(self, tokens: list[np.ndarray]) -> None:
+        """Goes once over texts (word numbers with an end).
+
+        They are laid end to end on lanes; the state passes from window to window and is
+        cleared where a text begins, gradients stop at the window's start.
+        """
+        net, H = self.net, HIDDEN
+        y = np.concatenate(tokens)
+        self.tokens += len(y)
+        lanes = int(np.clip(len(y) // (UPDATES * WINDOW), 8, LANES))
+        steps = -(-len(y) // lanes)
+        steps += -steps % WINDOW
+        begins = np.zeros(len(y), dtype=bool)
+        begins[np.cumsum([0, *map(len, tokens[:-1])])] = True
+        x = np.concatenate([[END], y[:-1]])
+        x[begins] = END
+        real = np.ones(len(y), bool)
+        x, y, begins, real = (np.concatenate([v, np.zeros(steps * lanes - len(v), v.dtype)]).reshape(lanes, steps).T.copy() for v in (x, y, begins, real))
+        h = np.zeros((lanes, H), dtype=np.float32)
+        for k in range(0, steps, WINDOW):
+            span = slice(k, k + WINDOW)
+            ok = real[span].ravel()
+            if not ok.any():
+                continue
+            words = x[span].ravel()
+            vectors = net.emb[words]
+            inputs = (vectors @ (net.p * _SCALE) + net.b * _SCALE).reshape(WINDOW, lanes, 3 * H)
+            scaled, back_u = net.u * _SCALE, np.ascontiguousarray(net.u.T)
+            stays = [not begins[t].any() for t in range(k, k + WINDOW)]
+            befores, states = np.empty((WINDOW, lanes, H), np.float32), np.empty((WINDOW, lanes, H), np.float32)
+            saved = []
+            for t in range(WINDOW):
+                befores[t] = h
+                if not stays[t]:
+                    befores[t][begins[k + t]] = 0
+                zr, new, un = _step(inputs[t], befores[t] @ scaled)
+                saved.append((zr, new, un))
+                h = befores[t] - new
+                h *= zr[:, :H]
+                h += new
+                states[t] = h
+            seen = states.reshape(-1, H)
+            if ok.all():
+                back = log_likelihood(net, seen, y[span].ravel(), self.grad)[1].reshape(WINDOW, lanes, H)
+            else:
+                back = np.zeros_like(seen)
+                back[ok] = log_likelihood(net, seen[ok], y[span].ravel()[ok], self.grad)[1]
+                back = back.reshape(WINDOW, lanes, H)
+            da, du = np.empty((WINDOW, lanes, 3 * H), np.float32), np.empty((WINDOW, lanes, 3 * H), np.float32)
+            later = np.zeros_like(h)
+            for t in range(WINDOW - 1, -1, -1):
+                zr, new, un = saved[t]
+                one, two = da[t], du[t]
+                d = later
+                d += back[t]
+                z, r = zr[:, :H], zr[:, H:]
+                slope = zr * (1 - zr)
+                keep = d * z
+                dn = d - keep
+                dn *= 1 - new * new
+                np.multiply(d, befores[t] - new, out=one[:, :H])
+                un *= -0.5
+                np.multiply(dn, un, out=one[:, H : 2 * H])
+                one[:, : 2 * H] *= slope
+                one[:, 2 * H :] = dn
+                two[:, : 2 * H] = one[:, : 2 * H]
+                np.multiply(dn, r, out=two[:, 2 * H :])
+                later = two @ back_u
+                later += keep
+                if not stays[t]:
+                    later[begins[k + t]] = 0
+            da, du = da.reshape(-1, 3 * H), du.reshape(-1, 3 * H)
+            g = self.grad
+            g.u += befores.reshape(-1, H).T @ du
+            g.p += vectors.T @ da
+            g.b += da.sum(axis=0)
+            order = np.argsort(words, kind="stable")
+            heads = np.flatnonzero(np.diff(words[order], prepend=-1))
+            self._update(words[order[heads]], np.add.reduceat((da @ net.p.T)[order], heads, axis=0), float(ok.sum()))
+
+    def _update(self, rows: np.ndarray, of_rows: np.ndarray, n: float) -> None:
+        """One update: the window's word vectors, then all other weights."""
+        of_rows /= n
+        sums = self.sums[: self.first].reshape(-1, EMBED)
+        seen = sums[rows] + of_rows * of_rows
+        sums[rows] = seen
+        self.net.emb[rows] -= self.rate * of_rows / np.sqrt(seen)
+        g, s = self.grad.flat[self.first :], self.sums[self.first :]
+        g /= n
+        s += g * g
+        g *= self.rate
+        g /= np.sqrt(s)
+        self.net.flat[self.first :] -= g
+        g[:] = 0
+
+
+def train(net: Network, tokens: list[np.ndarray], rate: float) -> Network:
+    """The network after one pass over texts."""
+    trainer = Trainer(net, rate)
+    trainer(tokens)
+    return trainer.net
+
+
+def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 16) -> np.ndarray:
     """Natural log probability of each whole text, its end included.
 
     All texts advance together, longest first; the state of each is carried from one
@@ -249,29 +369,22 @@ def log_probabilities(w: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.
     lane[place] = owner
     h = np.zeros((len(n), HIDDEN), dtype=np.float32)
     sums = np.zeros(len(n))
-    H, t = HIDDEN, 0
+    p, b, u = net.p * _SCALE, net.b * _SCALE, net.u * _SCALE
+    t = 0
     while t < longest:
         stop = max(t + 1, int(np.searchsorted(first, first[t] + window, side="right")) - 1)
-        a = w["x"][x[first[t] : first[stop]]]
-        out = np.empty((len(a), H), dtype=np.float32)
+        a = net.emb[x[first[t] : first[stop]]] @ p
+        a += b
+        out = np.empty((len(a), HIDDEN), dtype=np.float32)
         for s in range(t, stop):
             k, at = int(active[s]), int(first[s] - first[t])
-            hs, az = h[:k], a[at : at + k]
-            u = hs @ w["u"]
-            zr = az[:, : 2 * H] + u[:, : 2 * H]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= 0.5
-            new = u[:, 2 * H :]
-            new *= zr[:, H:]
-            new += az[:, 2 * H :]
-            np.tanh(new, out=new)
+            hs = h[:k]
+            zr, new, _ = _step(a[at : at + k], hs @ u)
             hs -= new
-            hs *= zr[:, :H]
+            hs *= zr[:, :HIDDEN]
             hs += new
             out[at : at + k] = hs
-        got, _ = log_likelihood(w, out, y[first[t] : first[stop]])
+        got, _ = log_likelihood(net, out, y[first[t] : first[stop]])
         sums += np.bincount(lane[first[t] : first[stop]], weights=got, minlength=len(n))
         t = stop
     result = np.empty(len(n))
@@ -279,64 +392,83 @@ def log_probabilities(w: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.
     return result
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The network's weights, trained on a hash sample of ``docs`` (doc_id, text) that grows with them.
+def _numbers(texts_: list[bytes], index: dict[bytes, int], number: np.ndarray) -> list[np.ndarray]:
+    """The network's numbers of each text's words and its end."""
+    lists = [byte_words(t) for t in texts_]
+    flat = np.fromiter((index.get(w, -1) for ws in lists for w in ws), np.int64, sum(map(len, lists)))
+    flat = np.where(flat >= 0, number[flat] if len(number) else 0, UNKNOWN).astype(np.int32)
+    edges = np.cumsum([0, *map(len, lists)])
+    return [np.append(flat[a:b], np.int32(END)) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network:
+    """The network, trained on every text of ``docs`` (doc_id, text).
 
-    In each of three rounds, workers of about 400,000 tokens go over a third of the
-    sample from the same weights, and their results are averaged: within a partition,
-    then in 16 partitions, so at most 16 sets of weights (0.4 MB each) reach the driver.
+    Each text is in one of three rounds by a hash. A worker goes over the round's texts of
+    its partitions in chunks of a bounded size, from the weights of the round before; the
+    results are averaged by their tokens in pieces, so no task and not the driver holds
+    more than a few sets of weights, however many workers there are.
     """
-    flat = start(vocabulary)
+    net = start(vocabulary)
     if not vocabulary.n:
-        return flat
-    share = min(1.0, TRAIN_SHARE + TRAIN_MORE / vocabulary.n)
-    workers = max(1, round(share * vocabulary.n / TOKENS_PER_WORKER))
-    h = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40))
-    sample = docs.withColumn("h", h).where(F.col("h") < int(share * (1 << 40)))
-    sample = stored(sample.select("text", (F.col("h") % ROUNDS).cast("int").alias("round"), F.pmod(F.xxhash64("h"), F.lit(workers)).alias("worker")), "lm-sample")
+        return net
     sc = docs.sparkSession.sparkContext
-    words = sc.broadcast((vocabulary.index, vocabulary.number))
-
-    def work(group: pa.Table) -> pa.Table:
-        index, number = words.value
-        lists = [byte_words(t) for t in raw(group.column("text").combine_chunks())]
-        known = [np.fromiter(map(index.get, ws, repeat(-1)), np.int64, len(ws)) for ws in lists]
-        tokens = [np.append(np.where(k >= 0, number[k], UNKNOWN), END) for k in known]
-        np.random.default_rng(5).shuffle(tokens)
-        n = sum(map(len, tokens))
-        done = train(now.value, tokens, rate) * n
-        return pa.table({"n": pa.array([n], pa.int64()), "w": pa.array([done.astype("<f8").tobytes()], pa.binary())})
+    keep = {w: i for w, i in vocabulary.index.items() if vocabulary.number[i] != UNKNOWN}
+    words = sc.broadcast((keep, vocabulary.number))
+    kinds = "piece int, n long, w binary"
+    rounds = docs.select("text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)).alias("round"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
+        found: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                w = np.frombuffer(row["w"], "<f8")
-                n, total = n + row["n"], w if total is None else total + w
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
+            for piece, n, w in zip(*(c.to_pylist() for c in batch.columns)):
+                had = found.setdefault(piece, [0, 0.0])
+                had[0] += n
+                had[1] = had[1] + np.frombuffer(w, "<f4").astype(np.float64) * n
+        for piece, (n, w) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([(w / n).astype("<f4").tobytes()], pa.binary())], names=["piece", "n", "w"])
 
-    kinds = "n long, w binary"
     for k in range(ROUNDS):
-        now, rate = sc.broadcast(flat), 0.01 / (1 + k)
-        trained = sample.where(F.col("round") == k).groupBy("worker").applyInArrow(work, kinds).mapInArrow(add, kinds)
-        got = trained.repartition(16).mapInArrow(add, kinds).collect()
+        now, rate = sc.broadcast((net.edges, net.flat)), 0.1 / (1 + k)
+
+        def work(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
+            index, number = words.value
+            trainer, held, size = None, [], 0
+            for batch in slices(batches, "text", 1 << 20):
+                some = _numbers(raw(batch.column("text")), index, number)
+                held += some
+                size += sum(map(len, some))
+                if size >= CHUNK:
+                    trainer = trainer or Trainer(Network(*now.value), rate)
+                    trainer(held)
+                    held, size = [], 0
+            if held:
+                trainer = trainer or Trainer(Network(*now.value), rate)
+                trainer(held)
+            if trainer:
+                parts = np.array_split(trainer.net.flat, PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([trainer.tokens] * PIECES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "n", "w"])
+
+        mine = rounds.where(F.col("round") == k).select("text")
+        # a round has a third of each partition, so a worker takes three
+        mine = mine.coalesce(max(1, -(-mine.rdd.getNumPartitions() // ROUNDS)))
+        got = mine.mapInArrow(work, kinds).repartition(16, "piece").mapInArrow(add, kinds).collect()
         if got:
-            flat = (sum(np.frombuffer(r.w, "<f8") for r in got) / sum(r.n for r in got)).astype(np.float32)
-    return flat
+            net = Network(net.edges, np.concatenate([np.frombuffer(r.w, "<f4") for r in sorted(got, key=lambda r: r.piece)]).copy())
+    return net
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     ``docs`` has doc_id, held_out and text. ``base_score`` is the smoothed word counts'
-    log10 probability. ``score`` is the network's: a word outside its 1,022 is word 0 and
+    log10 probability. ``score`` is the network's: a word outside its 20,478 is word 0 and
     then shares that word's probability by smoothed counts, so that all words add up to
     one. Counts of the words outside the commonest are joined by word. An empty text has
     its end alone; repeated rows are scored each. With no training text all counts are 0.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, weights))
+    shared = spark.sparkContext.broadcast((vocabulary, net.edges, net.flat))
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_all = np.log10(vocabulary.n + 0.1 * (vocabulary.v + 1))
     rest_n, rest_v = vocabulary.rest()
@@ -344,8 +476,8 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: n
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "w", "n"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, flat = shared.value
-        w, logs = parts(flat), np.log10(vocab.c + 0.1)
+        vocab, *weights = shared.value
+        net, logs = Network(*weights), np.log10(vocab.c + 0.1)
         uid = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", 5 << 20):
             lists = [byte_words(t) + [b""] for t in raw(batch.column("text"))]
@@ -363,7 +495,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: n
             other = np.bincount(owner, weights=value * (number == UNKNOWN), minlength=len(lengths))
             n_other = np.bincount(owner[number == UNKNOWN], minlength=len(lengths))
             base = sums - lengths * n_all
-            total = log_probabilities(w, number, lengths) / np.log(10) + other - n_other * n_rest
+            total = log_probabilities(net, number, lengths) / np.log(10) + other - n_other * n_rest
             ids = uid + np.arange(len(lengths))
             uid += len(lengths)
             rare = np.flatnonzero(~common)

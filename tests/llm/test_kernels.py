@@ -106,42 +106,100 @@ def test_shard_round_trip_and_lookup():
     assert sum(reader.may_hold(sstable.sort_key(k)) for k in range(10_000, 12_000)) < 100
 
 
-def test_network_is_a_distribution_and_carries_its_state():
-    vocabulary = lm.Vocabulary({b"": 0, b"a": 1}, np.array([5, 9]), np.array([1, 2], np.int32), 14, 2)
-    w = lm.parts(lm.start(vocabulary))
+@pytest.fixture(scope="module")
+def network():
+    """A network of 1,024 words whose frequencies fall as a power."""
+    c = (100_000 / np.arange(1, 1024)).astype(np.int64)
+    vocabulary = lm.Vocabulary({b"": 0} | {b"w%d" % i: i for i in range(1, 1023)}, c, np.arange(1, 1024, dtype=np.int32), int(c.sum()), 1023)
+    return lm.start(vocabulary)
+
+
+def test_network_is_a_distribution_and_carries_its_state(network):
+    assert len(network.class_of) == 1024 and len(network.edges) > 20
     h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    p = np.exp(lm.log_likelihood(w, np.repeat(h, 1024, axis=0), np.arange(1024))[0])
+    p = np.exp(lm.log_likelihood(network, np.repeat(h, 1024, axis=0), np.arange(1024))[0])
     assert abs(p.sum() - 1) < 1e-4
+    # scores that overflow are worked out once more
+    far = lm.Network(network.edges, network.flat * 60)
+    assert abs(np.exp(lm.log_likelihood(far, np.repeat(h, 1024, axis=0), np.arange(1024))[0]).sum() - 1) < 1e-3
     tokens = [np.random.default_rng(n).integers(0, 1024, n) for n in (1, 40, 7)]
-    whole = lm.log_probabilities(w, np.concatenate(tokens), np.array([1, 40, 7]))
-    cut = lm.log_probabilities(w, np.concatenate(tokens), np.array([1, 40, 7]), window=3)
-    one = [lm.log_probabilities(w, t, np.array([len(t)]))[0] for t in tokens]
+    whole = lm.log_probabilities(network, np.concatenate(tokens), np.array([1, 40, 7]))
+    cut = lm.log_probabilities(network, np.concatenate(tokens), np.array([1, 40, 7]), window=3)
+    one = [lm.log_probabilities(network, t, np.array([len(t)]))[0] for t in tokens]
     assert np.allclose(whole, cut, rtol=1e-4) and np.allclose(whole, one, rtol=1e-4)
 
 
-def test_network_gradient():
-    vocabulary = lm.Vocabulary({b"": 0}, np.array([5]), np.array([1], np.int32), 5, 1)
-    flat = lm.start(vocabulary).astype(np.float64)
+def test_score_of_a_text_equals_plain_recurrence(network):
+    """The network written out a word at a time, in 64 bits."""
+    net, H = network, lm.HIDDEN
+    w = {k: getattr(net, k).astype(np.float64) for k in ("emb", "p", "b", "u", "cw", "ww")}
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 90):
+        tokens = np.append(rng.integers(2, 1024, n - 1), lm.END)
+        h, x, total = np.zeros(H), lm.END, 0.0
+        for y in tokens.tolist():
+            a, u = w["emb"][x] @ w["p"] + w["b"], h @ w["u"]
+            z, r = (1 / (1 + np.exp(-(a + u)[k * H : (k + 1) * H])) for k in (0, 1))
+            new = np.tanh(a[2 * H :] + r * u[2 * H :])
+            h = z * h + (1 - z) * new
+            c = int(net.class_of[y])
+            first, last = net.edges[c], net.edges[c + 1]
+            for scores, pick in ((w["cw"] @ np.append(h, 1), c), (w["ww"][first:last] @ np.append(h, 1), y - first)):
+                total += scores[pick] - np.log(np.exp(scores).sum())
+            x = y
+        assert abs(lm.log_probabilities(net, tokens, np.array([n]))[0] - total) < 1e-4 * abs(total)
+
+
+def test_network_gradient(network):
+    net = lm.Network(network.edges, network.flat.astype(np.float64))
     h, y = np.random.default_rng(1).normal(size=(6, lm.HIDDEN)), np.array([1, 2, 40, 41, 1000, 3])
-    g = np.zeros_like(flat)
-    back = lm.log_likelihood(lm.parts(flat), h, y, lm.parts(g))[1]
-    for i in np.flatnonzero(g)[:: max(1, np.count_nonzero(g) // 25)]:
-        step = np.zeros_like(flat)
+    g = lm.Network(net.edges, np.zeros_like(net.flat))
+    back = lm.log_likelihood(net, h, y, g)[1]
+    for i in np.flatnonzero(g.flat)[:: max(1, np.count_nonzero(g.flat) // 25)]:
+        step = np.zeros_like(net.flat)
         step[i] = 1e-5
-        d = [-lm.log_likelihood(lm.parts(flat + s * step), h, y)[0].sum() for s in (1, -1)]
-        assert abs((d[0] - d[1]) / 2e-5 - g[i]) < 1e-4
+        d = [-lm.log_likelihood(lm.Network(net.edges, net.flat + s * step), h, y)[0].sum() for s in (1, -1)]
+        assert abs((d[0] - d[1]) / 2e-5 - g.flat[i]) < 1e-4
     e = np.zeros_like(h)
     e[2, 5] = 1e-5
-    d = [-lm.log_likelihood(lm.parts(flat), h + s * e, y)[0].sum() for s in (1, -1)]
+    d = [-lm.log_likelihood(net, h + s * e, y)[0].sum() for s in (1, -1)]
     assert abs((d[0] - d[1]) / 2e-5 - back[2, 5]) < 1e-4
 
 
-def test_network_learns_a_pattern():
-    vocabulary = lm.Vocabulary({b"": 0}, np.array([5]), np.array([1], np.int32), 5, 1)
+def test_gradient_through_a_window(network):
+    """The recurrent part's gradients, of one window, against differences of the whole likelihood."""
+    rng = np.random.default_rng(2)
+    tokens = [np.append(rng.integers(2, 1024, n - 1), lm.END) for n in (5, 3, 6)]
+    lengths = np.array([5, 3, 6])
+    seen = {}
+
+    class Kept(lm.Trainer):
+        def _update(self, rows, of_rows, n):
+            seen.update(flat=self.grad.flat.copy(), rows=rows, of_rows=of_rows)
+            super()._update(rows, of_rows, n)
+
+    few = lm.LANES
+    try:
+        lm.LANES = 8
+        Kept(network, 0.0)([np.concatenate([t]) for t in tokens])
+    finally:
+        lm.LANES = few
+    grad = lm.Network(network.edges, seen["flat"])
+    for key in ("p", "b", "u"):
+        own = getattr(grad, key)
+        at = np.unravel_index(np.abs(own).argmax(), own.shape)
+        d = []
+        for s in (1e-2, -1e-2):
+            moved = lm.Network(network.edges, network.flat.copy())
+            getattr(moved, key)[at] += s
+            d.append(-lm.log_probabilities(moved, np.concatenate(tokens), lengths).sum())
+        assert abs((d[0] - d[1]) / 2e-2 - own[at]) < 0.02 * abs(own[at]) + 1e-3, key
+
+
+def test_network_learns_a_pattern(network):
     text = np.array([5, 9, 200, 7] * 10 + [lm.END])
-    flat = lm.start(vocabulary)
-    before = lm.log_probabilities(lm.parts(flat), text, np.array([len(text)]))[0]
-    after = lm.log_probabilities(lm.parts(lm.train(flat, [text] * 300, 0.01)), text, np.array([len(text)]))[0]
+    before = lm.log_probabilities(network, text, np.array([len(text)]))[0]
+    after = lm.log_probabilities(lm.train(network, [text] * 300, 0.1), text, np.array([len(text)]))[0]
     assert after > 0.5 * before
 
 
