@@ -9,16 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from photolake.llm.common import code_points, letters, slices, texts
-from photolake.session import table
+from photolake.session import stored, table
 
 #: q-grams of most items, and the smaller ones of short items, so that the whole budget of edits leaves some.
 Q, SHORT = 10, (8, 6)
 #: A region is a match if an item, or this many characters of it, agree but for this share of edits.
 REGION, EDITS = 80, 0.08
 #: Characters of benchmark items that are indexed and broadcast at once; more are done in several passes.
-INDEX_CHARS = 1 << 24
+INDEX_CHARS = 1 << 22
 
 
 def _alnum() -> np.ndarray:
@@ -103,7 +104,7 @@ def build_index(ids: list, items: list[str], q: int = Q) -> Index:
     least = region + 1 - q * (budget + 1)
     seen = np.zeros(1 << 22, dtype=bool)
     seen[(unique >> np.uint64(42)).astype(np.int64)] = True
-    return Index(ids, np.append(chars, np.uint32(32)), np.append(starts[:-1], ends[-1:] if len(items) else [0]), unique, np.append(first, len(grams)), item[order], offset[order], region, budget, np.maximum(least, 1), seen, q)
+    return Index(ids, np.append(chars, np.uint32(32)), np.append(starts[:-1], ends[-1:] if len(items) else [0]), unique, np.append(first, len(grams)), item[order].astype(np.int32), offset[order].astype(np.int32), region, budget, np.maximum(least, 1), seen, q)
 
 
 def edits(item: np.ndarray, text: np.ndarray, width: int, budget: int) -> tuple[int, int]:
@@ -129,7 +130,10 @@ def edits(item: np.ndarray, text: np.ndarray, width: int, budget: int) -> tuple[
 
 
 def matches(strings: list[str], index: Index, alnum: np.ndarray, most_hits: int = 1 << 21) -> list[tuple[int, int, int, int, int, int]]:
-    """``(text, item, start, end, characters, edits)`` of every region of the texts that holds an item's region."""
+    """``(text, item, start, end, characters, edits)`` of every passage of the texts that holds an item's region.
+
+    Passages of one item do not overlap in the text; of those that would, the longest stays.
+    """
     return search(*normal(strings, alnum), index, most_hits)
 
 
@@ -157,7 +161,7 @@ def search(chars: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Inde
     else:
         maybe, slot = maybe[:0], slot[:0]
     per = index.first[slot + 1] - index.first[slot]
-    found: dict[tuple[int, int], tuple] = {}
+    found: dict[tuple[int, int], set[tuple[int, int, int, int]]] = {}
     width = int(index.budget.max()) + 1
     total, a = np.cumsum(per), 0
     while a < len(maybe):
@@ -172,14 +176,23 @@ def search(chars: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Inde
         a = max(a + 1, int(np.searchsorted(maybe, maybe[b - 1] - 2 * (REGION + width))))
         if total[b - 1] - (total[a - 1] if a else 0) >= most_hits:
             a = b
-    return [(t, i, *v) for (t, i), v in sorted(found.items())]
+    return [(t, i, *v) for (t, i), all_of in sorted(found.items()) for v in _apart(all_of)]
+
+
+def _apart(passages: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The passages (start, end, characters, edits) in order without those that overlap a longer or closer one."""
+    kept: list[tuple[int, int, int, int]] = []
+    for p in sorted(passages, key=lambda p: (-p[2], p[3], p[0])):
+        if all(p[1] <= k[0] or p[0] >= k[1] for k in kept):
+            kept.append(p)
+    return sorted(kept)
 
 
 def _candidates(pos: np.ndarray, slot: np.ndarray, per: np.ndarray, index: Index, width: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """Stretches of a diagonal band with enough hits: ``(item, first, lowest diagonal, first offset, offsets)``; a diagonal is place less offset."""
     n = int(per.sum())
     at = np.arange(n) - np.repeat(np.cumsum(per) - per, per) + np.repeat(index.first[slot], per)
-    hit, item, offset = np.repeat(pos, per), index.items[at], index.offsets[at]
+    hit, item, offset = np.repeat(pos, per), index.items[at], index.offsets[at].astype(np.int64)
     diagonal = hit - offset + len(index.chars)
     for shift in (0, width):  # bands of twice the width overlap by half, so a drift of the width is inside one
         band = (diagonal + shift) // (2 * width)
@@ -220,7 +233,9 @@ def _verify(cand: tuple[int, int, int, int, np.ndarray], chars: np.ndarray, plac
     item, first, lowest, low, offsets = cand
     high, q = int(offsets[-1]), index.q
     text = int(np.searchsorted(starts, first, side="right") - 1)
-    if (text, item) in found and found[text, item][2] >= high + q - low and not found[text, item][3]:
+    origin = int(place[starts[text]])
+    extent = int(place[first]) - origin, int(place[min(first + high - low + q, len(place)) - 1]) - origin + 1
+    if any(x <= extent[0] and extent[1] <= y and not cost for x, y, _, cost in found.get((text, item), ())):
         return
     begin, end = int(starts[text]), int(starts[text + 1])
     whole = index.chars[index.starts[item] : index.starts[item + 1]]
@@ -236,10 +251,8 @@ def _verify(cand: tuple[int, int, int, int, np.ndarray], chars: np.ndarray, plac
         cost, stop = edits(whole[x:y], region, wide, budget)
         if cost > budget:
             return False
-        key, origin = (text, item), int(place[starts[text]])
         new = (int(place[left] - origin), int(place[max(left, min(lead + stop, end) - 1)] - origin + 1), y - x, cost)
-        if key not in found or (new[2], -new[3]) > (found[key][2], -found[key][3]):
-            found[key] = new
+        found.setdefault((text, item), set()).add(new)
         return True
 
     a, b = low, min(high + q, len(whole))
@@ -247,11 +260,9 @@ def _verify(cand: tuple[int, int, int, int, np.ndarray], chars: np.ndarray, plac
         spare = need - (b - a)
         a = max(0, min(a - spare // 2, len(whole) - need))
         b = a + need
-    # the hits' extent, and the region around its middle: one wide stretch may hold more than the passage
-    middle = max(0, min((low + high + q - need) // 2, len(whole) - need))
-    for x, y in dict.fromkeys(((a, b), (middle, middle + need))):
-        if holds(x, y, first - low + x - width, width):
-            return
+    # the hits' extent as one passage
+    if holds(a, b, first - low + a - width, width):
+        return
     # every region that keeps enough of its q-grams
     kept = np.zeros(len(whole) + 1, dtype=np.int64)
     kept[offsets + 1] = 1
@@ -263,42 +274,46 @@ def _verify(cand: tuple[int, int, int, int, np.ndarray], chars: np.ndarray, plac
         # regions next to each other are one passage, if that holds as a whole
         for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
             if len(run) and not holds(int(run[0]), int(run[-1]) + need, int(run[0]) + lowest, width):
+                after = 0
                 for x in run.tolist():
-                    if holds(x, x + need, x + lowest, width):
-                        break
+                    if x >= after and holds(x, x + need, x + lowest, width):
+                        after = x + need
 
 
-def indexes(benchmark: DataFrame) -> list[list[Index]]:
-    """The benchmark's indexes by q, for each ``INDEX_CHARS`` characters (rounded up) of its items.
+def indexes(benchmark: DataFrame) -> Iterator[tuple[list[Index], bool]]:
+    """The benchmark's indexes by q, for each ``INDEX_CHARS`` characters (rounded up) of its items, and whether more come.
 
     Each has a proven size: items are dealt out by a hash into as many groups as their
-    characters need, and a group is brought to the driver and broadcast by itself. Items
-    under ten normalised characters are too short to tell and match nothing.
+    characters need, and a group is brought to the driver by itself when it is asked for.
+    Items under ten normalised characters are too short to tell and match nothing.
     """
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = -(-chars // INDEX_CHARS)
     dealt = items.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, groups))))
-    out = []
     for g in range(groups):
         rows = dealt.where(F.col("group") == g).orderBy("item_id").collect()
-        out.append(build_indexes([r.item_id for r in rows], [r.text for r in rows]))
-    return out
+        yield build_indexes([r.item_id for r in rows], [r.text for r in rows]), g + 1 < groups
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, start, end, n_chars, edits)``: benchmark passages in the documents.
 
-    A row for each row of ``docs`` and item of which the text holds the whole, or at least
-    80 characters, with edits of at most 8 % (letters and digits in lower case, words one
-    space apart). Offsets are code points of the text, within ten or so of the passage's
-    ends. Null and blank texts match nothing; repeated rows each have their own matches.
+    A row for each row of ``docs``, item and passage: a part of the text that holds the
+    whole item, or at least 80 characters of it, with edits of at most 8 % (letters and
+    digits in lower case, words one space apart). Passages of one item do not overlap.
+    Offsets are code points of the text, within ten or so of the passage's ends. Texts of
+    any length are searched whole; null and blank ones, an empty table and an empty
+    benchmark match nothing; repeated rows each have their own matches, repeated items
+    too. Ids are of any type, and other columns are not read. A benchmark of several
+    groups is searched one group after the other, each result written before the next.
     """
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = benchmark.schema["item_id"].dataType
+    kinds, item_arrow = f"doc_id {kind}, item_id {item_type.simpleString()}, start long, end long, n_chars long, edits long", to_arrow_type(item_type)
     out = None
-    for index in indexes(benchmark):
+    for index, more in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -311,20 +326,28 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         continue
                     at = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(at), pa.array([index.ids[g[1]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4, 5))],
+                        [batch.column("doc_id").take(at), pa.array([index.ids[g[1]] for g in got], item_arrow), *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4, 5))],
                         names=["doc_id", "item_id", "start", "end", "n_chars", "edits"],
                     )
 
-        part = rows.mapInArrow(apply, f"doc_id {kind}, item_id {item_kind}, start long, end long, n_chars long, edits long")
+        part = rows.mapInArrow(apply, kinds)
+        if more or out is not None:
+            part = stored(part, "benchmark-found")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("item_id", "start", "end", "n_chars", "edits"))).where("false")
+        out = rows.select("doc_id", F.lit(None).cast(item_type).alias("item_id"), *(F.lit(None).cast("long").alias(c) for c in ("start", "end", "n_chars", "edits"))).where("false")
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    for index in indexes(benchmark):
+    """The rows of ``docs`` that hold no passage of the benchmark (see ``find``), with all their columns.
+
+    Null and blank texts stay, as do all rows if the benchmark is empty; repeated rows
+    stay or go together. With a benchmark of several groups the rows that are left are
+    written after each but the last.
+    """
+    for index, more in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -335,6 +358,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)])) if hit else batch
 
         docs = docs.mapInArrow(apply, docs.schema)
+        if more:
+            docs = stored(docs, "benchmark-left")
+            shared.unpersist()
     return docs
 
 
@@ -344,5 +370,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages, null and blank texts among them; see ``clean``."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
