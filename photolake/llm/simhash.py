@@ -203,13 +203,14 @@ def stars(points: np.ndarray, radius: int, brute: int = 1024) -> tuple[np.ndarra
     return np.concatenate([none, *src]), np.concatenate([none, *dst])
 
 
-def links(fps: DataFrame, n: int, radius: int = 2, leaf_rows: int = 1000, most_leaves: int = 1 << 14) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int = 2, leaf_rows: int = 1000, most_leaves: int = 1 << 17) -> DataFrame:
     """``(src, dst)`` fingerprints whose components are those of all pairs within ``radius`` bits.
 
     ``fps`` has distinct ``fp``, ``n`` of them. A tree built from a sample (at most 16
-    rows for each of ``most_leaves`` leaves) deals the fingerprints out; those near a
-    sphere go to both sides, so each pair meets in some leaf. Leaves part further where
-    they are worked on, so a larger input only makes them deeper. No pair is lost.
+    rows for each of ``most_leaves`` leaves, 17 MB in all) deals the fingerprints out;
+    those near a sphere go to both sides, so each pair meets in some leaf. Leaves part
+    further where they are worked on, so past ``most_leaves`` (some 130 million distinct
+    fingerprints) they only become deeper: 8 bytes a fingerprint and copy. No pair is lost.
     """
     leaves = int(min(most_leaves, max(1, n // leaf_rows)))
     per = 16
@@ -227,7 +228,9 @@ def links(fps: DataFrame, n: int, radius: int = 2, leaf_rows: int = 1000, most_l
         src, dst = stars(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    return fps.mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInPandas(search, "src long, dst long")
+    # a task has few leaves however many there are
+    dealt = fps.mapInArrow(deal, "leaf long, fp long").repartition(max(1, leaves // 4), "leaf")
+    return dealt.groupBy("leaf").applyInPandas(search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -267,15 +270,15 @@ _RNG = np.random.default_rng(SEED)
 MULTIPLY, ADD = _RNG.integers(1, 1 << 63, BANDS * DEPTH, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
 
 
-def shingle_sets(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct ``WORDS``-word shingles in order, and where each text's begin."""
+def shingle_sets(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct ``WORDS``-word shingles in order, where each text's begin, and how many each has with repeats."""
     hashes, first = shingles(documents, WORDS)
     owner = np.repeat(np.arange(len(documents)), np.diff(first))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.searchsorted(owner[new], np.arange(len(documents) + 1))
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(documents) + 1)), np.diff(first)
 
 
 def band_keys(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -294,18 +297,18 @@ def band_keys(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, sig, keys)`` for each row: hashes of the text and of its shingle set, and its bands."""
+    """``(doc_id, tie, n, sig, keys)`` for each row: a hash of the text, its shingles with repeats, a hash of their set, and its bands."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sets, starts = shingle_sets(raw(batch.column("text")))
+            sets, starts, n = shingle_sets(raw(batch.column("text")))
             sig = np.fromiter((xxhash.xxh64_intdigest(sets[a:b].tobytes(), SEED) for a, b in zip(starts[:-1], starts[1:])), np.uint64, batch.num_rows)
             ends = np.concatenate([[0], np.cumsum((np.diff(starts) > 0) * BANDS)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets, starts).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "n", "sig", "keys"])
 
     rows = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, sig long, keys array<long>")
+    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, n long, sig long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,7 +316,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sets, starts = shingle_sets(raw(batch.column("text")))
+            sets, starts, _ = shingle_sets(raw(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["sig", "set"])
 
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
@@ -329,14 +332,14 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``(group, last, doc_id, tie)``: for each group of near copies its row of the smallest ``doc_id`` (nulls last), then text hash.
+    """``(group, more, last, doc_id, tie)``: for each group of near copies the fullest one: most shingles, then smallest ``doc_id`` (nulls last), then text hash.
 
     Groups are the components of all pairs of texts that share a band and have the exact
     similarity. Equal shingle sets are one. First each text of a band is compared with the
     band's smallest; then only pairs of one band that are not joined yet are, so a large
     group of copies costs no pairs of its members and no pair of a band is left out.
     """
-    kinds = stored(sketches(docs).groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys")), "near")
+    kinds = stored(sketches(docs).groupBy("sig").agg(F.min(F.struct((-F.col("n")).alias("more"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys")), "near")
     banded = kinds.select("sig", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low")
     members = stored(banded.join(shared, "key"), "near-bands")
@@ -361,7 +364,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that of the smallest ``doc_id`` (nulls last), then text hash."""
+    """One row of each group of near copies: the fullest text's, of equals that of the smallest ``doc_id`` (nulls last), then text hash.
+
+    Null, empty and blank texts are copies of each other; repeated rows are one. Texts of
+    any length are compared whole. The columns are those of ``docs``, whatever their names.
+    """
     columns = docs.columns
     key = fresh("near_key", columns)
 
