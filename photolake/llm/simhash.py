@@ -307,21 +307,31 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets, starts).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "n", "sig", "keys"])
 
-    rows = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    rows = texts(docs, _text_hash().alias("tie"))
     return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, n long, sig long, keys array<long>")
 
 
+def _named(doc_id: Column, tie: Column) -> Column:
+    """A row's id and text hash in one text, which no null hides."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), tie.cast("string"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(sig, set)`` for the texts whose hash is a ``tie`` of ``wanted`` ``(sig, tie)``."""
+    """``(sig, set)`` for the rows of ``docs`` whose id and text hash are a ``name`` of ``wanted`` ``(sig, name)``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             sets, starts, _ = shingle_sets(raw(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["sig", "set"])
 
-    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    once = rows.join(wanted.select("tie"), "tie", "left_semi").groupBy("tie").agg(F.first("text").alias("text"))
-    return once.join(wanted, "tie").select("sig", "text").mapInArrow(apply, "sig long, set array<long>")
+    rows = docs.select(_named(F.col("doc_id"), _text_hash()).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    # repeated rows have one name
+    once = rows.join(wanted, "name").dropDuplicates(["sig"])
+    return once.select("sig", "text").mapInArrow(apply, "sig long, set array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -331,32 +341,96 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * OF >= ALIKE * (F.size("a") + F.size("b") - shared)).select("src", "dst")
 
 
+#: A band of more open texts than ``SMALL`` is not paired but worked on in tiles of twice ``TILE`` texts at most.
+SMALL, TILE = 32, 2048
+
+
+def tile_edges(sig: np.ndarray, label: np.ndarray, sets: list[np.ndarray], side: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between similar texts of different labels that join all labels which such texts join.
+
+    In an ``own`` tile all texts are compared, else those of side 0 with those of side 1.
+    Texts of the commonest label are not compared with each other; overlaps are counted
+    through an index of the shingles, a text at a time, so no pairs are kept.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    names, code, count = np.unique(label, return_inverse=True, return_counts=True)
+    up = np.arange(len(names))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    src, dst = [], []
+    for i in np.flatnonzero(code != count.argmax()).tolist():
+        a, b = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = b - a
+        hits = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[hits], minlength=len(sets))
+        found = (shared * OF >= ALIKE * (size[i] + size - shared)) & (code != code[i])
+        if not own:
+            found &= side != side[i]
+        for j in np.flatnonzero(found).tolist():
+            x, y = top(int(code[i])), top(int(code[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                src.append(i)
+                dst.append(j)
+    return sig[src], sig[dst]
+
+
+def tiled(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(src, dst)``: edges of the large bands of ``rest`` ``(key, sig, label, open)``, found tile by tile (see ``tile_edges``)."""
+    blocks = F.ceil(F.col("open") / TILE).cast("int")
+    mine = rest.withColumn("block", F.pmod(F.xxhash64("sig", "key"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = mine.withColumn("other", other).select("key", "sig", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["i"].iat[0] == group["j"].iat[0]
+        found = tile_edges(group["sig"].to_numpy(np.int64), group["label"].to_numpy(np.int64), [np.asarray(x) for x in group["set"]], group["side"].to_numpy(), own)
+        return pd.DataFrame({"src": found[0], "dst": found[1]})
+
+    return dealt.join(sets, "sig").groupBy("key", "i", "j").applyInPandas(search, "src long, dst long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``(group, more, last, doc_id, tie)``: for each group of near copies the fullest one: most shingles, then smallest ``doc_id`` (nulls last), then text hash.
 
     Groups are the components of all pairs of texts that share a band and have the exact
     similarity. Equal shingle sets are one. First each text of a band is compared with the
-    band's smallest; then only pairs of one band that are not joined yet are, so a large
-    group of copies costs no pairs of its members and no pair of a band is left out.
+    one that shares most bands with others (a group's origin rather than a much edited
+    copy of it). What a band's texts then lack to be joined is found from the pairs of
+    small bands and, in tiles, from the overlaps of large ones, so a large group of copies
+    costs no pairs of its members, and no pair of a band is left out.
     """
-    kinds = stored(sketches(docs).groupBy("sig").agg(F.min(F.struct((-F.col("n")).alias("more"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys")), "near")
+    kinds = sketches(docs).groupBy("sig").agg(F.min(F.struct((-F.col("n")).alias("more"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys"))
+    kinds = stored(kinds, "near")
     banded = kinds.select("sig", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key", "low")
+    shared = banded.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
     members = stored(banded.join(shared, "key"), "near-bands")
-    wanted = kinds.join(members.select("sig").distinct(), "sig", "left_semi").select("sig", F.col("least.tie").alias("tie"))
+    crowd = members.groupBy("sig").agg(F.sum("texts").alias("crowd"))
+    centre = members.join(crowd, "sig").groupBy("key").agg(F.max_by("sig", F.struct("crowd", "sig")).alias("centre"))
+    wanted = kinds.join(crowd, "sig", "left_semi").select("sig", _named(F.col("least.doc_id"), F.col("least.tie")).alias("name"))
     sets = stored(sets_of(docs, wanted), "near-sets")
-    pairs = members.where("sig <> low").select(F.col("low").alias("src"), F.col("sig").alias("dst")).distinct()
+    pairs = members.join(centre, "key").where("sig <> centre").select(F.least("sig", "centre").alias("src"), F.greatest("sig", "centre").alias("dst")).distinct()
+    pairs = stored(pairs, "near-stars")
     edges = stored(alike(pairs, sets), "near-pairs")
     groups = connected_components(edges)
     size = sets.select(F.col("sig"), F.size("set").alias("n"))
-    labelled = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "low", F.coalesce("component", "sig").alias("label"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = stored(labelled.join(apart, "key", "left_semi").join(size, "sig"), "near-rest")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "label", "n"))) for side in "ab")
+    labelled = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("open")).where("x <> y").select("key", "open")
+    rest = stored(labelled.join(apart, "key").join(size, "sig"), "near-rest")
+    few = rest.where(f"open <= {SMALL}")
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "label", "n"))) for side in "ab")
     open_pairs = a.join(b, "key").where(f"sig_a < sig_b AND label_a <> label_b AND n_a * {OF} >= n_b * {ALIKE} AND n_b * {OF} >= n_a * {ALIKE}")
-    # those with the band's smallest have been compared
+    # those with a centre have been compared
     open_pairs = open_pairs.select(F.col("sig_a").alias("src"), F.col("sig_b").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
-    more = stored(alike(open_pairs, sets), "near-pairs")
+    more = stored(alike(open_pairs, sets).unionByName(tiled(rest.where(f"open > {SMALL}"), sets)), "near-pairs")
     if not more.isEmpty():
         groups = connected_components(edges.unionByName(more))
     found = kinds.select("sig", "least").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
@@ -372,9 +446,6 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     columns = docs.columns
     key = fresh("near_key", columns)
 
-    def named(doc_id: str, tie) -> Column:
-        return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), tie.cast("string"))
-
-    keep = near_copies(docs).select(named("doc_id", F.col("tie")).alias(key))
-    rows = docs.withColumn(key, named("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    keep = near_copies(docs).select(_named(F.col("doc_id"), F.col("tie")).alias(key))
+    rows = docs.withColumn(key, _named(F.col("doc_id"), _text_hash()))
     return rows.join(keep, key, "left_semi").dropDuplicates([key]).select(*columns)

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from photolake.llm import simhash
 from photolake.llm.simhash import near_copies, stage_near_dedup
 
 
@@ -38,3 +41,47 @@ def test_near_copies_equal_all_pairs(spark):
     assert 25 <= len(expected) < 100
     assert {r.doc_id for r in near_copies(docs).collect()} == expected
     assert sorted(r.doc_id for r in stage_near_dedup(spark, docs, "").collect()) == sorted(expected)
+
+
+def test_large_groups_equal_all_pairs(spark, monkeypatch):
+    """More texts in a band than are paired, most of them too far from the origin: tiles find what joins them."""
+    monkeypatch.setattr(simhash, "SMALL", 6)
+    monkeypatch.setattr(simhash, "TILE", 20)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for _ in range(2):
+        base = [rng.choice(words) for _ in range(150)]
+        for i in range(110):
+            text = list(base)
+            for _ in range(i % 11):
+                text[rng.randrange(150)] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_copies(docs).collect()} == brute_groups(rows)
+
+
+def test_tiles_join_what_all_pairs_join():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = []
+    for i in range(70):
+        x = base.copy()
+        at = rng.choice(60, i % 14, replace=False)
+        x[at] = rng.integers(0, 1 << 60, len(at))
+        sets.append(np.unique(x))
+    sig, label = np.arange(70) + 100, np.where(np.arange(70) % 3, np.arange(70), 0)
+    similar = [(i, j) for i in range(70) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+
+    def joined(edges):
+        low = list(range(70))
+        for _ in range(70):
+            for i, j in [*edges, *((i, int(label[i])) for i in range(70))]:
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    src, dst = simhash.tile_edges(sig, label, sets, np.zeros(70, int), True)
+    assert len(src) < 70 and joined(list(zip(src - 100, dst - 100))) == joined(similar)
+    half = np.arange(70) // 35
+    src, dst = simhash.tile_edges(sig, label, sets, half, False)
+    assert joined(list(zip(src - 100, dst - 100))) == joined([(i, j) for i, j in similar if half[i] != half[j]])
