@@ -13,61 +13,66 @@ from pyspark.sql import functions as F
 from photolake.llm.common import slices
 from photolake.session import table
 
-_MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
+#: Comments, declarations, tags (a quote that never ends is taken as a character) and stray end tags.
+_MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math".split())
-#: Elements that never belong to an article.
-APART = RAW | frozenset("head nav header footer aside form button select menu dialog fieldset object audio video canvas map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg g text tspan math mi mn mo ms mtext mrow msup msub mfrac msqrt mroot mstyle semantics".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
+#: Elements that never belong to an article: scripts, styles, menus, headers, footers, sidebars, forms and their controls.
+APART = RAW | frozenset("head nav header footer aside form button select menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of class and id that mark what stands beside an article.
+#: Words of class and id for menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer "
-    "gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion "
-    "recommended related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer "
+    "gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion "
+    "replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Words that make a name tell of an element's state or of what else the page has.
-STATES = frozenset("has have no not with without is hide hides hidden show shows enable enabled disable disabled open opened closed on off left right active inactive supported ready loaded".split())
+#: Words that only say what kind of box, or where, one of ``BESIDE`` is.
+BOX = frozenset("area bar block body bottom box container content group holder inner item items left link links list main outer page panel primary right row secondary section side site slot text title top unit wrap wrapper".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd dt".split())
 WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 def _beside(tag: str, attributes: str) -> int:
     """Whether an element and all in it stand beside the article: 3 surely, 2 by a name of its class or id, 1 by a part of a name, 0 not.
 
-    A name counts if its first or last word is in ``BESIDE`` and no word is in ``STATES``
-    (``has-sidebar``, ``no-comments``).
+    A name counts if all its words are in ``BESIDE`` or ``BOX`` and one is in ``BESIDE``
+    (``ad-box``, not ``has-sidebar``, ``no-comments`` or ``notice-board``).
     """
     if tag in APART:
         return 3
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes:
         return 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if tag in WHOLE:
         return 0
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return 3
     if found.get("role", "").lower() in ROLES:
         return 3
     marked = 0
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if parts and (parts[0] in BESIDE or parts[-1] in BESIDE) and STATES.isdisjoint(parts):
+        if not BESIDE.isdisjoint(parts) and all(p in BESIDE or p in BOX for p in parts):
             marked = max(marked, 2 if len(parts) == 1 else 1)
     return marked
 
 
+def _upwards(parents: list[int], values: list, share: float = 1) -> None:
+    """Adds to each element a share of its children's sums; children come after their parents."""
+    for e in range(len(parents) - 1, 0, -1):
+        values[parents[e]] += values[e] * share
+
+
 def _without_marked(parents: list[int], found: list[tuple[int, str, int]], marked: dict[int, int]) -> list[tuple[int, str, int]]:
     """The blocks outside ``marked`` elements, but for those that hold most of the page's text that is not linked; where the whole name marks one, all of it."""
     plain = [0] * len(parents)
     for element, text, linked in found:
-        while element >= 0:
-            plain[element] += len(text) - linked
-            element = parents[element]
+        plain[element] += len(text) - linked
+    _upwards(parents, plain)
     dropped = [False] * len(parents)
     for e in range(1, len(parents)):
         dropped[e] = dropped[parents[e]] or e in marked and (2 * plain[e] <= plain[0] if marked[e] == 1 else plain[e] < plain[0])
@@ -85,6 +90,7 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
     parents, tags, found = [-1], ["#"], []
     marked: dict[int, int] = {}
     stack: list[tuple[str, int, bool]] = [("#", 0, False)]  # tag, block element, beside
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
     text: list[str] = []
     linked = links = beside = 0
     at = 0
@@ -103,17 +109,20 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
         if stack[-1][0] not in INLINE:
             flush()
         tag, _, apart = stack.pop()
+        places[tag].pop()
         links -= tag == "a"
         beside -= apart
 
+    def last(tag: str) -> int:
+        found_at = places.get(tag)
+        return found_at[-1] if found_at else 0
+
     def close(wanted: tuple[str, ...], limit: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in wanted:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in limit:
-                return
+        """Ends the last open element of ``wanted``, unless one of ``limit`` is open inside it."""
+        i = max(map(last, wanted))
+        if i and i > max(map(last, limit), default=0):
+            while len(stack) > i:
+                pop()
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -134,7 +143,7 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
         if m[1]:
             if tag == "br":
                 add(" ")
-            elif any(x[0] == tag for x in stack[1:]):
+            else:
                 close((tag,), ())
             continue
         if tag in VOID:
@@ -164,6 +173,7 @@ def blocks(page: str) -> tuple[list[int], list[str], list[tuple[int, str, int]]]
         apart = kind == 3 or (kind > 0 and tag in INLINE)
         if kind and not apart and not beside:
             marked[len(tags) - 1] = kind
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(tags) - 1 if tag not in INLINE else stack[-1][1], apart))
         links += tag == "a"
         beside += apart
@@ -178,8 +188,9 @@ def main_text(page: str | None) -> str:
     """The article of an HTML page, its blocks joined by line breaks; empty if there is none.
 
     Each block gives points for its length and commas, less for text in links, to its
-    element and, in shrinking shares, to those around it. The element with most points
-    is kept with its siblings that read like text. Nothing kept is cut or dropped.
+    element and, halved at each step, to those around it. The element with most points,
+    the first of equals, is kept with its siblings that read like text. Nothing kept is
+    cut or dropped. The work grows with the page's length, however deep it is nested.
     """
     if not page:
         return ""
@@ -189,21 +200,16 @@ def main_text(page: str | None) -> str:
     points, chars, linked = [0.0] * len(tags), [0] * len(tags), [0] * len(tags)
     for element, text, in_links in found:
         own = (1 + text.count(",") + min(len(text) / 100, 10)) * (1 - in_links / len(text))
-        level, e = 0, element
         # a paragraph's points go to what contains it
-        if tags[e] in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd", "dt"):
-            e = parents[e]
-        while e >= 0:
-            points[e] += own / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            level, e = level + 1, parents[e]
-        e = element
-        while e >= 0:
-            chars[e] += len(text)
-            linked[e] += in_links
-            e = parents[e]
+        points[parents[element] if tags[element] in PARAGRAPHS else element] += own
+        chars[element] += len(text)
+        linked[element] += in_links
+    _upwards(parents, points, 0.5)
+    _upwards(parents, chars)
+    _upwards(parents, linked)
     density = [b / a if a else 0.0 for a, b in zip(chars, linked)]
     scores = [p * (1 - d) for p, d in zip(points, density)]
-    semantic = [i for i, t in enumerate(tags) if t in ("article", "main") and chars[i]]
+    semantic = {i for i, t in enumerate(tags) if t in ("article", "main") and chars[i]}
     best = max(range(len(tags)), key=lambda i: (scores[i], -i))
     around = best
     while around >= 0:
@@ -224,7 +230,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for each row of ``pages``; null or empty html has an empty text."""
+    """``(page_id, url, text, n_chars)`` for each row of ``pages``; null or empty html has an empty text.
+
+    Whole pages of any length are read; repeated rows are extracted each, and an empty
+    table gives an empty result. Other columns are left out, whatever their names.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 1 << 21):
