@@ -6,12 +6,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from photolake.llm.common import WordHash, code_points, slices, texts
+from photolake.llm.license_texts import templates
 from photolake.session import table
 
 SHINGLE = 5
@@ -19,29 +21,7 @@ CONTAINED = 0.8
 #: The chance that no band of a window retrieves a template which it contains at CONTAINED.
 MISS = 1e-4
 
-#: Notices of public licenses.
-TEMPLATES = {
-    "mit-short": "Released under the MIT License.",
-    "apache-2.0-short": "Licensed under the Apache License, Version 2.0",
-    "gpl-short": "This work is licensed under the GNU General Public License, version 3",
-    "cc-by-nc-short": "Licensed under CC BY-NC 4.0.",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
-    ),
-    "apache-2.0": (
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
-        "Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+TEMPLATES = templates()
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
@@ -91,6 +71,9 @@ class Catalogue:
     lengths: list[int]
     #: window size in shingles -> (bands, sorted keys, template of each key)
     sizes: dict[int, tuple[int, np.ndarray, np.ndarray]]
+    window_of: dict[int, int]
+    #: how often each template has each of its shingles
+    times: list[np.ndarray]
 
 
 _RNG = np.random.default_rng(97)
@@ -106,13 +89,14 @@ def catalogue(templates: dict[str, str]) -> Catalogue:
     and of b bands of one hash none agrees with chance (1 - j) ** b at most; b is set to
     bring that below ``MISS``.
     """
-    word_hash, names, sets, lengths = WordHash(), [], [], []
+    word_hash, names, sets, times, lengths = WordHash(), [], [], [], []
     by_size: dict[int, list[int]] = {}
     for name, text in templates.items():
         hashes = split([text], word_hash)[0]
         if len(hashes) < SHINGLE:
             raise ValueError(f"template {name} has under {SHINGLE} words")
-        own = np.unique(shingles(hashes))
+        own, count = np.unique(shingles(hashes), return_counts=True)
+        times.append(count)
         by_size.setdefault(1 << math.ceil(math.log2(2 * (len(hashes) - SHINGLE + 1))), []).append(len(names))
         names.append(name)
         sets.append(own)
@@ -131,11 +115,11 @@ def catalogue(templates: dict[str, str]) -> Catalogue:
         keys = np.concatenate(keys)
         order = np.argsort(keys)
         sizes[window] = (bands, keys[order], np.array(owner)[order])
-    return Catalogue(names, sets, lengths, sizes)
+    return Catalogue(names, sets, lengths, sizes, {m: w for w, members in by_size.items() for m in members}, times)
 
 
 def scan(strings: list[str], found_in: Catalogue, word_hash: WordHash) -> list[tuple[int, int, int, int, float]]:
-    """``(text, template, start, end, containment)`` of each template in each text: its best place, in code points."""
+    """``(text, template, start, end, containment)`` of each place of each template in each text, in code points."""
     hashes, first, last, starts = split(strings, word_hash)
     all_shingles = shingles(hashes)
     n = np.maximum(np.diff(starts) - SHINGLE + 1, 0)
@@ -166,49 +150,106 @@ def scan(strings: list[str], found_in: Catalogue, word_hash: WordHash) -> list[t
                 for k in range(x, y):
                     candidates.setdefault((int(text[w]), int(owner[k])), set()).add(int(at[w] - begin[text[w]]))
     out = []
+    origins = np.cumsum([0, *(len(x) + 1 for x in strings)])
     for (t, m), places in sorted(candidates.items()):
-        own, size = found_in.sets[m], next(w for w, (_, _, o) in found_in.sizes.items() if m in o)
-        best = None
-        for place in sorted(places):
-            stop = min(place + size, int(n[t]))
-            part = s[begin[t] + place : begin[t] + stop]
-            hit = np.flatnonzero(np.isin(part, own))
-            share = len(np.unique(part[hit])) / len(own)
-            if share >= CONTAINED and (best is None or share > best[0]):
-                best = (share, place + int(hit[0]), place + int(hit[-1]) + SHINGLE - 1)
-        if best:
-            base = int(starts[t])
-            origin = sum(len(x) + 1 for x in strings[:t])
-            out.append((t, m, int(first[base + best[1]]) - origin, int(last[base + best[2]]) - origin, best[0]))
+        own, size = found_in.sets[m], found_in.window_of[m]
+        # all shingles of the template in the windows that were retrieved
+        near = np.zeros(int(n[t]), dtype=bool)
+        for place in places:
+            near[place : place + size] = True
+        at = np.flatnonzero(near)
+        part = s[begin[t] + at]
+        which = np.minimum(np.searchsorted(own, part), len(own) - 1)
+        hit = own[which] == part
+        for a, b, share in _occurrences(at[hit], which[hit], found_in.times[m], size):
+            base, origin = int(starts[t]), int(origins[t])
+            out.append((t, m, int(first[base + a]) - origin, int(last[base + b + SHINGLE - 1]) - origin, share))
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """``(doc_id, license, start, end, containment)``: the templates that a text contains.
+def _occurrences(at: np.ndarray, which: np.ndarray, times: np.ndarray, size: int) -> list[tuple[int, int, float]]:
+    """``(first, last, share)`` of runs of hits that hold enough of a template's shingles within ``size``; none overlap.
 
-    A template counts if at least 80 % of its five-word shingles stand in one window; the
-    best place of each is given, the first of equals. Version numbers are alike. Null and
-    blank texts, and texts under five words, contain none; repeated rows are scanned each.
-    The templates are a fixed small list that travels with each task.
+    ``at`` are places in order, ``which`` the template's shingle at each and ``times`` how
+    often the template has each. A run ends before a shingle that it has as often.
     """
-    known = catalogue(templates or TEMPLATES)
+    out, low, n = [], 0, len(times)
+    while len(at) - low >= CONTAINED * n:
+        counts: dict[int, int] = {}
+        a, done = low, None
+        for b in range(low, len(at)):
+            counts[which[b]] = counts.get(which[b], 0) + 1
+            while at[b] - at[a] >= size or (counts[which[a]] > times[which[a]] and a < b):
+                counts[which[a]] -= 1
+                if not counts[which[a]]:
+                    del counts[which[a]]
+                a += 1
+            if len(counts) >= CONTAINED * n:
+                while b + 1 < len(at) and counts.get(which[b + 1], 0) < times[which[b + 1]] and at[b + 1] - at[a] < size:
+                    b += 1
+                    counts[which[b]] = counts.get(which[b], 0) + 1
+                done = (int(at[a]), int(at[b]), len(counts) / n)
+                low = b + 1
+                break
+        if done is None:
+            break
+        out.append(done)
+    return out
+
+
+def scan_licenses(docs: DataFrame, known_texts: dict[str, str] | None = None) -> DataFrame:
+    """``(doc_id, license, start, end, containment)``: the license texts and notices that a text contains.
+
+    A template counts if at least 80 % of its five-word shingles stand in one window;
+    each such place is a row. Version numbers are alike. Where places of one license
+    overlap (its notices are many), the one with most text stays, of equals the first; where
+    licenses of like wording have about the same place, the one contained most fully does.
+    Texts of any length are scanned whole. Null and blank texts, texts under five words
+    and an empty table contain none; repeated rows are scanned each. The templates are a
+    fixed list that travels with each task; other columns are not read.
+    """
+    known = catalogue(known_texts or TEMPLATES)
     rows = texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = WordHash()
         for batch in slices(batches, "text", 1 << 20):
-            got = scan(batch.column("text").to_pylist(), known, word_hash)
+            got = _apart([(t, known.names[m].split(":")[0], *place) for t, m, *place in scan(batch.column("text").to_pylist(), known, word_hash)])
             if got:
                 ids = batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([known.names[g[1]] for g in got]), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.float64())],
+                    [ids, pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.float64())],
                     names=["doc_id", "license", "start", "end", "containment"],
                 )
 
     return rows.mapInArrow(apply, f"doc_id {kind}, license string, start long, end long, containment double")
 
 
+def _apart(places: list[tuple[int, str, int, int, float]]) -> list[tuple[int, str, int, int, float]]:
+    """Places ``(text, license, start, end, containment)`` without those that another one of the text outdoes.
+
+    That is one of the same license that overlaps and is longer, or one of another
+    license (of like wording) at about the same place that is contained more fully.
+    """
+
+    def shared(p: tuple, q: tuple) -> int:
+        return min(p[3], q[3]) - max(p[2], q[2])
+
+    kept: list[tuple[int, str, int, int, float]] = []
+    for _, group in groupby(sorted(places), key=lambda p: p[0]):
+        mine: list[tuple[int, str, int, int, float]] = []
+        for p in sorted(group, key=lambda p: (p[2] - p[3], p[2])):
+            if all(p[1] != q[1] or shared(p, q) <= 0 for q in mine):
+                mine.append(p)
+        best: list[tuple[int, str, int, int, float]] = []
+        for p in sorted(mine, key=lambda p: (-p[4], p[2] - p[3], p[2], p[1])):
+            if all(5 * shared(p, q) < 4 * max(p[3] - p[2], q[3] - q[2]) for q in best):
+                best.append(p)
+        kept += sorted(best)
+    return kept
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
     return scan_licenses(table(spark, sf_dir, "documents"))
