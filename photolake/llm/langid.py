@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm.common import code_points, fold, fresh, letters, slices, span_sums, texts, wider
-from photolake.session import table
+from photolake.session import stored, table
 
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 1000
@@ -73,10 +73,11 @@ def fit(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]
     ``docs`` has text and lang; all its rows are counted. The matrix has 32,769 rows and
     a column for each language, of which there may be 1,000; more is an error.
     """
-    got = counts(docs).toPandas()
+    found = stored(counts(docs), "lang-counts")
+    if found.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    got = found.toPandas()
     langs = sorted(got["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} at most")
     matrix = np.zeros((BUCKETS + 1, len(langs)))
     matrix[got["bucket"].to_numpy(), [langs.index(x) for x in got["lang"]]] = got["n"].to_numpy()
     if langs:
@@ -128,7 +129,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Documents whose language is known: ``und`` and scores below ``least`` go."""
+    """Documents whose language is known: ``und`` and scores below ``least`` go.
+
+    Null, empty and blank texts and those without letters are ``und``. All rows that have
+    a ``lang`` are learned from; without any, all documents go. Repeated rows go or stay
+    together. The columns are those of ``docs``, whatever their names.
+    """
     columns = docs.columns
     lang, score = fresh("lang_pred", columns), fresh("lang_score", columns)
     model = fit(docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang"))

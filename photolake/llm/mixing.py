@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     sized = stored(docs.select("doc_id", "source", size().alias("size"), order_key().alias("key")), "mix-sizes")
     sources = cut(targets(sized, weights, share, passes))
-    rows, words = sources.agg(F.max("source_rows"), F.sum("source_size")).first()
+    rows, every, words = sources.agg(F.max("source_rows"), F.sum("source_rows"), F.sum("source_size")).first()
     buckets = min(1 << 20, 1 << max(0, math.ceil(math.log2(max(1, (rows or 0) / 100)))))
     bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
     placed = sized.withColumn("bucket", bucket).join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -90,9 +90,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     queued = stored(run.select("doc_id", "source", "key", "size", "source_size", "target", *finish), "mix-queue")
 
     items = queued.where("size > 0").select("size", F.explode(F.array(*(f"finish{p}" for p in range(passes)))).alias("finish"))
-    ranged = cut(items.repartitionByRange("finish").select("finish", "size", F.spark_partition_id().alias("part")))
-    parts = ranged.groupBy("part").agg(F.sum("size").alias("words"), F.max("finish").alias("most"))
-    upto = parts.withColumn("upto", F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # as many range parts as keep the one that the budget ends in to about a million items
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(passes * (every or 0) / 1_000_000))
+    ranged = cut(items.repartitionByRange(parts, "finish").select("finish", "size", F.spark_partition_id().alias("part")))
+    filled = ranged.groupBy("part").agg(F.sum("size").alias("words"), F.max("finish").alias("most"))
+    upto = filled.withColumn("upto", F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     budget = share * (words or 0)
     full = upto.where(F.col("upto") <= budget).agg(F.max("upto"), F.max("most"), F.max("part")).first()
     used, last, part = full[0] or 0, -1.0 if full[1] is None else full[1], -1 if full[2] is None else full[2]
@@ -121,10 +123,11 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     columns = docs.columns
     found = mix(docs)
-    cuts = found.rows.where("size > 0").groupBy(F.col("source").alias("_mix_source")).agg(*(F.max(F.when(F.col(f"finish{p}") <= F.lit(found.last), F.col("key"))).alias(f"_mix_cut{p}") for p in range(found.passes)))
+    source, cut_at = fresh("_mix_source", columns), [fresh(f"_mix_cut{p}", columns) for p in range(found.passes)]
+    cuts = found.rows.where("size > 0").groupBy(F.col("source").alias(source)).agg(*(F.max(F.when(F.col(f"finish{p}") <= F.lit(found.last), F.col("key"))).alias(cut_at[p]) for p in range(found.passes)))
     named = docs.withColumns({(key := fresh("_mix_key", columns)): order_key(), (words := fresh("_mix_size", columns)): size()})
-    joined = named.where(F.col(words) > 0).join(cuts, named["source"].eqNullSafe(cuts["_mix_source"]))
-    times = sum((F.coalesce(F.col(key) <= F.col(f"_mix_cut{p}"), F.lit(False))).cast("int") for p in range(found.passes))
+    joined = named.where(F.col(words) > 0).join(cuts, named["source"].eqNullSafe(cuts[source]))
+    times = sum((F.coalesce(F.col(key) <= F.col(cut_at[p]), F.lit(False))).cast("int") for p in range(found.passes))
     copy = fresh("_mix_copy", columns)
     return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
 

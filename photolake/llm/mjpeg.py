@@ -324,9 +324,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in slices(batches, "media", 1 << 23):
         media = batch.column("media").to_pylist()
-        frames, _ = read_cells(media)
+        frames, rates = read_cells(media)
         payloads = [f.tobytes() for f in frames]
-        features = [f"frames={len(f)};mean={f.mean():.3f};clips=" + ",".join(f"{a}-{b}" for a, b in shots(f)) for f in frames]
+        features = [f"frames={len(f)};mean={f.mean():.3f};clips=" + ",".join(f"{a}-{b}@{a / r:.2f}-{(b + 1) / r:.2f}s" for a, b in shots(f)) for f, r in zip(frames, rates)]
         columns = [
             pa.array([len(p) for p in payloads], pa.int64()),
             pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
@@ -368,14 +368,22 @@ def clips(media: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Stores each text as ``store`` does, reads the files back and gives digests and shots of each.
 
-    Both steps run on the same small batches in one pass, so no media is kept. Equal
-    texts give equal values; null and empty texts are one frame of 255.
+    Both steps run on the same small batches in one pass, so no media is kept: the files
+    are written to and read from memory. ``feature`` has each shot's first and last frame
+    and its seconds. Equal texts give equal values; null and empty texts are one frame of
+    255, long ones any number of frames; repeated rows are stored each, and an empty table
+    gives an empty result. Other columns are left out, whatever their names.
     """
     rows = texts(docs)
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(lambda batches: _digest(_store(batches)), kinds)
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips (shots) of every document stored as motion-JPEG."""
+    return clips(store(table(spark, sf_dir, "documents")))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as motion-JPEG and read back."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -130,7 +130,14 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document, learned from the labels of the folds other than 0 of 5."""
+    """Quality of every document, learned from the labels of the folds other than 0 of 5.
+
+    Each row is scored by itself, so repeated rows have equal scores. Null and empty texts
+    have the model's bias; texts of any length are read whole. A document that is labelled
+    several times counts once, by its largest label; null labels and labels without a
+    document are left out. Without labels all scores are 0.5; an empty table gives an
+    empty result. Other columns of both tables are not read.
+    """
     docs = texts(table(spark, sf_dir, "documents"), (fold("doc_id", 5) == 0).alias("held_out"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 5) != 0)
     weights = train(sample(docs.select("doc_id", "text"), labels, "quality", SAMPLE).collect())

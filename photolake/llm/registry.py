@@ -17,6 +17,7 @@ def queries() -> dict:
         html.op8_html,
         decontaminate.op9_decontaminate,
         simhash.op10_simhash,
+        mjpeg.media_clips,
     )
     return {f.__name__: f for f in found}
 

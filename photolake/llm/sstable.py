@@ -137,14 +137,24 @@ class ShardReader:
             at += 14
             self.index.append((data[at : at + k], offset, length))
             at += k
+        self.lasts, self._filter = [k for k, _, _ in self.index], None
 
     def _at(self, offset: int, length: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(length)
 
     def may_hold(self, key: bytes) -> bool:
-        bits = np.unpackbits(np.frombuffer(self._at(self.bloom_at, self.bits // 8), np.uint8))
-        return bool(bits[_bloom_bits([key[:9]], self.bits)].all())
+        return bool(self.may_hold_each([key])[0])
+
+    def may_hold_each(self, keys: list[bytes]) -> np.ndarray:
+        """For each key whether the shard can hold it, by its last key and the Bloom filter, which is read once."""
+        if not self.lasts or not keys:
+            return np.zeros(len(keys), dtype=bool)
+        if self._filter is None:
+            self._filter = np.unpackbits(np.frombuffer(self._at(self.bloom_at, self.bits // 8), np.uint8))
+        heads = [k[:9] for k in keys]
+        maybe = self._filter[_bloom_bits(heads, self.bits)].reshape(len(keys), HASHES).all(axis=1)
+        return maybe & np.fromiter((h <= self.lasts[-1][:9] for h in heads), bool, len(heads))
 
     def block(self, i: int) -> tuple[bytes, list[int]]:
         data = zstandard.ZstdDecompressor().decompress(self._at(*self.index[i][1:]))
@@ -171,7 +181,7 @@ class ShardReader:
         want, found = sort_key(doc_id), []
         if not self.may_hold(want):
             return found
-        for i in range(bisect.bisect_left([k for k, _, _ in self.index], want), len(self.index)):
+        for i in range(bisect.bisect_left(self.lasts, want), len(self.index)):
             data, restarts = self.block(i)
             at = bisect.bisect_left([next(self.entries(data, r))[0] for r in restarts], want)
             for key, value in self.entries(data, restarts[max(0, at - 1)]):
@@ -412,17 +422,22 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """``(doc_id, ids)`` of the given ids, at most 100,000: each shard is asked through its Bloom filter and index."""
+    """``(doc_id, ids)`` of the given ids, at most 100,000: each shard is asked through its Bloom filter and index.
+
+    An id that several rows had has as many rows; one that none had has none.
+    """
     if len(doc_ids) > 100_000:
         raise ValueError("join with read_shards() for more than 100,000 ids")
+    wanted = list(dict.fromkeys(doc_ids))
+    shared = manifest.sparkSession.sparkContext.broadcast((wanted, [sort_key(d) for d in wanted]))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, name = _filesystem(path)
                 with fs.open_input_file(name) as f:
-                    shard = ShardReader(f)
-                    hits = [(d, ids.astype(int).tolist()) for d in doc_ids for ids in shard.get(d)]
+                    shard, (asked, keys) = ShardReader(f), shared.value
+                    hits = [(asked[i], ids.astype(int).tolist()) for i in np.flatnonzero(shard.may_hold_each(keys)).tolist() for ids in shard.get(asked[i])]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits]), pa.array([x for _, x in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
@@ -430,7 +445,12 @@ def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
 
 
 def token_output(docs: DataFrame) -> DataFrame:
-    """Writes ``docs`` to shards in the shared folder and reads each document's place back."""
+    """Writes ``docs`` to shards in the shared folder and reads each document's place back.
+
+    Null and empty texts have the end alone; texts of any length are one entry each, and
+    repeated ids one each as well, by a number behind the id. A null id comes last. An
+    empty table gives an empty result. Other columns are not read. Ids are integers.
+    """
     import public_tokenizers
 
     folder = f"{shared_dir(docs.sparkSession)}/sst-{uuid.uuid4().hex}"
@@ -444,5 +464,5 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shards of all documents that are left, by a row for each."""
+    """The shards of all documents that are left, by a row for each; see ``token_output``."""
     return token_output(docs)
