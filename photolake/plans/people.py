@@ -211,6 +211,28 @@ def jn_knn_face(c: Catalog) -> DataFrame:
     return vectors.neighbours(c.vector, 0.65, k=10, keys=("owner_id",), with_self=True).select("owner_id", "id", "other", "rank")
 
 
+OPEN = "visibility IN ('timeline', 'archive') AND deleted_at IS NULL AND stack_id IS NULL"
+
+
+@query(
+    "jn_knn_dup_default",
+    f"""WITH v AS (SELECT v.owner_id, a.type, v.id, v.embedding::DOUBLE[] AS e FROM vector v JOIN asset a ON a.id = v.id WHERE {OPEN})
+SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM v a JOIN v b ON a.owner_id = b.owner_id AND a.type = b.type AND a.id <> b.id) WHERE rank <= 64 AND d <= 0.01""",
+)
+def jn_knn_dup_default(c: Catalog) -> DataFrame:
+    """Duplicate candidates at the default distance: same owner and type, visible, not deleted, not stacked."""
+    rows = c.vector.join(c.asset.where(OPEN).select("id", "type"), "id")
+    return vectors.neighbours(rows, 0.01, k=64, keys=("owner_id", "type")).select("owner_id", "id", "other", "rank")
+
+
+@query(
+    "jn_knn_face_default",
+    "SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM vector a JOIN vector b ON a.owner_id = b.owner_id) WHERE rank <= 10 AND d <= 0.5",
+)
+def jn_knn_face_default(c: Catalog) -> DataFrame:
+    return vectors.neighbours(c.vector, 0.5, k=10, keys=("owner_id",), with_self=True).select("owner_id", "id", "other", "rank")
+
+
 @query("fn_cosine", "SELECT a.id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM vector a JOIN vector b ON b.id = 0")
 def fn_cosine(c: Catalog) -> DataFrame:
     return vectors.distances(c.vector.where("id = 0"), c.vector).select("id", F.round("distance", 6).alias("distance"))
@@ -258,3 +280,13 @@ def jn_memory_assets(c: Catalog) -> DataFrame:
 def agg_people_by_face(c: Catalog) -> DataFrame:
     near = vectors.distances(c.vector.where("id = 0"), c.vector).select(F.col("id").alias("person_id"), "distance")
     return timeline.first_of(near.join(c.person.withColumnRenamed("id", "person_id"), "person_id"), ["person_id"], F.col("distance")).select("person_id", "name", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "grp_faces_default",
+    """WITH RECURSIVE n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM vector a JOIN vector b ON a.owner_id = b.owner_id), near AS (SELECT * FROM n WHERE d <= 0.5), core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 2),
+e AS (SELECT id AS a, other AS b FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), named AS (SELECT a AS id, min(b) AS person FROM reach GROUP BY a)
+SELECT v.owner_id, v.id, (SELECT p.person FROM near x JOIN named p ON p.id = x.other WHERE x.id = v.id ORDER BY x.d, x.other LIMIT 1) AS person FROM vector v""",
+)
+def grp_faces_default(c: Catalog) -> DataFrame:
+    return vectors.cluster_faces(c.vector, 0.5, 2, keys=("owner_id",))

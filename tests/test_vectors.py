@@ -24,3 +24,49 @@ def test_more_queries_than_a_block_equal_brute_force(spark):
 def test_distances_to_one_vector_need_no_window(spark):
     plan = registry.queries()["fn_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def clustered(rng, n=900, dim=8):
+    centres = rng.normal(size=(30, dim))
+    v = centres[rng.integers(0, 30, n)] + rng.normal(0, 0.15, (n, dim))
+    v[100:160] = v[3]
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_neighbours_in_small_tiles_equal_brute_force(spark):
+    v = clustered(np.random.default_rng(5))
+    df = spark.createDataFrame([(int(i), int(i % 2), [float(y) for y in x]) for i, x in enumerate(v)], "id long, owner_id long, embedding array<double>")
+    d = 1 - v @ v.T
+    for reach in (0.01, 0.1, 0.5):
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= reach)) if i != j and i % 2 == j % 2}
+        got = {(r.id, r.other) for r in vectors.neighbours(df, reach, keys=("owner_id",), block=40).collect()}
+        assert got == want
+
+
+def test_near_searches_leave_cells_out(spark):
+    v = clustered(np.random.default_rng(6))
+    df = spark.createDataFrame([(int(i), [float(y) for y in x]) for i, x in enumerate(v)], "id long, embedding array<double>")
+    asked = {reach: vectors._tiles(df, reach, (), 4096, 4096).where("asks").count() / (900 * 30) for reach in (0.01, 0.5)}
+    assert asked[0.01] < 0.25 and asked[0.01] < asked[0.5]
+
+
+def test_faces_in_small_tiles_equal_brute_force(spark, monkeypatch):
+    v = clustered(np.random.default_rng(7), 500)
+    df = spark.createDataFrame([(int(i), [float(y) for y in x]) for i, x in enumerate(v)], "id long, embedding array<double>")
+    tiles = vectors._tiles
+    monkeypatch.setattr(vectors, "_tiles", lambda *a: tiles(*a[:4], 50))
+    d = 1 - v @ v.T
+    near = d <= 0.03
+    core = near.sum(axis=1) >= 6
+    low = list(range(500))
+    for _ in range(500):
+        new = [min(low[j] for j in np.flatnonzero(near[i] & core)) if core[i] else low[i] for i in range(500)]
+        if new == low:
+            break
+        low = new
+    want = {}
+    for i in range(500):
+        others = np.flatnonzero(near[i] & core)
+        want[i] = low[i] if core[i] else low[others[np.lexsort((others, d[i, others]))[0]]] if len(others) else None
+    assert {r.id: r.person for r in vectors.cluster_faces(df, 0.03, 6).collect()} == want
+    assert len({x for x in want.values() if x is not None}) > 5 and None in want.values()
