@@ -182,3 +182,87 @@ def storage_path(template: str, taken: Column, **values: Column) -> Column:
         else:
             parts.append(F.date_format(taken, FORMAT[token]))
     return F.concat(*parts)
+
+
+#: The tags that may hold when a photo was taken, in order.
+DATE_TAGS = (
+    "SubSecDateTimeOriginal",
+    "SubSecCreateDate",
+    "DateTimeOriginal",
+    "CreationDate",
+    "CreateDate",
+    "MediaCreateDate",
+    "DateTimeCreated",
+    "GPSDateTime",
+    "DateTimeUTC",
+    "SonyDateTime2",
+    "SourceImageCreateTime",
+)
+_TAKEN = r"^(\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2})(?:\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def tag_time(raw: Column) -> Column:
+    """The wall-clock time of a date tag, null if it is none."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(raw, _TAKEN, 1), F.lit("")), F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
+
+
+def first_date(tags: dict[str, Column]) -> Column:
+    """``(tag, raw, at)`` of the first tag of ``DATE_TAGS`` that is a date; null if none is."""
+    found = [F.when(tag_time(tags[t]).isNotNull(), F.struct(F.lit(t).alias("tag"), tags[t].alias("raw"), tag_time(tags[t]).alias("at"))) for t in DATE_TAGS if t in tags]
+    return F.coalesce(*found)
+
+
+def taken_dates(raw: Column, zone: Column, created: Column, modified: Column, birth: Column) -> Column:
+    """``(zone, original, local)``: when a photo was taken, in UTC and on the clock of its zone.
+
+    A date without an offset is read as UTC. The zone (a name or an offset) is the given
+    one, else ``UTC+0`` for a date that ends in Z or +00:00, else none, which is UTC.
+    Without a date both times are the earliest of the file's times; a null birth time
+    does not count.
+    """
+    offset = F.regexp_extract(raw, _TAKEN, 2)
+    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
+    minutes = F.when(F.length(offset) == 6, sign * (F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int"))).otherwise(0)
+    own = F.coalesce(zone, F.when(raw.rlike(r"(Z|\+00:00)$"), F.lit("UTC+0")))
+    utc = F.timestamp_add("MINUTE", -minutes, tag_time(raw))
+    # read and shown in the session's zone, so only the difference counts
+    here = F.from_utc_timestamp(F.to_utc_timestamp(utc.cast("timestamp"), F.lit("UTC")), F.coalesce(own, F.lit("UTC"))).cast("timestamp_ntz")
+    earliest = F.least(created, modified, birth)
+    return F.struct(own.alias("zone"), F.coalesce(utc, earliest).alias("original"), F.coalesce(here, earliest).alias("local"))
+
+
+def ocr_rows(box: Column, box_score: Column, text: Column, text_score: Column) -> Column:
+    """``array<(x1, y1, .., x4, y4, box_score, text_score, text)>`` of flat OCR results: eight coordinates for each text."""
+    names = [f"{a}{k}" for k in (1, 2, 3, 4) for a in "xy"]
+
+    def row(t: Column, i: Column) -> Column:
+        return F.struct(*(F.get(box, i * 8 + k).alias(n) for k, n in enumerate(names)), F.get(box_score, i).alias("box_score"), F.get(text_score, i).alias("text_score"), t.alias("text"))
+
+    return F.transform(text, row)
+
+
+def checksum_hex(given: Column) -> Column:
+    """A SHA-1 in lower-case hexadecimal, given so or (28 characters) in base64."""
+    return F.lower(F.hex(F.when(F.length(given) == 28, F.unbase64(given)).otherwise(F.unhex(given))))
+
+
+def tag_list(tags: Column, subjects: Column, keywords: Column) -> Column:
+    """A file's tags: its list, else its hierarchical subjects with slashes and bars swapped, else its keywords."""
+    return F.coalesce(tags, F.transform(subjects, lambda s: F.translate(s, "/|", "|/")), keywords)
+
+
+def dimensions(size: Column, width: Column, height: Column) -> Column:
+    """``(width, height)``: of ``size`` (``640x480``) where it is given, else the two columns."""
+    part = F.split(size, "x")
+    return F.struct(F.coalesce(F.get(part, F.lit(0)).cast("int"), width).alias("width"), F.coalesce(F.get(part, F.lit(1)).cast("int"), height).alias("height"))
+
+
+def auto_stack_id(burst: Column, uuid: Column, camera: Column, media: Column) -> Column:
+    """The id that groups shots of one burst: the first of four tags that a file has."""
+    return F.coalesce(burst, uuid, camera, media)
+
+
+def uuid7_from_ms(ms: Column) -> Column:
+    """The smallest version 7 UUID of a millisecond."""
+    head = F.lpad(F.lower(F.hex(ms)), 12, "0")
+    return F.concat(F.substring(head, 1, 8), F.lit("-"), F.substring(head, 9, 4), F.lit("-7000-8000-000000000000"))

@@ -54,19 +54,18 @@ def grp_pair_plan(c: Catalog) -> DataFrame:
 
 @query(
     "fn_dates",
-    """SELECT id, CASE WHEN id % 3 = 0 THEN 'UTC+0' WHEN id % 3 = 1 THEN 'UTC+2' END AS zone, strftime(CASE WHEN id % 7 = 2 THEN least(file_created_at, file_modified_at) WHEN id % 3 = 1 THEN file_created_at + INTERVAL 2 HOUR ELSE file_created_at END, '%Y-%m-%d %H:%M:%S') AS local FROM asset""",
+    """WITH r AS (SELECT *, CASE WHEN id % 4 <> 0 AND id % 5 = 1 THEN 60 ELSE 0 END AS own, CASE id % 4 WHEN 1 THEN 120 WHEN 2 THEN -330 WHEN 3 THEN 540 ELSE 0 END AS shift, least(file_created_at, file_modified_at, CASE WHEN id % 3 = 1 THEN file_created_at - INTERVAL 1 HOUR END) AS earliest FROM asset)
+SELECT id, CASE id % 4 WHEN 1 THEN 'UTC+2' WHEN 2 THEN '-05:30' WHEN 3 THEN 'Asia/Tokyo' ELSE CASE WHEN id % 7 <> 2 THEN 'UTC+0' END END AS zone,
+strftime(CASE WHEN id % 7 = 2 THEN earliest ELSE file_created_at + to_minutes(CAST(-own AS INTEGER)) END, '%Y-%m-%d %H:%M:%S') AS original, strftime(CASE WHEN id % 7 = 2 THEN earliest ELSE file_created_at + to_minutes(CAST(shift - own AS INTEGER)) END, '%Y-%m-%d %H:%M:%S') AS local FROM r""",
 )
 def fn_dates(c: Catalog) -> DataFrame:
     k = F.col("id")
-    zone = F.when(k % 3 == 1, "+02:00")
-    raw = F.when(k % 3 == 0, F.concat(F.date_format("file_created_at", "yyyy:MM:dd HH:mm:ss"), F.lit("Z"))).otherwise(F.date_format("file_created_at", "yyyy:MM:dd HH:mm:ss"))
-    rows = c.asset.select("id", zone.alias("zone"), F.when(k % 7 != 2, raw).alias("raw"), F.least("file_created_at", "file_modified_at").alias("earliest"))
-    # a raw value that ends in Z or +00:00 has a zone of its own; others are kept as local time
-    utc = F.try_to_timestamp(F.regexp_replace("raw", r"(Z|\+00:00)$", ""), F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
-    own = F.when(F.coalesce(F.col("zone"), F.lit("")) != "", F.concat(F.lit("UTC"), F.regexp_replace("zone", r"^\+0?(\d+):00$", "+$1"))).when(k % 3 == 0, "UTC+0")
-    shift = F.when(F.col("zone") == "+02:00", 2).otherwise(0)
-    local = F.coalesce(F.expr("timestampadd(HOUR, h, t)"), F.col("earliest"))
-    return rows.withColumn("t", utc).withColumn("h", shift).select("id", own.alias("zone"), F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("local"))
+    zone = F.when(k % 4 == 1, "UTC+2").when(k % 4 == 2, "-05:30").when(k % 4 == 3, "Asia/Tokyo")
+    raw = F.concat(F.date_format("file_created_at", "yyyy:MM:dd HH:mm:ss"), F.when(k % 4 == 0, F.when(k % 8 == 0, "Z").otherwise("+00:00")).when(k % 5 == 1, "+01:00").otherwise(""))
+    birth = F.when(k % 3 == 1, F.timestamp_add("HOUR", F.lit(-1), F.col("file_created_at")))
+    rows = c.asset.select("id", zone.alias("zone"), F.when(k % 7 != 2, raw).alias("raw"), "file_created_at", "file_modified_at", birth.alias("birth"))
+    found = rows.select("id", scalar.taken_dates(*map(F.col, ("raw", "zone", "file_created_at", "file_modified_at", "birth"))).alias("d"))
+    return found.select("id", "d.zone", *(F.date_format(f"d.{x}", "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("original", "local")))
 
 
 @query("fn_trgm", f"WITH t AS (SELECT id, {trigrams_sql('name')} AS g, {trigrams_sql(repr('ring blue'))} AS n FROM album) SELECT id, round(CAST(len(list_intersect(n, g)) AS DOUBLE) / len(n), 6) AS word, round(CAST(len(list_intersect(n, g)) AS DOUBLE) / len(list_distinct(list_concat(n, g))), 6) AS whole FROM t")
@@ -79,8 +78,7 @@ def fn_trgm(c: Catalog) -> DataFrame:
 def fn_checksum(c: Catalog) -> DataFrame:
     digest = F.sha1(F.col("id").cast("string").cast("binary"))
     given = c.asset.select("id", F.when(F.col("id") % 2 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("given"))
-    # 28 characters are base64, others hexadecimal
-    return given.select("id", F.lower(F.hex(F.when(F.length("given") == 28, F.unbase64("given")).otherwise(F.unhex("given")))).alias("hex"))
+    return given.select("id", scalar.checksum_hex(F.col("given")).alias("hex"))
 
 
 @query("fn_duration", "SELECT id, CAST(floor(duration / 7.0::DOUBLE * 1000 + 0.5) AS INTEGER) AS ms FROM asset")
@@ -91,7 +89,7 @@ def fn_duration(c: Catalog) -> DataFrame:
 @query("fn_autostack", "SELECT id, CASE WHEN id % 5 = 0 THEN 'burst' || id WHEN id % 5 = 1 THEN 'uuid' || id WHEN id % 5 = 2 THEN 'camera' || id WHEN id % 5 = 3 THEN 'media' || id END AS auto_stack_id FROM asset")
 def fn_autostack(c: Catalog) -> DataFrame:
     tags = c.asset.select("id", *(F.when(F.col("id") % 5 == r, F.concat(F.lit(n), F.col("id").cast("string"))).alias(n) for r, n in enumerate(("burst", "uuid", "camera", "media"))))
-    return tags.select("id", F.coalesce("burst", "uuid", "camera", "media").alias("auto_stack_id"))
+    return tags.select("id", scalar.auto_stack_id(*map(F.col, ("burst", "uuid", "camera", "media"))).alias("auto_stack_id"))
 
 
 @query("fn_orient", "SELECT id, CASE WHEN orientation IN (5, 6, 7, 8) THEN height ELSE width END AS width, CASE WHEN orientation IN (5, 6, 7, 8) THEN width ELSE height END AS height FROM asset JOIN exif ON asset_id = id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import groups, tables
+from photolake.operators import groups, integrity, tables
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
 
@@ -174,12 +174,18 @@ def jn_missing(c: Catalog) -> DataFrame:
     return all_paths(c).join(c.listing.select("path"), "path", "left_anti").select("path", "asset_id", "file_id")
 
 
-@query("jn_checksum", "SELECT id, checksum IS DISTINCT FROM md5(CAST(CAST(floor(id / 2) AS BIGINT) + CASE WHEN id % 40 = 11 THEN 1 ELSE 0 END AS STRING)) AS mismatch FROM asset WHERE NOT is_external AND checksum IS NOT NULL AND original_path IN (SELECT path FROM listing)")
+@query(
+    "jn_checksum",
+    """SELECT page_id AS id, CASE WHEN page_id % 29 = 4 THEN 'missing' WHEN page_id % 40 = 11 THEN 'mismatch' ELSE 'ok' END AS outcome FROM pages WHERE page_id % 6 <> 0 AND page_id % 31 <> 5""",
+)
 def jn_checksum(c: Catalog) -> DataFrame:
-    # stands in for the digest of each file's bytes
-    content = c.asset.select(F.col("original_path").alias("path"), F.md5((F.floor(F.col("id") / 2) + F.when(F.col("id") % 40 == 11, 1).otherwise(0)).cast("string").cast("binary")).alias("found"))
-    rows = c.asset.where("NOT is_external AND checksum IS NOT NULL").withColumnRenamed("original_path", "path").join(content, "path").join(c.listing.select("path"), "path", "left_semi")
-    return rows.select("id", (~F.col("checksum").eqNullSafe(F.col("found"))).alias("mismatch"))
+    # web pages as stored files: recorded digests, of which some are of other bytes, against the bytes
+    path, k = F.concat(F.lit("/web/"), F.col("page_id").cast("string")), F.col("page_id")
+    html = F.col("html").cast("binary")
+    recorded = F.when(k % 31 != 5, F.when(k % 40 == 11, F.sha1(F.reverse("html").cast("binary"))).otherwise(F.upper(F.sha1(html))))
+    assets = c.pages.select(k.alias("id"), path.alias("path"), recorded.alias("checksum"), F.timestamp_add("HOUR", k.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("created_at"), (k % 6 == 0).alias("is_external"))
+    content = c.pages.where(k % 29 != 4).select(path.alias("path"), html.alias("bytes"))
+    return integrity.checksum_scan(assets, content).select("id", "outcome")
 
 
 @query("jn_report_refresh", "SELECT id FROM report WHERE (type = 'missing_file' AND path IN (SELECT path FROM listing)) OR (type = 'untracked_file' AND (path NOT IN (SELECT path FROM listing) OR path IN (SELECT path FROM asset_file)))")
@@ -260,12 +266,26 @@ def mut_memory(c: Catalog) -> DataFrame:
     return c.memory_asset.join(kept, "memory_id", "left_semi").join(shown, "asset_id", "left_semi").select("memory_id", "asset_id")
 
 
-@query("mut_retention", "SELECT event_id FROM events WHERE (event_type = 'click' AND ts < TIMESTAMP '2024-01-28' ) OR (event_type = 'view' AND ts < TIMESTAMP '2024-01-16') OR ts < TIMESTAMP '2024-01-02'")
+@query(
+    "mut_retention",
+    """SELECT 'session' AS kind, event_id AS id FROM events WHERE ts + INTERVAL 40 DAY <= TIMESTAMP '2024-02-20' OR (event_id % 4 = 0 AND ts + INTERVAL 30 DAY <= TIMESTAMP '2024-02-20') AND event_type = 'click'
+UNION ALL SELECT 'notification', event_id FROM events WHERE event_type <> 'click' AND ((event_id % 5 = 0 AND ts + INTERVAL 1 DAY < TIMESTAMP '2024-02-17') OR (event_id % 3 = 0 AND ts + INTERVAL 20 DAY <= TIMESTAMP '2024-02-18' AND ts < TIMESTAMP '2024-02-05') OR (event_id % 3 <> 0 AND ts < TIMESTAMP '2024-01-21'))
+UNION ALL SELECT 'audit', CAST(id AS BIGINT) FROM audit WHERE deleted_at < TIMESTAMP '2024-01-20' UNION ALL SELECT 'user', c_custkey FROM customer WHERE c_custkey % 17 = 0 AND TIMESTAMP '2024-02-20' - to_days(CAST(c_custkey % 15 AS INTEGER)) <= TIMESTAMP '2024-02-13'""",
+)
 def mut_retention(c: Catalog) -> DataFrame:
-    def before(day: str):
-        return F.col("ts") < F.lit(day).cast("timestamp_ntz")
-
-    return c.events.where(((F.col("event_type") == "click") & before("2024-01-28")) | ((F.col("event_type") == "view") & before("2024-01-16")) | before("2024-01-02")).select("event_id")
+    now, k = F.lit("2024-02-20").cast("timestamp_ntz"), F.col("event_id")
+
+    def later(days: int, column: str = "ts"):
+        return F.timestamp_add("DAY", F.lit(days), F.col(column))
+
+    # a session was last used 50 days before its event plus 90, some expire 30 days after it
+    sessions = c.events.select(k.alias("id"), later(-50).alias("updated_at"), F.when((k % 4 == 0) & (F.col("event_type") == "click"), later(30)).alias("expires_at"))
+    notices = c.events.where("event_type <> 'click'").select(k.alias("id"), F.col("ts").alias("created_at"), F.when(k % 3 == 0, later(20)).alias("read_at"), F.when(k % 5 == 0, later(1)).alias("deleted_at"))
+    removed = F.timestamp_add("DAY", -(F.col("c_custkey") % 15).cast("int"), now)
+    users = c.customer.where("c_custkey % 17 = 0").select(F.col("c_custkey").alias("id"), removed.alias("deleted_at"))
+    found = {"session": integrity.stale_sessions(sessions, now), "notification": integrity.stale_notifications(notices, now), "audit": integrity.stale_audit(c.audit.withColumn("id", F.col("id").cast("long")), now), "user": integrity.deletable_users(users, now)}
+    parts = [rows.select(F.lit(kind).alias("kind"), "id") for kind, rows in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import filters, stats, timeline
+from photolake.operators import filters, relations, stats, timeline
 from photolake.operators.stats import count_if
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
@@ -147,12 +147,15 @@ def agg_integrity(c: Catalog) -> DataFrame:
 
 @query(
     "agg_dup_groups",
-    f"""SELECT duplicate_id, owner_id, string_agg(CAST(a.id AS STRING), ',' ORDER BY local_date_time, a.id) AS ids, count(*) AS n FROM asset a WHERE {SHOWN} AND duplicate_id IS NOT NULL AND stack_id IS NULL GROUP BY ALL HAVING count(*) > 1""",
+    f"""WITH t AS (SELECT asset_id, string_agg(value, '+' ORDER BY value, tag_id) AS tags FROM tag_asset JOIN tag ON tag.id = tag_id GROUP BY ALL)
+SELECT duplicate_id, owner_id, string_agg(CAST(a.id AS STRING), ',' ORDER BY local_date_time, a.id) AS ids, string_agg(coalesce(make, '-') || '/' || coalesce(city, '-') || '/' || CAST(file_size AS STRING), ',' ORDER BY local_date_time, a.id) AS exif, string_agg(coalesce(tags, ''), ',' ORDER BY local_date_time, a.id) AS tags, count(*) AS n
+FROM asset a JOIN exif e ON e.asset_id = a.id LEFT JOIN t ON t.asset_id = a.id WHERE {SHOWN} AND duplicate_id IS NOT NULL AND stack_id IS NULL GROUP BY ALL HAVING count(*) > 1""",
 )
 def agg_dup_groups(c: Catalog) -> DataFrame:
-    rows = timeline.timeline_assets(c.asset).where("duplicate_id IS NOT NULL AND stack_id IS NULL")
-    groups = rows.groupBy("duplicate_id", "owner_id").agg(F.sort_array(F.collect_list(F.struct("local_date_time", "id"))).alias("items"), F.count("*").alias("n")).where("n > 1")
-    return groups.select("duplicate_id", "owner_id", F.array_join(F.transform("items.id", lambda x: x.cast("string")), ",").alias("ids"), "n")
+    groups = relations.duplicate_groups(timeline.timeline_assets(c.asset), c.exif, c.tag, c.tag_asset)
+    exif = F.transform("items", lambda i: F.concat_ws("/", *(F.coalesce(i["exif"][f].cast("string"), F.lit("-")) for f in ("make", "city", "file_size"))))
+    tags = F.transform("items", lambda i: F.array_join(F.transform(i["tags"], lambda t: t["value"]), "+"))
+    return groups.select("duplicate_id", "owner_id", F.array_join(F.transform("items.id", lambda x: x.cast("string")), ",").alias("ids"), F.array_join(exif, ",").alias("exif"), F.array_join(tags, ",").alias("tags"), F.size("items").cast("long").alias("n"))
 
 
 @query("agg_dup_singletons", "SELECT id, CASE WHEN count(*) OVER (PARTITION BY duplicate_id) > 1 THEN duplicate_id END AS duplicate_id FROM asset WHERE duplicate_id IS NOT NULL")
@@ -206,19 +209,20 @@ def jn_exif(c: Catalog) -> DataFrame:
 
 @query(
     "jn_nested",
-    """WITH f AS (SELECT asset_id, count(*) AS faces, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS face_ids FROM face WHERE deleted_at IS NULL AND is_visible GROUP BY ALL), t AS (SELECT asset_id, string_agg(value, ',' ORDER BY value) AS tags FROM tag_asset JOIN tag ON tag.id = tag_id GROUP BY ALL),
-x AS (SELECT asset_id, string_agg(type, ',' ORDER BY type) AS files FROM asset_file GROUP BY ALL)
-SELECT a.id, coalesce(faces, 0) AS faces, face_ids, tags, files, u.name AS owner FROM asset a LEFT JOIN f ON f.asset_id = a.id LEFT JOIN t ON t.asset_id = a.id LEFT JOIN x ON x.asset_id = a.id LEFT JOIN users u ON u.id = a.owner_id""",
+    """WITH s AS (SELECT * FROM face WHERE deleted_at IS NULL AND is_visible), f AS (SELECT asset_id, string_agg(concat_ws(':', id, coalesce(CAST(person_id AS STRING), '-'), x1, y1, x2, y2), ',' ORDER BY id, person_id NULLS FIRST, x1, y1, x2, y2) AS faces FROM s GROUP BY ALL),
+p AS (SELECT asset_id, string_agg(concat_ws(':', person_id, name, is_hidden), ',' ORDER BY person_id) AS people FROM (SELECT DISTINCT asset_id, person_id FROM s) JOIN person ON person.id = person_id GROUP BY ALL),
+t AS (SELECT asset_id, string_agg(value || ':' || tag_id, ',' ORDER BY value, tag_id) AS tags FROM tag_asset JOIN tag ON tag.id = tag_id GROUP BY ALL), x AS (SELECT asset_id, string_agg(type || ':' || path, ',' ORDER BY type, path) AS files FROM asset_file GROUP BY ALL),
+k AS (SELECT stack.id, concat_ws(':', stack.id, primary_asset_id, string_agg(CAST(asset.id AS STRING), '+' ORDER BY asset.id <> primary_asset_id, asset.id)) AS stack FROM stack JOIN asset ON asset.stack_id = stack.id GROUP BY stack.id, primary_asset_id)
+SELECT a.id, coalesce(faces, '') AS faces, coalesce(people, '') AS people, coalesce(tags, '') AS tags, coalesce(files, '') AS files, CASE WHEN is_edited THEN CASE WHEN a.id % 28 = 0 THEN '0:crop,1:rotate' ELSE '0:crop' END ELSE '' END AS edits,
+u.name || ':' || u.email AS owner, l.id || ':' || l.owner_id AS library, k.stack FROM asset a LEFT JOIN f ON f.asset_id = a.id LEFT JOIN p ON p.asset_id = a.id LEFT JOIN t ON t.asset_id = a.id LEFT JOIN x ON x.asset_id = a.id LEFT JOIN users u ON u.id = a.owner_id LEFT JOIN library l ON l.id = a.library_id LEFT JOIN k ON k.id = a.stack_id""",
 )
 def jn_nested(c: Catalog) -> DataFrame:
-    faces = c.face.where("deleted_at IS NULL AND is_visible").groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct("id", "x1", "y1", "x2", "y2"))).alias("face_rows"))
-    tags = c.tag_asset.join(c.tag.select(F.col("id").alias("tag_id"), "value"), "tag_id").groupBy("asset_id").agg(F.sort_array(F.collect_list("value")).alias("tag_values"))
-    files = c.asset_file.groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct("type", "path"))).alias("file_rows"))
-    rows = c.asset.select("id", "owner_id").withColumn("asset_id", F.col("id"))
-    for side in (faces, tags, files):
-        rows = rows.join(side, "asset_id", "left")
-    rows = rows.join(c.users.select(F.col("id").alias("owner_id"), F.col("name").alias("owner")), "owner_id", "left")
-    return rows.select("id", F.coalesce(F.size("face_rows"), F.lit(0)).cast("long").alias("faces"), F.array_join(F.transform("face_rows.id", lambda x: x.cast("string")), ",").alias("face_ids"), F.array_join("tag_values", ",").alias("tags"), F.array_join("file_rows.type", ",").alias("files"), "owner")
+    actions = F.when(F.col("id") % 28 == 0, F.array(F.lit("crop"), F.lit("rotate"))).otherwise(F.array(F.lit("crop")))
+    edits = c.asset.where("is_edited").select(F.col("id").alias("asset_id"), F.posexplode(actions).alias("sequence", "action"))
+    rows = relations.with_relations(c.asset.select("id", "owner_id", "library_id", "stack_id"), c.face, c.person, c.tag, c.tag_asset, c.asset_file, edits, c.users, c.library, c.stack)
+    flat = {"faces": ("face_id", "person_id", "x1", "y1", "x2", "y2"), "people": ("person_id", "name", "is_hidden"), "tags": ("value", "tag_id"), "files": ("type", "path"), "edits": ("sequence", "action")}
+    stack = F.concat(F.concat_ws(":", "stack.id", "stack.primary_asset_id"), F.lit(":"), F.array_join(F.transform("stack.asset_ids", lambda x: x.cast("string")), "+"))
+    return rows.select("id", *(relations.flat(k, *v).alias(k) for k, v in flat.items()), F.concat("owner.name", F.lit(":"), "owner.email").alias("owner"), F.concat(F.col("library.id").cast("string"), F.lit(":"), F.col("library.library_owner").cast("string")).alias("library"), F.when(F.col("stack").isNotNull(), stack).alias("stack"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,38 +10,98 @@ from pyspark.sql import functions as F
 
 from photolake.functions import scalar
 from photolake.operators import timeline
-from photolake.plans.catalog import Catalog
+from photolake.plans.catalog import TABLES, Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
 from photolake.sources import files
 from photolake.streaming import feeds, runner
 
-NOW = "000000014000"
-
-
 def scratch(c: Catalog, name: str) -> str:
     return f"{shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-FEED = f"""SELECT a.owner_id AS user_id, 'AssetV1' AS type, update_id, a.id FROM asset a LEFT JOIN checkpoint k ON k.user_id = a.owner_id AND k.type = 'AssetV1' WHERE update_id < '{NOW}' AND (k.ack IS NULL OR update_id > k.ack)"""
+def _change(kind: str, user: str, number: str, table: str, condition: str = "true", update: str = "", gone: bool = False) -> str:
+    """Rows of a table as changes of one kind, in SQL of both dialects."""
+    update = update or f"lpad(CAST({number} AS STRING), 12, '0')"
+    return f"SELECT {user} AS user_id, '{kind}' AS type, {update} AS update_id, CAST({number} AS BIGINT) AS id, {'true' if gone else 'false'} AS is_delete FROM {table} WHERE {condition}"
+
+
+SHARED = "partner JOIN asset ON asset.owner_id = partner.shared_by"
+IN_ALBUM = "album_user JOIN album_asset ON album_asset.album_id = album_user.album_id"
+#: All kinds of the feed from the catalogue's tables; a first version of a kind and its second have the same rows.
+CHANGES = " UNION ALL ".join(
+    [
+        _change("AuthUsersV1", "id", "id", "users"),
+        _change("UsersV1", "shared_with", "users.id", "partner JOIN users ON users.id = partner.shared_by"),
+        _change("PartnersV1", "shared_with", "shared_by", "partner"),
+        *(_change(k, "owner_id", "id", "asset", update="update_id") for k in ("AssetsV1", "AssetsV2")),
+        _change("StacksV1", "owner_id", "id", "stack"),
+        *(_change(k, "shared_with", "asset.id", SHARED, update="update_id") for k in ("PartnerAssetsV1", "PartnerAssetsV2")),
+        _change("PartnerStacksV1", "shared_with", "stack.id", "partner JOIN stack ON stack.owner_id = partner.shared_by"),
+        *(_change(k, "user_id", "asset_id", IN_ALBUM) for k in ("AlbumAssetsV1", "AlbumAssetsV2")),
+        *(_change(k, "owner_id", "id", "album", "NOT is_deleted") for k in ("AlbumsV1", "AlbumsV2")),
+        _change("AlbumUsersV1", "user_id", "album_id", "album_user"),
+        _change("AlbumToAssetsV1", "user_id", "asset_id", IN_ALBUM, "role = 'owner'"),
+        _change("AssetExifsV1", "owner_id", "id", "asset JOIN exif ON exif.asset_id = asset.id"),
+        _change("AlbumAssetExifsV1", "user_id", "exif.asset_id", IN_ALBUM + " JOIN exif ON exif.asset_id = album_asset.asset_id", "role <> 'owner'"),
+        _change("AssetOcrV1", "owner_id", "id", "asset", "type = 'IMAGE' AND id % 4 = 1"),
+        _change("PartnerAssetExifsV1", "shared_with", "asset.id", SHARED + " JOIN exif ON exif.asset_id = asset.id"),
+        _change("MemoriesV1", "owner_id", "id", "memories"),
+        _change("MemoryToAssetsV1", "owner_id", "asset_id", "memory_asset JOIN memories ON memories.id = memory_id"),
+        _change("PeopleV1", "owner_id", "id", "person"),
+        *(_change(k, "owner_id", "face.id", "face JOIN asset ON asset.id = asset_id", "face.deleted_at IS NULL") for k in ("AssetFacesV1", "AssetFacesV2")),
+        _change("UserMetadataV1", "id", "id", "users", "preferences IS NOT NULL"),
+        _change("AssetMetadataV1", "owner_id", "id", "asset", "id % 8 = 3"),
+        _change("AssetEditsV1", "owner_id", "id", "asset", "is_edited"),
+        *(_change(k, "owner_id", "asset_id", "audit", update="id", gone=True) for k in ("AssetsV1", "AssetsV2")),
+        _change("StacksV1", "owner_id", "asset_id", "audit", "asset_id % 9 = 0", "id", True),
+        _change("NotAskedV1", "id", "id", "users"),
+    ]
+)
+STORE = """SELECT user_id AS session_id, 'AssetsV1' AS type, ack FROM checkpoint UNION ALL SELECT user_id, 'AlbumsV2', lpad(CAST(user_id AS STRING), 12, '0') FROM checkpoint WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 'AssetsV2Delete', '900000004000' FROM checkpoint WHERE user_id % 3 = 0"""
+LAST = "900000009000"
+
 
+def _derived(c: Catalog, sql: str) -> DataFrame:
+    """Rows of SQL over catalogue tables, which are named by braces for Spark."""
+    names = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
+    for t in names:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}} AS {t}", sql)
+    return c.spark.sql(sql, **{t: getattr(c, t) for t in names})
 
-@query("st_feed", FEED + " UNION ALL SELECT owner_id, 'AssetDeleteV1', id, asset_id FROM audit WHERE id < '900000009000'")
+
+@query(
+    "st_feed",
+    f"""WITH changes AS ({CHANGES}), store AS ({STORE}), kinds AS (SELECT unnest([{", ".join(f"'{r}'" for r in feeds.REQUESTS)}]) AS type, unnest(range(1, {len(feeds.REQUESTS) + 1})) AS position)
+SELECT c.user_id, k.position, c.type, c.update_id, c.id, c.is_delete FROM changes c JOIN kinds k ON k.type = c.type LEFT JOIN store s ON s.session_id = c.user_id AND s.type = CASE WHEN c.is_delete THEN concat(c.type, 'Delete') ELSE c.type END
+WHERE c.update_id < '{LAST}' AND NOT coalesce(c.update_id <= s.ack, false)""",
+)
 def st_feed(c: Catalog) -> DataFrame:
-    changes = feeds.upserts(c.asset, c.checkpoint, NOW, "AssetV1")
-    gone = feeds.upserts(c.audit.select("owner_id", F.col("id").alias("update_id"), F.col("asset_id").alias("id")), c.checkpoint, "900000009000", "AssetDeleteV1")
-    return changes.unionByName(gone)
+    return feeds.change_feed(_derived(c, CHANGES), _derived(c, STORE), LAST)
+
 
+NOW_MS = 1706000000123
 
-@query("st_watermark", f"SELECT owner_id, count_if(update_id < '{NOW}') AS sent, count_if(update_id >= '{NOW}') AS held FROM asset GROUP BY ALL")
+
+@query("st_watermark", f"SELECT user_id, '{NOW_MS - 1:012x}' AS bound, count_if(epoch_ms(ts) < {NOW_MS} - 1) AS sent, count_if(epoch_ms(ts) >= {NOW_MS} - 1) AS held FROM events GROUP BY ALL")
 def st_watermark(c: Catalog) -> DataFrame:
-    return c.asset.groupBy("owner_id").agg(F.count_if(F.col("update_id") < NOW).alias("sent"), F.count_if(F.col("update_id") >= NOW).alias("held"))
+    bound = feeds.now_id(F.lit(NOW_MS))
+    rows = c.events.select("user_id", scalar.uuid7_from_ms(F.unix_millis(F.col("ts").cast("timestamp"))).alias("update_id"))
+    counts = rows.groupBy("user_id").agg(F.count_if(F.col("update_id") < bound).alias("sent"), F.count_if(F.col("update_id") >= bound).alias("held"))
+    return counts.select("user_id", F.substring(F.regexp_replace(bound, "-", ""), 1, 12).alias("bound"), "sent", "held")
 
 
-@query("st_ack", "SELECT k.user_id, 'AssetV1' AS type, greatest(k.ack, coalesce(m.last, k.ack)) AS ack FROM checkpoint k LEFT JOIN (SELECT owner_id, max(update_id) AS last FROM asset GROUP BY ALL) m ON m.owner_id = k.user_id")
+@query(
+    "st_ack",
+    """WITH said AS (SELECT user_id AS session_id, CASE WHEN event_type = 'click' THEN 'AssetV1' ELSE 'StackV1' END AS type, lpad(CAST(event_id * 7 % 9999 AS STRING), 12, '0') AS ack, event_id FROM events WHERE event_type IN ('click', 'view')),
+last AS (SELECT session_id, type, ack FROM (SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY event_id DESC) AS k FROM said) WHERE k = 1)
+SELECT coalesce(l.session_id, k.user_id) AS session_id, coalesce(l.type, k.type) AS type, coalesce(l.ack, k.ack) AS ack FROM checkpoint k FULL JOIN last l ON l.session_id = k.user_id AND l.type = k.type""",
+)
 def st_ack(c: Catalog) -> DataFrame:
-    last = c.asset.groupBy(F.col("owner_id").alias("user_id")).agg(F.max("update_id").alias("last"))
-    return c.checkpoint.join(last, "user_id", "left").select("user_id", "type", F.greatest("ack", F.coalesce("last", "ack")).alias("ack"))
+    kind = F.when(F.col("event_type") == "click", "AssetV1").otherwise("StackV1")
+    number = F.lpad((F.col("event_id") * 7 % 9999).cast("string"), 12, "0")
+    lines = c.events.where("event_type IN ('click', 'view')").select(F.col("user_id").alias("session_id"), F.concat(kind, F.lit("|"), number).alias("line"), F.col("event_id").alias("at"))
+    return feeds.ack_store(c.checkpoint.withColumnRenamed("user_id", "session_id"), lines)
 
 
 @query("st_reset", "SELECT user_id, max(epoch_ms(ts)) < epoch_ms(TIMESTAMP '2024-01-31') - 1 * 86400000 AS reset FROM events GROUP BY ALL")
@@ -126,11 +187,15 @@ def st_debounce(c: Catalog) -> DataFrame:
     return runner.run(stream, ["user_id", "start"], "complete").select("user_id", _stamp("start"), "n")
 
 
-@query("st_watch", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query(
+    "st_watch",
+    """WITH b AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 5 * 1000000::BIGINT THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 5 SECOND, '%Y-%m-%d %H:%M:%S') AS settled, count(*) AS n FROM s GROUP BY user_id, event_type, k""",
+)
 def st_watch(c: Catalog) -> DataFrame:
     events = runner.read_stream(c.spark, c.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     settled = runner.run(feeds.debounced(events, "ts", "5 seconds", "user_id", "event_type"), ["user_id", "event_type", "start"], "complete")
-    return settled.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
+    return settled.select("user_id", "event_type", _stamp("start"), _stamp("sent_at").alias("settled"), "n")
 
 
 @query("st_upload_dedup", "SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS checksum FROM events WHERE NOT (user_id % 3 = 0 AND floor(value) % 2 = 0)")
@@ -150,6 +215,10 @@ def st_workflow(c: Catalog) -> DataFrame:
     return runner.run(feeds.workflow(events, rules).select("event_id", "action"))
 
 
+NOW = "000000014000"
+FEED = f"""SELECT a.owner_id AS user_id, 'AssetV1' AS type, update_id, a.id FROM asset a LEFT JOIN checkpoint k ON k.user_id = a.owner_id AND k.type = 'AssetV1' WHERE update_id < '{NOW}' AND (k.ack IS NULL OR update_id > k.ack)"""
+
+
 @query("snk_changefeed", f"SELECT user_id, count(*) AS n, max(type || '|' || update_id) AS last FROM ({FEED}) GROUP BY ALL")
 def snk_changefeed(c: Catalog) -> DataFrame:
     path = scratch(c, "feed")
@@ -202,35 +271,63 @@ def src_geojson(c: Catalog) -> DataFrame:
     return files.load_countries(c.spark, root).select("admin", "admin_a3", "part", F.size("ring").alias("points"))
 
 
-@query("src_listing")
+@query("src_listing", "SELECT concat('d=', CASE WHEN n_nationkey % 5 = 0 THEN 'other' ELSE 'shown' END) AS folder, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes FROM nation WHERE n_nationkey % 5 <> 1 GROUP BY ALL")
 def src_listing(c: Catalog) -> DataFrame:
-    root = scratch(c, "tree")
-    c.nation.select("n_name", F.when(F.col("n_nationkey") % 5 == 0, ".hidden").otherwise("shown").alias("d")).repartition(5, "n_name").write.partitionBy("d").text(root)
-    return files.file_listing(c.spark, [root], ["**/*.crc"]).select(scalar.base_name(scalar.directory(F.col("path"))).alias("folder"), "length").groupBy("folder").agg(F.sum("length").alias("bytes"))
+    # a library below a hidden folder, and a hidden folder in the library
+    root = f"{scratch(c, 'tree')}/.above/library"
+    rows = c.nation.select("n_name", F.when(F.col("n_nationkey") % 5 == 0, "other").otherwise("shown").alias("d"), (F.col("n_nationkey") % 5 == 1).alias("hidden"))
+    rows.where("NOT hidden").drop("hidden").repartition(5, "n_name").write.partitionBy("d").text(root)
+    rows.where("hidden").select("n_name").repartition(2, "n_name").write.text(f"{root}/.hidden")
+    found = files.file_listing(c.spark, [root], ["**/*.crc"])
+    return found.groupBy(scalar.base_name(scalar.directory(F.col("path"))).alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
-@query("fn_first_date", "SELECT id, CASE WHEN id % 3 = 0 THEN strftime(file_created_at, '%Y-%m-%d') ELSE strftime(created_at, '%Y-%m-%d') END AS first FROM asset")
+@query(
+    "fn_first_date",
+    """SELECT id, CASE WHEN id % 11 = 10 THEN NULL ELSE ['SubSecDateTimeOriginal', 'SubSecCreateDate', 'DateTimeOriginal', 'CreationDate', 'CreateDate', 'MediaCreateDate', 'DateTimeCreated', 'GPSDateTime', 'DateTimeUTC', 'SonyDateTime2', 'SourceImageCreateTime'][id % 11 + 1] END AS tag,
+CASE WHEN id % 11 <> 10 THEN strftime(file_created_at + to_minutes(CAST(id % 11 AS INTEGER)), '%Y-%m-%d %H:%M:%S') END AS first FROM asset""",
+)
 def fn_first_date(c: Catalog) -> DataFrame:
-    tags = c.asset.select("id", F.when(F.col("id") % 3 == 0, F.date_format("file_created_at", "yyyy:MM:dd HH:mm:ss")).otherwise("not a date").alias("a"), F.date_format("created_at", "yyyy:MM:dd HH:mm:ss").alias("b"))
-    return tags.select("id", F.date_format(F.coalesce(*(F.try_to_timestamp(x, F.lit("yyyy:MM:dd HH:mm:ss")) for x in ("a", "b"))), "yyyy-MM-dd").alias("first"))
+    # tag k of an asset holds its date plus k minutes from the asset's own tag on; earlier ones hold none
+    own = F.col("id") % 11
+
+    def text(k: int):
+        at = F.date_format(F.timestamp_add("MINUTE", F.lit(k), F.col("file_created_at")), "yyyy:MM:dd HH:mm:ss")
+        return F.when((own <= k) & (own < 10), F.concat(at, F.lit((".25", "Z", "+02:00", "")[k % 4]))).when(own - k == 1, "0000:00:00 00:00:00").when(own - k == 2, "not a date")
 
+    first = scalar.first_date({t: text(k) for k, t in enumerate(scalar.DATE_TAGS)})
+    return c.asset.select("id", first.alias("d")).select("id", "d.tag", F.date_format("d.at", "yyyy-MM-dd HH:mm:ss").alias("first"))
 
-@query("fn_ocr_rows", "SELECT id, CAST(k AS INTEGER) AS k, x1 + k * 8 AS x, 'w' || (asset_id + k) AS word FROM face, (SELECT unnest([0, 1]) AS k)")
+
+OCR = "SELECT id, CAST(k AS INTEGER) AS k, x1 + k * 8 AS x, x1 + k * 8 + 7 AS y4, CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS score, 'w' || (asset_id + k) AS word FROM face, (SELECT unnest([0, 1]) AS k)"
+
+
+def ocr_of_faces(c: Catalog) -> DataFrame:
+    """Flat OCR results, two texts for each face, as the reusable generator makes them."""
+    words = F.array(*(F.concat(F.lit("w"), (F.col("asset_id") + k).cast("string")) for k in (0, 1)))
+    scores = F.array(F.lit(0.5), F.lit(0.25))
+    rows = scalar.ocr_rows(F.array(*(F.col("x1") + i for i in range(16))), scores, words, scores)
+    return c.face.select("id", F.posexplode(rows).alias("k", "row"))
+
+
+@query("fn_ocr_rows", OCR)
 def fn_ocr_rows(c: Catalog) -> DataFrame:
-    flat = c.face.select("id", F.array(*(F.col("x1") + i for i in range(16))).alias("boxes"), F.array(F.concat(F.lit("w"), F.col("asset_id").cast("string")), F.concat(F.lit("w"), (F.col("asset_id") + 1).cast("string"))).alias("text"))
-    return flat.select("id", F.posexplode("text").alias("k", "word"), "boxes").select("id", "k", F.element_at(F.slice("boxes", F.col("k") * 8 + 1, F.lit(8)), 1).alias("x"), "word")
+    return ocr_of_faces(c).select("id", "k", F.col("row.x1").alias("x"), "row.y4", F.col("row.box_score").alias("score"), F.col("row.text").alias("word"))
+
+
+@query("udtf_ocr", f"SELECT id, count(*) AS rows, string_agg(word, ' ' ORDER BY k) AS search_text FROM ({OCR}) GROUP BY ALL")
+def udtf_ocr(c: Catalog) -> DataFrame:
+    found = ocr_of_faces(c).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "row.text"))).alias("texts"))
+    return found.select("id", F.size("texts").cast("long").alias("rows"), F.array_join(F.flatten(F.transform("texts.text", scalar.tokens)), " ").alias("search_text"))
 
 
 @query("fn_dims", "SELECT id, width, height FROM asset WHERE width IS NOT NULL")
 def fn_dims(c: Catalog) -> DataFrame:
     rows = c.asset.where("width IS NOT NULL").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))).alias("size"), "width", "height")
-    part = F.split("size", "x")
-    return rows.select("id", F.coalesce(part[0].cast("int"), F.col("width")).alias("width"), F.coalesce(part[1].cast("int"), F.col("height")).alias("height"))
+    return rows.select("id", scalar.dimensions(F.col("size"), F.col("width"), F.col("height")).alias("d")).select("id", "d.*")
 
 
 @query("fn_tag_list", "SELECT id, CASE WHEN id % 3 = 0 THEN value WHEN id % 3 = 1 THEN replace(value, '/', '|') ELSE value END AS tags FROM tag WHERE id >= 100")
 def fn_tag_list(c: Catalog) -> DataFrame:
-    # a list of tags, else hierarchical subjects whose bars become slashes and slashes bars, else keywords
     rows = c.tag.where("id >= 100").select("id", F.when(F.col("id") % 3 == 0, F.array("value")).alias("tags"), F.when(F.col("id") % 3 == 1, F.array("value")).alias("subject"), F.array("value").alias("keywords"))
-    subject = F.transform("subject", lambda s: F.translate(s, "/|", "|/"))
-    return rows.select("id", F.array_join(F.coalesce("tags", subject, "keywords"), ",").alias("tags"))
+    return rows.select("id", F.array_join(scalar.tag_list(F.col("tags"), F.col("subject"), F.col("keywords")), ",").alias("tags"))

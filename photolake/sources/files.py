@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ def file_listing(spark: SparkSession, paths: list[str], exclusions: list[str] =
     The globs do not regard case. Contents are not read.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", F.col("modificationTime").alias("modified_at"))
-    rows = rows.where(~F.col("path").rlike(r"/\.[^/]"))
+    # only what is below a root can be hidden, not the root itself
+    roots = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/") for p in paths]
+    below = F.coalesce(*(F.when(F.instr("path", r) > 0, F.substr("path", F.instr("path", r) + len(r))) for r in roots), F.col("path"))
+    rows = rows.where(~below.rlike(r"(^|/)\.[^/]"))
     for glob in exclusions:
         rows = rows.where(~F.lower("path").like(scalar.glob_to_like(glob).lower()))
     return rows

@@ -19,6 +19,72 @@ def upserts(rows: DataFrame, acks: DataFrame, now_id: str, kind: str, owner: str
     return fresh.where(F.col("ack").isNull() | (F.col(stamp) > F.col("ack"))).select("user_id", F.lit(kind).alias("type"), F.col(stamp).alias("update_id"), "id")
 
 
+#: The kinds of rows that a client can ask for, in the order in which they are sent.
+REQUESTS = (
+    "AuthUsersV1",
+    "UsersV1",
+    "PartnersV1",
+    "AssetsV1",
+    "AssetsV2",
+    "StacksV1",
+    "PartnerAssetsV1",
+    "PartnerAssetsV2",
+    "PartnerStacksV1",
+    "AlbumAssetsV1",
+    "AlbumAssetsV2",
+    "AlbumsV1",
+    "AlbumsV2",
+    "AlbumUsersV1",
+    "AlbumToAssetsV1",
+    "AssetExifsV1",
+    "AlbumAssetExifsV1",
+    "AssetOcrV1",
+    "PartnerAssetExifsV1",
+    "MemoriesV1",
+    "MemoryToAssetsV1",
+    "PeopleV1",
+    "AssetFacesV1",
+    "AssetFacesV2",
+    "UserMetadataV1",
+    "AssetMetadataV1",
+    "AssetEditsV1",
+)
+
+
+def change_feed(changes: DataFrame, store: DataFrame, now_id) -> DataFrame:
+    """``changes`` that each user has not acknowledged, with their ``position`` in the order of ``REQUESTS``.
+
+    ``changes`` has user_id, type, update_id, id and is_delete; deletes come from the
+    audit log, whose own ids stand in update_id and are acknowledged apart (their type in
+    the store ends in ``Delete``). ``store`` has session_id, type and ack. Rows at or past
+    ``now_id`` wait for the next round, and kinds that are no request are never sent.
+    """
+    place = F.array_position(F.array(*map(F.lit, REQUESTS)), F.col("type"))
+    rows = changes.withColumn("position", place).where((F.col("position") > 0) & (F.col("update_id") < now_id))
+    rows = rows.withColumn("ack_type", F.when(F.col("is_delete"), F.concat("type", F.lit("Delete"))).otherwise(F.col("type")))
+    acks = store.select(F.col("session_id").alias("user_id"), F.col("type").alias("ack_type"), "ack")
+    rows = rows.join(acks, ["user_id", "ack_type"], "left").where("ack IS NULL OR update_id > ack")
+    return rows.select("user_id", "position", "type", "update_id", "id", "is_delete")
+
+
+def ack_store(store: DataFrame, acks: DataFrame) -> DataFrame:
+    """``(session_id, type, ack)`` after ``acks`` (session_id, line, at): the last line of each session and type wins, smaller or not.
+
+    A line is ``type|update_id[|extra]``, and what follows the type is kept whole.
+    """
+    cut_at = F.instr("line", "|")
+    said = acks.where(cut_at > 1).select("session_id", F.expr("substr(line, 1, instr(line, '|') - 1)").alias("type"), F.expr("substr(line, instr(line, '|') + 1)").alias("ack"), "at")
+    new = said.groupBy("session_id", "type").agg(F.max_by("ack", F.struct("at", "ack")).alias("new"))
+    return store.select("session_id", "type", "ack").join(new, ["session_id", "type"], "full").select("session_id", "type", F.coalesce("new", "ack").alias("ack"))
+
+
+def now_id(now_ms):
+    """The upper bound of a round that starts at ``now_ms``: the smallest id of the millisecond before it, so rows in flight wait."""
+    from photolake.functions.scalar import uuid7_from_ms
+
+    return uuid7_from_ms(now_ms - 1)
+
+
 def feed_line(data: Column, kind: Column, update_id: Column, extra: Column | None = None) -> Column:
     """One JSON line: type, data and the acknowledgement ``type|update_id[|extra]``."""
     ack = F.concat_ws("|", kind, update_id, *([extra] if extra is not None else []))

@@ -1,5 +1,7 @@
 """Operators on small hand-made frames: golden cases, nulls, ties and brute force."""
 
+import datetime
+import hashlib
 import random
 
 import numpy as np
@@ -251,3 +253,71 @@ def test_streams_resume_from_files(spark, tmp_path):
     days = runner.run(feeds.windows(stream, "ts", "1 day", None, "user_id"), ["start", "user_id"], "update").collect()
     assert [(r.n, r.value) for r in days] == [(3, 7.0)]
     assert runner.run(feeds.unique_uploads(stream, "ts", ["user_id"])).count() == 1
+
+
+def test_checksum_scan_goes_on_where_it_stopped(spark):
+    from photolake.operators import integrity
+
+    rows = [(i, f"/f{i}", hashlib.sha1(f"bytes {i}".encode()).hexdigest() if i % 5 else "0" * 40, datetime.datetime(2024, 1, 1 + i // 7, i % 3), i % 11 == 0) for i in range(40)]
+    assets = spark.createDataFrame(rows, "id long, path string, checksum string, created_at timestamp_ntz, is_external boolean")
+    content = spark.createDataFrame([(f"/f{i}", bytearray(f"bytes {i}".encode())) for i in range(40) if i % 9], "path string, bytes binary")
+    want = {i: "missing" if i % 9 == 0 else "ok" if i % 5 else "mismatch" for i in range(40) if i % 11}
+    assert {r.id: r.outcome for r in integrity.checksum_scan(assets, content).collect()} == want
+    after, seen, steps = None, {}, 0
+    while found := integrity.checksum_scan(assets, content, after, 60).collect():
+        assert not seen.keys() & {r.id for r in found}
+        seen |= {r.id: r.outcome for r in found}
+        after, steps = max((r.created_at, r.id) for r in found), steps + 1
+    assert seen == want and steps > 2
+
+
+def test_acks_replace_each_other_and_deletes_are_acknowledged_apart(spark):
+    from photolake.streaming import feeds
+
+    store = spark.createDataFrame([(1, "AssetsV1", "05"), (2, "PeopleV1", "03")], "session_id long, type string, ack string")
+    acks = spark.createDataFrame([(1, "AssetsV1|09", 1), (1, "AssetsV1|07|more", 2), (3, "StacksV1|01", 1), (2, "nothing", 5)], "session_id long, line string, at long")
+    stored = feeds.ack_store(store, acks)
+    assert {tuple(r) for r in stored.collect()} == {(1, "AssetsV1", "07|more"), (2, "PeopleV1", "03"), (3, "StacksV1", "01")}
+    changes = spark.createDataFrame([(1, "AssetsV1", "04", 1, False), (1, "AssetsV1", "08", 2, False), (1, "AssetsV1", "04", 3, True), (1, "AssetEditsV1", "99", 4, False), (1, "Other", "01", 5, False), (2, "PeopleV1", "03", 6, False)], "user_id long, type string, update_id string, id long, is_delete boolean")
+    assert [(r.position, r.id) for r in feeds.change_feed(changes, store, "50").orderBy("id").collect()] == [(4, 2), (4, 3)]
+    assert len(feeds.REQUESTS) == 27
+
+
+def test_dates_of_tags_and_zones(spark):
+    from photolake.functions import scalar
+
+    rows = [("2024:03:01 10:00:00", "Europe/Berlin"), ("2024:07:01 10:00:00.5", "Europe/Berlin"), ("2024:03:01 10:00:00Z", None), ("2024:03:01 10:00:00+02:00", None), ("2024:03:01 10:00:00-05:30", "UTC+1"), ("rubbish", "UTC+1"), (None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, raw string, zone string")
+    files = [F.lit(x).cast("timestamp_ntz") for x in ("2023-01-03", "2023-01-02", None)]
+    got = df.select("i", scalar.taken_dates(F.col("raw"), F.col("zone"), *files).alias("d")).orderBy("i").select("d.zone", F.col("d.original").cast("string"), F.col("d.local").cast("string")).collect()
+    assert [tuple(r) for r in got] == [
+        ("Europe/Berlin", "2024-03-01 10:00:00", "2024-03-01 11:00:00"),
+        ("Europe/Berlin", "2024-07-01 10:00:00", "2024-07-01 12:00:00"),
+        ("UTC+0", "2024-03-01 10:00:00", "2024-03-01 10:00:00"),
+        (None, "2024-03-01 08:00:00", "2024-03-01 08:00:00"),
+        ("UTC+1", "2024-03-01 15:30:00", "2024-03-01 16:30:00"),
+        ("UTC+1", "2023-01-02 00:00:00", "2023-01-02 00:00:00"),
+        (None, "2023-01-02 00:00:00", "2023-01-02 00:00:00"),
+    ]
+
+
+def test_listing_below_a_hidden_folder(spark, tmp_path):
+    from photolake.sources import files
+
+    root = tmp_path / ".above" / "lib's"
+    for name in ("a.jpg", "sub/b.JPG", ".hid/c.jpg", "sub/.d.jpg", "skip/e.tmp"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    for given in (str(root), f"file://{root}"):
+        found = files.file_listing(spark, [given], ["**/*.TMP"])
+        assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.jpg", "b.JPG"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from photolake.session import shared_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=sc))
