@@ -32,20 +32,32 @@ def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells
     spark = vectors.sparkSession
     rows = vectors.select(*keys, "id", "embedding").where("embedding IS NOT NULL AND id IS NOT NULL")
     n = int(min(cells, max(1, math.isqrt(rows.count()))))
-    picked = rows.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(n).toPandas()
-    centres = spark.sparkContext.broadcast(_unit(picked["embedding"]) if len(picked) else np.zeros((0, 1)))
+    picked = rows.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(2 * n).toPandas()
+    sampled = _unit(picked["embedding"]) if len(picked) else np.zeros((0, 1))
     # chord on the unit sphere of the cosine distance
     chord = float(np.sqrt(2 * max(max_distance, 0.0))) + 1e-9
 
+    def reached(v: np.ndarray, c: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's own cell, and whether it asks each cell."""
+        d2 = (v * v).sum(axis=1)[:, None] + 1 - 2 * v @ c.T
+        home = d2.argmin(axis=1)
+        return home, d2 - d2.min(axis=1, keepdims=True) <= 2 * chord * between[home] + 1e-9
+
+    def apart(c: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+
+    chosen = sampled[:n]
+    # where most cells would be asked, cells only copy vectors: one is left, and blocks alone part the work
+    if len(sampled) > n and reached(sampled[n:], chosen, apart(chosen))[1].mean() > 0.5:
+        chosen = sampled[:1]
+    centres = spark.sparkContext.broadcast(chosen)
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = centres.value
-        between = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+        between = apart(c)
         for pdf in batches:
             if len(pdf):
-                v = _unit(pdf["embedding"])
-                d2 = (v * v).sum(axis=1)[:, None] + 1 - 2 * v @ c.T
-                home = d2.argmin(axis=1)
-                asked = d2 - d2.min(axis=1, keepdims=True) <= 2 * chord * between[home] + 1e-9
+                home, asked = reached(_unit(pdf["embedding"]), c, between)
                 yield pdf.assign(cell=home, asked=[np.flatnonzero(x) for x in asked])
 
     assigned = stored(rows.mapInPandas(assign, f"{rows.schema.simpleString()[7:-1]}, cell long, asked array<long>"), "vectors")
@@ -202,7 +214,7 @@ def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int =
         """Core to core: edges that join what the tile joins, at most as many as it has faces. Others: their nearest core of the tile."""
         left, right = _sides(tile)
         right = right[right["core"]]
-        ids, out = right["id"].to_numpy(), [pd.DataFrame({"id": [], "other": [], "distance": [], "core": []}).astype({"core": bool})]
+        ids, face_ids, others, reach, flags = right["id"].to_numpy(), [], [], [], []
         label = np.arange(len(ids))
         for part, d in _distances(left, right):
             for face, core, row in zip(part["id"].to_numpy(), part["core"].to_numpy(), d):
@@ -215,8 +227,11 @@ def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int =
                     label[np.isin(label, groups)] = groups[0]
                 else:
                     pick = near[[np.lexsort((ids[near], row[near]))[0]]]
-                out.append(pd.DataFrame({"id": face, "other": ids[pick], "distance": row[pick], "core": bool(core)}))
-        return pd.concat(out[1:] or out)
+                face_ids += [face] * len(pick)
+                others += ids[pick].tolist()
+                reach += row[pick].tolist()
+                flags += [bool(core)] * len(pick)
+        return pd.DataFrame({"id": face_ids, "other": others, "distance": reach, "core": pd.Series(flags, dtype=bool)})
 
     flagged = tiles.join(cores.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
     found = stored(_by_tile(flagged, keys).applyInPandas(join, f"id {kind}, other {kind}, distance double, core boolean"), "face-links")
