@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
 from photolake.operators import filters
+from photolake.session import stored
 
 
 def timeline_assets(assets: DataFrame, trashed: bool = False, visibility: str | None = None, **tests: Column) -> DataFrame:
@@ -102,28 +108,83 @@ def storage_paths(assets: DataFrame, template: str) -> DataFrame:
     return rows.withColumn("n", n).select("id", "owner_id", F.concat(F.lit("/library/"), F.col("owner_id").cast("string"), F.lit("/"), "base", F.when(F.col("n") > 0, F.concat(F.lit("+"), F.col("n").cast("string"))).otherwise(""), F.lit("."), "ext").alias("path"))
 
 
-def split_archives(assets: DataFrame, target: int) -> DataFrame:
+def _next_bins(sums: np.ndarray, target: int) -> np.ndarray:
+    """Where the bin after one that begins at each place begins; as many as there are sizes where none does."""
+    return np.minimum(np.searchsorted(sums, sums[:-1] + target, side="right"), len(sums) - 1)
+
+
+def _block_steps(sums: np.ndarray, target: int) -> tuple[list[int], list[int | None], list[int]]:
+    """What a block does with each size carried into its first bin, from running sums (0 first): ``(above, left, closed)``.
+
+    The first entry below a carried size says what is left in the open bin (null: the
+    carried size and the whole block) and how many bins the block closes.
+    """
+    n = len(sums) - 1
+    jump, places = _next_bins(sums, target), np.arange(n)
+    jump = np.where(jump < n, jump, places)
+    closed = (jump != places).astype(np.int64)
+    while closed[jump].any():
+        closed, jump = closed + closed[jump], jump[jump]
+    left = sums[n] - sums[jump]
+    # a carried size over the target closes its bin at once, others at the first sum that takes them over it
+    ends = np.arange(1, n)
+    ends = ends[(sums[1:n] > sums[: n - 1]) & (sums[: n - 1] <= target)]
+    above = [target, *(target - sums[ends]).tolist(), -1]
+    lefts = [*left[:1].tolist(), *left[ends].tolist(), None]
+    bins = [*(closed[:1] + 1).tolist(), *(closed[ends] + 1).tolist(), 0]
+    keep = [i for i in range(len(above)) if i + 1 == len(above) or (lefts[i], bins[i]) != (lefts[i + 1], bins[i + 1])]
+    return [above[i] for i in keep], [lefts[i] for i in keep], [bins[i] for i in keep]
+
+
+def split_archives(assets: DataFrame, target: int, block: int = 1_000_000) -> DataFrame:
     """``(owner_id, id, archive)``: greedy bins in the order of ids; a bin closes once its size is over the target.
 
-    A running sum that starts anew is no plain window, so an owner's sizes (two numbers a
-    row) are gone through in order, in state kept between Arrow batches of the sorted
-    partition; one owner never has to fit in memory.
+    A running sum that starts anew is no plain window, so rows are range-sorted into
+    blocks of about ``block``, which all at once work out what each size carried into
+    them leads to. Only these steps, few as greedy bins soon fall in step, are gone
+    through in an owner's order; then all blocks number their rows. Null sizes are 0.
     """
-    import pyarrow as pa
+    rows = assets.select("owner_id", "id", F.coalesce("file_size", F.lit(0)).cast("long").alias("size"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / block))
+    blocks = stored(rows.repartitionByRange(parts, "owner_id", "id").withColumn("part", F.spark_partition_id()), "archive-blocks")
+
+    def sums_of(rows: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(rows["size"].to_numpy(np.int64))])
 
-    rows = assets.select("owner_id", "id", "file_size").repartition("owner_id").sortWithinPartitions("owner_id", "id")
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        sums = sums_of(rows)
+        above, left, closed = _block_steps(sums, target)
+        return pd.DataFrame({"owner_id": [rows["owner_id"].iloc[0]], "part": [rows["part"].iloc[0]], "total": [sums[-1]], "above": [above], "left": [left], "closed": [closed]})
 
-    def bins(batches):
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, used, archive = None, 0, 0
         for batch in batches:
-            out = []
-            for o, size in zip(batch.column("owner_id").to_pylist(), batch.column("file_size").to_pylist()):
-                if o != owner:
-                    owner, used, archive = o, 0, 0
-                elif used > target:
-                    used, archive = 0, archive + 1
-                used += size or 0
-                out.append(archive)
-            yield pa.RecordBatch.from_arrays([batch.column("owner_id"), batch.column("id"), pa.array(out, pa.int64())], names=["owner_id", "id", "archive"])
-
-    return rows.mapInArrow(bins, "owner_id long, id long, archive long")
+            entries = []
+            for row in batch.to_pylist():
+                if row["owner_id"] != owner:
+                    owner, used, archive = row["owner_id"], 0, 0
+                entries.append((used, archive))
+                i = next(i for i, a in enumerate(row["above"]) if used > a)
+                used = used + row["total"] if row["left"][i] is None else row["left"][i]
+                archive += row["closed"][i]
+            found = [pa.array(x, pa.int64()) for x in zip(*entries)] if entries else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("owner_id"), batch.column("part"), *found], names=["owner_id", "part", "used", "archive"])
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        sums, used = sums_of(rows), int(rows["used"].iloc[0])
+        n, then = len(rows), _next_bins(sums, target).tolist()
+        at = 0 if used > target else int(np.searchsorted(sums, target - used, side="right"))
+        begins = np.zeros(n, np.int64)
+        while at < n:
+            begins[at] = 1
+            at = then[at]
+        return rows[["owner_id", "id"]].assign(archive=rows["archive"].to_numpy() + np.cumsum(begins))
+
+    kinds = {x: rows.schema[x].dataType.simpleString() for x in ("owner_id", "id")}
+    found = blocks.groupBy("owner_id", "part").applyInPandas(steps, f"owner_id {kinds['owner_id']}, part int, total long, above array<long>, left array<long>, closed array<long>")
+    entries = found.repartition("owner_id").sortWithinPartitions("owner_id", "part").mapInArrow(carry, f"owner_id {kinds['owner_id']}, part int, used long, archive long")
+    entries = entries.withColumnsRenamed({"owner_id": "of", "part": "in"})
+    joined = blocks.join(entries, blocks["owner_id"].eqNullSafe(entries["of"]) & (blocks["part"] == entries["in"])).drop("of", "in")
+    return joined.groupBy("owner_id", "part").applyInPandas(number, f"owner_id {kinds['owner_id']}, id {kinds['id']}, archive long")

@@ -19,8 +19,8 @@ def _unit(column: pd.Series) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
-def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells: int, block: int) -> DataFrame:
-    """``(*keys, id, embedding, cell, block, asker, asks)``: every vector as a member of its cell and as an asker of the cells it may have neighbours in.
+def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells: int, block: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, id, embedding, *extra, cell, block, asker, asks)``: every vector as a member of its cell and as an asker of the cells it may have neighbours in.
 
     Cells are those of ``cells`` centres at most, as many as the root of the number of
     vectors, taken from the data. A member y of cell c is on c's side of the plane
@@ -30,7 +30,7 @@ def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells
     cell, so neither is ever collected whole, however many vectors are alike.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(*keys, "id", "embedding").where("embedding IS NOT NULL AND id IS NOT NULL")
+    rows = vectors.select(*keys, "id", "embedding", *extra).where("embedding IS NOT NULL AND id IS NOT NULL")
     n = int(min(cells, max(1, math.isqrt(rows.count()))))
     picked = rows.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(2 * n).toPandas()
     sampled = _unit(picked["embedding"]) if len(picked) else np.zeros((0, 1))
@@ -74,7 +74,7 @@ def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells
     def every(of: str):
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    names = [*keys, "id", "embedding", "cell"]
+    names = [*keys, "id", "embedding", *extra, "cell"]
     left = asks.join(asking, by).select(*names, hashed("askers").alias("asker"), F.lit(True).alias("asks"), every("blocks").alias("block"))
     right = members.join(asking, by).select(*names, hashed("blocks").alias("block"), F.lit(False).alias("asks"), every("askers").alias("asker"))
     return left.unionByName(right)
@@ -99,15 +99,29 @@ def _distances(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.Dat
             yield part, 1 - _unit(part["embedding"]) @ members.T
 
 
-def neighbours(vectors: DataFrame, max_distance: float, k: int | None = None, keys: tuple[str, ...] = (), with_self: bool = False, cells: int = 4096, block: int = 4096) -> DataFrame:
+def neighbours(
+    vectors: DataFrame,
+    max_distance: float,
+    k: int | None = None,
+    keys: tuple[str, ...] = (),
+    with_self: bool = False,
+    cells: int = 4096,
+    block: int = 4096,
+    since: str | None = None,
+    until: str | None = None,
+) -> DataFrame:
     """``(*keys, id, other, distance)``: all others of the same keys within a cosine distance, the nearest ``k`` of each.
 
     Exact; see ``_tiles``. How many cells a vector asks hangs on the distance: a few at
     0.01, and on data without clusters all of its key's at 0.5 and more, where no exact
     search can leave any out. Taking the nearest k and then the threshold is the same as
     the reverse. Zero vectors are at distance 1 from all.
+
+    With columns ``since`` and ``until`` a vector is only found by those whose ``until``
+    is not before its ``since``, as faces of a person in photos since their birth. A
+    vector without ``since`` is found by all; one without ``until`` finds only such.
     """
-    tiles = _tiles(vectors, max_distance, keys, cells, block)
+    tiles = _tiles(vectors, max_distance, keys, cells, block, (since, until) if since and until else ())
     id_kind = tiles.schema["id"].dataType.simpleString()
 
     def search(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +129,10 @@ def neighbours(vectors: DataFrame, max_distance: float, k: int | None = None, ke
         out = [pd.DataFrame({"id": [], "other": [], "distance": []})]
         ids = right["id"].to_numpy()
         for part, d in _distances(left, right):
-            i, j = np.nonzero(d <= max_distance + 1e-12)
+            near = d <= max_distance + 1e-12
+            if since and until:
+                near &= right[since].isna().to_numpy() | (part[until].to_numpy()[:, None] >= right[since].to_numpy())
+            i, j = np.nonzero(near)
             found = pd.DataFrame({"id": part["id"].to_numpy()[i], "other": ids[j], "distance": d[i, j]})
             found = found if with_self else found[found["id"] != found["other"]]
             if k is not None:
@@ -190,11 +207,11 @@ def distances(query: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "embedding").mapInPandas(apply, "id long, distance double")
 
 
-def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int = 3, keys: tuple[str, ...] = (), may_be_core: str | None = None) -> DataFrame:
     """``(*keys, id, person)``: faces joined to people by density.
 
     A face with at least ``min_faces`` faces within the distance (itself counts) is a
-    core; cores within the distance are one person, named by the smallest core. Other
+    core, if the column ``may_be_core``, where one is named, is true; cores within the distance are one person, named by the smallest core. Other
     faces join the person of their nearest core in reach, the smallest id of equals, or
     none (null), whatever the order. No pairs are written: first every tile counts, then
     it gives one edge for each two groups that it joins (see ``_tiles``).
@@ -208,7 +225,10 @@ def cluster_faces(faces: DataFrame, max_distance: float = 0.5, min_faces: int =
         return pd.concat(got) if got else pd.DataFrame({"id": [], "n": []})
 
     counts = _by_tile(tiles, keys).applyInPandas(count, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    cores = cut(counts.where(F.col("n") >= min_faces).select("id"))
+    cores = counts.where(F.col("n") >= min_faces).select("id")
+    if may_be_core:
+        cores = cores.join(faces.where(may_be_core).select("id"), "id", "left_semi")
+    cores = cut(cores)
 
     def join(tile: pd.DataFrame) -> pd.DataFrame:
         """Core to core: edges that join what the tile joins, at most as many as it has faces. Others: their nearest core of the tile."""

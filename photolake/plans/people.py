@@ -186,12 +186,30 @@ def jn_country(c: Catalog) -> DataFrame:
     return geo.countries(c.exif.where("latitude IS NOT NULL").withColumnRenamed("asset_id", "id"), polygons)
 
 
-@query(
-    "jn_knn_dup",
-    """SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM vector a JOIN vector b ON a.owner_id = b.owner_id AND a.id <> b.id) WHERE rank <= 64 AND d <= 0.7""",
-)
+OPEN = "visibility IN ('timeline', 'archive') AND deleted_at IS NULL AND stack_id IS NULL"
+
+
+def _duplicates(distance: float) -> str:
+    return f"""WITH v AS (SELECT v.owner_id, a.type, v.id, v.embedding::DOUBLE[] AS e FROM vector v JOIN asset a ON a.id = v.id WHERE {OPEN}),
+n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
+  FROM v a JOIN v b ON a.owner_id = b.owner_id AND a.type = b.type AND a.id <> b.id)
+SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 64 AND d <= {distance}"""
+
+
+def duplicate_candidates(c: Catalog, distance: float) -> DataFrame:
+    """The nearest 64 of each vector: same owner and type, visible, not deleted, not stacked."""
+    rows = c.vector.join(c.asset.where(OPEN).select("id", "type"), "id")
+    return vectors.neighbours(rows, distance, k=64, keys=("owner_id", "type")).select("owner_id", "id", "other", "rank")
+
+
+@query("jn_knn_dup", _duplicates(0.7))
 def jn_knn_dup(c: Catalog) -> DataFrame:
-    return vectors.neighbours(c.vector, 0.7, k=64, keys=("owner_id",)).select("owner_id", "id", "other", "rank")
+    return duplicate_candidates(c, 0.7)
+
+
+@query("jn_knn_dup_default", _duplicates(0.01))
+def jn_knn_dup_default(c: Catalog) -> DataFrame:
+    return duplicate_candidates(c, 0.01)
 
 
 @query(
@@ -203,34 +221,45 @@ def jn_knn_text(c: Catalog) -> DataFrame:
     return vectors.nearest(asked, c.vector, 20).select("query", "id", "rank")
 
 
-@query(
-    "jn_knn_face",
-    "SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM vector a JOIN vector b ON a.owner_id = b.owner_id) WHERE rank <= 10 AND d <= 0.65",
-)
-def jn_knn_face(c: Catalog) -> DataFrame:
-    return vectors.neighbours(c.vector, 0.65, k=10, keys=("owner_id",), with_self=True).select("owner_id", "id", "other", "rank")
+#: The person of a vector's face, by rule.
+FACE_PERSON = "CASE WHEN v.id % 3 <> 0 THEN v.id % 97 END"
 
 
-OPEN = "visibility IN ('timeline', 'archive') AND deleted_at IS NULL AND stack_id IS NULL"
+def _face_matches(distance: float, has_person: bool = False) -> str:
+    return f"""WITH v AS (SELECT v.owner_id, v.id, v.embedding::DOUBLE[] AS e, CAST(a.file_created_at AS DATE) AS taken, p.birth_date, {FACE_PERSON} AS person_id
+  FROM vector v JOIN asset a ON a.id = v.id LEFT JOIN person p ON p.id = {FACE_PERSON} WHERE a.deleted_at IS NULL),
+n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
+  FROM v a JOIN v b ON a.owner_id = b.owner_id AND (b.birth_date IS NULL OR b.birth_date <= a.taken){" WHERE b.person_id IS NOT NULL" if has_person else ""})
+SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 10 AND d <= {distance}"""
 
 
-@query(
-    "jn_knn_dup_default",
-    f"""WITH v AS (SELECT v.owner_id, a.type, v.id, v.embedding::DOUBLE[] AS e FROM vector v JOIN asset a ON a.id = v.id WHERE {OPEN})
-SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.e, b.e) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM v a JOIN v b ON a.owner_id = b.owner_id AND a.type = b.type AND a.id <> b.id) WHERE rank <= 64 AND d <= 0.01""",
-)
-def jn_knn_dup_default(c: Catalog) -> DataFrame:
-    """Duplicate candidates at the default distance: same owner and type, visible, not deleted, not stacked."""
-    rows = c.vector.join(c.asset.where(OPEN).select("id", "type"), "id")
-    return vectors.neighbours(rows, 0.01, k=64, keys=("owner_id", "type")).select("owner_id", "id", "other", "rank")
+def face_matches(c: Catalog, distance: float, has_person: bool = False) -> DataFrame:
+    """The nearest 10 faces of each, itself included: same owner, not deleted, of nobody born after the photo; with ``has_person`` only those of a person."""
+    v, p = c.vector.alias("v"), c.person.select(F.col("id").alias("person_id"), "birth_date")
+    rows = v.withColumn("person_id", F.expr(FACE_PERSON)).join(p, "person_id", "left")
+    rows = rows.join(c.asset.where("deleted_at IS NULL").select("id", F.to_date("file_created_at").alias("taken")), "id")
+    # days as numbers, so that nulls are not a number in the tiles
+    days = {x: F.datediff(x, F.lit("1970-01-01")).cast("double") for x in ("birth_date", "taken")}
+    rows = rows.withColumns(days)
+    if has_person:
+        rows = rows.withColumn("birth_date", F.when(F.col("person_id").isNull(), F.lit(float("inf"))).otherwise(F.col("birth_date")))
+    found = vectors.neighbours(rows, distance, k=10, keys=("owner_id",), with_self=True, since="birth_date", until="taken")
+    return found.select("owner_id", "id", "other", "rank")
 
 
-@query(
-    "jn_knn_face_default",
-    "SELECT owner_id, id, other, CAST(rank AS INTEGER) AS rank FROM (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank FROM vector a JOIN vector b ON a.owner_id = b.owner_id) WHERE rank <= 10 AND d <= 0.5",
-)
+@query("jn_knn_face", _face_matches(0.65))
+def jn_knn_face(c: Catalog) -> DataFrame:
+    return face_matches(c, 0.65)
+
+
+@query("jn_knn_face_person", _face_matches(0.65, True))
+def jn_knn_face_person(c: Catalog) -> DataFrame:
+    return face_matches(c, 0.65, has_person=True)
+
+
+@query("jn_knn_face_default", _face_matches(0.5))
 def jn_knn_face_default(c: Catalog) -> DataFrame:
-    return vectors.neighbours(c.vector, 0.5, k=10, keys=("owner_id",), with_self=True).select("owner_id", "id", "other", "rank")
+    return face_matches(c, 0.5)
 
 
 @query("fn_cosine", "SELECT a.id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM vector a JOIN vector b ON b.id = 0")
@@ -238,14 +267,29 @@ def fn_cosine(c: Catalog) -> DataFrame:
     return vectors.distances(c.vector.where("id = 0"), c.vector).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(
-    "grp_faces",
-    """WITH RECURSIVE n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM vector a JOIN vector b ON a.owner_id = b.owner_id), near AS (SELECT * FROM n WHERE d <= 0.62), core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 3),
-e AS (SELECT id AS a, other AS b FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), named AS (SELECT a AS id, min(b) AS person FROM reach GROUP BY a)
-SELECT v.owner_id, v.id, (SELECT p.person FROM near x JOIN named p ON p.id = x.other WHERE x.id = v.id ORDER BY x.d, x.other LIMIT 1) AS person FROM vector v""",
-)
+def _people_of_faces(distance: float, faces: int) -> str:
+    return f"""WITH RECURSIVE v AS (SELECT v.owner_id, v.id, v.embedding::DOUBLE[] AS e, a.visibility = 'timeline' AS shown FROM vector v JOIN asset a ON a.id = v.id WHERE a.deleted_at IS NULL),
+n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.e, b.e) AS d, a.shown FROM v a JOIN v b ON a.owner_id = b.owner_id), near AS (SELECT * FROM n WHERE d <= {distance}),
+core AS (SELECT id FROM near WHERE shown GROUP BY id HAVING count(*) >= {faces}),
+e AS (SELECT id AS a, other AS b FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), named AS (SELECT a AS id, min(b) AS person FROM reach GROUP BY a)
+SELECT v.owner_id, v.id, (SELECT p.person FROM near x JOIN named p ON p.id = x.other WHERE x.id = v.id ORDER BY x.d, x.other LIMIT 1) AS person FROM v"""
+
+
+def people_of_faces(c: Catalog, distance: float, faces: int) -> DataFrame:
+    """Faces of photos that are not deleted; only those on the timeline make a person."""
+    rows = c.vector.join(c.asset.where("deleted_at IS NULL").select("id", (F.col("visibility") == "timeline").alias("shown")), "id")
+    return vectors.cluster_faces(rows, distance, faces, keys=("owner_id",), may_be_core="shown")
+
+
+@query("grp_faces", _people_of_faces(0.62, 3))
 def grp_faces(c: Catalog) -> DataFrame:
-    return vectors.cluster_faces(c.vector, 0.62, 3, keys=("owner_id",))
+    return people_of_faces(c, 0.62, 3)
+
+
+@query("grp_faces_default", _people_of_faces(0.5, 2))
+def grp_faces_default(c: Catalog) -> DataFrame:
+    return people_of_faces(c, 0.5, 2)
 
 
 @query(
@@ -280,13 +324,3 @@ def jn_memory_assets(c: Catalog) -> DataFrame:
 def agg_people_by_face(c: Catalog) -> DataFrame:
     near = vectors.distances(c.vector.where("id = 0"), c.vector).select(F.col("id").alias("person_id"), "distance")
     return timeline.first_of(near.join(c.person.withColumnRenamed("id", "person_id"), "person_id"), ["person_id"], F.col("distance")).select("person_id", "name", F.round("distance", 6).alias("distance"))
-
-
-@query(
-    "grp_faces_default",
-    """WITH RECURSIVE n AS (SELECT a.owner_id, a.id, b.id AS other, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM vector a JOIN vector b ON a.owner_id = b.owner_id), near AS (SELECT * FROM n WHERE d <= 0.5), core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 2),
-e AS (SELECT id AS a, other AS b FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), named AS (SELECT a AS id, min(b) AS person FROM reach GROUP BY a)
-SELECT v.owner_id, v.id, (SELECT p.person FROM near x JOIN named p ON p.id = x.other WHERE x.id = v.id ORDER BY x.d, x.other LIMIT 1) AS person FROM vector v""",
-)
-def grp_faces_default(c: Catalog) -> DataFrame:
-    return vectors.cluster_faces(c.vector, 0.5, 2, keys=("owner_id",))

@@ -100,6 +100,22 @@ def test_archives_close_once_over_the_target(spark):
     assert [r[2] for r in values(timeline.split_archives(df, 10))] == [0, 0, 0, 1, 2, 2, 0]
 
 
+def test_archives_of_small_blocks_equal_a_plain_walk(spark):
+    rng = random.Random(4)
+    for target in (0, 7, 40):
+        rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, 0, 0, 1, 3, 9, 30])) for i in range(600)]
+        df = spark.createDataFrame(rows, "owner_id long, id long, file_size long")
+        want, state = {}, {}
+        for owner, i, size in rows:
+            used, archive = state.get(owner, (0, 0))
+            used, archive = (0, archive + 1) if used > target else (used, archive)
+            state[owner] = used + (size or 0), archive
+            want[owner, i] = archive
+        found = timeline.split_archives(df, target, block=12)
+        assert {(r.owner_id, r.id): r.archive for r in found.collect()} == want
+    assert timeline.split_archives(df.where("false"), 5).collect() == []
+
+
 KEEP = [([1000, 5000, 3000], [1, 1, 1], 1), ([5, 5, 3], [1, 4, 9], 1), ([5, 5], [2, 2], 1), ([None, None], [0, 1], 1), ([7, None], [0, 9], 0)]
 
 

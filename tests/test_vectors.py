@@ -72,3 +72,17 @@ def test_faces_in_small_tiles_equal_brute_force(spark, monkeypatch):
         want[i] = low[i] if core[i] else low[others[np.lexsort((others, d[i, others]))[0]]] if len(others) else None
     assert {r.id: r.person for r in vectors.cluster_faces(df, 0.03, 6).collect()} == want
     assert len({x for x in want.values() if x is not None}) > 5 and None in want.values()
+
+
+def test_faces_are_only_found_by_photos_since_their_birth(spark):
+    rows = [(1, [1.0, 0.0], None, 5.0), (2, [1.0, 0.1], 3.0, 2.0), (3, [1.0, 0.2], 9.0, None), (4, None, None, 5.0), (5, [0.0, 1.0], 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, born double, taken double")
+    found = vectors.neighbours(df, 0.1, k=2, with_self=True, since="born", until="taken")
+    assert sorted((r.id, r.other, r["rank"]) for r in found.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (3, 1, 1), (5, 5, 1)]
+
+
+def test_only_faces_on_the_timeline_make_a_person(spark):
+    rows = [(i, [1.0, i / 1000], i != 2) for i in range(4)] + [(i, [0.0, 1.0], False) for i in range(10, 14)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, shown boolean")
+    got = {r.id: r.person for r in vectors.cluster_faces(df, 0.01, 3, may_be_core="shown").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, **{i: None for i in range(10, 14)}}
