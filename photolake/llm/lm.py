@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -214,15 +214,18 @@ _SCALE = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
 
 
 def _step(inputs: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gates (keep, reset), candidate and the state's part in it, from scaled sums; ``u`` is overwritten."""
+    """Gates (keep, reset), candidate and the state's part in it, from scaled sums; ``u`` is overwritten.
+
+    A column is a text, so that the rows of a gate lie together.
+    """
     H = HIDDEN
-    zr, un = u[:, : 2 * H], u[:, 2 * H :]
-    zr += inputs[:, : 2 * H]
+    zr, un = u[: 2 * H], u[2 * H :]
+    zr += inputs[: 2 * H]
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    new = zr[:, H:] * un
-    new += inputs[:, 2 * H :]
+    new = zr[H:] * un
+    new += inputs[2 * H :]
     np.exp(new, out=new)
     new += 1
     np.divide(2, new, out=new)
@@ -258,67 +261,69 @@ class Trainer:
         x[begins] = END
         real = np.ones(len(y), bool)
         x, y, begins, real = (np.concatenate([v, np.zeros(steps * lanes - len(v), v.dtype)]).reshape(lanes, steps).T.copy() for v in (x, y, begins, real))
-        h = np.zeros((lanes, H), dtype=np.float32)
+        h = np.zeros((H, lanes), dtype=np.float32)
         for k in range(0, steps, WINDOW):
             span = slice(k, k + WINDOW)
             ok = real[span].ravel()
             if not ok.any():
                 continue
             words = x[span].ravel()
-            vectors = net.emb[words]
-            inputs = (vectors @ (net.p * _SCALE) + net.b * _SCALE).reshape(WINDOW, lanes, 3 * H)
-            scaled, back_u = net.u * _SCALE, np.ascontiguousarray(net.u.T)
+            vectors = net.emb[words].reshape(WINDOW, lanes, EMBED)
+            inputs = (net.p * _SCALE).T @ vectors.transpose(0, 2, 1)
+            inputs += (net.b * _SCALE)[:, None]
+            scaled = np.ascontiguousarray((net.u * _SCALE).T)
             stays = [not begins[t].any() for t in range(k, k + WINDOW)]
-            befores, states = np.empty((WINDOW, lanes, H), np.float32), np.empty((WINDOW, lanes, H), np.float32)
+            befores, states = np.empty((WINDOW, H, lanes), np.float32), np.empty((WINDOW, H, lanes), np.float32)
             saved = []
             for t in range(WINDOW):
                 befores[t] = h
                 if not stays[t]:
-                    befores[t][begins[k + t]] = 0
-                zr, new, un = _step(inputs[t], befores[t] @ scaled)
+                    befores[t][:, begins[k + t]] = 0
+                zr, new, un = _step(inputs[t], scaled @ befores[t])
                 saved.append((zr, new, un))
-                h = befores[t] - new
-                h *= zr[:, :H]
+                h = states[t]
+                np.subtract(befores[t], new, out=h)
+                h *= zr[:H]
                 h += new
-                states[t] = h
-            seen = states.reshape(-1, H)
+            seen = states.transpose(0, 2, 1).reshape(-1, H)
             if ok.all():
-                back = log_likelihood(net, seen, y[span].ravel(), self.grad)[1].reshape(WINDOW, lanes, H)
+                back = log_likelihood(net, seen, y[span].ravel(), self.grad)[1]
             else:
                 back = np.zeros_like(seen)
                 back[ok] = log_likelihood(net, seen[ok], y[span].ravel()[ok], self.grad)[1]
-                back = back.reshape(WINDOW, lanes, H)
-            da, du = np.empty((WINDOW, lanes, 3 * H), np.float32), np.empty((WINDOW, lanes, 3 * H), np.float32)
+            back = np.ascontiguousarray(back.reshape(WINDOW, lanes, H).transpose(0, 2, 1))
+            da, du = np.empty((WINDOW, 3 * H, lanes), np.float32), np.empty((WINDOW, 3 * H, lanes), np.float32)
             later = np.zeros_like(h)
             for t in range(WINDOW - 1, -1, -1):
                 zr, new, un = saved[t]
                 one, two = da[t], du[t]
                 d = later
                 d += back[t]
-                z, r = zr[:, :H], zr[:, H:]
-                slope = zr * (1 - zr)
+                z, r = zr[:H], zr[H:]
+                slope = 1 - zr
+                slope *= zr
                 keep = d * z
                 dn = d - keep
                 dn *= 1 - new * new
-                np.multiply(d, befores[t] - new, out=one[:, :H])
+                np.multiply(d, befores[t] - new, out=one[:H])
                 un *= -0.5
-                np.multiply(dn, un, out=one[:, H : 2 * H])
-                one[:, : 2 * H] *= slope
-                one[:, 2 * H :] = dn
-                two[:, : 2 * H] = one[:, : 2 * H]
-                np.multiply(dn, r, out=two[:, 2 * H :])
-                later = two @ back_u
+                np.multiply(dn, un, out=one[H : 2 * H])
+                one[: 2 * H] *= slope
+                one[2 * H :] = dn
+                two[: 2 * H] = one[: 2 * H]
+                np.multiply(dn, r, out=two[2 * H :])
+                later = net.u @ two
                 later += keep
                 if not stays[t]:
-                    later[begins[k + t]] = 0
-            da, du = da.reshape(-1, 3 * H), du.reshape(-1, 3 * H)
+                    later[:, begins[k + t]] = 0
             g = self.grad
-            g.u += befores.reshape(-1, H).T @ du
-            g.p += vectors.T @ da
-            g.b += da.sum(axis=0)
+            g.u += (befores @ du.transpose(0, 2, 1)).sum(axis=0)
+            g.p += (da @ vectors).sum(axis=0).T
+            g.b += da.sum(axis=(0, 2))
             order = np.argsort(words, kind="stable")
             heads = np.flatnonzero(np.diff(words[order], prepend=-1))
-            self._update(words[order[heads]], np.add.reduceat((da @ net.p.T)[order], heads, axis=0), float(ok.sum()))
+            of_words = (net.p @ da).transpose(0, 2, 1).reshape(-1, EMBED)
+            self._update(words[order[heads]], np.add.reduceat(of_words[order], heads, axis=0), float(ok.sum()))
 
     def _update(self, rows: np.ndarray, of_rows: np.ndarray, n: float) -> None:
         """One update: the window's word vectors, then all other weights."""
@@ -343,7 +348,7 @@ def train(net: Network, tokens: list[np.ndarray], rate: float) -> Network:
     return trainer.net
 
 
-def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 16) -> np.ndarray:
+def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 15) -> np.ndarray:
     """Natural log probability of each whole text, its end included.
 
     All texts advance together, longest first; the state of each is carried from one
@@ -367,24 +372,24 @@ def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, win
     x[place] = np.where(step == 0, END, tokens[source - 1])
     lane = np.empty(len(tokens), dtype=np.int32)
     lane[place] = owner
-    h = np.zeros((len(n), HIDDEN), dtype=np.float32)
+    h = np.zeros((HIDDEN, len(n)), dtype=np.float32)
     sums = np.zeros(len(n))
-    p, b, u = net.p * _SCALE, net.b * _SCALE, net.u * _SCALE
+    p, b, u = (net.p * _SCALE).T, (net.b * _SCALE)[:, None], np.ascontiguousarray((net.u * _SCALE).T)
     t = 0
     while t < longest:
         stop = max(t + 1, int(np.searchsorted(first, first[t] + window, side="right")) - 1)
-        a = net.emb[x[first[t] : first[stop]]] @ p
+        a = p @ net.emb[x[first[t] : first[stop]]].T
         a += b
-        out = np.empty((len(a), HIDDEN), dtype=np.float32)
+        out = np.empty((HIDDEN, a.shape[1]), dtype=np.float32)
         for s in range(t, stop):
             k, at = int(active[s]), int(first[s] - first[t])
-            hs = h[:k]
-            zr, new, _ = _step(a[at : at + k], hs @ u)
+            hs = h[:, :k]
+            zr, new, _ = _step(a[:, at : at + k], u @ hs)
             hs -= new
-            hs *= zr[:, :HIDDEN]
+            hs *= zr[:HIDDEN]
             hs += new
-            out[at : at + k] = hs
-        got, _ = log_likelihood(net, out, y[first[t] : first[stop]])
+            out[:, at : at + k] = hs
+        got, _ = log_likelihood(net, np.ascontiguousarray(out.T), y[first[t] : first[stop]])
         sums += np.bincount(lane[first[t] : first[stop]], weights=got, minlength=len(n))
         t = stop
     result = np.empty(len(n))
@@ -395,7 +400,7 @@ def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, win
 def _numbers(texts_: list[bytes], index: dict[bytes, int], number: np.ndarray) -> list[np.ndarray]:
     """The network's numbers of each text's words and its end."""
     lists = [byte_words(t) for t in texts_]
-    flat = np.fromiter((index.get(w, -1) for ws in lists for w in ws), np.int64, sum(map(len, lists)))
+    flat = np.fromiter(map(index.get, chain.from_iterable(lists), repeat(-1)), np.int64, sum(map(len, lists)))
     flat = np.where(flat >= 0, number[flat] if len(number) else 0, UNKNOWN).astype(np.int32)
     edges = np.cumsum([0, *map(len, lists)])
     return [np.append(flat[a:b], np.int32(END)) for a, b in zip(edges[:-1], edges[1:])]
