@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photolake.llm import decontaminate, html, langid, licenses, lm, mixing, mjpeg, quality, simhash, sstable
+from photolake.llm import decontaminate, html, langid, licenses, lm, mixing, mjpeg, quality, runs, simhash, sstable
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         html.op8_html,
         decontaminate.op9_decontaminate,
         simhash.op10_simhash,
+        runs.op12_runs,
         mjpeg.media_clips,
     )
     return {f.__name__: f for f in found}

@@ -8,7 +8,7 @@ import corpus_pipeline
 from photolake.llm import mixing
 from photolake.llm.registry import oracle_sql, queries
 
-CLASH = ("score", "size", "target", "fingerprint", "lang_pred", "near_key", "tie", "media", "ids", "key", "taken", "held_out", "start", "uid", "worker", "n_tokens")
+CLASH = ("score", "size", "target", "fingerprint", "lang_pred", "near_key", "tie", "media", "ids", "key", "taken", "held_out", "start", "uid", "worker", "n_tokens", "runs", "collapsed", "n_words", "best")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 EN = "the house of the river and a long road to the town with many people in it was quiet that day, and the light was low."
 DE = "der weg zu dem haus und die lange straße in der stadt mit vielen menschen war ruhig an diesem tag, und das licht war schwach."
