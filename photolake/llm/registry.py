@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photolake.llm import decontaminate, html, langid, licenses, lm, mixing, mjpeg, quality, runs, simhash, sstable
+from photolake.llm import decontaminate, hilbert, html, langid, licenses, lm, mixing, mjpeg, quality, runs, simhash, sstable
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         html.op8_html,
         decontaminate.op9_decontaminate,
         simhash.op10_simhash,
+        hilbert.op11_hilbert_shards,
         runs.op12_runs,
         mjpeg.media_clips,
     )
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL}
+    return {"op2_mixing": mixing.SQL, "op11_hilbert_shards": hilbert.SQL}
