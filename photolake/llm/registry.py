@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photolake.llm import decontaminate, hilbert, html, langid, licenses, lm, mixing, mjpeg, quality, runs, simhash, sstable
+from photolake.llm import bond, decontaminate, hilbert, html, langid, licenses, lm, mixing, mjpeg, quality, runs, simhash, sstable
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         simhash.op10_simhash,
         hilbert.op11_hilbert_shards,
         runs.op12_runs,
+        bond.op13_hard_negatives,
         mjpeg.media_clips,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op11_hilbert_shards": hilbert.SQL}
+    return {"op2_mixing": mixing.SQL, "op11_hilbert_shards": hilbert.SQL, "op13_hard_negatives": bond.SQL}

@@ -27,6 +27,8 @@ def write(spark, folder, docs):
     spark.createDataFrame([(1, EN), (2, None), (3, ""), (4, "short")] if docs else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     pages = [(1, "u", f"<html><body><nav>menu</nav><article><p>{EN}</p></article></body></html>", "x"), (2, None, None, "x"), (3, "u", "", None), (None, "u", "<p>a", None)]
     spark.createDataFrame(pages if docs else [], "page_id long, url string, html string, text string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(i, [0.1 * (i % 5), 0.2, -0.1], i % 3, "x") for i in range(30)] + [(100, [0.4, 0.2, 0.0], 1, None), (None, [0.1], 1, "x"), (5, None, 1, "x"), (6, [None], 1, "x"), (7, [0.1], None, "x")]
+    spark.createDataFrame(vectors if docs else [], "vec_id long, embedding array<float>, label int, v string").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -40,7 +42,7 @@ def empty(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("empty"), [])
 
 
-PER_DOCUMENT = [n for n in queries() if n not in ("op6_licenses", "op8_html", "op9_decontaminate", "media_clips")]
+PER_DOCUMENT = [n for n in queries() if n not in ("op6_licenses", "op8_html", "op9_decontaminate", "media_clips", "op13_hard_negatives")]
 
 
 @pytest.mark.parametrize("name", queries())
@@ -56,6 +58,8 @@ def test_odd_rows(spark, odd, name):
     elif name == "op9_decontaminate":
         assert {r.item_id for r in found} == {1}
         assert {r.doc_id for r in found} >= {0, 2, 7, 9, -5, None}
+    elif name == "op13_hard_negatives":
+        assert {r.anchor_id for r in found} == {0, 100}
     else:
         assert found == []
 
