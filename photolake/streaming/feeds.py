@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The order in which entity types are sent.
-ORDER = ("UserV1", "PartnerV1", "AssetV1", "StackV1", "PartnerAssetV1", "AlbumV1", "AlbumUserV1", "AlbumAssetV1", "AlbumToAssetV1", "AssetExifV1", "MemoryV1", "MemoryToAssetV1", "PersonV1", "AssetFaceV1")
+from photolake.streaming.changes import REQUESTS, position
 
 
 def upserts(rows: DataFrame, acks: DataFrame, now_id: str, kind: str, owner: str = "owner_id", stamp: str = "update_id") -> DataFrame:
@@ -19,38 +18,6 @@ def upserts(rows: DataFrame, acks: DataFrame, now_id: str, kind: str, owner: str
     return fresh.where(F.col("ack").isNull() | (F.col(stamp) > F.col("ack"))).select("user_id", F.lit(kind).alias("type"), F.col(stamp).alias("update_id"), "id")
 
 
-#: The kinds of rows that a client can ask for, in the order in which they are sent.
-REQUESTS = (
-    "AuthUsersV1",
-    "UsersV1",
-    "PartnersV1",
-    "AssetsV1",
-    "AssetsV2",
-    "StacksV1",
-    "PartnerAssetsV1",
-    "PartnerAssetsV2",
-    "PartnerStacksV1",
-    "AlbumAssetsV1",
-    "AlbumAssetsV2",
-    "AlbumsV1",
-    "AlbumsV2",
-    "AlbumUsersV1",
-    "AlbumToAssetsV1",
-    "AssetExifsV1",
-    "AlbumAssetExifsV1",
-    "AssetOcrV1",
-    "PartnerAssetExifsV1",
-    "MemoriesV1",
-    "MemoryToAssetsV1",
-    "PeopleV1",
-    "AssetFacesV1",
-    "AssetFacesV2",
-    "UserMetadataV1",
-    "AssetMetadataV1",
-    "AssetEditsV1",
-)
-
-
 def change_feed(changes: DataFrame, store: DataFrame, now_id) -> DataFrame:
     """``changes`` that each user has not acknowledged, with their ``position`` in the order of ``REQUESTS``.
 
@@ -59,8 +26,7 @@ def change_feed(changes: DataFrame, store: DataFrame, now_id) -> DataFrame:
     the store ends in ``Delete``). ``store`` has session_id, type and ack. Rows at or past
     ``now_id`` wait for the next round, and kinds that are no request are never sent.
     """
-    place = F.array_position(F.array(*map(F.lit, REQUESTS)), F.col("type"))
-    rows = changes.withColumn("position", place).where((F.col("position") > 0) & (F.col("update_id") < now_id))
+    rows = changes.withColumn("position", F.array_position(F.array(*map(F.lit, REQUESTS)), F.col("type"))).where((F.col("position") > 0) & (F.col("update_id") < now_id))
     rows = rows.withColumn("ack_type", F.when(F.col("is_delete"), F.concat("type", F.lit("Delete"))).otherwise(F.col("type")))
     acks = store.select(F.col("session_id").alias("user_id"), F.col("type").alias("ack_type"), "ack")
     rows = rows.join(acks, ["user_id", "ack_type"], "left").where("ack IS NULL OR update_id > ack")
@@ -92,9 +58,12 @@ def feed_line(data: Column, kind: Column, update_id: Column, extra: Column | Non
 
 
 def write_feed(df: DataFrame, path: str) -> None:
-    """Writes rows with user_id, type, update_id and data as JSON lines, in order within each user's file."""
-    order = F.array_position(F.array(*map(F.lit, ORDER)), F.col("type"))
-    lines = df.withColumn("order", order).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
+    """Writes rows with user_id, type (an entity or a kind of request), update_id and data as JSON lines.
+
+    Lines stand in the order of the feed. A user's lines are one file, but for users with
+    very many, whose lines AQE may deal over more, each in order.
+    """
+    lines = df.withColumn("order", position(F.col("type"))).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
     lines.select("user_id", feed_line(F.col("data"), F.col("type"), F.col("update_id")).alias("value")).write.partitionBy("user_id").text(path)
 
 
