@@ -58,12 +58,12 @@ def feed_line(data: Column, kind: Column, update_id: Column, extra: Column | Non
 
 
 def write_feed(df: DataFrame, path: str) -> None:
-    """Writes rows with user_id, type (an entity or a kind of request), update_id and data as JSON lines.
+    """Writes rows with user_id, type, update_id and data as JSON lines.
 
-    Lines stand in the order of the feed. A user's lines are one file, but for users with
+    Lines stand in the order of ``position``, or else of the feed's entities. A user's lines are one file, but for users with
     very many, whose lines AQE may deal over more, each in order.
     """
-    lines = df.withColumn("order", position(F.col("type"))).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
+    lines = df.withColumn("order", F.col("position") if "position" in df.columns else position(F.col("type"))).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
     lines.select("user_id", feed_line(F.col("data"), F.col("type"), F.col("update_id")).alias("value")).write.partitionBy("user_id").text(path)
 
 
