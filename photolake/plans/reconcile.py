@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from photolake.functions import scalar
 from photolake.operators import groups, integrity, tables
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
+from photolake.session import shared_dir
+from photolake.streaming.sink import BucketTable
 
 
 @query("jn_new_paths", "SELECT DISTINCT path FROM listing WHERE starts_with(path, '/data/') AND path NOT IN (SELECT original_path FROM asset WHERE is_external)")
@@ -220,7 +224,10 @@ def src_import(c: Catalog) -> DataFrame:
 @query("snk_upsert", "SELECT id, coalesce(d.name, b.name) AS name, CASE WHEN d.id IS NOT NULL AND b.id IS NOT NULL THEN b.owner_id ELSE coalesce(d.owner_id, b.owner_id) END AS owner_id FROM (SELECT id, name, owner_id FROM person) b FULL JOIN (SELECT id * 2 AS id, 'P' || id AS name, 999 AS owner_id FROM person) d USING (id)")
 def snk_upsert(c: Catalog) -> DataFrame:
     delta = c.person.select((F.col("id") * 2).alias("id"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("name"), F.lit(999).cast("long").alias("owner_id"))
-    return tables.upsert(c.person.select("id", "name", "owner_id"), delta, ["id"], ["name"])
+    held = BucketTable(c.spark, f"{shared_dir(c.spark)}/upsert-{uuid.uuid4().hex}", "id long, name string, owner_id long", ("id",), buckets=8)
+    held.merge(c.person.select("id", "name", "owner_id"), 0)
+    held.merge(delta, 1, columns=["name"])
+    return held.read()
 
 
 @query("mut_av", "SELECT id, coalesce(b.name, d.name) AS name FROM (SELECT id, name FROM person) b FULL JOIN (SELECT id * 2 AS id, 'P' || id AS name FROM person) d USING (id)")

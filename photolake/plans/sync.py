@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,50 +15,62 @@ from photolake.plans.catalog import TABLES, Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
 from photolake.sources import files
-from photolake.streaming import feeds, runner
+from photolake.streaming import changes, feeds, runner, sink
+
 
 def scratch(c: Catalog, name: str) -> str:
     return f"{shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _change(kind: str, user: str, number: str, table: str, condition: str = "true", update: str = "", gone: bool = False) -> str:
-    """Rows of a table as changes of one kind, in SQL of both dialects."""
-    update = update or f"lpad(CAST({number} AS STRING), 12, '0')"
-    return f"SELECT {user} AS user_id, '{kind}' AS type, {update} AS update_id, CAST({number} AS BIGINT) AS id, {'true' if gone else 'false'} AS is_delete FROM {table} WHERE {condition}"
+@dataclass(frozen=True)
+class Relation:
+    """A relation of catalogue tables whose rows are changes of several kinds, each under a condition of its own."""
+
+    kinds: dict[str, str]
+    user: str
+    number: str
+    table: str
+    where: str = "true"
+    update: str = ""
+    gone: bool = False
+
+    def sql(self, spark: bool) -> str:
+        """Rows of each kind in turn for DuckDB; for Spark the relation once, its kinds exploded."""
+        update = self.update or f"lpad(CAST({self.number} AS STRING), 12, '0')"
+        row = f"SELECT {self.user} AS user_id, %s AS type, {update} AS update_id, CAST({self.number} AS BIGINT) AS id, {'true' if self.gone else 'false'} AS is_delete FROM {self.table} WHERE %s"
+        if spark:
+            kinds = ", ".join(f"CASE WHEN {c} THEN '{k}' END" if c else f"'{k}'" for k, c in self.kinds.items())
+            return row % (f"explode(filter(array({kinds}), k -> k IS NOT NULL))", self.where)
+        return " UNION ALL ".join(row % (f"'{k}'", f"({self.where}) AND ({c})" if c else self.where) for k, c in self.kinds.items())
 
 
-SHARED = "partner JOIN asset ON asset.owner_id = partner.shared_by"
 IN_ALBUM = "album_user JOIN album_asset ON album_asset.album_id = album_user.album_id"
 #: All kinds of the feed from the catalogue's tables; a first version of a kind and its second have the same rows.
-CHANGES = " UNION ALL ".join(
-    [
-        _change("AuthUsersV1", "id", "id", "users"),
-        _change("UsersV1", "shared_with", "users.id", "partner JOIN users ON users.id = partner.shared_by"),
-        _change("PartnersV1", "shared_with", "shared_by", "partner"),
-        *(_change(k, "owner_id", "id", "asset", update="update_id") for k in ("AssetsV1", "AssetsV2")),
-        _change("StacksV1", "owner_id", "id", "stack"),
-        *(_change(k, "shared_with", "asset.id", SHARED, update="update_id") for k in ("PartnerAssetsV1", "PartnerAssetsV2")),
-        _change("PartnerStacksV1", "shared_with", "stack.id", "partner JOIN stack ON stack.owner_id = partner.shared_by"),
-        *(_change(k, "user_id", "asset_id", IN_ALBUM) for k in ("AlbumAssetsV1", "AlbumAssetsV2")),
-        *(_change(k, "owner_id", "id", "album", "NOT is_deleted") for k in ("AlbumsV1", "AlbumsV2")),
-        _change("AlbumUsersV1", "user_id", "album_id", "album_user"),
-        _change("AlbumToAssetsV1", "user_id", "asset_id", IN_ALBUM, "role = 'owner'"),
-        _change("AssetExifsV1", "owner_id", "id", "asset JOIN exif ON exif.asset_id = asset.id"),
-        _change("AlbumAssetExifsV1", "user_id", "exif.asset_id", IN_ALBUM + " JOIN exif ON exif.asset_id = album_asset.asset_id", "role <> 'owner'"),
-        _change("AssetOcrV1", "owner_id", "id", "asset", "type = 'IMAGE' AND id % 4 = 1"),
-        _change("PartnerAssetExifsV1", "shared_with", "asset.id", SHARED + " JOIN exif ON exif.asset_id = asset.id"),
-        _change("MemoriesV1", "owner_id", "id", "memories"),
-        _change("MemoryToAssetsV1", "owner_id", "asset_id", "memory_asset JOIN memories ON memories.id = memory_id"),
-        _change("PeopleV1", "owner_id", "id", "person"),
-        *(_change(k, "owner_id", "face.id", "face JOIN asset ON asset.id = asset_id", "face.deleted_at IS NULL") for k in ("AssetFacesV1", "AssetFacesV2")),
-        _change("UserMetadataV1", "id", "id", "users", "preferences IS NOT NULL"),
-        _change("AssetMetadataV1", "owner_id", "id", "asset", "id % 8 = 3"),
-        _change("AssetEditsV1", "owner_id", "id", "asset", "is_edited"),
-        *(_change(k, "owner_id", "asset_id", "audit", update="id", gone=True) for k in ("AssetsV1", "AssetsV2")),
-        _change("StacksV1", "owner_id", "asset_id", "audit", "asset_id % 9 = 0", "id", True),
-        _change("NotAskedV1", "id", "id", "users"),
-    ]
+RELATIONS = (
+    Relation({"AuthUsersV1": "", "UserMetadataV1": "preferences IS NOT NULL", "NotAskedV1": ""}, "id", "id", "users"),
+    Relation({"UsersV1": ""}, "shared_with", "users.id", "partner JOIN users ON users.id = partner.shared_by"),
+    Relation({"PartnersV1": ""}, "shared_with", "shared_by", "partner"),
+    Relation({"AssetsV1": "", "AssetsV2": "", "AssetOcrV1": "type = 'IMAGE' AND id % 4 = 1", "AssetMetadataV1": "id % 8 = 3", "AssetEditsV1": "is_edited"}, "owner_id", "id", "asset", update="update_id"),
+    Relation({"StacksV1": ""}, "owner_id", "id", "stack"),
+    Relation({"PartnerAssetsV1": "", "PartnerAssetsV2": "", "PartnerAssetExifsV1": "exif.asset_id IS NOT NULL"}, "shared_with", "asset.id", "partner JOIN asset ON asset.owner_id = partner.shared_by LEFT JOIN exif ON exif.asset_id = asset.id", update="update_id"),
+    Relation({"PartnerStacksV1": ""}, "shared_with", "stack.id", "partner JOIN stack ON stack.owner_id = partner.shared_by"),
+    Relation({"AlbumAssetsV1": "", "AlbumAssetsV2": "", "AlbumToAssetsV1": "role = 'owner'", "AlbumAssetExifsV1": "role <> 'owner' AND exif.asset_id IS NOT NULL"}, "user_id", "album_asset.asset_id", IN_ALBUM + " LEFT JOIN exif ON exif.asset_id = album_asset.asset_id"),
+    Relation({"AlbumsV1": "", "AlbumsV2": ""}, "owner_id", "id", "album", "NOT is_deleted"),
+    Relation({"AlbumUsersV1": ""}, "user_id", "album_id", "album_user"),
+    Relation({"AssetExifsV1": ""}, "owner_id", "id", "asset JOIN exif ON exif.asset_id = asset.id"),
+    Relation({"MemoriesV1": ""}, "owner_id", "id", "memories"),
+    Relation({"MemoryToAssetsV1": ""}, "owner_id", "asset_id", "memory_asset JOIN memories ON memories.id = memory_id"),
+    Relation({"PeopleV1": ""}, "owner_id", "id", "person"),
+    Relation({"AssetFacesV1": "", "AssetFacesV2": ""}, "owner_id", "face.id", "face JOIN asset ON asset.id = asset_id", "face.deleted_at IS NULL"),
+    Relation({"AssetsV1": "", "AssetsV2": "", "StacksV1": "asset_id % 9 = 0"}, "owner_id", "asset_id", "audit", update="id", gone=True),
 )
+CHANGES = " UNION ALL ".join(r.sql(False) for r in RELATIONS)
+
+
+def changes_of(c: Catalog) -> DataFrame:
+    return _derived(c, " UNION ALL ".join(r.sql(True) for r in RELATIONS))
+
+
 STORE = """SELECT user_id AS session_id, 'AssetsV1' AS type, ack FROM checkpoint UNION ALL SELECT user_id, 'AlbumsV2', lpad(CAST(user_id AS STRING), 12, '0') FROM checkpoint WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 'AssetsV2Delete', '900000004000' FROM checkpoint WHERE user_id % 3 = 0"""
 LAST = "900000009000"
 
@@ -77,7 +90,68 @@ SELECT c.user_id, k.position, c.type, c.update_id, c.id, c.is_delete FROM change
 WHERE c.update_id < '{LAST}' AND NOT coalesce(c.update_id <= s.ack, false)""",
 )
 def st_feed(c: Catalog) -> DataFrame:
-    return feeds.change_feed(_derived(c, CHANGES), _derived(c, STORE), LAST)
+    return feeds.change_feed(changes_of(c), _derived(c, STORE), LAST)
+
+
+#: What carries the rows of each kind: type, is_delete, entity, its place in the feed, the client's table and whether that has a second key.
+CARRIERS = [
+    (kind, gone, entity, changes.SENT.index(entity) + 1, name, len(t.keys) > 1)
+    for kind in changes.REQUESTS
+    for gone in (False, True)
+    if (entity := changes.request_entity(kind, gone))
+    for name, t in sink.TARGETS.items()
+    if entity in t.upserts + t.deletes
+]
+CARRIED = "(VALUES " + ", ".join(f"('{k}', {str(g).lower()}, '{e}', {p}, '{n}', {str(two).lower()})" for k, g, e, p, n, two in CARRIERS) + ") AS carried(type, is_delete, entity, position, target, two)"
+
+
+def _logged(c: Catalog, folder: str) -> None:
+    """The catalogue's changes as a log of entities; their data are keys alone, of which the second is the user's id."""
+    keys = {e: (t.delete_keys if e in t.deletes else t.keys) for t in sink.TARGETS.values() for e in t.upserts + t.deletes}
+    data = F.lit(None).cast("string")
+    for names in set(keys.values()):
+        value = F.to_json(F.struct(F.col("id").alias(names[0]), *(F.col("user_id").alias(n) for n in names[1:])))
+        data = F.when(F.col("entity").isin(*(e for e, n in keys.items() if n == names)), value).otherwise(data)
+    carried = c.spark.createDataFrame([r[:3] for r in CARRIERS], "type string, is_delete boolean, entity string")
+    changes.write_changes(changes_of(c).join(F.broadcast(carried), ["type", "is_delete"]).withColumn("data", data), folder)
+
+
+ROUND = 150_000
+STREAM_STORE = """SELECT user_id AS session_id, 'AssetV2' AS type, ack FROM checkpoint UNION ALL SELECT user_id, 'AlbumV2', lpad(CAST(user_id AS STRING), 12, '0') FROM checkpoint WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 'AssetDeleteV1', '900000004000' FROM checkpoint WHERE user_id % 3 = 0"""
+
+
+@query(
+    "st_feed_stream",
+    f"""WITH changes AS ({CHANGES}), store AS ({STREAM_STORE})
+SELECT c.user_id, k.entity, c.update_id, c.id FROM changes c JOIN (SELECT DISTINCT type, is_delete, entity FROM {CARRIED}) k ON k.type = c.type AND k.is_delete = c.is_delete LEFT JOIN store s ON s.session_id = c.user_id AND s.type = k.entity
+WHERE c.update_id < '{LAST}' AND NOT coalesce(c.update_id <= s.ack, false)""",
+)
+def st_feed_stream(c: Catalog) -> DataFrame:
+    folder = scratch(c, "changes")
+    _logged(c, f"{folder}/log")
+    stream = changes.unsent(changes.read_changes(c.spark, f"{folder}/log", f"{folder}/progress", ROUND, LAST), _derived(c, STREAM_STORE))
+
+    def lines(batch: DataFrame, number: int) -> None:
+        first = F.regexp_extract("data", r"^\{\"\w+\":(\d+)", 1).cast("long")
+        feeds.write_feed(batch.withColumn("type", F.col("entity")).withColumn("data", F.struct(first.alias("id"))), f"{folder}/lines/batch={number}")
+
+    runner.drain(stream, lines, f"{folder}/progress")
+    back = c.spark.read.schema("value string, batch int, user_id long").text(f"{folder}/lines").select("user_id", F.from_json("value", "type string, data struct<id: bigint>, ack string").alias("j"))
+    return back.select("user_id", F.col("j.type").alias("entity"), F.substring_index("j.ack", "|", -1).alias("update_id"), F.col("j.data.id").alias("id"))
+
+
+@query(
+    "st_apply_stream",
+    f"""WITH changes AS ({CHANGES}), events AS (SELECT k.target, c.user_id, CASE WHEN k.two THEN c.id || '|' || c.user_id ELSE CAST(c.id AS VARCHAR) END AS key, k.position, c.update_id, c.is_delete FROM changes c JOIN (SELECT * FROM {CARRIED}) k ON k.type = c.type AND k.is_delete = c.is_delete WHERE c.update_id < '{LAST}'),
+last AS (SELECT target, user_id, key, update_id AS version, is_delete FROM events QUALIFY row_number() OVER (PARTITION BY target, user_id, key ORDER BY position DESC, update_id DESC) = 1)
+SELECT target, user_id, key, version FROM last WHERE NOT is_delete""",
+)
+def st_apply_stream(c: Catalog) -> DataFrame:
+    folder = scratch(c, "client")
+    _logged(c, f"{folder}/log")
+    table = sink.client_tables(c.spark, f"{folder}/tables", 4)
+    runner.drain(changes.read_changes(c.spark, f"{folder}/log", f"{folder}/progress", ROUND, LAST), sink.apply_changes(table), f"{folder}/progress")
+    return table.read().select("target", "user_id", "key", "version")
 
 
 NOW_MS = 1706000000123
