@@ -15,7 +15,7 @@ from photolake.plans.catalog import TABLES, Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
 from photolake.sources import files
-from photolake.streaming import changes, feeds, runner, sink
+from photolake.streaming import changes, feeds, runner, sink, timers
 
 
 def scratch(c: Catalog, name: str) -> str:
@@ -253,23 +253,32 @@ def st_sliding(c: Catalog) -> DataFrame:
 
 @query(
     "st_debounce",
-    """WITH b AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 2 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+    """WITH wm AS (SELECT epoch_ms(max(ts)) - 3600000 AS now FROM events), e AS (SELECT user_id, epoch_ms(ts) AS ms FROM events, wm WHERE epoch_ms(ts) <= now),
+b AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < 2 * 3600000 THEN 0 ELSE 1 END AS first FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, min(ms) AS start_ms, max(ms) + 2 * 3600000 AS sent_ms, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ms) + 2 * 3600000 <= (SELECT now FROM wm)""",
 )
 def st_debounce(c: Catalog) -> DataFrame:
-    stream = feeds.debounced(runner.read_stream(c.spark, c.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2 hours", "user_id")
-    return runner.run(stream, ["user_id", "start"], "complete").select("user_id", _stamp("start"), "n")
+    events = runner.read_stream(c.spark, c.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return runner.run(timers.debounced(events, "ts", 2 * 3_600_000, "user_id"))
 
 
 @query(
     "st_watch",
-    """WITH b AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 5 * 1000000::BIGINT THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
-SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 5 SECOND, '%Y-%m-%d %H:%M:%S') AS settled, count(*) AS n FROM s GROUP BY user_id, event_type, k""",
+    """WITH RECURSIVE wm AS (SELECT epoch_ms(max(ts)) - 3600000 AS now FROM events), e AS (SELECT user_id, event_type, epoch_ms(ts) AS ms, CAST(floor(value) AS BIGINT) % 3 AS size, event_id % 7 = 0 AS gone FROM events, wm WHERE epoch_ms(ts) <= now),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms, gone, size) AS k FROM e),
+f AS (SELECT DISTINCT user_id, event_type, 0::BIGINT AS k, NULL::BIGINT AS start, NULL::BIGINT AS since, NULL::BIGINT AS size, 0::BIGINT AS n, NULL::BIGINT AS done_start, NULL::BIGINT AS done_at, NULL::BIGINT AS done_size, NULL::BIGINT AS done_n FROM k
+  UNION ALL SELECT k.user_id, k.event_type, k.k, CASE WHEN k.gone THEN NULL WHEN f.since IS NULL OR k.ms >= f.since + 21600000 THEN k.ms ELSE f.start END, CASE WHEN k.gone THEN NULL WHEN f.since IS NULL OR k.ms >= f.since + 21600000 OR k.size <> f.size THEN k.ms ELSE f.since END,
+    CASE WHEN NOT k.gone THEN k.size END, CASE WHEN k.gone THEN 0 WHEN f.since IS NULL OR k.ms >= f.since + 21600000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN k.ms >= f.since + 21600000 THEN f.start END, CASE WHEN k.ms >= f.since + 21600000 THEN f.since + 21600000 END, CASE WHEN k.ms >= f.since + 21600000 THEN f.size END, CASE WHEN k.ms >= f.since + 21600000 THEN f.n END
+  FROM f JOIN k ON k.user_id = f.user_id AND k.event_type = f.event_type AND k.k = f.k + 1)
+SELECT user_id, event_type, 'sync' AS action, done_start AS start_ms, done_at AS at_ms, done_size AS size, done_n AS n FROM f WHERE done_start IS NOT NULL
+UNION ALL SELECT user_id, event_type, 'remove', ms, ms, size, 1 FROM e WHERE gone
+UNION ALL SELECT user_id, event_type, 'sync', start, since + 21600000, size, n FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY k DESC) = 1), wm WHERE since + 21600000 <= now""",
 )
 def st_watch(c: Catalog) -> DataFrame:
-    events = runner.read_stream(c.spark, c.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    settled = runner.run(feeds.debounced(events, "ts", "5 seconds", "user_id", "event_type"), ["user_id", "event_type", "start"], "complete")
-    return settled.select("user_id", "event_type", _stamp("start"), _stamp("sent_at").alias("settled"), "n")
+    # the events are hours apart, so here a file settles after six hours
+    events = runner.read_stream(c.spark, c.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("size", F.floor("value") % 3)
+    return runner.run(timers.settled(events, "ts", "user_id", "event_type", gone="event_id % 7 = 0", gap_ms=6 * 3_600_000, late="1 hour"))
 
 
 @query("st_upload_dedup", "SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS checksum FROM events WHERE NOT (user_id % 3 = 0 AND floor(value) % 2 = 0)")

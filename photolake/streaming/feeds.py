@@ -113,12 +113,6 @@ def windows(events: DataFrame, ts: str, length: str, slide: str | None, *keys: s
     return events.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "value")
 
 
-def debounced(events: DataFrame, ts: str, gap: str, *keys: str, late: str = "1 hour") -> DataFrame:
-    """One notice for each burst of events of the same keys: it goes out once ``gap`` passed without another."""
-    w = F.session_window(ts, gap)
-    return events.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("sent_at"), *keys, "n")
-
-
 def unique_uploads(uploads: DataFrame, ts: str, keys: list[str], known: DataFrame | None = None, late: str = "1 day") -> DataFrame:
     """The first upload of each checksum of an owner within the watermark that the catalogue does not hold."""
     rows = uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)

@@ -265,7 +265,6 @@ def test_changed_tells_null_from_empty(spark):
 def test_streams_resume_from_files(spark, tmp_path):
     spark.createDataFrame([("2024-01-01 00:00:00", 1, 1.0), ("2024-01-01 00:03:00", 1, 2.0), ("2024-01-01 01:00:00", 1, 4.0)], "t string, user_id long, value double").select(F.col("t").cast("timestamp").alias("ts"), "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
     stream = runner.read_stream(spark, str(tmp_path), "events")
-    assert [r.n for r in runner.run(feeds.debounced(stream, "ts", "5 minutes", "user_id"), ["user_id", "start"], "complete").orderBy("start").collect()] == [2, 1]
     days = runner.run(feeds.windows(stream, "ts", "1 day", None, "user_id"), ["start", "user_id"], "update").collect()
     assert [(r.n, r.value) for r in days] == [(3, 7.0)]
     assert runner.run(feeds.unique_uploads(stream, "ts", ["user_id"])).count() == 1
