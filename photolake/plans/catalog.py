@@ -64,7 +64,7 @@ SELECT {k} AS asset_id,
   CASE WHEN {k} % 7 <> 0 AND {k} % 4 <> 1 THEN concat(CASE WHEN {k} % 80 < 20 THEN 'Münster ' ELSE 'City ' END, CAST({k} % 80 AS STRING)) WHEN {k} % 7 = 0 THEN '' END AS city,
   CASE WHEN {k} % 5 = 0 THEN concat('Summer trip ', CAST({k} % 30 AS STRING)) ELSE '' END AS description,
   CASE WHEN {k} % 6 <> 0 THEN CAST({k} % 6 AS INT) END AS rating, {whole("o_totalprice * 100")} AS file_size,
-  CASE WHEN {k} % 4 <> 0 THEN 'UTC+1' END AS time_zone, CASE WHEN {k} % 50 IN (10, 17) THEN concat('cid', CAST({whole(f"{k} / 50")} AS STRING)) END AS live_photo_cid,
+  CASE WHEN {k} % 4 <> 0 THEN 'UTC+1' END AS time_zone, CASE WHEN {k} % 50 IN (10, 17) THEN concat('cid', CAST({whole("o_custkey / 10")} % 20 AS STRING), '-', CAST({whole(f"{k} / 50")} % 3 AS STRING)) END AS live_photo_cid,
   CAST(1 + {k} % 8 AS INT) AS orientation, CASE WHEN {k} % 9 = 4 THEN 'sRGB' WHEN {k} % 9 = 5 THEN 'Display P3' END AS profile_description, CASE WHEN {k} % 9 = 6 THEN 'Uncalibrated' WHEN {k} % 9 = 7 THEN 'sRGB' END AS colorspace,
   CASE WHEN {k} % 3 = 1 THEN CAST(8 * (1 + {k} % 2) AS INT) END AS bits_per_sample
 FROM {{orders}}"""
@@ -136,9 +136,13 @@ SELECT original_path AS path, file_modified_at AS modified_at, CAST(id AS BIGINT
 UNION ALL SELECT path, {'CAST(NULL AS TIMESTAMP)'}, id FROM {{asset_file}} WHERE id % 33 <> 2
 UNION ALL SELECT concat('/data/', CAST(id % 150 AS STRING), '/new/IMG_', CAST(id AS STRING), '.jpg'), file_modified_at, id FROM {{asset}} WHERE id % 21 = 0""",
     "local_asset": lambda s: f"""
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 45 <> 7 THEN md5(CAST({whole("o_orderkey / 3")} AS STRING)) END AS checksum, o_orderdate AS created_at, o_orderkey % 16 = 0 AS is_favorite,
+SELECT o_orderkey AS id, {whole("o_custkey / 10")} AS owner_id, CASE WHEN o_orderkey % 45 <> 7 THEN md5(CAST(CASE WHEN o_orderkey % 4 = 1 THEN {whole("o_orderkey / 2")} ELSE {whole("o_orderkey / 3")} END AS STRING)) END AS checksum, o_orderdate AS created_at, o_orderkey % 16 = 0 AS is_favorite,
   CASE WHEN o_orderkey % 10 < 7 THEN 'IMAGE' ELSE 'VIDEO' END AS type, CASE WHEN o_orderkey % 4 <> 0 THEN CAST({whole("o_orderkey / 2")} AS STRING) END AS cloud_id,
   CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 90 AS DOUBLE) END AS latitude, o_orderkey % 1000 AS size FROM {{orders}} WHERE o_orderkey % 2 = 1""",
+    "trashed_local": lambda s: f"""
+SELECT o_orderkey AS id, {whole("o_custkey / 10")} AS owner_id, md5(CAST(CASE WHEN o_orderkey % 4 = 2 THEN {whole("o_orderkey / 2")} ELSE {whole("o_orderkey / 3")} END AS STRING)) AS checksum, 20 * (o_orderkey % 60) AS album_id,
+  CASE WHEN o_orderkey % 8 < 6 THEN 'remote_sync' ELSE 'local_user' END AS source FROM {{orders}} WHERE o_orderkey % 2 = 0""",
+    "session": lambda s: f"""SELECT {whole("c_custkey / 10")} AS user_id, c_custkey % 70 = 0 AS elevated FROM {{customer}} WHERE c_custkey % 10 = 0 AND c_custkey % 110 <> 0""",
     "local_album": lambda s: "SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS backup_selection, p_partkey % 17 = 0 AS is_shared, p_name AS name FROM {part} WHERE p_partkey % 20 = 0",
     "local_album_asset": lambda s: "SELECT DISTINCT l_partkey AS album_id, l_orderkey AS asset_id FROM {lineitem} WHERE l_partkey % 20 = 0 AND l_orderkey % 2 = 1",
     "place": lambda s: f"""

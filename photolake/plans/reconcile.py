@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import groups, integrity, tables
+from photolake.operators import groups, integrity, reconcile, tables
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
 from photolake.streaming.sink import BucketTable
 
 
-@query("jn_new_paths", "SELECT DISTINCT path FROM listing WHERE starts_with(path, '/data/') AND path NOT IN (SELECT original_path FROM asset WHERE is_external)")
+@query(
+    "jn_new_paths",
+    r"""SELECT DISTINCT b.id AS library_id, path FROM listing JOIN library b ON b.owner_id = CAST(regexp_extract(path, '^/data/([0-9]+)/', 1) AS BIGINT) WHERE regexp_matches(path, '^/data/[0-9]+/') AND NOT EXISTS (SELECT 1 FROM asset a WHERE a.original_path = path AND a.library_id = b.id AND a.is_external)""",
+)
 def jn_new_paths(c: Catalog) -> DataFrame:
-    known = c.asset.where("is_external").select(F.col("original_path").alias("path"))
-    return c.listing.where("startswith(path, '/data/')").select("path").distinct().join(known, "path", "left_anti")
+    owner = F.regexp_extract("path", "^/data/([0-9]+)/", 1)
+    listed = c.listing.where(owner != "").select("path", owner.cast("long").alias("owner_id")).join(c.library.select(F.col("id").alias("library_id"), "owner_id"), "owner_id")
+    return reconcile.new_paths(listed, c.asset)
 
 
 @query(
@@ -44,13 +48,13 @@ def selected(c: Catalog) -> DataFrame:
 
 
 MERGED = f"""WITH {LOCAL}, merged AS (SELECT 'remote' AS side, a.id, CAST(a.local_date_time AS DATE) AS day FROM asset a LEFT JOIN stack s ON s.id = a.stack_id WHERE a.deleted_at IS NULL AND visibility = 'timeline' AND (a.stack_id IS NULL OR s.primary_asset_id = a.id)
-UNION ALL SELECT 'local', l.id, CAST(l.created_at AS DATE) FROM local_asset l WHERE l.id IN (SELECT asset_id FROM sel) AND l.id NOT IN (SELECT asset_id FROM exc) AND NOT EXISTS (SELECT 1 FROM asset a WHERE a.checksum = l.checksum)) """
+UNION ALL SELECT 'local', l.id, CAST(l.created_at AS DATE) FROM local_asset l WHERE l.id IN (SELECT asset_id FROM sel) AND l.id NOT IN (SELECT asset_id FROM exc) AND NOT EXISTS (SELECT 1 FROM asset a WHERE a.checksum = l.checksum AND (a.owner_id = l.owner_id OR a.owner_id IN (SELECT shared_by FROM partner WHERE shared_with = l.owner_id AND in_timeline)))) """
 
 
 def merged(c: Catalog) -> DataFrame:
-    """The server's timeline (leading assets of stacks) and local assets that it lacks."""
+    """The server's timeline (leading assets of stacks) and local assets that it lacks for their owner."""
     remote = groups.with_stack_size(c.asset, c.stack).where("deleted_at IS NULL AND visibility = 'timeline' AND (stack_id IS NULL OR lead = id)").select(F.lit("remote").alias("side"), "id", F.col("local_date_time").cast("date").alias("day"))
-    local = selected(c).join(c.asset.where("checksum IS NOT NULL").select("checksum"), "checksum", "left_anti").select(F.lit("local").alias("side"), "id", F.col("created_at").cast("date").alias("day"))
+    local = reconcile.not_on_server(selected(c), c.asset, c.partner).select(F.lit("local").alias("side"), "id", F.col("created_at").cast("date").alias("day"))
     return remote.unionByName(local)
 
 
@@ -64,11 +68,11 @@ def agg_merged_buckets(c: Catalog) -> DataFrame:
     return merged(c).groupBy(F.date_format("day", "yyyy-MM").alias("bucket")).agg(F.count("*").alias("count"), F.count_if(F.col("side") == "local").alias("local"))
 
 
-@query("jn_backup", f"WITH {LOCAL} SELECT count(*) AS total, count_if(checksum IS NULL OR checksum NOT IN (SELECT checksum FROM asset WHERE checksum IS NOT NULL)) AS remainder, count_if(checksum IS NULL) AS processing FROM local_asset WHERE id IN (SELECT asset_id FROM sel) AND id NOT IN (SELECT asset_id FROM exc)")
+@query("jn_backup", f"WITH {LOCAL} SELECT owner_id, count(*) AS total, count_if(checksum IS NULL OR NOT EXISTS (SELECT 1 FROM asset a WHERE a.checksum = l.checksum AND a.owner_id = l.owner_id)) AS remainder, count_if(checksum IS NULL) AS processing FROM local_asset l WHERE id IN (SELECT asset_id FROM sel) AND id NOT IN (SELECT asset_id FROM exc) GROUP BY ALL")
 def jn_backup(c: Catalog) -> DataFrame:
-    known = c.asset.where("checksum IS NOT NULL").select("checksum", F.lit(True).alias("known")).distinct()
-    rows = selected(c).join(known, "checksum", "left")
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("known").isNull()).alias("remainder"), F.count_if(F.col("checksum").isNull()).alias("processing"))
+    mine = selected(c)
+    rows = mine.join(reconcile.not_on_server(mine, c.asset).select("id", F.lit(True).alias("lacking")), "id", "left")
+    return rows.groupBy("owner_id").agg(F.count("*").alias("total"), F.count_if("lacking").alias("remainder"), F.count_if(F.col("checksum").isNull()).alias("processing"))
 
 
 @query("jn_link_diff", "SELECT DISTINCT x.album_id, a.id AS asset_id FROM local_album_asset x JOIN local_asset l ON l.id = x.asset_id JOIN asset a ON a.checksum = l.checksum WHERE a.deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM album_asset r WHERE r.album_id = x.album_id AND r.asset_id = a.id)")
@@ -78,15 +82,19 @@ def jn_link_diff(c: Catalog) -> DataFrame:
     return rows.join(c.album_asset, ["album_id", "asset_id"], "left_anti")
 
 
-@query(
-    "jn_live_photo",
-    """WITH x AS (SELECT a.id, owner_id, type, live_photo_cid FROM asset a JOIN exif ON asset_id = a.id WHERE live_photo_cid IS NOT NULL AND a.deleted_at IS NULL)
-SELECT i.id AS image_id, min(v.id) AS video_id FROM x i JOIN x v ON v.live_photo_cid = i.live_photo_cid AND v.type = 'VIDEO' WHERE i.type = 'IMAGE' GROUP BY ALL""",
-)
+LIVE = "WITH x AS (SELECT a.id, owner_id, type, live_photo_cid FROM asset a JOIN exif ON asset_id = a.id WHERE live_photo_cid IS NOT NULL), p AS (SELECT i.owner_id, i.id AS image_id, min(v.id) AS video_id FROM x i JOIN x v ON v.owner_id = i.owner_id AND v.live_photo_cid = i.live_photo_cid AND v.type = 'VIDEO' WHERE i.type = 'IMAGE' GROUP BY ALL) "
+
+
+@query("jn_live_photo", LIVE + "SELECT owner_id, image_id, video_id FROM p")
 def jn_live_photo(c: Catalog) -> DataFrame:
-    rows = c.asset.where("deleted_at IS NULL").join(c.exif.where("live_photo_cid IS NOT NULL").select(F.col("asset_id").alias("id"), "live_photo_cid"), "id")
-    videos = rows.where("type = 'VIDEO'").groupBy("live_photo_cid").agg(F.min("id").alias("video_id"))
-    return rows.where("type = 'IMAGE'").join(videos, "live_photo_cid").select(F.col("id").alias("image_id"), "video_id")
+    return reconcile.live_photos(c.asset, c.exif)
+
+
+@query("jn_live_photo_link", LIVE + ", m AS (SELECT DISTINCT video_id FROM p) SELECT a.id, coalesce(p.video_id, a.live_photo_video_id) AS live_photo_video_id, CASE WHEN m.video_id IS NULL THEN visibility ELSE 'hidden' END AS visibility, (SELECT count(*) FROM album_asset x WHERE x.asset_id = a.id AND m.video_id IS NULL) AS albums FROM asset a LEFT JOIN p ON p.image_id = a.id LEFT JOIN m ON m.video_id = a.id")
+def jn_live_photo_link(c: Catalog) -> DataFrame:
+    linked = reconcile.link_live_photos(c.asset, c.exif, c.album_asset)
+    albums = linked["album_assets"].groupBy(F.col("asset_id").alias("id")).agg(F.count("*").alias("albums"))
+    return linked["assets"].join(albums, "id", "left").select("id", "live_photo_video_id", "visibility", F.coalesce("albums", F.lit(0)).alias("albums"))
 
 
 @query(
@@ -116,11 +124,16 @@ def jn_removal(c: Catalog) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("jn_trash_sync", f"WITH {LOCAL} SELECT l.id, bool_and(a.deleted_at IS NOT NULL) AS to_trash FROM local_asset l JOIN asset a ON a.checksum = l.checksum WHERE l.id IN (SELECT asset_id FROM sel) GROUP BY ALL")
+@query(
+    "jn_trash_sync",
+    """WITH chosen AS (SELECT id FROM local_album WHERE backup_selection = 0)
+SELECT 'trash' AS side, x.album_id, string_agg(DISTINCT CAST(l.id AS STRING), ',' ORDER BY CAST(l.id AS STRING)) AS ids FROM local_album_asset x JOIN chosen ON chosen.id = x.album_id JOIN local_asset l ON l.id = x.asset_id JOIN asset a ON a.checksum = l.checksum AND a.owner_id = l.owner_id WHERE a.deleted_at IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'restore', t.album_id, string_agg(DISTINCT CAST(t.id AS STRING), ',' ORDER BY CAST(t.id AS STRING)) FROM trashed_local t JOIN chosen ON chosen.id = t.album_id JOIN asset a ON a.checksum = t.checksum AND a.owner_id = t.owner_id WHERE source = 'remote_sync' AND a.deleted_at IS NULL GROUP BY ALL""",
+)
 def jn_trash_sync(c: Catalog) -> DataFrame:
-    chosen = c.local_album_asset.join(c.local_album.where("backup_selection = 0").select(F.col("id").alias("album_id")), "album_id", "left_semi").select(F.col("asset_id").alias("id"))
-    rows = c.local_asset.join(chosen, "id", "left_semi").select("id", "checksum").join(c.asset.select("checksum", "deleted_at"), "checksum")
-    return rows.groupBy("id").agg(F.bool_and(F.col("deleted_at").isNotNull()).alias("to_trash"))
+    found = reconcile.trash_sync(c.local_asset, c.trashed_local, c.asset, c.local_album, c.local_album_asset)
+    ids = F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",").alias("ids")
+    return found["to_trash"].select(F.lit("trash").alias("side"), "album_id", ids).unionByName(found["to_restore"].select(F.lit("restore").alias("side"), "album_id", ids))
 
 
 @query("jn_backup_albums", "SELECT b.name AS album, string_agg(CAST(a.id AS STRING), ',' ORDER BY CAST(a.id AS STRING)) AS ids FROM local_album b JOIN local_album_asset x ON x.album_id = b.id JOIN local_asset l ON l.id = x.asset_id JOIN asset a ON a.checksum = l.checksum WHERE backup_selection = 0 GROUP BY ALL")

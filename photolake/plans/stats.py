@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import filters, relations, stats, timeline
+from photolake.operators import filters, reconcile, relations, stats, timeline
 from photolake.operators.stats import count_if
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
@@ -253,21 +253,16 @@ def jn_partner_list(c: Catalog) -> DataFrame:
 
 @query(
     "jn_access",
-    """WITH acc AS (SELECT owner_id AS user_id, id FROM asset WHERE visibility <> 'locked'
-UNION SELECT user_id, a.id FROM album_user m JOIN album b ON b.id = m.album_id AND NOT b.is_deleted JOIN album_asset x ON x.album_id = m.album_id JOIN asset a ON a.id = x.asset_id AND a.deleted_at IS NULL WHERE a.visibility <> 'locked'
-UNION SELECT shared_with, id FROM partner p JOIN asset a ON a.owner_id = p.shared_by AND a.deleted_at IS NULL AND a.visibility IN ('timeline', 'hidden')),
-motion AS (SELECT user_id, live_photo_video_id AS id FROM acc JOIN asset USING (id) WHERE live_photo_video_id IS NOT NULL)
-SELECT user_id, count(*) AS assets, CAST(sum(id) AS BIGINT) AS digest FROM (SELECT * FROM acc UNION SELECT * FROM motion) GROUP BY ALL""",
+    """WITH given AS (SELECT 'user' AS kind, m.user_id AS principal, x.asset_id FROM album_user m JOIN users u ON u.id = m.user_id AND NOT u.is_deleted JOIN album b ON b.id = m.album_id AND NOT b.is_deleted JOIN album_asset x ON x.album_id = m.album_id
+UNION SELECT 'link', l.id, x.asset_id FROM shared_link l JOIN album b ON b.id = l.album_id AND NOT b.is_deleted JOIN album_asset x ON x.album_id = l.album_id UNION SELECT 'link', l.id, x.asset_id FROM shared_link l JOIN shared_link_asset x ON x.link_id = l.id),
+acc AS (SELECT 'user' AS kind, a.owner_id AS principal, a.id FROM asset a LEFT JOIN session s ON s.user_id = a.owner_id WHERE visibility <> 'locked' OR coalesce(s.elevated, false)
+UNION SELECT 'user', shared_with, a.id FROM partner p JOIN users u ON u.id = p.shared_by AND NOT u.is_deleted JOIN asset a ON a.owner_id = p.shared_by AND a.deleted_at IS NULL AND a.visibility IN ('timeline', 'hidden')
+UNION SELECT kind, principal, a.id FROM given g JOIN asset a ON a.id = g.asset_id AND a.deleted_at IS NULL UNION SELECT kind, principal, a.live_photo_video_id FROM given g JOIN asset a ON a.id = g.asset_id AND a.deleted_at IS NULL WHERE a.live_photo_video_id IS NOT NULL)
+SELECT kind, principal, count(*) AS assets, CAST(sum(id) AS BIGINT) AS digest FROM acc GROUP BY ALL""",
 )
 def jn_access(c: Catalog) -> DataFrame:
-    own = c.asset.where("visibility <> 'locked'").select(F.col("owner_id").alias("user_id"), "id", "live_photo_video_id")
-    live = c.asset.where("deleted_at IS NULL")
-    member = c.album_user.join(c.album.where("NOT is_deleted").select(F.col("id").alias("album_id")), "album_id", "left_semi").join(c.album_asset, "album_id").select("user_id", F.col("asset_id").alias("id"))
-    member = member.join(live.where("visibility <> 'locked'").select("id", "live_photo_video_id"), "id").select("user_id", "id", "live_photo_video_id")
-    partner = c.partner.join(live.where("visibility IN ('timeline', 'hidden')").withColumnRenamed("owner_id", "shared_by"), "shared_by").select(F.col("shared_with").alias("user_id"), "id", "live_photo_video_id")
-    rows = own.unionByName(member).unionByName(partner)
-    both = rows.select("user_id", F.explode(F.array_compact(F.array("id", "live_photo_video_id"))).alias("id")).distinct()
-    return both.groupBy("user_id").agg(F.count("*").alias("assets"), F.sum("id").alias("digest"))
+    seen = reconcile.accessible(c.asset, c.album, c.album_user, c.album_asset, c.users, c.partner, c.shared_link, c.shared_link_asset, c.session)
+    return seen.groupBy("kind", "principal").agg(F.count("*").alias("assets"), F.sum("id").alias("digest"))
 
 
 @query(
