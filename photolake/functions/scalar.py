@@ -147,11 +147,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, shared / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
-def word_similarity(needle: Column, text: Column) -> Column:
-    """Share of the needle's trigrams that the text has."""
-    return F.when(F.size(needle) > 0, F.size(F.array_intersect(needle, text)) / F.size(needle)).otherwise(0.0)
-
-
 def glob_to_like(glob: str) -> str:
     """A path glob as a LIKE pattern: stars become %, ? becomes _, underscores are escaped."""
     import re

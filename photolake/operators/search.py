@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photolake.functions import scalar
 from photolake.operators import filters
 
 SCALARS = {
@@ -90,19 +89,3 @@ def sample(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
 def suggestions(df: DataFrame, field: str) -> DataFrame:
     """Distinct values of a field that are not empty."""
     return df.select(F.col(field).alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
-
-
-def by_words(df: DataFrame, needle: str, columns: list[str], least: float = 0.5, limit: int = 20) -> DataFrame:
-    """Rows of which a column has at least ``least`` of the needle's trigrams, the closest first.
-
-    The distance adds up over the columns; one that is missing counts 0.1.
-    """
-    want = scalar.trigrams(F.lit(scalar_fold(needle)))
-    near = [scalar.word_similarity(want, scalar.trigrams(scalar.unaccent(F.col(c)))) for c in columns]
-    hit = reduce(lambda a, b: a | b, (F.coalesce(x >= least, F.lit(False)) for x in near))
-    distance = reduce(lambda a, b: a + b, (F.coalesce(1 - x, F.lit(0.1)) for x in near))
-    return df.where(hit).withColumn("distance", F.round(distance, 6)).orderBy("distance", "id").limit(limit)
-
-
-def scalar_fold(text: str) -> str:
-    return filters._fold(text)

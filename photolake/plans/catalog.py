@@ -147,7 +147,7 @@ SELECT o_orderkey AS id, {whole("o_custkey / 10")} AS owner_id, md5(CAST(CASE WH
     "local_album_asset": lambda s: "SELECT DISTINCT l_partkey AS album_id, l_orderkey AS asset_id FROM {lineitem} WHERE l_partkey % 20 = 0 AND l_orderkey % 2 = 1",
     "place": lambda s: f"""
 SELECT c_custkey AS id, concat('Town ', CAST(c_custkey AS STRING)) AS name, CAST((c_custkey * 7919) % 18000 AS DOUBLE) / 100 - 90 AS latitude, CAST((c_custkey * 104729) % 36000 AS DOUBLE) / 100 - 180 AS longitude,
-  n_name AS country_code, CASE WHEN c_custkey % 5 <> 0 THEN concat('Admin ', CAST(c_custkey % 30 AS STRING)) END AS admin1_name, CASE WHEN c_custkey % 3 = 0 THEN concat('Old Town ', CAST(c_custkey % 100 AS STRING)) END AS alternate_names
+  n_name AS country_code, CASE WHEN c_custkey % 5 <> 0 THEN concat('Admin ', CAST(c_custkey % 30 AS STRING)) END AS admin1_name, CASE WHEN c_custkey % 7 < 3 THEN concat('District ', CAST(c_custkey % 40 AS STRING)) END AS admin2_name, CASE WHEN c_custkey % 3 = 0 THEN concat('Old Town ', CAST(c_custkey % 100 AS STRING)) END AS alternate_names
 FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey""",
     "report": lambda s: "SELECT path, CASE WHEN id % 3 = 0 THEN 'missing_file' WHEN id % 3 = 1 THEN 'untracked_file' ELSE 'checksum_mismatch' END AS type, asset_id, id FROM {asset_file} WHERE id % 7 = 0",
     "audit": lambda s: f"""

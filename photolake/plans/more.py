@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import registry as names
-from photolake.functions import scalar
+from photolake.functions import scalar, similarity
 from photolake.operators import filters, groups
 from photolake.plans.catalog import Catalog
 from photolake.plans.people import CLOSURE, PAIRS, pair_input
 from photolake.plans.registry import query
-from photolake.plans.search import trigrams_sql
+from photolake.plans.search import similar_sql, trigrams_sql
 
 
 @query(
@@ -68,10 +68,13 @@ def fn_dates(c: Catalog) -> DataFrame:
     return found.select("id", "d.zone", *(F.date_format(f"d.{x}", "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("original", "local")))
 
 
-@query("fn_trgm", f"WITH t AS (SELECT id, {trigrams_sql('name')} AS g, {trigrams_sql(repr('ring blue'))} AS n FROM album) SELECT id, round(CAST(len(list_intersect(n, g)) AS DOUBLE) / len(n), 6) AS word, round(CAST(len(list_intersect(n, g)) AS DOUBLE) / len(list_distinct(list_concat(n, g))), 6) AS whole FROM t")
+@query(
+    "fn_trgm",
+    f"WITH {similar_sql("SELECT 'ring blue' AS needle, id, 0 AS c, name AS t FROM album")}, t AS (SELECT id, {trigrams_sql('name')} AS g, {trigrams_sql(repr('ring blue'))} AS n FROM album) SELECT id, round(word, 6) AS word, round(strict, 6) AS strict, round(CAST(len(list_intersect(n, g)) AS DOUBLE) / len(list_distinct(list_concat(n, g))), 6) AS whole FROM t JOIN sims USING (id)",
+)
 def fn_trgm(c: Catalog) -> DataFrame:
-    a, b = scalar.trigrams(F.lit("ring blue")), scalar.trigrams(F.col("name"))
-    return c.album.select("id", F.round(scalar.word_similarity(a, b), 6).alias("word"), F.round(scalar.similarity(a, b), 6).alias("whole"))
+    found = c.album.select("id", similarity.similarities(F.lit("ring blue"), F.col("name")).alias("s"), scalar.similarity(scalar.trigrams(F.lit("ring blue")), scalar.trigrams(F.col("name"))).alias("whole"))
+    return found.select("id", F.round("s.word", 6).alias("word"), F.round("s.strict", 6).alias("strict"), F.round("whole", 6).alias("whole"))
 
 
 @query("fn_checksum", "SELECT id, sha1(CAST(id AS STRING)) AS hex FROM asset")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import filters, search, timeline
+from photolake.operators import filters, names, search, timeline
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
 
@@ -209,22 +209,44 @@ def trigrams_sql(text: str) -> str:
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-def words_sql(table: str, needle: str, columns: list[str], limit: int) -> str:
-    """The SQL of ``search.by_words``."""
-    near = [f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST(len(list_intersect(n.g, {trigrams_sql(f'strip_accents({c})')})) AS DOUBLE) / len(n.g) END AS s{i}" for i, c in enumerate(columns)]
-    hit = " OR ".join(f"coalesce(s{i} >= 0.5, false)" for i in range(len(columns)))
-    distance = " + ".join(f"coalesce(1 - s{i}, 0.1)" for i in range(len(columns)))
-    return f"WITH n AS (SELECT {trigrams_sql(repr(needle))} AS g), d AS (SELECT id, name, {', '.join(near)} FROM {table}, n) SELECT id, name, round({distance}, 6) AS distance FROM d WHERE {hit} ORDER BY distance, id LIMIT {limit}"
+def similar_sql(texts: str) -> str:
+    """``sims``: word and strict similarity of each (needle, id, c, t), by all runs of the text's trigrams."""
+    return f"""asked AS ({texts}),
+words AS (SELECT needle, id, c, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT needle, id, c, list_filter(string_split(regexp_replace(lower(strip_accents(t)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS l FROM asked WHERE t IS NOT NULL)),
+grams AS (SELECT needle, id, c, row_number() OVER (PARTITION BY needle, id, c ORDER BY k, i) AS p, substr('  ' || w || ' ', CAST(i AS INTEGER), 3) AS g, i = 1 AS first, i = length(w) + 1 AS last FROM words, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i)),
+wanted AS (SELECT needle, {trigrams_sql('strip_accents(needle)')} AS n FROM (SELECT DISTINCT needle FROM asked)),
+runs AS (SELECT a.needle, a.id, a.c, a.p AS i, b.p AS j, a.first AND b.last AS whole FROM grams a JOIN grams b ON a.needle = b.needle AND a.id = b.id AND a.c = b.c AND b.p >= a.p),
+shares AS (SELECT r.needle, r.id, r.c, r.i, r.j, r.whole, count(DISTINCT g) AS u, count(DISTINCT CASE WHEN list_contains(n, g) THEN g END) AS shared, any_value(len(n)) AS m FROM runs r JOIN grams x ON x.needle = r.needle AND x.id = r.id AND x.c = r.c AND x.p BETWEEN r.i AND r.j JOIN wanted w ON w.needle = r.needle GROUP BY ALL),
+sims AS (SELECT a.needle, a.id, a.c, CASE WHEN any_value(a.t) IS NOT NULL THEN coalesce(max(shared / (m + u - shared)), 0) END AS word, CASE WHEN any_value(a.t) IS NOT NULL THEN coalesce(max(CASE WHEN whole THEN shared / (m + u - shared) END), 0) END AS strict FROM asked a LEFT JOIN shares s ON s.needle = a.needle AND s.id = a.id AND s.c = a.c GROUP BY ALL)"""
 
 
-@query("top_places", words_sql("place", "old town 42", ["name", "admin1_name", "alternate_names"], 20))
+PLACE_NAMES = ("name", "admin2_name", "admin1_name", "alternate_names")
+PLACE_NEEDLES = "SELECT concat(CASE n_nationkey % 3 WHEN 0 THEN 'Old Towm ' WHEN 1 THEN 'distrikt ' ELSE 'tówn ' END, CAST(n_nationkey * 2 AS STRING)) AS needle FROM nation"
+PERSON_NEEDLES = "SELECT n_nationkey % 10 AS owner_id, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'jorg ' ELSE 'Jörk ' END, CAST(n_nationkey AS STRING)) AS needle FROM nation"
+
+
+@query(
+    "top_places",
+    "WITH " + similar_sql(" UNION ALL ".join(f"SELECT needle, id, {i} AS c, {c} AS t FROM ({PLACE_NEEDLES}), place" for i, c in enumerate(PLACE_NAMES)))
+    + """, near AS (SELECT needle, id, round(sum(coalesce(1 - strict, 0.1)), 6) AS distance FROM sims GROUP BY ALL HAVING max(strict) >= 0.5)
+SELECT needle, id, distance, CAST(row_number() OVER (PARTITION BY needle ORDER BY distance, id) AS INTEGER) AS rank FROM near QUALIFY row_number() OVER (PARTITION BY needle ORDER BY distance, id) <= 20""",
+)
 def top_places(c: Catalog) -> DataFrame:
-    return search.by_words(c.place, "old town 42", ["name", "admin1_name", "alternate_names"]).select("id", "name", "distance")
+    index = names.gram_index(c.place, list(PLACE_NAMES))
+    needles = c.spark.sql(PLACE_NEEDLES.replace("FROM nation", "FROM {nation}"), nation=c.nation)
+    return names.search_places(c.place, index, needles, list(PLACE_NAMES)).select("needle", "id", "distance", "rank")
 
 
-@query("top_person_name", words_sql("person", "jorg 2", ["name"], 100))
+@query(
+    "top_person_name",
+    f"WITH {similar_sql(f'SELECT DISTINCT needle, id, 0 AS c, name AS t FROM ({PERSON_NEEDLES}) n JOIN person p ON p.owner_id = n.owner_id AND NOT p.is_hidden')}"
+    f""", near AS (SELECT n.owner_id, s.needle, s.id, round(1 - strict, 6) AS distance FROM sims s JOIN person p ON p.id = s.id JOIN (SELECT DISTINCT * FROM ({PERSON_NEEDLES})) n ON n.needle = s.needle AND n.owner_id = p.owner_id WHERE word >= 0.5)
+SELECT owner_id, needle, id, distance, CAST(row_number() OVER (PARTITION BY owner_id, needle ORDER BY distance, id) AS INTEGER) AS rank FROM near QUALIFY row_number() OVER (PARTITION BY owner_id, needle ORDER BY distance, id) <= 100""",
+)
 def top_person_name(c: Catalog) -> DataFrame:
-    return search.by_words(c.person, "jorg 2", ["name"], limit=100).select("id", "name", "distance")
+    index = names.gram_index(c.person, ["name"])
+    needles = c.spark.sql(PERSON_NEEDLES.replace("FROM nation", "FROM {nation}"), nation=c.nation)
+    return names.search_people(c.person, index, needles).select("owner_id", "needle", "id", "distance", "rank")
 
 
 @query("top_distinct_names", "SELECT owner_id, lower(name) AS name, min(id) AS id FROM person WHERE name <> '' GROUP BY ALL")

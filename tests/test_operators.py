@@ -60,7 +60,6 @@ def test_scalars(spark):
     assert one(spark, scalar.stem(F.col("a")), a="DSC.01.ARW") == "dsc.01" and one(spark, scalar.stem(F.col("a")), a=".hidden") == ".hidden"
     assert one(spark, scalar.aspect_ratio(F.col("a"), F.col("b")), a=4000, b=3000) == 1.333
     assert one(spark, scalar.uuid7_ms(F.col("a")), a="018cc251-f400-7000-8000-000000000000") == 1704067200000
-    assert one(spark, scalar.word_similarity(scalar.trigrams(F.col("a")), scalar.trigrams(F.col("b"))), a="berlin", b="East Berlin") == 1.0
     assert one(spark, scalar.bits_per_sample(F.col("a")), a=24) == 8 and one(spark, scalar.rating(F.col("a")), a=0) is None
     assert one(spark, scalar.is_srgb(F.col("a"), F.col("b"), F.col("c")), a=None, b=None, c=16) is False
 
