@@ -145,6 +145,8 @@ SELECT o_orderkey AS id, {whole("o_custkey / 10")} AS owner_id, md5(CAST(CASE WH
     "session": lambda s: f"""SELECT {whole("c_custkey / 10")} AS user_id, c_custkey % 70 = 0 AS elevated FROM {{customer}} WHERE c_custkey % 10 = 0 AND c_custkey % 110 <> 0""",
     "local_album": lambda s: "SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS backup_selection, p_partkey % 17 = 0 AS is_shared, p_name AS name FROM {part} WHERE p_partkey % 20 = 0",
     "local_album_asset": lambda s: "SELECT DISTINCT l_partkey AS album_id, l_orderkey AS asset_id FROM {lineitem} WHERE l_partkey % 20 = 0 AND l_orderkey % 2 = 1",
+    "ocr_text": lambda s: """
+SELECT o_orderkey AS asset_id, concat(CASE o_orderkey % 5 WHEN 0 THEN 'Grand Hotel Münster room ' WHEN 1 THEN 'Exit only, gate ' WHEN 2 THEN 'hotels and inns ' WHEN 3 THEN 'Speed limit ' ELSE 'Platform ' END, CAST(o_orderkey % 90 AS STRING)) AS text FROM {orders} WHERE o_orderkey % 8 = 1""",
     "place": lambda s: f"""
 SELECT c_custkey AS id, concat('Town ', CAST(c_custkey AS STRING)) AS name, CAST((c_custkey * 7919) % 18000 AS DOUBLE) / 100 - 90 AS latitude, CAST((c_custkey * 104729) % 36000 AS DOUBLE) / 100 - 180 AS longitude,
   n_name AS country_code, CASE WHEN c_custkey % 5 <> 0 THEN concat('Admin ', CAST(c_custkey % 30 AS STRING)) END AS admin1_name, CASE WHEN c_custkey % 7 < 3 THEN concat('District ', CAST(c_custkey % 40 AS STRING)) END AS admin2_name, CASE WHEN c_custkey % 3 = 0 THEN concat('Old Town ', CAST(c_custkey % 100 AS STRING)) END AS alternate_names

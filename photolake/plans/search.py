@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import filters, names, search, timeline
+from photolake.operators import bitmaps, filters, names, search, timeline
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
 
@@ -44,7 +44,6 @@ def flt_exists(c: Catalog) -> DataFrame:
 @query(
     "flt_ids",
     """SELECT id FROM asset WHERE id IN (SELECT asset_id FROM face WHERE person_id IN (1, 2, 3, 4, 5, 6, 7, 8))
-AND id IN (SELECT asset_id FROM face WHERE person_id IN (1, 2, 3, 4, 5, 6, 7, 8) GROUP BY asset_id HAVING count(DISTINCT person_id) = 1 OR true)
 AND id NOT IN (SELECT asset_id FROM album_asset WHERE album_id IN (10, 11, 12))""",
 )
 def flt_ids(c: Catalog) -> DataFrame:
@@ -71,6 +70,35 @@ def flt_tree(c: Catalog) -> DataFrame:
     return wide(c).where(search.condition(TREE)).select("id", "owner_id")
 
 
+#: Ids of people, tags and albums, exists tests, patterns and texts, in branches within branches.
+IDS_TREE = {
+    "visibility": {"in": ["archive", "timeline"]}, "trashedAt": {"eq": None}, "takenAt": {"gte": "1993-01-01"},
+    "or": [
+        {"albumIds": {"any": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89], "none": [4, 6]}, "rating": {"gte": 2}},
+        {"tagIds": {"all": [1, 101]}, "isFavorite": {"eq": False}},
+        {"personIds": {"any": [1, 2, 3, 4, 6], "none": [7]}, "or": [{"hasTags": {"eq": True}}, {"hasAlbums": {"eq": False}, "isEncoded": {"eq": False}}, {"originalFileName": {"startsWith": "img_00", "notLike": "raw"}}]},
+        {"encodedVideoPath": {"in": ["/encoded/57.mp4", "/encoded/117.mp4", "/encoded/387.mp4"]}},
+        {"ocr": {"matches": "hotel munster"}, "country": {"ne": None}, "or": [{"isMotion": {"eq": True}}, {"libraryId": {"eq": None}, "hasPeople": {"eq": False}}]},
+    ],
+}
+IDS_TREE_SQL = """visibility IN ('archive', 'timeline') AND deleted_at IS NULL AND file_created_at >= TIMESTAMP '1993-01-01' AND (
+  (id IN (SELECT asset_id FROM album_asset WHERE album_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)) AND id NOT IN (SELECT asset_id FROM album_asset WHERE album_id IN (4, 6)) AND rating >= 2)
+  OR (id IN (SELECT asset_id FROM below WHERE ancestor IN (1, 101) GROUP BY asset_id HAVING count(DISTINCT ancestor) = 2) AND NOT is_favorite)
+  OR (id IN (SELECT asset_id FROM shown WHERE person_id IN (1, 2, 3, 4, 6)) AND id NOT IN (SELECT asset_id FROM shown WHERE person_id = 7) AND (id IN (SELECT asset_id FROM tag_asset) OR (id NOT IN (SELECT asset_id FROM album_asset) AND id NOT IN (SELECT asset_id FROM asset_file WHERE type = 'encoded_video')) OR (lower(strip_accents(original_file_name)) LIKE 'img_00%' AND lower(strip_accents(original_file_name)) NOT LIKE '%raw%')))
+  OR id IN (SELECT asset_id FROM asset_file WHERE type = 'encoded_video' AND path IN ('/encoded/57.mp4', '/encoded/117.mp4', '/encoded/387.mp4'))
+  OR (id IN (SELECT id FROM sims WHERE strict >= 0.5) AND country IS NOT NULL AND (live_photo_video_id IS NOT NULL OR (library_id IS NULL AND id NOT IN (SELECT asset_id FROM shown)))))"""
+
+
+def bitmap_tables(c: Catalog) -> bitmaps.Tables:
+    return bitmaps.Tables(c.asset, c.exif, c.asset_file, c.ocr_text, bitmaps.postings(c.album_asset, c.face, c.tag, c.tag_asset, c.asset_file))
+
+
+def ids_tree_sql(what: str) -> str:
+    tags = "below AS (SELECT x.asset_id, a.id AS ancestor FROM tag_asset x JOIN tag t ON t.id = x.tag_id JOIN tag a ON a.value = t.value OR starts_with(t.value, a.value || '/')), shown AS (SELECT asset_id, person_id FROM face WHERE is_visible AND deleted_at IS NULL)"
+    texts = similar_sql("SELECT 'hotel munster' AS needle, asset_id AS id, 0 AS c, text AS t FROM ocr_text")
+    return f"WITH {texts}, {tags}, w AS (SELECT a.*, e.* EXCLUDE (asset_id) FROM asset a LEFT JOIN exif e ON e.asset_id = a.id) SELECT {what} FROM w WHERE {IDS_TREE_SQL}"
+
+
 @query("agg_search_stats", WIDE + f"SELECT owner_id, count(*) AS total FROM w WHERE {TREE_SQL} GROUP BY ALL")
 def agg_search_stats(c: Catalog) -> DataFrame:
     return wide(c).where(search.condition(TREE)).groupBy("owner_id").agg(F.count("*").alias("total"))
@@ -220,6 +248,16 @@ shares AS (SELECT r.needle, r.id, r.c, r.i, r.j, r.whole, count(DISTINCT g) AS u
 sims AS (SELECT a.needle, a.id, a.c, CASE WHEN any_value(a.t) IS NOT NULL THEN coalesce(max(shared / (m + u - shared)), 0) END AS word, CASE WHEN any_value(a.t) IS NOT NULL THEN coalesce(max(CASE WHEN whole THEN shared / (m + u - shared) END), 0) END AS strict FROM asked a LEFT JOIN shares s ON s.needle = a.needle AND s.id = a.id AND s.c = a.c GROUP BY ALL)"""
 
 
+@query("flt_tree_ids", ids_tree_sql("id"))
+def flt_tree_ids(c: Catalog) -> DataFrame:
+    return bitmaps.ids(bitmaps.search(bitmap_tables(c), IDS_TREE))
+
+
+@query("agg_tree_count", ids_tree_sql("count(*) AS total"))
+def agg_tree_count(c: Catalog) -> DataFrame:
+    return bitmaps.count(bitmaps.search(bitmap_tables(c), IDS_TREE))
+
+
 PLACE_NAMES = ("name", "admin2_name", "admin1_name", "alternate_names")
 PLACE_NEEDLES = "SELECT concat(CASE n_nationkey % 3 WHEN 0 THEN 'Old Towm ' WHEN 1 THEN 'distrikt ' ELSE 'tówn ' END, CAST(n_nationkey * 2 AS STRING)) AS needle FROM nation"
 PERSON_NEEDLES = "SELECT n_nationkey % 10 AS owner_id, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'jorg ' ELSE 'Jörk ' END, CAST(n_nationkey AS STRING)) AS needle FROM nation"
