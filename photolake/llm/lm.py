@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from photolake.llm.common import byte_words, fold, raw, slices, texts
 from photolake.session import stored, table
 
-#: Size of the network: state, word vectors, words and classes. Word 0 stands for all others, word 1 ends a text.
-HIDDEN, EMBED, NETWORK_WORDS, CLASSES = 16, 16, 20_480, 64
+#: Size of the network: state, word vectors, words, classes and groups of classes. Word 0 stands for all others, word 1 ends a text.
+HIDDEN, EMBED, NETWORK_WORDS, CLASSES, GROUPS = 16, 16, 20_480, 128, 12
 UNKNOWN, END = 0, 1
 #: Every training text is used once: in one of so many rounds, after each of which the workers' weights are averaged.
 ROUNDS = 3
 #: Training goes through windows of so many words; a worker has so many lanes at most and aims at so many updates.
 WINDOW, LANES, UPDATES = 16, 1024, 64
-#: Words that a worker lays on its lanes at once.
-CHUNK = 1 << 20
+#: Words that a worker lays on its lanes at once, and those it takes in a round on average.
+CHUNK, WORKER = 1 << 20, 4_000_000
 #: Weights travel in so many pieces, so that sums of them are spread.
 PIECES = 64
 #: Scores of so many words and classes are worked out at once, to stay in the processor's cache.
@@ -106,7 +106,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 @dataclass
 class Network:
-    """Weights of the network as views of ``flat``; class c has the words from edges[c] to edges[c + 1]."""
+    """Weights of the network as views of ``flat``; class c has the words from edges[c] to edges[c + 1], group g the classes from groups[g] on."""
 
     edges: np.ndarray
     flat: np.ndarray
@@ -114,6 +114,8 @@ class Network:
     def __post_init__(self) -> None:
         v, at = int(self.edges[-1]), 0
         self.class_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        self.groups = _groups(len(self.edges) - 1)
+        self.group_of = np.repeat(np.arange(len(self.groups) - 1), np.diff(self.groups))
         for key, shape in _shapes(self.edges).items():
             n = int(np.prod(shape))
             setattr(self, key, self.flat[at : at + n].reshape(shape))
@@ -121,17 +123,22 @@ class Network:
         assert at == len(self.flat) and v == len(self.class_of)
 
 
+def _groups(n: int) -> np.ndarray:
+    """Where groups of ``n`` classes begin (one more at the end)."""
+    return np.arange(min(GROUPS, n) + 1) * n // min(GROUPS, n)
+
+
 def _shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
-    """Word vectors; their and the state's part in gates and candidate, with a bias; scores of classes and of words within their class, the bias last."""
+    """Word vectors; their and the state's part in gates and candidate, with a bias; scores of groups, of classes within their group and of words within their class, the bias last."""
     v, c = int(edges[-1]), len(edges) - 1
-    return {"emb": (v, EMBED), "p": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "cw": (c, HIDDEN + 1), "ww": (v, HIDDEN + 1)}
+    return {"emb": (v, EMBED), "p": (EMBED, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "gw": (len(_groups(c)) - 1, HIDDEN + 1), "cw": (c, HIDDEN + 1), "ww": (v, HIDDEN + 1)}
 
 
 def classes(p: np.ndarray) -> np.ndarray:
     """Where classes of words begin (one more at the end): about equal sums of the square roots of the words' shares.
 
-    Common words are in small classes and rare ones in large ones, so a word costs about
-    as many scores as there are classes and some more, not as many as there are words.
+    Common words are in small classes and rare ones in large ones. A word costs the scores
+    of all groups, of its group's classes and of its class's words: some 80, not 20,480.
     """
     roots = np.cumsum(np.sqrt(p))
     inner = np.searchsorted(roots, roots[-1] * np.arange(1, CLASSES) / CLASSES)
@@ -144,10 +151,12 @@ def start(vocabulary: Vocabulary, seed: int = 11) -> Network:
     edges = classes(p)
     rng = np.random.default_rng(seed)
     net = Network(edges, np.zeros(sum(int(np.prod(x)) for x in _shapes(edges).values()), np.float32))
-    for key, size in (("emb", 0.3), ("p", 0.3), ("u", 0.2), ("cw", 0.02), ("ww", 0.02)):
+    for key, size in (("emb", 0.3), ("p", 0.3), ("u", 0.2), ("gw", 0.02), ("cw", 0.02), ("ww", 0.02)):
         getattr(net, key)[:] = rng.normal(0, size, getattr(net, key).shape)
     of_class = np.add.reduceat(p, edges[:-1])
-    net.cw[:, -1] = np.log(of_class)
+    of_group = np.add.reduceat(of_class, net.groups[:-1])
+    net.gw[:, -1] = np.log(of_group)
+    net.cw[:, -1] = np.log(of_class / of_group[net.group_of])
     net.ww[:, -1] = np.log(p / of_class[net.class_of])
     return net
 
@@ -180,7 +189,7 @@ def _choice(h: np.ndarray, w: np.ndarray, pick: np.ndarray, into: np.ndarray | N
 
 
 def log_likelihood(net: Network, h: np.ndarray, target: np.ndarray, grad: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target after state ``h``: its class's, and its own within the class.
+    """Natural log probability of each target after state ``h``: its group's, its class's within the group, and its own within the class.
 
     With ``grad``, also adds the gradients of the negative sum to it and returns that of ``h``.
     """
@@ -189,17 +198,19 @@ def log_likelihood(net: Network, h: np.ndarray, target: np.ndarray, grad: Networ
     wide = np.ones((len(h), HIDDEN + 1), h.dtype)
     wide[:, :HIDDEN] = h[order]
     cls, target = cls[order], target[order]
-    bounds = np.searchsorted(cls, np.arange(len(net.edges)))
+    group = net.group_of[cls]
     with np.errstate(over="ignore"):
         got, back = np.zeros(len(h), h.dtype), None if grad is None else np.zeros_like(wide)
-        _choice(wide, net.cw, cls, None if grad is None else grad.cw, got, back)
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = net.edges[c], net.edges[c + 1]
-            if b - a == 1:
-                continue
-            mine = slice(bounds[c], bounds[c + 1])
-            into = (None, None) if grad is None else (grad.ww[a:b], back[mine])
-            _choice(wide[mine], net.ww[a:b], target[mine] - a, into[0], got[mine], into[1])
+        _choice(wide, net.gw, group, None if grad is None else grad.gw, got, back)
+        # rows are in order of classes, and so of groups
+        for edges, of, pick, name in ((net.groups, group, cls, "cw"), (net.edges, cls, target, "ww")):
+            bounds = np.searchsorted(of, np.arange(len(edges)))
+            weights, into = getattr(net, name), None if grad is None else getattr(grad, name)
+            for c in np.flatnonzero(np.diff(bounds)).tolist():
+                a, b = edges[c], edges[c + 1]
+                if b - a > 1:
+                    mine = slice(bounds[c], bounds[c + 1])
+                    _choice(wide[mine], weights[a:b], pick[mine] - a, None if into is None else into[a:b], got[mine], None if into is None else back[mine])
     out = np.empty(len(got))
     out[order] = got
     if back is None:
@@ -348,7 +359,7 @@ def train(net: Network, tokens: list[np.ndarray], rate: float) -> Network:
     return trainer.net
 
 
-def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 15) -> np.ndarray:
+def log_probabilities(net: Network, tokens: np.ndarray, lengths: np.ndarray, window: int = 1 << 16) -> np.ndarray:
     """Natural log probability of each whole text, its end included.
 
     All texts advance together, longest first; the state of each is carried from one
@@ -409,10 +420,12 @@ def _numbers(texts_: list[bytes], index: dict[bytes, int], number: np.ndarray) -
 def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     """The network, trained on every text of ``docs`` (doc_id, text).
 
-    Each text is in one of three rounds by a hash. A worker goes over the round's texts of
-    its partitions in chunks of a bounded size, from the weights of the round before; the
-    results are averaged by their tokens in pieces, so no task and not the driver holds
-    more than a few sets of weights, however many workers there are.
+    Hashes of a row put it in one of three rounds, with one of the round's workers, and at
+    a place there; there are as many workers as give each about ``WORKER`` tokens. So what
+    a worker learns hangs on the rows and not on how files or partitions part them. From
+    the weights of the round before it goes over its texts in chunks of a bounded size;
+    the results are averaged by their tokens in pieces, so no task and not the driver
+    holds more than a few sets of weights, however many workers there are.
     """
     net = start(vocabulary)
     if not vocabulary.n:
@@ -421,7 +434,9 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     keep = {w: i for w, i in vocabulary.index.items() if vocabulary.number[i] != UNKNOWN}
     words = sc.broadcast((keep, vocabulary.number))
     kinds = "piece int, n long, w binary"
-    rounds = docs.select("text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)).alias("round"))
+    workers = max(1, -(-vocabulary.n // (ROUNDS * WORKER)))
+    key = F.xxhash64("doc_id", "text")
+    rounds = docs.select("text", F.pmod(key, F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(key), F.lit(workers)).cast("int").alias("worker"), key.alias("key"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -438,25 +453,30 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network:
 
         def work(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             index, number = words.value
-            trainer, held, size = None, [], 0
-            for batch in slices(batches, "text", 1 << 20):
-                some = _numbers(raw(batch.column("text")), index, number)
-                held += some
-                size += sum(map(len, some))
-                if size >= CHUNK:
-                    trainer = trainer or Trainer(Network(*now.value), rate)
+            trainer, worker, held, size = None, None, [], 0
+
+            def done() -> pa.RecordBatch:
+                if held:
                     trainer(held)
-                    held, size = [], 0
-            if held:
-                trainer = trainer or Trainer(Network(*now.value), rate)
-                trainer(held)
-            if trainer:
                 parts = np.array_split(trainer.net.flat, PIECES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([trainer.tokens] * PIECES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "n", "w"])
+                return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([trainer.tokens] * PIECES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "n", "w"])
+
+            for batch in slices(batches, "text", 1 << 20):
+                # a partition may have several workers, one behind the other
+                for own, text in zip(batch.column("worker").to_pylist(), _numbers(raw(batch.column("text")), index, number)):
+                    if own != worker:
+                        if trainer:
+                            yield done()
+                        trainer, worker, held, size = Trainer(Network(*now.value), rate), own, [], 0
+                    held.append(text)
+                    size += len(text)
+                    if size >= CHUNK:
+                        trainer(held)
+                        held, size = [], 0
+            if trainer:
+                yield done()
 
-        mine = rounds.where(F.col("round") == k).select("text")
-        # a round has a third of each partition, so a worker takes three
-        mine = mine.coalesce(max(1, -(-mine.rdd.getNumPartitions() // ROUNDS)))
+        mine = rounds.where(F.col("round") == k).repartition(workers, "worker").sortWithinPartitions("worker", "key").select("worker", "text")
         got = mine.mapInArrow(work, kinds).repartition(16, "piece").mapInArrow(add, kinds).collect()
         if got:
             net = Network(net.edges, np.concatenate([np.frombuffer(r.w, "<f4") for r in sorted(got, key=lambda r: r.piece)]).copy())
