@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
@@ -165,8 +165,6 @@ def inventory_stable(first: DataFrame, second: DataFrame) -> DataFrame:
     return one.withColumn("stable", F.expr("first_repeats = 0 AND second_repeats = 0 AND different = 0"))
 
 
-
-
 def stack_plan(pairs: DataFrame, assets: DataFrame) -> DataFrame:
     """The outcome of each candidate pair: PLANNED, or the first reason against a stack.
 
@@ -182,3 +180,59 @@ def stack_plan(pairs: DataFrame, assets: DataFrame) -> DataFrame:
         .otherwise("PLANNED")
     )
     return rows.select(*pairs.columns, outcome.alias("outcome"))
+
+
+def write_plan(details: DataFrame) -> dict[str, DataFrame]:
+    """The plan of stacks to write, and the groups that have none.
+
+    ``details`` has a row for each asset that was to be looked at: owner_id, id, name,
+    status (SUCCESS, FAILURE, or null if it was never scheduled), reason (of a failure),
+    second (null: not verified), scope, stack_id, is_trashed, is_offline. A group is an
+    owner's assets of one stem. It is incomplete if one of them was not seen or has no
+    verified time, and then none of them is paired, so nothing is planned by half of a
+    group.
+
+    ``plan`` has owner_id, stem, jpg, raw, second, pair_id; ``excluded`` owner_id, stem,
+    status, reasons (sorted, joined by commas) and assets. In both ``position`` orders the
+    rows of an owner from 1: pairs by stem, then pair id; excluded ones by stem, status
+    and reasons.
+    """
+    rows = details.withColumn("stem", scalar.stem(F.col("name")))
+    seen = F.coalesce(F.col("status") == "SUCCESS", F.lit(False))
+    why = F.when(F.col("status").isNull(), "DETAIL_UNSCHEDULED").when(~seen, F.coalesce("reason", F.lit("DETAIL_FAILURE"))).when(F.col("second").isNull(), "DETAIL_GROUP_TIME_UNPROVEN")
+    sizes = rows.groupBy("owner_id", "stem").agg(F.count("*").alias("assets"), F.collect_set(why).alias("why"))
+    complete = rows.join(sizes.where(F.size("why") == 0).select("owner_id", "stem"), ["owner_id", "stem"], "left_semi")
+    unseen = sizes.where(F.size("why") > 0).select("owner_id", "stem", F.lit("UNVERIFIED").alias("status"), F.array_join(F.array_sort(F.array_union("why", F.array(F.lit("DETAIL_GROUP_INCOMPLETE")))), ",").alias("reasons"))
+
+    decided = pair_jpg_raw(complete.select("id", "owner_id", "name", "second"))
+    outcomes = stack_plan(decided.where("status = 'CANDIDATE'"), complete.select("id", "scope", "stack_id", "is_trashed", "is_offline", "second"))
+    sorted_reasons = F.array_join(F.array_sort(F.split("reasons", ",")), ",").alias("reasons")
+    others = decided.where("status <> 'CANDIDATE'").select("owner_id", "stem", "status", sorted_reasons)
+    blocked = outcomes.where("outcome <> 'PLANNED'").select("owner_id", "stem", F.lit("REJECTED").alias("status"), F.col("outcome").alias("reasons"))
+    excluded = others.unionByName(unseen).unionByName(blocked).join(sizes.select("owner_id", "stem", "assets"), ["owner_id", "stem"])
+
+    def placed(df: DataFrame, *order: str) -> DataFrame:
+        return df.withColumn("position", F.row_number().over(Window.partitionBy("owner_id").orderBy(*order)))
+
+    plan = outcomes.where("outcome = 'PLANNED'").select("owner_id", "stem", "jpg", "raw", "second", "pair_id")
+    return {"plan": placed(plan, "stem", "pair_id"), "excluded": placed(excluded, "stem", "status", "reasons")}
+
+
+def plan_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(rows, digest)``: one SHA-256 of all rows in order of ``columns``, the same however they are partitioned.
+
+    Each row's digest goes into one of 65,536 lists by its first bytes, the lists' digests
+    into 256, and those into one; each list is sorted. As the order of a plan follows from
+    its rows, two plans have equal digests if and only if they have equal rows in equal
+    order, repeats included, and no rows are moved to compare them. An empty plan has the
+    digest of the empty text.
+    """
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u2400")) for c in columns))
+    digests = rows.select(F.sha2(text.cast("binary"), 256).alias("h"))
+
+    def of(items: Column) -> Column:
+        return F.sha2(F.array_join(F.array_sort(items), "").cast("binary"), 256).alias("h")
+
+    lists = digests.groupBy(F.substring("h", 1, 4).alias("k")).agg(F.count("*").alias("n"), of(F.collect_list("h")))
+    lists = lists.groupBy(F.substring("k", 1, 2).alias("j")).agg(F.sum("n").alias("n"), of(F.collect_list(F.concat("k", "h"))))
+    return lists.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), of(F.collect_list(F.concat("j", "h"))).alias("digest"))

@@ -105,6 +105,9 @@ SELECT p_partkey AS id, {whole("p_partkey / 13")} % 150 AS owner_id, concat(p_na
     "album_user": lambda s: f"""
 SELECT p_partkey AS album_id, {whole("p_partkey / 13")} % 150 AS user_id, 'owner' AS role FROM {{part}}
 UNION ALL SELECT p_partkey, ({whole("p_partkey / 13")} + 1 + p_partkey % 5) % 150, CASE WHEN p_partkey % 2 = 0 THEN 'editor' ELSE 'viewer' END FROM {{part}} WHERE p_partkey % 3 = 0""",
+    "share": lambda s: f"""
+SELECT album_id, user_id, lpad(CAST(album_id * 3 AS STRING), 12, '0') AS create_id, CASE WHEN album_id % 2 = 0 THEN lpad(CAST(album_id * 9 AS STRING), 12, '0') END AS delete_id FROM {{album_user}} WHERE role <> 'owner'
+UNION ALL SELECT album_id, user_id, lpad(CAST(album_id * 12 AS STRING), 12, '0'), NULL FROM {{album_user}} WHERE role <> 'owner' AND album_id % 4 = 0""",
     "shared_link": lambda s: f"""
 SELECT p_partkey AS id, {whole("p_partkey / 13")} % 150 AS user_id, CASE WHEN p_partkey % 10 = 0 THEN p_partkey END AS album_id FROM {{part}} WHERE p_partkey % 5 = 0""",
     "shared_link_asset": lambda s: "SELECT DISTINCT l_partkey AS link_id, l_orderkey AS asset_id FROM {lineitem} WHERE l_partkey % 5 = 0 AND l_partkey % 10 <> 0",

@@ -52,6 +52,49 @@ def grp_pair_plan(c: Catalog) -> DataFrame:
     return groups.stack_plan(pairs, c.asset.select("id", F.col("is_external").alias("scope"), "stack_id", F.col("deleted_at").isNotNull().alias("is_trashed"), "is_offline", F.col("local_date_time").alias("second"))).select("owner_id", "stem", "jpg", "raw", "outcome")
 
 
+DETAILS = """d AS (SELECT o.*, CASE WHEN o.id % 17 = 3 THEN NULL WHEN o.id % 13 = 5 THEN 'FAILURE' ELSE 'SUCCESS' END AS status, CASE WHEN o.id % 26 = 5 THEN 'TIMEOUT' END AS reason FROM o),
+w AS (SELECT *, CASE WHEN status IS NULL THEN 'DETAIL_UNSCHEDULED' WHEN status <> 'SUCCESS' THEN coalesce(reason, 'DETAIL_FAILURE') WHEN second IS NULL THEN 'DETAIL_GROUP_TIME_UNPROVEN' END AS why FROM d),
+z AS (SELECT owner_id, stem, count(*) AS assets, count(why) AS open FROM w GROUP BY ALL),
+full_ AS (SELECT owner_id, stem, second, count_if(role = 'JPG') AS j, count_if(role = 'RAW') AS r, min(CASE WHEN role = 'JPG' THEN id END) AS jpg, min(CASE WHEN role = 'RAW' THEN id END) AS raw FROM d JOIN z USING (owner_id, stem) WHERE z.open = 0 GROUP BY ALL),
+cand AS (SELECT f.*, CASE WHEN a.is_external <> b.is_external THEN 'SCOPE_MISMATCH' WHEN a.stack_id IS NOT NULL OR b.stack_id IS NOT NULL THEN 'CURRENT_STACK_BLOCKER' WHEN a.deleted_at IS NOT NULL OR b.deleted_at IS NOT NULL OR a.is_offline OR b.is_offline THEN 'ASSET_NOT_HEALTHY' ELSE 'PLANNED' END AS outcome FROM full_ f JOIN asset a ON a.id = f.jpg JOIN asset b ON b.id = f.raw WHERE j = 1 AND r = 1),
+plan AS (SELECT owner_id, stem, jpg, raw, second, sha256(concat_ws('|', owner_id, stem, jpg, raw)) AS pair_id FROM cand WHERE outcome = 'PLANNED'),
+out_ AS (SELECT owner_id, stem, CASE WHEN j > 1 OR r > 1 THEN 'AMBIGUOUS' ELSE 'REJECTED' END AS status, concat_ws(',', CASE WHEN j > 1 THEN 'DUPLICATE_JPG' END, CASE WHEN r > 1 THEN 'DUPLICATE_RAW' END, CASE WHEN j = 0 THEN 'MISSING_JPG' END, CASE WHEN r = 0 THEN 'MISSING_RAW' END) AS reasons FROM full_ WHERE NOT (j = 1 AND r = 1)
+  UNION ALL SELECT owner_id, stem, 'UNVERIFIED', string_agg(DISTINCT why, ',' ORDER BY why) FROM (SELECT owner_id, stem, why FROM w WHERE why IS NOT NULL UNION ALL SELECT owner_id, stem, 'DETAIL_GROUP_INCOMPLETE' FROM z WHERE open > 0) GROUP BY ALL
+  UNION ALL SELECT owner_id, stem, 'REJECTED', outcome FROM cand WHERE outcome <> 'PLANNED')"""
+
+
+def write_plan(c: Catalog) -> dict[str, DataFrame]:
+    k = F.col("id")
+    taken = pair_input(c).where("endswith(name, '.jpg') OR endswith(name, '.raw')")
+    more = c.asset.select("id", F.col("is_external").alias("scope"), "stack_id", F.col("deleted_at").isNotNull().alias("is_trashed"), "is_offline")
+    status = F.when(k % 17 == 3, None).when(k % 13 == 5, "FAILURE").otherwise("SUCCESS")
+    return groups.write_plan(taken.join(more, "id").withColumns({"status": status, "reason": F.when(k % 26 == 5, "TIMEOUT")}))
+
+
+@query(
+    "grp_write_plan",
+    f"""WITH {PAIRS}, {DETAILS}
+SELECT 'plan' AS kind, owner_id, stem, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY stem, pair_id) AS INTEGER) AS position, jpg, raw, NULL AS status, NULL AS reasons, 2::BIGINT AS assets FROM plan
+UNION ALL SELECT 'excluded', owner_id, stem, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY stem, status, reasons) AS INTEGER), NULL, NULL, status, reasons, assets FROM out_ JOIN z USING (owner_id, stem)""",
+)
+def grp_write_plan(c: Catalog) -> DataFrame:
+    found = write_plan(c)
+    none = lambda kind: F.lit(None).cast(kind)
+    plan = found["plan"].select(F.lit("plan").alias("kind"), "owner_id", "stem", "position", "jpg", "raw", none("string").alias("status"), none("string").alias("reasons"), F.lit(2).cast("long").alias("assets"))
+    excluded = found["excluded"].select(F.lit("excluded").alias("kind"), "owner_id", "stem", "position", none("long").alias("jpg"), none("long").alias("raw"), "status", "reasons", "assets")
+    return plan.unionByName(excluded)
+
+
+@query(
+    "fn_plan_digest",
+    f"""WITH {PAIRS}, {DETAILS}, h AS (SELECT sha256(concat_ws(chr(31), coalesce(CAST(owner_id AS VARCHAR), '\u2400'), stem, CAST(jpg AS VARCHAR), CAST(raw AS VARCHAR), CAST(second AS VARCHAR), pair_id)) AS h FROM plan),
+a AS (SELECT substr(h, 1, 4) AS k, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL), b AS (SELECT substr(k, 1, 2) AS j, sum(n) AS n, sha256(string_agg(k || h, '' ORDER BY k || h)) AS h FROM a GROUP BY ALL)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(j || h, '' ORDER BY j || h), '')) AS digest FROM b""",
+)
+def fn_plan_digest(c: Catalog) -> DataFrame:
+    return groups.plan_digest(write_plan(c)["plan"], ["owner_id", "stem", "jpg", "raw", "second", "pair_id"])
+
+
 @query(
     "fn_dates",
     """WITH r AS (SELECT *, CASE WHEN id % 4 <> 0 AND id % 5 = 1 THEN 60 ELSE 0 END AS own, CASE id % 4 WHEN 1 THEN 120 WHEN 2 THEN -330 WHEN 3 THEN 540 ELSE 0 END AS shift, least(file_created_at, file_modified_at, CASE WHEN id % 3 = 1 THEN file_created_at - INTERVAL 1 HOUR END) AS earliest FROM asset)

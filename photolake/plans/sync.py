@@ -5,17 +5,18 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions import scalar
-from photolake.operators import timeline
+from photolake.operators import timeline, workflows
 from photolake.plans.catalog import TABLES, Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
 from photolake.sources import files
-from photolake.streaming import changes, feeds, runner, sink, timers
+from photolake.streaming import changes, feeds, runner, scope, sink, timers
 
 
 def scratch(c: Catalog, name: str) -> str:
@@ -218,6 +219,30 @@ def st_scope(c: Catalog) -> DataFrame:
     return own.unionByName(partner).unionByName(member)
 
 
+#: When an asset came into an album, and what members acknowledged, by rule.
+ADDED = "lpad(CAST((asset_id * 7) % 9000 AS STRING), 12, '0')"
+MEMBER_ACKS = "SELECT id AS user_id, CASE WHEN id % 11 <> 3 THEN lpad(CAST(3000 + (id * 37) % 6000 AS STRING), 12, '0') END AS members, CASE WHEN id % 3 = 0 THEN lpad(CAST((id * 53) % 4000 AS STRING), 12, '0') END AS updates FROM users"
+
+
+@query(
+    "st_scope_updates",
+    f"""WITH k AS ({MEMBER_ACKS}) SELECT DISTINCT s.user_id, s.album_id, a.id AS asset_id, a.update_id, a.is_favorite AND a.owner_id = s.user_id AS is_favorite FROM asset a JOIN (SELECT album_id, asset_id, {ADDED} AS added FROM album_asset) x ON x.asset_id = a.id
+JOIN share s ON s.album_id = x.album_id AND a.update_id > s.create_id AND (s.delete_id IS NULL OR a.update_id < s.delete_id) JOIN k ON k.user_id = s.user_id WHERE x.added <= k.members AND (k.updates IS NULL OR a.update_id > k.updates)""",
+)
+def st_scope_updates(c: Catalog) -> DataFrame:
+    return scope.member_updates(c.asset, c.album_asset.withColumn("update_id", F.expr(ADDED)), c.share, _derived(c, MEMBER_ACKS))
+
+
+BACKFILL_ACKS = "SELECT id AS user_id, CASE WHEN id % 7 <> 2 THEN lpad(CAST(4000 + (id * 37) % 5000 AS STRING), 12, '0') END AS upto, CASE WHEN id % 4 <> 0 THEN lpad(CAST(3 * ((id * 13) % 2000) AS STRING), 12, '0') END AS at, CASE WHEN id % 4 = 1 THEN 'complete' WHEN id % 4 = 2 THEN '000000002000' END AS resume FROM users"
+
+
+@query("st_backfill_resume", f"""WITH k AS ({BACKFILL_ACKS}), due AS (SELECT s.*, k.upto, CASE WHEN s.create_id = k.at THEN k.resume END AS behind FROM share s JOIN k ON k.user_id = s.user_id WHERE k.upto IS NOT NULL AND s.create_id < '{LAST}' AND (k.at IS NULL OR s.create_id > k.at OR (s.create_id = k.at AND coalesce(k.resume, '') <> 'complete')))
+SELECT d.user_id, d.album_id, d.create_id, {ADDED} AS update_id, x.asset_id FROM due d JOIN album_asset x ON x.album_id = d.album_id WHERE {ADDED} <= upto AND (behind IS NULL OR {ADDED} > behind) UNION ALL SELECT user_id, album_id, create_id, 'complete', NULL FROM due""")
+def st_backfill_resume(c: Catalog) -> DataFrame:
+    rows = c.album_asset.select("album_id", F.expr(ADDED).alias("update_id"), "asset_id")
+    return scope.backfill(c.share.select("album_id", "user_id", "create_id"), rows, _derived(c, BACKFILL_ACKS), LAST)
+
+
 @query("st_cdc", "SELECT id AS face_id, asset_id FROM face WHERE (id % 9 = 2 OR asset_id % 4 = 1) AND asset_id % 4 <> 1 AND asset_id IN (SELECT id FROM asset)")
 def st_cdc(c: Catalog) -> DataFrame:
     assets = c.asset.where("id % 4 <> 1")
@@ -288,14 +313,39 @@ def st_upload_dedup(c: Catalog) -> DataFrame:
     return runner.run(feeds.unique_uploads(events, "ts", ["user_id", "checksum"], known, "60 days")).select("user_id", "checksum")
 
 
-@query("st_workflow", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'archive' ELSE 'favorite' END AS action FROM events WHERE user_id % 5 <> 0 AND event_type = CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AND value >= user_id % 20 AND event_id % 11 <> 0")
+def user_workflows(c: Catalog) -> DataFrame:
+    """Workflows by rule: users have one of three sets, or one that is off."""
+    make = workflows.step
+    day = lambda d: F.lit(d).cast("date")
+    sets = [
+        (0, 0, "AssetCreate", [make("assetFileFilter", value="IMG_00"), make("assetArchive"), make("assetFavorite")]),
+        (0, 1, "AssetCreate", [make("noopNothing"), make("assetArchive", inverse=True), make("assetAddToAlbums", album_ids=[1, 2])]),
+        (1, 0, "AssetMetadataExtraction", [make("assetLocationFilter", latitude=10.0, longitude=20.0, radius_km=6000.0), make("assetTypeFilter", types=["IMAGE"]), make("assetVisibility", visibility="hidden"), make("webhook", url="http://example.org/hook")]),
+        (2, 0, "AssetCreate", [make("assetExifFilter", property="make", value="canon", match="exact"), make("assetMissingTimeZoneFilter", inverse=True), make("assetLock"), make("assetDateFilter", start=day("2000-11-15"), end=day("2000-02-10"), recurring=True), make("assetLock", inverse=True), make("assetFavorite", inverse=True)]),
+        (2, 1, "AssetCreate", [make("assetFavorite"), make("unknownMethod"), make("assetArchive")]),
+    ]
+    rows = [c.users.where(F.col("id") % 4 == k).select((F.col("id") * 10 + n).alias("id"), F.col("id").alias("owner_id"), F.lit(trigger).alias("trigger"), (F.col("id") % 5 != 4).alias("enabled"), F.array(*steps).alias("steps")) for k, n, trigger, steps in sets]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "st_workflow",
+    """WITH e AS (SELECT event_id, event_type, a.*, x.* EXCLUDE (asset_id) FROM events JOIN asset a ON a.id = event_id JOIN exif x ON x.asset_id = a.id JOIN users u ON u.id = a.owner_id WHERE event_type IN ('click', 'view') AND event_id % 11 <> 0 AND a.owner_id % 5 <> 4),
+near AS (SELECT *, 6371 * 2 * asin(sqrt(pow(sin(radians(latitude - 10) / 2), 2) + cos(radians(latitude)) * cos(radians(10)) * pow(sin(radians(longitude - 20) / 2), 2))) <= 6000 AS near FROM e),
+zero AS (SELECT event_id, CASE WHEN contains(lower(original_file_name), 'img_00') THEN 'archive' ELSE visibility END AS v, is_favorite OR contains(lower(original_file_name), 'img_00') AS f, visibility AS v0, is_favorite AS f0 FROM e WHERE owner_id % 4 = 0 AND event_type = 'click'),
+one AS (SELECT *, coalesce(near, false) AND type = 'IMAGE' AS hit FROM near WHERE owner_id % 4 = 1 AND event_type = 'view'),
+two AS (SELECT *, coalesce(lower(make) = 'canon', false) AND coalesce(time_zone, '') <> '' AS locks, (month(local_date_time) * 100 + day(local_date_time) >= 1115 OR month(local_date_time) * 100 + day(local_date_time) <= 210) AS winter FROM e WHERE owner_id % 4 = 2 AND event_type = 'click')
+SELECT event_id, CASE WHEN v = 'archive' THEN 'timeline' ELSE v END AS visibility, f AS is_favorite, v = 'archive' OR f <> f0 AS changed, '1,2' AS albums, 0::BIGINT AS requests, 0::BIGINT AS failed FROM zero
+UNION ALL SELECT event_id, CASE WHEN hit THEN 'hidden' ELSE visibility END, is_favorite, hit, '', CAST(hit AS BIGINT), 0 FROM one
+UNION ALL SELECT event_id, CASE WHEN locks AND winter THEN 'timeline' WHEN locks THEN 'locked' ELSE visibility END, true, NOT is_favorite OR locks AND (winter OR visibility <> 'locked'), '', 0, 1 FROM two""",
+)
 def st_workflow(c: Catalog) -> DataFrame:
-    events = runner.read_stream(c.spark, c.sf_dir, "events").withColumn("own_write", F.col("event_id") % 11 == 0)
-    even = F.col("user_id") % 2 == 0
-    rules = c.events.select("user_id").distinct().select(
-        "user_id", F.when(even, "click").otherwise("view").alias("trigger"), (F.col("user_id") % 20).alias("min_value"), F.when(even, "archive").otherwise("favorite").alias("action"), (F.col("user_id") % 5 != 0).alias("enabled")
-    )
-    return runner.run(feeds.workflow(events, rules).select("event_id", "action"))
+    events = runner.read_stream(c.spark, c.sf_dir, "events").where("event_type IN ('click', 'view')")
+    trigger = F.when(F.col("event_type") == "click", "AssetCreate").otherwise("AssetMetadataExtraction")
+    raised = events.select("event_id", F.col("event_id").alias("asset_id"), trigger.alias("trigger"), F.when(F.col("event_id") % 11 == 0, workflows.OWN_WRITE).alias("source"))
+    found = runner.run(workflows.run(raised, user_workflows(c), c.asset.join(c.exif.withColumnRenamed("asset_id", "id"), "id")))
+    ids = F.array_join(F.transform("albums", lambda a: a["album_id"].cast("string")), ",")
+    return found.select("event_id", "visibility", "is_favorite", "changed", ids.alias("albums"), F.size("requests").cast("long").alias("requests"), F.size("failed").cast("long").alias("failed"))
 
 
 NOW = "000000014000"

@@ -117,13 +117,3 @@ def unique_uploads(uploads: DataFrame, ts: str, keys: list[str], known: DataFram
     """The first upload of each checksum of an owner within the watermark that the catalogue does not hold."""
     rows = uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
     return rows if known is None else rows.join(known.select(*keys).distinct(), keys, "left_anti")
-
-
-def workflow(events: DataFrame, rules: DataFrame, by: str = "user_id") -> DataFrame:
-    """Changes that the enabled rules of an event's owner ask for.
-
-    ``rules`` has the owner, trigger, min_value (a filter that stops the rule) and
-    action. Events that a rule's own write raised do not start it again.
-    """
-    live = rules.where("enabled").drop("enabled")
-    return events.where("NOT coalesce(own_write, false)").join(live, by).where("event_type = trigger AND value >= min_value")

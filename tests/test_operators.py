@@ -269,22 +269,6 @@ def test_streams_resume_from_files(spark, tmp_path):
     assert runner.run(feeds.unique_uploads(stream, "ts", ["user_id"])).count() == 1
 
 
-def test_checksum_scan_goes_on_where_it_stopped(spark):
-    from photolake.operators import integrity
-
-    rows = [(i, f"/f{i}", hashlib.sha1(f"bytes {i}".encode()).hexdigest() if i % 5 else "0" * 40, datetime.datetime(2024, 1, 1 + i // 7, i % 3), i % 11 == 0) for i in range(40)]
-    assets = spark.createDataFrame(rows, "id long, path string, checksum string, created_at timestamp_ntz, is_external boolean")
-    content = spark.createDataFrame([(f"/f{i}", bytearray(f"bytes {i}".encode())) for i in range(40) if i % 9], "path string, bytes binary")
-    want = {i: "missing" if i % 9 == 0 else "ok" if i % 5 else "mismatch" for i in range(40) if i % 11}
-    assert {r.id: r.outcome for r in integrity.checksum_scan(assets, content).collect()} == want
-    after, seen, steps = None, {}, 0
-    while found := integrity.checksum_scan(assets, content, after, 60).collect():
-        assert not seen.keys() & {r.id for r in found}
-        seen |= {r.id: r.outcome for r in found}
-        after, steps = max((r.created_at, r.id) for r in found), steps + 1
-    assert seen == want and steps > 2
-
-
 def test_acks_replace_each_other_and_deletes_are_acknowledged_apart(spark):
     from photolake.streaming import feeds
 
