@@ -132,7 +132,7 @@ def test_network_is_a_distribution_and_carries_its_state(network):
 def test_score_of_a_text_equals_plain_recurrence(network):
     """The network written out a word at a time, in 64 bits."""
     net, H = network, lm.HIDDEN
-    w = {k: getattr(net, k).astype(np.float64) for k in ("emb", "p", "b", "u", "cw", "ww")}
+    w = {k: getattr(net, k).astype(np.float64) for k in ("emb", "p", "b", "u", "gw", "cw", "ww")}
     rng = np.random.default_rng(4)
     for n in (1, 2, 90):
         tokens = np.append(rng.integers(2, 1024, n - 1), lm.END)
@@ -143,8 +143,10 @@ def test_score_of_a_text_equals_plain_recurrence(network):
             new = np.tanh(a[2 * H :] + r * u[2 * H :])
             h = z * h + (1 - z) * new
             c = int(net.class_of[y])
+            group = int(net.group_of[c])
+            low, high = net.groups[group], net.groups[group + 1]
             first, last = net.edges[c], net.edges[c + 1]
-            for scores, pick in ((w["cw"] @ np.append(h, 1), c), (w["ww"][first:last] @ np.append(h, 1), y - first)):
+            for scores, pick in ((w["gw"] @ np.append(h, 1), group), (w["cw"][low:high] @ np.append(h, 1), c - low), (w["ww"][first:last] @ np.append(h, 1), y - first)):
                 total += scores[pick] - np.log(np.exp(scores).sum())
             x = y
         assert abs(lm.log_probabilities(net, tokens, np.array([n]))[0] - total) < 1e-4 * abs(total)
@@ -155,6 +157,7 @@ def test_network_gradient(network):
     h, y = np.random.default_rng(1).normal(size=(6, lm.HIDDEN)), np.array([1, 2, 40, 41, 1000, 3])
     g = lm.Network(net.edges, np.zeros_like(net.flat))
     back = lm.log_likelihood(net, h, y, g)[1]
+    assert np.abs(g.gw).max() > 0 and np.abs(g.cw).max() > 0 and np.abs(g.ww).max() > 0
     for i in np.flatnonzero(g.flat)[:: max(1, np.count_nonzero(g.flat) // 25)]:
         step = np.zeros_like(net.flat)
         step[i] = 1e-5
