@@ -24,7 +24,7 @@ ROUNDS = 3
 #: Training goes through windows of so many words; a worker has so many lanes at most and aims at so many updates.
 WINDOW, LANES, UPDATES = 16, 1024, 64
 #: Words that a worker lays on its lanes at once, and those it takes in a round on average.
-CHUNK, WORKER = 1 << 20, 4_000_000
+CHUNK, WORKER = 1 << 20, 2_000_000
 #: Weights travel in so many pieces, so that sums of them are spread.
 PIECES = 64
 #: Scores of so many words and classes are worked out at once, to stay in the processor's cache.
@@ -476,7 +476,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             if trainer:
                 yield done()
 
-        mine = rounds.where(F.col("round") == k).repartition(workers, "worker").sortWithinPartitions("worker", "key").select("worker", "text")
+        mine = rounds.where(F.col("round") == k).repartitionById(workers, "worker").sortWithinPartitions("worker", "key").select("worker", "text")
         got = mine.mapInArrow(work, kinds).repartition(16, "piece").mapInArrow(add, kinds).collect()
         if got:
             net = Network(net.edges, np.concatenate([np.frombuffer(r.w, "<f4") for r in sorted(got, key=lambda r: r.piece)]).copy())
