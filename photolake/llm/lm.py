@@ -22,9 +22,9 @@ UNKNOWN, END = 0, 1
 #: Every training text is used once: in one of so many rounds, after each of which the workers' weights are averaged.
 ROUNDS = 3
 #: Training goes through windows of so many words; a worker has so many lanes at most and aims at so many updates.
-WINDOW, LANES, UPDATES = 16, 1024, 64
+WINDOW, LANES, UPDATES = 16, 2048, 64
 #: Words that a worker lays on its lanes at once, and those it takes in a round on average.
-CHUNK, WORKER = 1 << 20, 2_000_000
+CHUNK, WORKER = 1 << 21, 4_000_000
 #: Weights travel in so many pieces, so that sums of them are spread.
 PIECES = 64
 #: Scores of so many words and classes are worked out at once, to stay in the processor's cache.
@@ -504,7 +504,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
         vocab, *weights = shared.value
         net, logs = Network(*weights), np.log10(vocab.c + 0.1)
         uid = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 5 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             lists = [byte_words(t) + [b""] for t in raw(batch.column("text"))]
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             starts = np.concatenate([[0], np.cumsum(lengths)])
