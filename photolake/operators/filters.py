@@ -118,6 +118,14 @@ def near(latitude: float, longitude: float, radius_km: float) -> Column:
     return scalar.haversine_km(F.col("latitude"), F.col("longitude"), F.lit(latitude), F.lit(longitude)) <= radius_km
 
 
+def located(country: str | None = None, state: str | None = None, city: str | None = None, latitude: float | None = None, longitude: float | None = None, radius_km: float = 0.0) -> Column:
+    """In the named country, state and city, those of them that are given, and within the radius of a place, if one is given."""
+    named = [F.coalesce(F.col(k) == v, F.lit(False)) for k, v in (("country", country), ("state", state), ("city", city)) if v]
+    if latitude is not None and longitude is not None:
+        named.append(F.coalesce(near(latitude, longitude, radius_km), F.lit(False)))
+    return reduce(lambda a, b: a & b, named, F.lit(True))
+
+
 def in_date_window(ts: Column, start: str, end: str, recurring: bool = False) -> Column:
     """From the start day to the end day, both included; recurring windows fall in every year and may pass New Year."""
     if not recurring:
@@ -162,6 +170,17 @@ def transcode_target(policy: str = "required", codecs: tuple[str, ...] = ("h264"
     return F.when(video & audio_bad, "all").when(video, "video").when(audio_bad, "audio").otherwise("none")
 
 
+#: Containers by the long names that streams bear.
+CONTAINERS = {"QuickTime / MOV": "mov", "Matroska / WebM": "webm"}
+
+
+def remux_required(policy: str = "required", accepted: tuple[str, ...] = ("mov", "ogg", "webm")) -> Column:
+    """Whether a video's streams have to go into another container: it is neither MP4 nor accepted. Needs format_name and format_long_name."""
+    known = F.create_map(*(F.lit(x) for pair in CONTAINERS.items() for x in pair))
+    name = F.coalesce(known[F.coalesce("format_long_name", F.lit(""))], F.col("format_name"), F.lit(""))
+    return F.lit(False) if policy == "disabled" else (name != "mp4") & ~name.isin(*accepted)
+
+
 def active_memories(on: str) -> Column:
     """Memories shown on a day: open-ended where a bound is missing."""
     day = F.lit(on).cast("timestamp_ntz")

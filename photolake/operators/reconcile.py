@@ -39,6 +39,20 @@ def not_on_server(local: DataFrame, remote: DataFrame, partners: DataFrame | Non
     return local.join(held, ["owner_id", "checksum"], "left_anti").select(*local.columns)
 
 
+def cloud_hashes(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """``(id, checksum)`` for local assets without a checksum: that of the remote asset with the same cloud id, the least of several.
+
+    Both have cloud_id, latitude, longitude, adjusted and created; the last four must all
+    be equal, a null to a null only, else the local file may have been changed since.
+    """
+    same = ("latitude", "longitude", "adjusted", "created")
+    there = remote.where("checksum IS NOT NULL").select("cloud_id", *(F.col(c).alias(f"_{c}") for c in same), F.col("checksum").alias("_checksum"))
+    rows = local.where("checksum IS NULL").drop("checksum").join(there, "cloud_id")
+    for c in same:
+        rows = rows.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    return rows.groupBy("id").agg(F.min("_checksum").alias("checksum"))
+
+
 def trash_sync(local: DataFrame, trashed: DataFrame, remote: DataFrame, albums: DataFrame, album_assets: DataFrame) -> dict[str, DataFrame]:
     """What the device has to do after the server's trash changed, in selected albums only.
 

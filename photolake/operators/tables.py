@@ -86,6 +86,22 @@ def delete_assets(assets: DataFrame, stacks: DataFrame, doomed: DataFrame) -> di
     return {"assets": whole, "stacks": led.select("stack_id", (F.col("left") < 2).alias("dissolve"), lead.alias("primary_asset_id"))}
 
 
+def deleted_files(gone: DataFrame, assets: DataFrame, files: DataFrame, on_disk: bool = True) -> DataFrame:
+    """``(asset_id, path)``: files that go with assets: what was made from them, and, ``on_disk``, the originals and sidecars of those that are online."""
+    rows = assets.join(gone.select("id"), "id", "left_semi").select(F.col("id").alias("asset_id"), "original_path", "is_offline")
+    made = files.join(rows, "asset_id")
+    own = F.lit(on_disk) & ~F.col("is_offline")
+    made = made.where((F.col("type") != "sidecar") | own).select("asset_id", "path")
+    return made.unionByName(rows.where(own).select("asset_id", F.col("original_path").alias("path"))).where("path IS NOT NULL")
+
+
+def usage_freed(gone: DataFrame, assets: DataFrame, exif: DataFrame) -> DataFrame:
+    """``(owner_id, bytes)`` that owners' usage falls by: assets of libraries were never counted."""
+    rows = assets.where("library_id IS NULL").join(gone.select("id"), "id", "left_semi").select("id", "owner_id")
+    sizes = exif.select(F.col("asset_id").alias("id"), "file_size")
+    return rows.join(sizes, "id", "left").groupBy("owner_id").agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+
+
 def last_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key by ``order``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(o).desc() for o in order)))

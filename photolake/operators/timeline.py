@@ -17,12 +17,24 @@ from photolake.operators import filters
 from photolake.session import stored
 
 
-def timeline_assets(assets: DataFrame, trashed: bool = False, visibility: str | None = None, **tests: Column) -> DataFrame:
-    """Assets of the timeline: not deleted (or only the trashed), visible by default or of one visibility."""
+def timeline_assets(assets: DataFrame, trashed: bool = False, visibility: str | None = None, **tests: dict) -> DataFrame:
+    """Assets of the timeline: not deleted (or only the trashed), visible by default or of one visibility.
+
+    ``tests`` are comparisons of further columns, as ``is_favorite={"eq": True}``.
+    """
     rows = assets.where(F.col("deleted_at").isNotNull() & (F.col("status") != "deleted") if trashed else F.col("deleted_at").isNull())
+    for name, test in tests.items():
+        rows = rows.where(filters.compare(F.col(name), **test))
     return rows.where(filters.default_visible() if visibility is None else F.col("visibility") == visibility)
 
 
+def stacked(assets: DataFrame, stacks: DataFrame, members: DataFrame) -> DataFrame:
+    """Assets that have no stack or lead it, with ``stack``: its id and how many of ``members`` on the timeline it has, as text; null without such."""
+    n = members.where("stack_id IS NOT NULL AND deleted_at IS NULL AND visibility = 'timeline'").groupBy("stack_id").agg(F.count("*").alias("n"))
+    pair = F.when(F.col("n").isNotNull(), F.array(F.col("stack_id").cast("string"), F.col("n").cast("string")))
+    return stack_primaries(assets, stacks).join(n, "stack_id", "left").withColumn("stack", pair).drop("n")
+
+
 def stack_primaries(assets: DataFrame, stacks: DataFrame) -> DataFrame:
     """Assets without a stack, and those that lead theirs."""
     lead = stacks.select(F.col("id").alias("stack_id"), F.col("primary_asset_id").alias("lead"))
@@ -43,7 +55,8 @@ def bucket_page(assets: DataFrame, exif: DataFrame, viewer: Column | None = None
 
     Arrays stay aligned because whole structs are collected, nulls included. A page holds
     at most ``most`` assets, the newest; further ones form pages 1, 2 and so on, so no
-    month, however large, is collected into one row.
+    month, however large, is collected into one row. Assets of ``stacked`` have a column
+    ``stack``, which is then an array of the page as well.
     """
     month = scalar.truncated(F.col("local_date_time"), "month")
     place = exif.select(F.col("asset_id").alias("id"), "city", "country")
@@ -51,12 +64,13 @@ def bucket_page(assets: DataFrame, exif: DataFrame, viewer: Column | None = None
     order = Window.partitionBy("owner_id", "bucket").orderBy(F.col("local_date_time").cast("date").desc(), F.col("file_created_at").desc(), F.col("id").desc())
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("page", F.floor((F.col("at") - 1) / most))
     own = F.lit(True) if viewer is None else F.col("owner_id") == viewer
+    more = ["stack"] if "stack" in assets.columns else []
     item = F.struct(
         "at", "id", (F.col("is_favorite") & own).alias("is_favorite"), scalar.aspect_ratio(F.col("width"), F.col("height")).alias("ratio"),
-        scalar.offset_hours(F.col("local_date_time"), F.col("file_created_at")).alias("offset"), F.base64(F.unhex("thumbhash")).alias("thumbhash"), "city", "country",
+        scalar.offset_hours(F.col("local_date_time"), F.col("file_created_at")).alias("offset"), F.base64(F.unhex("thumbhash")).alias("thumbhash"), "city", "country", *more,
     )
     page = rows.groupBy("owner_id", "bucket", "page").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return page.select("owner_id", "bucket", "page", *(F.transform("items", partial(_field, c)).alias(c) for c in ("id", "is_favorite", "ratio", "offset", "thumbhash", "city", "country")))
+    return page.select("owner_id", "bucket", "page", *(F.transform("items", partial(_field, c)).alias(c) for c in ("id", "is_favorite", "ratio", "offset", "thumbhash", "city", "country", *more)))
 
 
 def heatmap(assets: DataFrame, start: str, end: str, by: str = "local_date_time") -> DataFrame:

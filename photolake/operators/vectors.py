@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,68 @@ def _unit(column: pd.Series) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
-def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells: int, block: int, extra: tuple[str, ...] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """An index: centres of cells on the unit sphere, how many of them a search asks, and the recall measured with that."""
+
+    centres: np.ndarray
+    probes: int
+    recall: float
+
+    def asked(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's own cell, and whether it asks each cell: the ``probes`` nearest."""
+        near = -(v @ self.centres.T)
+        home, probes = near.argmin(axis=1), min(self.probes, near.shape[1])
+        mask = np.zeros(near.shape, dtype=bool)
+        np.put_along_axis(mask, np.argpartition(near, probes - 1, axis=1)[:, :probes], True, axis=1)
+        mask[np.arange(len(v)), home] = True
+        return home, mask
+
+
+#: Lloyd rounds, and at most so many vectors that they and the measured searches see.
+ROUNDS, SAMPLE, MEASURED = 10, 100_000, 256
+
+
+def lists(n: int) -> int:
+    """Cells for ``n`` vectors: the power of two next above their root, so a cell has about the root of them."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, math.sqrt(n)))))
+
+
+def fit_cells(vectors: DataFrame, max_distance: float, k: int, recall: float = 0.9, cells: int | None = None) -> Cells:
+    """Cells fitted to a sample of ``vectors`` (id, embedding) by Lloyd rounds, and the fewest probes that reach ``recall``.
+
+    The sample is the first ``SAMPLE`` vectors by a hash of the id. Recall is measured: of
+    ``MEASURED`` vectors, others by another hash, the ``k`` nearest within the distance are
+    searched exactly among all vectors, and a neighbour counts as found if its cell is
+    asked. Data without clusters need many probes for one distance, data with clusters
+    few; the measured share is kept. Without any neighbour one probe is enough.
+    """
+    rows = vectors.where("embedding IS NOT NULL AND id IS NOT NULL").select("id", "embedding")
+    n = cells or lists(rows.count())
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    if not len(sample):
+        return Cells(np.ones((1, 1)), 1, 1.0)
+    v = _unit(sample["embedding"])
+    centres = v[:n].copy()
+    for _ in range(ROUNDS):
+        home = np.concatenate([(part @ centres.T).argmax(axis=1) for part in np.array_split(v, max(1, len(v) // 4096))])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, v)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    asked = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(MEASURED)
+    found = nearest(asked, rows, k + 1).where(F.col("query") != F.col("id")).where(F.col("distance") <= max_distance)
+    pairs = found.join(rows, "id").join(asked.select(F.col("id").alias("query"), F.col("embedding").alias("q")), "query").select("q", "embedding").toPandas()
+    if not len(pairs):
+        return Cells(centres, 1, 1.0)
+    there = (_unit(pairs["embedding"]) @ centres.T).argmax(axis=1)
+    near = _unit(pairs["q"]) @ centres.T
+    rank = np.sort((near > near[np.arange(len(there)), there][:, None]).sum(axis=1))
+    probes = int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)) - 1)]) + 1
+    return Cells(centres, probes, float((rank < probes).mean()))
+
+
+def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells: int, block: int, extra: tuple[str, ...] = (), index: Cells | None = None) -> DataFrame:
     """``(*keys, id, embedding, *extra, cell, block, asker, asks)``: every vector as a member of its cell and as an asker of the cells it may have neighbours in.
 
     Cells are those of ``cells`` centres at most, as many as the root of the number of
@@ -31,7 +93,7 @@ def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells
     """
     spark = vectors.sparkSession
     rows = vectors.select(*keys, "id", "embedding", *extra).where("embedding IS NOT NULL AND id IS NOT NULL")
-    n = int(min(cells, max(1, math.isqrt(rows.count()))))
+    n = 1 if index else int(min(cells, max(1, math.isqrt(rows.count()))))
     picked = rows.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(2 * n).toPandas()
     sampled = _unit(picked["embedding"]) if len(picked) else np.zeros((0, 1))
     # chord on the unit sphere of the cosine distance
@@ -50,14 +112,14 @@ def _tiles(vectors: DataFrame, max_distance: float, keys: tuple[str, ...], cells
     # where most cells would be asked, cells only copy vectors: one is left, and blocks alone part the work
     if len(sampled) > n and reached(sampled[n:], chosen, apart(chosen))[1].mean() > 0.5:
         chosen = sampled[:1]
-    centres = spark.sparkContext.broadcast(chosen)
+    centres = spark.sparkContext.broadcast(index or chosen)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = centres.value
-        between = apart(c)
+        between = None if isinstance(c, Cells) else apart(c)
         for pdf in batches:
             if len(pdf):
-                home, asked = reached(_unit(pdf["embedding"]), c, between)
+                home, asked = c.asked(_unit(pdf["embedding"])) if between is None else reached(_unit(pdf["embedding"]), c, between)
                 yield pdf.assign(cell=home, asked=[np.flatnonzero(x) for x in asked])
 
     assigned = stored(rows.mapInPandas(assign, f"{rows.schema.simpleString()[7:-1]}, cell long, asked array<long>"), "vectors")
@@ -109,10 +171,11 @@ def neighbours(
     block: int = 4096,
     since: str | None = None,
     until: str | None = None,
+    index: Cells | None = None,
 ) -> DataFrame:
     """``(*keys, id, other, distance)``: all others of the same keys within a cosine distance, the nearest ``k`` of each.
 
-    Exact; see ``_tiles``. How many cells a vector asks hangs on the distance: a few at
+    Exact, or with an ``index`` of ``fit_cells`` with its recall; see ``_tiles``. How many cells a vector asks hangs on the distance: a few at
     0.01, and on data without clusters all of its key's at 0.5 and more, where no exact
     search can leave any out. Taking the nearest k and then the threshold is the same as
     the reverse. Zero vectors are at distance 1 from all.
@@ -121,7 +184,7 @@ def neighbours(
     is not before its ``since``, as faces of a person in photos since their birth. A
     vector without ``since`` is found by all; one without ``until`` finds only such.
     """
-    tiles = _tiles(vectors, max_distance, keys, cells, block, (since, until) if since and until else ())
+    tiles = _tiles(vectors, max_distance, keys, cells, block, (since, until) if since and until else (), index)
     id_kind = tiles.schema["id"].dataType.simpleString()
 
     def search(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:

@@ -98,18 +98,20 @@ def jn_live_photo_link(c: Catalog) -> DataFrame:
     return linked["assets"].join(albums, "id", "left").select("id", "live_photo_video_id", "visibility", F.coalesce("albums", F.lit(0)).alias("albums"))
 
 
+CLOUD = "CASE WHEN id % 3 <> 0 THEN CAST(id % 90 AS DOUBLE) END AS latitude, CASE WHEN id % 7 <> 0 THEN CAST(id % 170 AS DOUBLE) END AS longitude, CASE WHEN id % 5 <> 0 THEN id % 7 END AS adjusted"
+
+
 @query(
     "jn_cloud_hash",
-    """WITH r AS (SELECT CAST(CAST(floor(id / 2) AS BIGINT) AS STRING) AS cloud_id, CASE WHEN id % 3 <> 0 THEN CAST(id % 90 AS DOUBLE) END AS latitude, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 7 END AS stamp, checksum FROM asset WHERE checksum IS NOT NULL AND id % 2 = 1),
-l AS (SELECT id, cloud_id, latitude, CASE WHEN id % 5 = 0 THEN NULL ELSE id % 7 END AS stamp FROM local_asset WHERE cloud_id IS NOT NULL)
-SELECT l.id, min(r.checksum) AS checksum FROM l JOIN r ON l.cloud_id = r.cloud_id AND l.latitude IS NOT DISTINCT FROM r.latitude AND l.stamp IS NOT DISTINCT FROM r.stamp GROUP BY ALL""",
+    f"""WITH r AS (SELECT CAST(CAST(floor(id / 2) AS BIGINT) AS STRING) AS cloud_id, {CLOUD}, id % 8 AS created, checksum FROM asset WHERE checksum IS NOT NULL AND id % 2 = 1),
+l AS (SELECT id, cloud_id, {CLOUD}, CASE WHEN id % 10 = 3 THEN id % 8 + 1 ELSE id % 8 END AS created FROM local_asset WHERE cloud_id IS NOT NULL AND id % 4 <> 1)
+SELECT l.id, min(r.checksum) AS checksum FROM l JOIN r ON l.cloud_id = r.cloud_id AND l.latitude IS NOT DISTINCT FROM r.latitude AND l.longitude IS NOT DISTINCT FROM r.longitude AND l.adjusted IS NOT DISTINCT FROM r.adjusted AND l.created IS NOT DISTINCT FROM r.created GROUP BY ALL""",
 )
 def jn_cloud_hash(c: Catalog) -> DataFrame:
-    stamp = F.when(F.col("id") % 5 != 0, F.col("id") % 7).alias("stamp")
-    remote = c.asset.where("checksum IS NOT NULL AND id % 2 = 1").select(F.floor(F.col("id") / 2).cast("string").alias("r_cloud"), F.when(F.col("id") % 3 != 0, (F.col("id") % 90).cast("double")).alias("r_lat"), stamp.alias("r_stamp"), "checksum")
-    local = c.local_asset.where("cloud_id IS NOT NULL").select("id", "cloud_id", "latitude", stamp)
-    rows = local.join(remote, (F.col("cloud_id") == F.col("r_cloud")) & F.col("latitude").eqNullSafe(F.col("r_lat")) & F.col("stamp").eqNullSafe(F.col("r_stamp")))
-    return rows.groupBy("id").agg(F.min("checksum").alias("checksum"))
+    cloud = [F.expr(x) for x in ("CASE WHEN id % 3 <> 0 THEN CAST(id % 90 AS DOUBLE) END AS latitude", "CASE WHEN id % 7 <> 0 THEN CAST(id % 170 AS DOUBLE) END AS longitude", "CASE WHEN id % 5 <> 0 THEN id % 7 END AS adjusted")]
+    remote = c.asset.where("checksum IS NOT NULL AND id % 2 = 1").select(F.floor(F.col("id") / 2).cast("string").alias("cloud_id"), *cloud, (F.col("id") % 8).alias("created"), "checksum")
+    moved = F.when(F.col("id") % 10 == 3, F.col("id") % 8 + 1).otherwise(F.col("id") % 8)
+    return reconcile.cloud_hashes(c.local_asset.where("cloud_id IS NOT NULL AND id % 4 <> 1").select("id", "cloud_id", *cloud, moved.alias("created"), F.lit(None).cast("string").alias("checksum")), remote)
 
 
 @query(
@@ -313,6 +315,21 @@ def mut_retention(c: Catalog) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+GONE = "doomed AS (SELECT id FROM asset WHERE id % 40 IN (0, 10)), gone AS (SELECT id FROM doomed UNION SELECT live_photo_video_id FROM asset WHERE id IN (SELECT id FROM doomed) AND live_photo_video_id IS NOT NULL AND live_photo_video_id NOT IN (SELECT live_photo_video_id FROM asset WHERE live_photo_video_id IS NOT NULL AND id NOT IN (SELECT id FROM doomed)))"
+
+
+@query("mut_asset_files", f"WITH {GONE} SELECT f.asset_id, f.path FROM asset_file f JOIN asset a ON a.id = f.asset_id WHERE a.id IN (SELECT id FROM gone) AND (f.type <> 'sidecar' OR NOT a.is_offline) UNION ALL SELECT id, original_path FROM asset WHERE id IN (SELECT id FROM gone) AND NOT is_offline")
+def mut_asset_files(c: Catalog) -> DataFrame:
+    gone = tables.delete_assets(c.asset, c.stack, c.asset.where("id % 40 IN (0, 10)"))["assets"]
+    return tables.deleted_files(gone, c.asset, c.asset_file)
+
+
+@query("mut_asset_usage", f"WITH {GONE} SELECT owner_id, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes FROM asset a LEFT JOIN exif e ON e.asset_id = a.id WHERE a.id IN (SELECT id FROM gone) AND library_id IS NULL GROUP BY ALL")
+def mut_asset_usage(c: Catalog) -> DataFrame:
+    gone = tables.delete_assets(c.asset, c.stack, c.asset.where("id % 40 IN (0, 10)"))["assets"]
+    return tables.usage_freed(gone, c.asset, c.exif)
+
+
 @query(
     "mut_asset_delete",
     """WITH doomed AS (SELECT id FROM asset WHERE id % 40 IN (0, 10)), gone AS (SELECT id FROM doomed UNION SELECT live_photo_video_id FROM asset WHERE id IN (SELECT id FROM doomed) AND live_photo_video_id IS NOT NULL AND live_photo_video_id NOT IN (SELECT live_photo_video_id FROM asset WHERE live_photo_video_id IS NOT NULL AND id NOT IN (SELECT id FROM doomed))),

@@ -148,6 +148,15 @@ def flt_location(c: Catalog) -> DataFrame:
     return c.exif.where(filters.near(48.1, 11.6, 2500)).select("asset_id")
 
 
+@query(
+    "flt_location_named",
+    "SELECT asset_id FROM exif WHERE country = 'NATION_7' OR (country = 'NATION_3' AND state = 'State 8') OR (country = 'NATION_11' AND city IS NOT NULL AND 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(48.1 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(48.1)) * pow(sin(radians(11.6 - longitude) / 2), 2)))) <= 5000)",
+)
+def flt_location_named(c: Catalog) -> DataFrame:
+    near = filters.located(country="NATION_11", latitude=48.1, longitude=11.6, radius_km=5000) & F.col("city").isNotNull()
+    return c.exif.where(filters.located(country="NATION_7") | filters.located(country="NATION_3", state="State 8") | near).select("asset_id")
+
+
 @query("flt_date_window", "SELECT id FROM asset WHERE month(local_date_time) * 100 + day(local_date_time) >= 1224 OR month(local_date_time) * 100 + day(local_date_time) <= 106")
 def flt_date_window(c: Catalog) -> DataFrame:
     return c.asset.where(filters.in_date_window(F.col("local_date_time"), "2020-12-24", "2021-01-06", recurring=True)).select("id")
@@ -179,13 +188,18 @@ def flt_backlog(c: Catalog) -> DataFrame:
 STREAMS = "id, CASE id % 3 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' ELSE 'vp9' END AS video_codec, CASE WHEN id % 4 = 0 THEN 'yuv422p' ELSE 'yuv420p' END AS pixel_format, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'opus' ELSE 'aac' END AS audio_codec, 640 + id % 2000 AS width, 480 + id % 900 AS height, id % 30000 AS bitrate"
 
 
+FORMATS = "CASE id % 6 WHEN 0 THEN 'mp4' WHEN 1 THEN 'avi' WHEN 2 THEN 'matroska,webm' WHEN 3 THEN 'mov,mp4' WHEN 4 THEN 'ogg' END AS format_name, CASE id % 6 WHEN 2 THEN 'Matroska / WebM' WHEN 3 THEN 'QuickTime / MOV' WHEN 1 THEN 'AVI (Audio Video Interleaved)' END AS format_long_name"
+
+
 @query(
     "flt_transcode",
-    f"""WITH v AS (SELECT {STREAMS} FROM asset WHERE type = 'VIDEO'), d AS (SELECT *, NOT video_codec IN ('h264', 'hevc') OR NOT ends_with(pixel_format, '420p') OR least(width, height) > 720 AS video, coalesce(audio_codec NOT IN ('aac'), false) AS audio FROM v)
-SELECT id, CASE WHEN video AND audio THEN 'all' WHEN video THEN 'video' WHEN audio THEN 'audio' ELSE 'none' END AS target FROM d""",
+    f"""WITH v AS (SELECT {STREAMS}, {FORMATS} FROM asset WHERE type = 'VIDEO'), d AS (SELECT *, NOT video_codec IN ('h264', 'hevc') OR NOT ends_with(pixel_format, '420p') OR least(width, height) > 720 AS video, coalesce(audio_codec NOT IN ('aac'), false) AS audio,
+  CASE format_long_name WHEN 'QuickTime / MOV' THEN 'mov' WHEN 'Matroska / WebM' THEN 'webm' ELSE coalesce(format_name, '') END AS container FROM v)
+SELECT id, CASE WHEN video AND audio THEN 'all' WHEN video THEN 'video' WHEN audio THEN 'audio' ELSE 'none' END AS target, container NOT IN ('mp4', 'mov', 'ogg') AS remux FROM d""",
 )
 def flt_transcode(c: Catalog) -> DataFrame:
-    return c.asset.where("type = 'VIDEO'").selectExpr(*_split(STREAMS)).select("id", filters.transcode_target("optimal", ("h264", "hevc")).alias("target"))
+    videos = c.asset.where("type = 'VIDEO'").selectExpr(*_split(STREAMS), *_split(FORMATS))
+    return videos.select("id", filters.transcode_target("optimal", ("h264", "hevc")).alias("target"), filters.remux_required("optimal", ("mov", "ogg")).alias("remux"))
 
 
 def _split(select: str) -> list[str]:

@@ -37,6 +37,19 @@ def agg_time_buckets_stacked(c: Catalog) -> DataFrame:
     return timeline.time_buckets(timeline.stack_primaries(timeline.timeline_assets(c.asset), c.stack).where("is_favorite"), by="created_at")
 
 
+@query(
+    "agg_bucket_page_stacked",
+    f"""WITH n AS (SELECT stack_id, count(*) AS n FROM asset WHERE stack_id IS NOT NULL AND deleted_at IS NULL AND visibility = 'timeline' GROUP BY ALL)
+SELECT owner_id, CAST(date_trunc('month', local_date_time) AS DATE) AS bucket, count(*) AS n, string_agg(coalesce(n.stack_id || ':' || n.n, '-'), ',' ORDER BY CAST(local_date_time AS DATE) DESC, file_created_at DESC, a.id DESC) AS stacks
+FROM asset a LEFT JOIN n ON n.stack_id = a.stack_id WHERE {VISIBLE} AND is_favorite AND (a.stack_id IS NULL OR a.id IN (SELECT primary_asset_id FROM stack)) GROUP BY ALL""",
+)
+def agg_bucket_page_stacked(c: Catalog) -> DataFrame:
+    shown = timeline.stacked(timeline.timeline_assets(c.asset, is_favorite={"eq": True}), c.stack, c.asset)
+    page = timeline.bucket_page(shown, c.exif)
+    pairs = F.transform("stack", lambda s: F.coalesce(F.array_join(s, ":"), F.lit("-")))
+    return page.select("owner_id", "bucket", F.size("id").cast("long").alias("n"), F.array_join(pairs, ",").alias("stacks"))
+
+
 @query(
     "agg_bucket_page",
     f"""SELECT owner_id, CAST(date_trunc('month', local_date_time) AS DATE) AS bucket, count(*) AS n, string_agg(CAST(a.id AS STRING), ',' ORDER BY CAST(local_date_time AS DATE) DESC, file_created_at DESC, a.id DESC) AS ids,

@@ -69,3 +69,51 @@ def test_access(spark):
         [("user", 1, 1), ("user", 1, 3), ("user", 1, 30), ("user", 2, 3), ("user", 2, 4), ("user", 2, 5), ("user", 3, 3), ("user", 3, 6), ("user", 3, 7), ("user", 4, 8)]
         + [("link", 100, 7), ("link", 100, 70), ("link", 101, 3), ("link", 101, 30)]
     )
+
+
+def test_cloud_hashes_need_every_stamp(spark):
+    schema = "id long, cloud_id string, latitude double, longitude double, adjusted long, created long, checksum string"
+    remote = spark.createDataFrame([(0, "c", 1.0, 2.0, None, 9, "sum"), (0, "c", 1.0, 2.0, None, 9, "tum"), (0, "d", None, None, None, None, "none"), (0, "e", 1.0, 2.0, 3, 4, None)], schema).drop("id")
+    local = [(1, "c", 1.0, 2.0, None, 9, None), (2, "c", 1.0, 2.5, None, 9, None), (3, "c", 1.0, 2.0, 5, 9, None), (4, "c", 1.0, 2.0, None, 8, None), (5, "c", None, 2.0, None, 9, None), (6, "d", None, None, None, None, None), (7, "c", 1.0, 2.0, None, 9, "own"), (8, None, 1.0, 2.0, None, 9, None), (9, "e", 1.0, 2.0, 3, 4, None)]
+    assert rows(reconcile.cloud_hashes(spark.createDataFrame(local, schema), remote)) == [(1, "sum"), (6, "none")]
+
+
+def test_files_and_usage_of_deleted_assets(spark):
+    from photolake.operators import tables
+
+    held = assets(spark, dict(id=1, original_path="/1", library_id=None), dict(id=2, original_path="/2", library_id=5), dict(id=3, original_path="/3"), dict(id=4, owner_id=2, original_path="/4")).selectExpr("*", "id = 2 AS is_offline")
+    files = spark.createDataFrame([(1, "preview", "/p1"), (1, "sidecar", "/s1"), (2, "sidecar", "/s2"), (2, "thumbnail", "/t2"), (3, "preview", "/p3")], "asset_id long, type string, path string")
+    gone = spark.createDataFrame([(1,), (2,), (4,)], "id long")
+    # asset 2 is offline: its original and sidecar stay
+    assert rows(tables.deleted_files(gone, held, files)) == [(1, "/1"), (1, "/p1"), (1, "/s1"), (2, "/t2"), (4, "/4")]
+    assert rows(tables.deleted_files(gone, held, files, on_disk=False)) == [(1, "/p1"), (2, "/t2")]
+    exif = spark.createDataFrame([(1, 100), (2, 200), (3, 400)], "asset_id long, file_size long")
+    assert rows(tables.usage_freed(gone, held, exif)) == [(1, 100), (2, 0)]
+
+
+def test_pages_of_stacks(spark):
+    from pyspark.sql import functions as F
+
+    from photolake.operators import timeline
+
+    schema = "id long, owner_id long, stack_id long, visibility string, deleted_at string, status string, is_favorite boolean, width int, height int, thumbhash string, local_date_time timestamp_ntz, file_created_at timestamp_ntz"
+    at = F.lit("2024-01-02").cast("timestamp_ntz")
+    given = [(1, None, "timeline", None), (2, 9, "timeline", None), (3, 9, "timeline", None), (4, 9, "archive", None), (5, 9, "timeline", "d"), (6, 8, "archive", None), (7, 7, "timeline", None)]
+    held = spark.createDataFrame([(i, 1, s, v, d, "active", i % 2 == 0, 4, 3, None) for i, s, v, d in given], schema.rsplit(", ", 2)[0]).withColumns({"local_date_time": at, "file_created_at": at})
+    stacks = spark.createDataFrame([(9, 2), (8, 6), (7, 99)], "id long, primary_asset_id long")
+    exif = spark.createDataFrame([], "asset_id long, city string, country string")
+    page = timeline.bucket_page(timeline.stacked(timeline.timeline_assets(held), stacks, held), exif).first()
+    assert page.id == [6, 2, 1] and page["stack"] == [None, ["9", "2"], None]
+    assert rows(timeline.timeline_assets(held, is_favorite={"eq": True}).select("id")) == [(2,), (4,), (6,)]
+
+
+def test_places_by_name_and_containers(spark):
+    from photolake.operators import filters
+
+    here = spark.createDataFrame([(1, "DE", "BY", "Ulm", 48.1, 11.6), (2, "DE", None, None, None, None), (3, "FR", "BY", "Ulm", 48.1, 11.6)], "id long, country string, state string, city string, latitude double, longitude double")
+    found = lambda **o: [r[0] for r in rows(here.where(filters.located(**o)).select("id"))]
+    assert found(country="DE") == [1, 2] and found(country="DE", state="BY") == [1] and found(city="Ulm") == [1, 3] and found() == [1, 2, 3]
+    assert found(country="DE", latitude=48.0, longitude=11.6, radius_km=20) == [1] and found(latitude=40.0, longitude=11.6, radius_km=20) == []
+    videos = spark.createDataFrame([(1, "mp4", None), (2, "mov,mp4", "QuickTime / MOV"), (3, "matroska,webm", "Matroska / WebM"), (4, "avi", "other"), (5, None, None)], "id long, format_name string, format_long_name string")
+    remux = lambda *o: [r[0] for r in rows(videos.where(filters.remux_required(*o)).select("id"))]
+    assert remux("optimal", ("mov",)) == [3, 4, 5] and remux("disabled", ()) == []
