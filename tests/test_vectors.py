@@ -86,3 +86,47 @@ def test_only_faces_on_the_timeline_make_a_person(spark):
     df = spark.createDataFrame(rows, "id long, embedding array<double>, shown boolean")
     got = {r.id: r.person for r in vectors.cluster_faces(df, 0.01, 3, may_be_core="shown").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, **{i: None for i in range(10, 14)}}
+
+
+def _frame(spark, v):
+    return spark.createDataFrame([(int(i), [float(y) for y in x]) for i, x in enumerate(v)], "id long, embedding array<double>")
+
+
+def test_index_reaches_its_recall(spark):
+    """Measured against the exact search, on data with clusters and without."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(3000, 10))
+    for v, reach, most in ((clustered(rng, 3000), 0.5, 0.35), (plain / np.linalg.norm(plain, axis=1, keepdims=True), 0.35, 0.75)):
+        df = _frame(spark, v)
+        index = vectors.fit_cells(df, reach, 20)
+        assert len(index.centres) == vectors.lists(3000) == 64 and index.recall >= 0.9
+        d = 1 - v @ v.T
+        np.fill_diagonal(d, 9)
+        order = np.argsort(d, axis=1, kind="stable")[:, :20]
+        want = {(i, int(j)) for i in range(len(v)) for j in order[i] if d[i, j] <= reach}
+        got = {(r.id, r.other) for r in vectors.neighbours(df, reach, k=20, block=500, index=index).collect()}
+        assert len(want & got) >= 0.88 * len(want)
+        # an asker meets its probes' members: this share of all pairs
+        home, asked = index.asked(v)
+        sizes = np.bincount(home, minlength=64)
+        assert (asked * sizes).sum() < most * len(v) ** 2
+
+
+def test_work_of_the_index_grows_below_a_power(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 16))
+    work = []
+    for n in (1000, 16_000):
+        v = centres[rng.integers(0, n // 40, n)] + rng.normal(0, 0.1, (n, 16))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        index = vectors.fit_cells(_frame(spark, v), 0.1, 10)
+        home, asked = index.asked(v)
+        work.append((asked * np.bincount(home, minlength=len(index.centres))).sum())
+        assert index.recall >= 0.9
+    assert np.log(work[1] / work[0]) / np.log(16) < 1.5
+
+
+def test_index_of_nothing(spark):
+    empty = _frame(spark, np.zeros((0, 3)))
+    index = vectors.fit_cells(empty, 0.5, 5)
+    assert index.probes == 1 and vectors.neighbours(empty, 0.5, k=5, index=index).count() == 0
