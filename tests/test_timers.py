@@ -3,6 +3,9 @@
 import datetime
 import random
 
+import duckdb
+
+from photolake.plans import registry
 from photolake.streaming import timers
 
 EPOCH = datetime.datetime(2024, 1, 1)
@@ -100,3 +103,26 @@ def test_debounced_equals_a_fold(spark, tmp_path):
     rows, want, _ = check(spark, tmp_path, True, build, 3_000, 30_000)
     got = [(lib, path, start - FIRST, sent - FIRST, n) for lib, path, start, sent, n in rows]
     assert sorted(got) == sorted((lib, path, start, at, n) for lib, path, _, start, at, _, n in want) and len(want) > 60
+
+
+def to_the_digit(spark, name, folder):
+    """Rows of a query and of its SQL, with all digits of whole numbers."""
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(folder)).select(*want.columns)
+    return sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_debounced_milliseconds_equal_the_sql(spark):
+    got, want = to_the_digit(spark, "st_debounce", "/root/testdata/sf0.001")
+    assert got == want and len(want) > 500
+
+
+def test_milliseconds_are_the_nearest(spark, tmp_path):
+    at = lambda us: (EPOCH + datetime.timedelta(microseconds=us), 1, "a", "change", 1)
+    build = lambda s: timers.debounced(s, "at", 3_000, "lib", "path", late="0 seconds")
+    # the second comes just 3,000 milliseconds after the first when both are rounded; the watermark is rounded as well
+    rows, _ = stream(spark, tmp_path, build, [[at(499), at(2_999_500), at(5_999_499 + 500)]])
+    assert [(start - FIRST, sent - FIRST, n) for _, _, start, sent, n in rows] == [(0, 3000, 1), (3000, 6000, 1)]
