@@ -1,4 +1,4 @@
-"""SimHash near-duplicates through a vantage-point tree; for the pipeline, near copies by exact shingle overlap."""
+"""SimHash near-duplicates through a vantage-point tree; for the pipeline, near copies from it and from MinHash bands, by exact shingle overlap."""
 
 from __future__ import annotations
 
@@ -233,6 +233,12 @@ def links(fps: DataFrame, n: int, radius: int = 2, leaf_rows: int = 1000, most_l
     return dealt.groupBy("leaf").applyInPandas(search, "src long, dst long")
 
 
+def fingerprint_groups(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """``(fp, group_fp)``: the smallest fingerprint reachable from each of the distinct ``fp`` that has another within ``radius`` bits."""
+    linked = connected_components(links(fps.select("fp"), fps.count(), radius))
+    return linked.select(F.col("node").alias("fp"), F.col("component").alias("group_fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``(doc_id, tie, fp, group_fp, component_id)`` for each row of ``docs``.
 
@@ -244,7 +250,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "simhash")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-fp")
-    groups = connected_components(links(fps.select("fp"), fps.count(), radius)).select(F.col("node").alias("fp"), F.col("component").alias("group_fp"))
+    groups = fingerprint_groups(fps, radius)
     linked = fps.join(groups, "fp").select("fp", "group_fp", "low")
     lowest = linked.groupBy("group_fp").agg(F.min("low").alias("component_id"))
     of_linked = linked.join(lowest, "group_fp").select("fp", "group_fp", "component_id")
@@ -260,7 +266,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# --- near copies by shingle overlap, for the pipeline ------------------------------------
+# --- near copies by fingerprints and shingle overlap, for the pipeline -------------------
 
 #: Texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 4/5 or more.
 WORDS, ALIKE, OF = 5, 4, 5
@@ -297,18 +303,20 @@ def band_keys(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tie, n, sig, keys)`` for each row: a hash of the text, its shingles with repeats, a hash of their set, and its bands."""
+    """``(doc_id, tie, n, fp, sig, keys)`` for each row: a hash of the text, its shingles with repeats, its fingerprint, a hash of the shingles' set, and its bands."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sets, starts, n = shingle_sets(raw(batch.column("text")))
+            documents = raw(batch.column("text"))
+            fp = simhash(documents)
+            sets, starts, n = shingle_sets(documents)
             sig = np.fromiter((xxhash.xxh64_intdigest(sets[a:b].tobytes(), SEED) for a, b in zip(starts[:-1], starts[1:])), np.uint64, batch.num_rows)
             ends = np.concatenate([[0], np.cumsum((np.diff(starts) > 0) * BANDS)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets, starts).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64)), keys], names=["doc_id", "tie", "n", "fp", "sig", "keys"])
 
     rows = texts(docs, _text_hash().alias("tie"))
-    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, n long, sig long, keys array<long>")
+    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, n long, fp long, sig long, keys array<long>")
 
 
 def _named(doc_id: Column, tie: Column) -> Column:
@@ -398,33 +406,40 @@ def tiled(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "sig").groupBy("key", "i", "j").applyInPandas(search, "src long, dst long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``(group, more, last, doc_id, tie)``: for each group of near copies the fullest one: most shingles, then smallest ``doc_id`` (nulls last), then text hash.
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """``(key, sig, texts)``: the rows of ``keyed`` ``(sig, key)`` whose key has more than one text, and how many it has."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    return keyed.join(shared, "key").select("key", "sig", "texts")
+
 
-    Groups are the components of all pairs of texts that share a band and have the exact
-    similarity. Equal shingle sets are one. First each text of a band is compared with the
-    one that shares most bands with others (a group's origin rather than a much edited
-    copy of it). What a band's texts then lack to be joined is found from the pairs of
-    small bands and, in tiles, from the overlaps of large ones, so a large group of copies
-    costs no pairs of its members, and no pair of a band is left out.
+def exact_links(members: DataFrame, sets: DataFrame, edges: DataFrame | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``edges`` ``(src, dst)`` with more of them, and their components: all that pairs which share a key and have the exact similarity join.
+
+    ``members`` are ``(key, sig, texts)`` of ``shared_keys``; texts that ``edges`` join already
+    (``groups`` are their components) are not compared. First each text of a key is compared
+    with the one that shares most keys with others (a group's origin rather than a much edited
+    copy of it). What a key's texts then lack to be joined is found from the pairs of small
+    keys and, in tiles, from the overlaps of large ones, so a large group of copies costs no
+    pairs of its members, and no pair of a key is left out.
     """
-    kinds = sketches(docs).groupBy("sig").agg(F.min(F.struct((-F.col("n")).alias("more"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("least"), F.first("keys").alias("keys"))
-    kinds = stored(kinds, "near")
-    banded = kinds.select("sig", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    members = stored(banded.join(shared, "key"), "near-bands")
+
+    def labelled(groups: DataFrame | None) -> DataFrame:
+        if groups is None:
+            return members.select("key", "sig", F.col("sig").alias("label"))
+        return members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("label"))
+
     crowd = members.groupBy("sig").agg(F.sum("texts").alias("crowd"))
-    centre = members.join(crowd, "sig").groupBy("key").agg(F.max_by("sig", F.struct("crowd", "sig")).alias("centre"))
-    wanted = kinds.join(crowd, "sig", "left_semi").select("sig", _named(F.col("least.doc_id"), F.col("least.tie")).alias("name"))
-    sets = stored(sets_of(docs, wanted), "near-sets")
-    pairs = members.join(centre, "key").where("sig <> centre").select(F.least("sig", "centre").alias("src"), F.greatest("sig", "centre").alias("dst")).distinct()
+    before = labelled(groups)
+    centre = before.join(crowd, "sig").groupBy("key").agg(F.max_by(F.struct("sig", "label"), F.struct("crowd", "sig")).alias("c")).select("key", F.col("c.sig").alias("centre"), F.col("c.label").alias("of_centre"))
+    pairs = before.join(centre, "key").where("label <> of_centre").select(F.least("sig", "centre").alias("src"), F.greatest("sig", "centre").alias("dst")).distinct()
     pairs = stored(pairs, "near-stars")
-    edges = stored(alike(pairs, sets), "near-pairs")
+    found = stored(alike(pairs, sets), "near-pairs")
+    edges = found if edges is None else edges.unionByName(found)
     groups = connected_components(edges)
     size = sets.select(F.col("sig"), F.size("set").alias("n"))
-    labelled = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("label"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("open")).where("x <> y").select("key", "open")
-    rest = stored(labelled.join(apart, "key").join(size, "sig"), "near-rest")
+    after = labelled(groups)
+    apart = after.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("open")).where("x <> y").select("key", "open")
+    rest = stored(after.join(apart, "key").join(size, "sig"), "near-rest")
     few = rest.where(f"open <= {SMALL}")
     a, b = (few.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "label", "n"))) for side in "ab")
     open_pairs = a.join(b, "key").where(f"sig_a < sig_b AND label_a <> label_b AND n_a * {OF} >= n_b * {ALIKE} AND n_b * {OF} >= n_a * {ALIKE}")
@@ -432,15 +447,39 @@ def near_copies(docs: DataFrame) -> DataFrame:
     open_pairs = open_pairs.select(F.col("sig_a").alias("src"), F.col("sig_b").alias("dst")).distinct().join(pairs, ["src", "dst"], "left_anti")
     more = stored(alike(open_pairs, sets).unionByName(tiled(rest.where(f"open > {SMALL}"), sets)), "near-pairs")
     if not more.isEmpty():
-        groups = connected_components(edges.unionByName(more))
+        edges = edges.unionByName(more)
+        groups = connected_components(edges)
+    return edges, groups
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(group, more, last, doc_id, tie)``: for each group of near copies the fullest one: most shingles, then smallest ``doc_id`` (nulls last), then text hash.
+
+    Groups are the components of all pairs of texts that share a fingerprint group or a band
+    and have the exact similarity. Equal shingle sets are one. First come the groups of
+    SimHash fingerprints within two bits, through the vantage-point tree. Near copies that
+    are further apart than a tree can search for share a MinHash band, and are compared
+    where the first step has not joined them.
+    """
+    kinds = sketches(docs).groupBy("sig").agg(F.min(F.struct((-F.col("n")).alias("more"), F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "fp")).alias("least"), F.first("keys").alias("keys"))
+    kinds = stored(kinds, "near")
+    prints = kinds.select("sig", F.col("least.fp").alias("fp"))
+    grouped = fingerprint_groups(stored(prints.select("fp").distinct(), "near-fp"))
+    close = stored(shared_keys(prints.join(grouped, "fp", "left").select("sig", F.coalesce("group_fp", "fp").alias("key"))), "near-close")
+    bands = stored(shared_keys(kinds.select("sig", F.explode("keys").alias("key"))), "near-bands")
+    compared = close.select("sig").unionByName(bands.select("sig")).distinct()
+    wanted = kinds.join(compared, "sig", "left_semi").select("sig", _named(F.col("least.doc_id"), F.col("least.tie")).alias("name"))
+    sets = stored(sets_of(docs, wanted), "near-sets")
+    _, groups = exact_links(bands, sets, *exact_links(close, sets))
     found = kinds.select("sig", "least").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
-    return found.groupBy(F.coalesce("component", "sig").alias("group")).agg(F.min("least").alias("least")).select("group", "least.*")
+    return found.groupBy(F.coalesce("component", "sig").alias("group")).agg(F.min("least").alias("least")).select("group", "least.more", "least.last", "least.doc_id", "least.tie")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the fullest text's, of equals that of the smallest ``doc_id`` (nulls last), then text hash.
 
-    Null, empty and blank texts are copies of each other; repeated rows are one. Texts of
+    Groups come from SimHash through the vantage-point tree, then MinHash bands, each pair
+    counted exactly. Null, empty and blank texts are copies of each other; repeated rows are one. Texts of
     any length are compared whole. The columns are those of ``docs``, whatever their names.
     """
     columns = docs.columns

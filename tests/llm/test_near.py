@@ -85,3 +85,25 @@ def test_tiles_join_what_all_pairs_join():
     half = np.arange(70) // 35
     src, dst = simhash.tile_edges(sig, label, sets, half, False)
     assert joined(list(zip(src - 100, dst - 100))) == joined([(i, j) for i, j in similar if half[i] != half[j]])
+
+
+def test_fingerprints_link_near_copies_without_bands(spark, monkeypatch):
+    """The vantage-point tree gives the stage near copies, and their overlap is counted: there are no bands here."""
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for _ in range(12):
+        text = [rng.choice(words) for _ in range(3000)]
+        for _ in range(3):
+            text[0] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(text)))
+    # one phrase over and over rules the fingerprint, yet most shingles differ
+    phrase = ["all", "rights", "reserved"] * 300
+    far = [" ".join(phrase + [rng.choice(words) for _ in range(60)]) for _ in range(2)]
+    rows += [(len(rows) + i, t) for i, t in enumerate(far)]
+    prints = simhash.simhash([t.encode() for _, t in rows])
+    assert np.bitwise_count(prints[-1] ^ prints[-2]) <= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_groups(rows)
+    assert len(expected) == 14
+    assert {r.doc_id for r in near_copies(docs).collect()} == expected
