@@ -57,14 +57,27 @@ def feed_line(data: Column, kind: Column, update_id: Column, extra: Column | Non
     return F.to_json(F.struct(kind.alias("type"), data.alias("data"), ack.alias("ack")))
 
 
+def _lines(df: DataFrame) -> DataFrame:
+    """``(user_id, value)``: JSON lines, a user's together in the order of ``position``, or else of the feed's entities."""
+    lines = df.withColumn("order", F.col("position") if "position" in df.columns else position(F.col("type"))).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
+    return lines.select("user_id", feed_line(F.col("data"), F.col("type"), F.col("update_id")).alias("value"))
+
+
 def write_feed(df: DataFrame, path: str) -> None:
     """Writes rows with user_id, type, update_id and data as JSON lines.
 
     Lines stand in the order of ``position``, or else of the feed's entities. A user's lines are one file, but for users with
     very many, whose lines AQE may deal over more, each in order.
     """
-    lines = df.withColumn("order", F.col("position") if "position" in df.columns else position(F.col("type"))).repartition("user_id").sortWithinPartitions("user_id", "order", "update_id")
-    lines.select("user_id", feed_line(F.col("data"), F.col("type"), F.col("update_id")).alias("value")).write.partitionBy("user_id").text(path)
+    _lines(df).write.partitionBy("user_id").text(path)
+
+
+def write_batch(df: DataFrame, path: str) -> None:
+    """As ``write_feed`` for a batch of a stream: Parquet (user_id, value) in which a user's lines stand together, so there are not as many files as users and batches.
+
+    The folder is written anew if the batch comes again.
+    """
+    _lines(df).write.mode("overwrite").parquet(path)
 
 
 def backfill(shares: DataFrame, rows: DataFrame) -> DataFrame:
