@@ -12,6 +12,7 @@ from photolake.operators import groups, integrity, reconcile, tables
 from photolake.plans.catalog import Catalog
 from photolake.plans.registry import query
 from photolake.session import shared_dir
+from photolake.session import stored as kept
 from photolake.sources import files
 from photolake.streaming.sink import BucketTable
 
@@ -199,15 +200,17 @@ def jn_missing(c: Catalog) -> DataFrame:
     """SELECT page_id AS id, CASE WHEN page_id % 29 = 4 THEN 'missing' WHEN page_id % 40 = 11 THEN 'mismatch' ELSE 'ok' END AS outcome FROM pages WHERE page_id % 6 <> 0 AND page_id % 31 <> 5""",
 )
 def jn_checksum(c: Catalog) -> DataFrame:
-    # web pages as files, a folder each; recorded digests, of which some are of other bytes
+    # web pages as files, dealt to 256 folders by a hash; recorded digests, of which some are of other bytes
     root = f"{shared_dir(c.spark)}/stored-{uuid.uuid4().hex}"
     k = F.col("page_id")
-    c.pages.where((k % 29 != 4) & k.isNotNull()).select(k, F.coalesce("html", F.lit("")).alias("value")).repartition(8, "page_id").write.partitionBy("page_id").text(root)
-    listing = files.file_listing(c.spark, [root]).withColumn("page", F.regexp_extract("path", r"/page_id=(-?\d+)/", 1).cast("long"))
     stored = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
-    recorded = F.when(k % 31 != 5, F.when(k % 40 == 11, F.sha1(F.reverse(stored).cast("binary"))).otherwise(F.upper(F.sha1(stored.cast("binary")))))
+    name = F.concat_ws("/", F.pmod(F.xxhash64(k), F.lit(256)).cast("string"), F.concat(k.cast("string"), F.lit(".html")))
+    files.write_files(c.pages.where((k % 29 != 4) & k.isNotNull()).select(name.alias("name"), stored.cast("binary").alias("content")), root)
+    # a listing asks each file, so it is kept
+    listing = kept(files.file_listing(c.spark, [root]), "listing").withColumn("page", F.regexp_extract("path", r"/(-?\d+)\.html$", 1).cast("long"))
+    recorded = F.when(k % 31 != 5, F.when(k % 40 == 11, F.sha1(F.concat(F.lit("other "), stored).cast("binary"))).otherwise(F.upper(F.sha1(stored.cast("binary")))))
     rows = c.pages.where(k.isNotNull()).join(listing.select("page", "path"), k == F.col("page"), "left")
-    path = F.coalesce("path", F.concat(F.lit(f"file:{root}/page_id="), k.cast("string"), F.lit("/gone")))
+    path = F.coalesce("path", F.concat(F.lit(f"{root}/"), name))
     assets = rows.select(k.alias("id"), path.alias("path"), recorded.alias("checksum"), F.timestamp_add("HOUR", k.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("created_at"), (k % 6 == 0).alias("is_external"))
     return integrity.checksum_scan(assets, listing).select("id", "outcome")
 

@@ -1,9 +1,12 @@
-"""Readers of place dumps, country outlines and file listings."""
+"""Readers of place dumps, country outlines and file listings, and a writer of files."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ def file_listing(spark: SparkSession, paths: list[str], exclusions: list[str] =
     The globs do not regard case. Contents are not read.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", F.col("modificationTime").alias("modified_at"))
+    # a file counts as some MB, so a scan has a task for every few; here a row is all there is of it
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)
     # only what is below a root can be hidden, not the root itself
     roots = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/") for p in paths]
     below = F.coalesce(*(F.when(F.instr("path", r) > 0, F.substr("path", F.instr("path", r) + len(r))) for r in roots), F.col("path"))
@@ -55,3 +60,28 @@ def file_listing(spark: SparkSession, paths: list[str], exclusions: list[str] =
     for glob in exclusions:
         rows = rows.where(~F.lower("path").like(scalar.glob_to_like(glob).lower()))
     return rows
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes each ``content`` (binary) of ``rows`` as the file ``name`` below ``root``, and returns how many.
+
+    Tasks write their files themselves, so nothing is gathered or moved on the driver; equal
+    names are in one task. A task that is tried again writes the same files again.
+    """
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pf.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                path = f"{top.rstrip('/')}/{name}"
+                if (folder := path.rpartition("/")[0]) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(path, compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = rows.select("name", "content").repartition(parts, "name").mapInArrow(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
